@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm import bpe, chat_format, quality_rules, quality_vote, secret_scan, url_rules
+from darkroom.llm import bpe, chat_format, decontaminate, minhash, quality_rules, quality_vote, secret_scan, url_rules
 from darkroom.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, "text", rules).select("doc_id", *(j[c].alias(c) for c in (*quality_rules.COUNTS[:5], "base_failed", "rejected_by_list", "kept")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "item_tokens", "covered", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op5_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(5)) == 0
@@ -41,10 +46,30 @@ def op5_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: A-Z to lower case as in the contract: only these letters change.
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i+4] END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, hash(shingle) AS h, shingle FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM k a JOIN k b ON a.h = b.h AND a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = word_bpe_path()
-    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path).select("doc_id", "ids")
-    rows = bpe.decode(rows, "ids", path)
+    rows = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", word_bpe_path())
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -95,7 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op4_decontaminate": op4_decontaminate,
         "op5_quality_vote": op5_quality_vote,
+        "op6_minhash": op6_minhash,
         "op7_bpe": op7_bpe,
         "op8_url_rules": op8_url_rules,
         "op9_chat_format": op9_chat_format,
@@ -103,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_rules": URL_SQL, "op9_chat_format": CHAT_SQL}
+    return {"op6_minhash": MINHASH_SQL, "op8_url_rules": URL_SQL, "op9_chat_format": CHAT_SQL}
