@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm import bpe, chat_format, decontaminate, minhash, quality_rules, quality_vote, secret_scan, url_rules
+from darkroom.llm import bpe, chat_format, decontaminate, minhash, quality_rules, quality_vote, secret_scan, suffix_dedup, url_rules
 from darkroom.llm.common import table
 
 
@@ -116,6 +116,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_messages(typed, "conv_id", "turn", "role", "content")).withColumnRenamed("conv", "conv_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", keep_bytes=False)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -126,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_url_rules": op8_url_rules,
         "op9_chat_format": op9_chat_format,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
