@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm import bpe, chat_format, decontaminate, minhash, quality_rules, quality_vote, secret_scan, suffix_dedup, url_rules
+from darkroom.llm import bpe, chat_format, decontaminate, katz, minhash, quality_rules, quality_vote, secret_scan, suffix_dedup, url_rules
 from darkroom.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, "text", rules).select("doc_id", *(j[c].alias(c) for c in (*quality_rules.COUNTS[:5], "base_failed", "rejected_by_list", "kept")))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    scores, _, _ = katz.fit_and_score(table(spark, sf_dir, "documents"), "doc_id", "text", held_out)
+    return scores.withColumnRenamed("id", "doc_id")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "item_tokens", "covered", "coverage", F.size("tiles").alias("n_tiles"))
@@ -126,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op3_katz": op3_katz,
         "op4_decontaminate": op4_decontaminate,
         "op5_quality_vote": op5_quality_vote,
         "op6_minhash": op6_minhash,
