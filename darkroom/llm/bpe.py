@@ -8,6 +8,8 @@ bounded size, as packed ids.
 Vocabulary files have word ends, lower-cased NFC text and white space dropped; their path is a parameter.
 Special tokens in a text become their ids. Executors read the file themselves where it is installed.
 
+Rows are handled a few at a time within a task, so a worker holds its vocabulary, its cache and one small block of texts.
+
 Defined cases: null and empty texts and texts of white space have no ids and decode to the empty string; very long words
 are encoded by the same rule with a heap of the same order beyond `SHORT` bytes; null keys, repeated rows, empty tables
 and clashing column names are harmless, since only the text column is read and one column is added.
@@ -18,13 +20,14 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHORT = 256
 CACHED_WORDS = 400_000
@@ -162,23 +165,47 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, text: str, path: str, into: str = "ids") -> DataFrame:
-    """docs with an array column of token ids."""
+def _added(rows: DataFrame, columns: list[T.StructField], make: Callable[[pa.RecordBatch, Codec], list[pa.Array]], path: str, block: int) -> DataFrame:
+    """rows with more columns, made of so many rows at a time; the other columns pass through as they are."""
+    schema = T.StructType([*rows.schema.fields, *columns])
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        return pd.Series([c.encode(t) for t in texts], dtype=object)
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part, c)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _listed(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
 
-    return docs.withColumn(into, ids.asNondeterministic()(F.col(text)))
+def _ids(texts: pa.Array, c: Codec) -> list[np.ndarray]:
+    return [c.encode(t) for t in texts.to_pylist()]
 
 
-def decode(rows: DataFrame, ids: str, path: str, into: str = "decoded") -> DataFrame:
+def encode(docs: DataFrame, text: str, path: str, into: str = "ids", block: int = 128) -> DataFrame:
+    """docs with an array column of token ids."""
+    at = docs.columns.index(text)
+    return _added(docs, [T.StructField(into, T.ArrayType(T.IntegerType()))], lambda b, c: [_listed(_ids(b.column(at), c))], path, block)
+
+
+def decode(rows: DataFrame, ids: str, path: str, into: str = "decoded", block: int = 128) -> DataFrame:
     """rows with a text column decoded from an array column of ids; null ids decode to the empty string."""
+    at = rows.columns.index(ids)
+    return _added(rows, [T.StructField(into, T.StringType())], lambda b, c: [pa.array([c.decode(a.values.to_numpy()) if a.is_valid else "" for a in b.column(at)], pa.string())], path, block)
 
-    @F.pandas_udf("string")
-    def text(arrays: pd.Series) -> pd.Series:
-        c = codec(path)
-        return pd.Series([c.decode(a) if a is not None else "" for a in arrays], dtype=object)
 
-    return rows.withColumn(into, text.asNondeterministic()(F.col(ids)))
+def round_trip(docs: DataFrame, text: str, path: str, ids: str = "ids", decoded: str = "decoded", block: int = 128) -> DataFrame:
+    """docs with token ids and what they decode to, in one pass: one worker for each task, with one vocabulary."""
+    at = docs.columns.index(text)
+
+    def make(b: pa.RecordBatch, c: Codec) -> list[pa.Array]:
+        made = _ids(b.column(at), c)
+        return [_listed(made), pa.array([c.decode(a) for a in made], pa.string())]
+
+    return _added(docs, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], make, path, block)
