@@ -21,6 +21,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from darkroom.llm.common import stored
 
@@ -99,31 +100,30 @@ def spans_text(spans: str, kinds: tuple[str, ...] | None = None) -> F.Column:
     return F.array_join(F.transform(picked, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, key: str, text: str, ledger: DataFrame | None = None) -> DataFrame:
-    """docs with each secret's characters replaced by [kind]; overlapping spans are replaced together, named after the first. Null texts stay null."""
+@F.pandas_udf(T.StringType())
+def _clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([replaced(t, [(s["start"], s["end"], s["kind"]) for s in found]) if found is not None and t is not None else t for t, found in zip(texts, spans, strict=True)], dtype=object)
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, spans in zip(b[text], b["_spans"], strict=True):
-                if t is None or spans is None or not len(spans):
-                    out.append(t)
-                    continue
-                parts, at, n = [], 0, 0
-                while n < len(spans):
-                    start, end, kind = spans[n]["start"], spans[n]["end"], spans[n]["kind"]
-                    n += 1
-                    while n < len(spans) and spans[n]["start"] < end:
-                        end, n = max(end, spans[n]["end"]), n + 1
-                    parts += [t[at:start], f"[{kind}]"]
-                    at = end
-                out.append("".join([*parts, t[at:]]))
-            b[text] = out
-            yield b.drop(columns=["_spans"])
-
-    _, entries = scan_versions(docs, key, text, ledger)
-    known = entries if ledger is None else entries.unionByName(ledger.select("blob", "rule_version", "spans").where(F.col("rule_version") == RULE_VERSION))
-    hits = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    marked = docs.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(hits, "_blob", "left").drop("_blob")
-    touched = marked.where(F.col("_spans").isNotNull()).mapInPandas(clean, docs.schema)
-    return marked.where(F.col("_spans").isNull()).drop("_spans").unionByName(touched)
+
+def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with [kind] for each span; overlapping spans, which come by start, are one, named after the first."""
+    parts, at, n = [], 0, 0
+    while n < len(spans):
+        start, end, kind = spans[n]
+        n += 1
+        while n < len(spans) and spans[n][0] < end:
+            end, n = max(end, spans[n][1]), n + 1
+        parts += [text[at:start], f"[{kind}]"]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, key: str, text: str, ledger: DataFrame | None = None) -> DataFrame:
+    """docs with the characters of each secret replaced by [kind]. Null texts stay null; rows and other columns stay as they are."""
+    _, known = scan_versions(docs, key, text, ledger)
+    if ledger is not None:
+        known = known.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
+    hits = known.where(F.size("spans") > 0).select("blob", "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("blob", F.sha2(F.coalesce(f"doc.{text}", F.lit("")), 256))
+    marked = rows.join(hits, "blob", "left").withColumn("clean", _clean.asNondeterministic()(f"doc.{text}", "spans"))
+    return marked.select(*(F.col("clean").alias(c) if c == text else F.col(f"doc.{c}") for c in docs.columns))
