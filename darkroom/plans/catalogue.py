@@ -1,4 +1,4 @@
-"""Queries over the analogue tables, each with its SQL counterpart."""
+"""All queries over the given tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from darkroom.plans import cleaning
+
+FLAGSHIP = "exact_duplicates"
+MODULES = (cleaning,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

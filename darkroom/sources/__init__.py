@@ -1 +1 @@
-
+"""Reading and writing: media files, manifests, and tables partitioned by album."""
