@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def micros(t: Column) -> Column:
+    """Microseconds of a time with or without a zone; differences of these are what counts."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def lenient(text: Column) -> Column:
     """A timestamp from ISO text, or from year:month:day, year/month/day and year-month-day hour:minute:second; null otherwise."""
     formats = ("yyyy:MM:dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
@@ -14,7 +19,7 @@ def lenient(text: Column) -> Column:
 
 def delta_ms(a: Column, b: Column) -> Column:
     """Whole milliseconds between two times; null if either is missing."""
-    return F.floor(F.abs(F.unix_micros(b) - F.unix_micros(a)) / 1000)
+    return F.floor(F.abs(micros(b) - micros(a)) / 1000)
 
 
 def range_label(low: Column, high: Column) -> Column:

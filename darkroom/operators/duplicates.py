@@ -86,10 +86,12 @@ def complete_link(photos: DataFrame, related: DataFrame, most: int = MOST_MEMBER
 
     edges = related.where(F.col("relation").isNotNull()).select("album_id", "a", "b", "relation", "hamming")
     ends = edges.select("album_id", F.explode(F.array("a", "b")).alias("photo_id")).distinct()
-    copies = photos.where(F.col("sha").isNotNull()).withColumn("n", F.count("*").over(Window.partitionBy("album_id", "sha"))).where("n > 1").select("album_id", "photo_id")
-    involved = photos.select("album_id", "photo_id", "sha").join(ends.unionByName(copies).distinct(), ["album_id", "photo_id"], "left_semi")
+    counted = photos.select("album_id", "photo_id", "sha").withColumn("n", F.when(F.col("sha").isNotNull(), F.count("*").over(Window.partitionBy("album_id", "sha"))).otherwise(1))
+    involved = counted.join(ends.withColumn("linked", F.lit(True)), ["album_id", "photo_id"], "left").where("linked OR n > 1").select("album_id", "photo_id", "sha")
     kinds = dict(photos.dtypes)
-    return involved.groupBy("album_id").cogroup(edges.groupBy("album_id")).applyInPandas(link, f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, group_id {kinds['photo_id']}")
+    # names of their own on the right side: both sides derive from the same photos
+    right = edges.select(F.col("album_id").alias("album"), "a", "b", "relation", "hamming")
+    return involved.groupBy("album_id").cogroup(right.groupBy("album")).applyInPandas(link, f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, group_id {kinds['photo_id']}")
 
 
 def preferred_order() -> list[F.Column]:

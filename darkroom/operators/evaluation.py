@@ -62,7 +62,7 @@ def family_consistency(rows: DataFrame, family: str, verdict: str) -> DataFrame:
 
 
 def keep_threshold(rows: DataFrame, score: str, relevant: F.Column, precision: float = 0.90) -> DataFrame:
-    """One row: the lowest threshold of largest recall among those whose rows at or above it have that precision, from counts by distinct score.
+    """One row: the lowest threshold of largest recall among those whose rows at or above it have that precision, from counts by distinct score (from 0 to 1); nulls if none has.
 
     Rows are pre-aggregated by score; running sums go over ranges of scores, whose totals are combined first, so no task sees all rows."""
     by = rows.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.count_if(relevant).alias("hit"))

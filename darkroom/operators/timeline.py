@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.functions import geo, scoring, texts, vectors
+from darkroom.functions import geo, scoring, texts, times, vectors
 
 STRATEGIES = {
     "balanced": {"embedding": 0.60, "time": 0.20, "gps": 0.10, "color": 0.10},
@@ -37,7 +37,7 @@ def event_boundaries(photos: DataFrame, rules: EventRules = EventRules(), hours:
     rows = photos.where(F.col("taken_at").isNotNull()).withColumn("before", before)
     b = F.col("before")
     rows = rows.withColumns({
-        "gap_hours": F.abs(F.unix_micros("taken_at") - F.unix_micros(b["taken_at"])) / 3.6e9,
+        "gap_hours": F.abs(times.micros(F.col("taken_at")) - times.micros(b["taken_at"])) / 3.6e9,
         "distance_km": geo.haversine_km(b["lat"], b["lon"], F.col("lat"), F.col("lon")),
         "scene": texts.jaccard(texts.scene_tags(b["tags"]), texts.scene_tags(F.col("tags"))),
         "overlap": vectors.histogram_overlap(b["histogram"], F.col("histogram")),
@@ -95,7 +95,7 @@ def pair_distances(photos: DataFrame, weights: dict[str, float], most: int = 200
     x, y = F.col("x"), F.col("y")
     pairs = a.join(b, "album_id").where(x["photo_id"] < y["photo_id"]).select(
         "album_id", x["photo_id"].alias("a"), y["photo_id"].alias("b"), vectors.cosine_distance(x["unit"], y["unit"]).alias("embedding"), vectors.hellinger(x["shares"], y["shares"]).alias("color"),
-        (F.abs(F.unix_micros(x["taken_at"]) - F.unix_micros(y["taken_at"])) / 1e6).alias("seconds"), geo.haversine_km(x["lat"], x["lon"], y["lat"], y["lon"]).alias("km"),
+        (F.abs(times.micros(x["taken_at"]) - times.micros(y["taken_at"])) / 1e6).alias("seconds"), geo.haversine_km(x["lat"], x["lon"], y["lat"], y["lon"]).alias("km"),
     )
     scale = pairs.groupBy("album_id").agg(robust_scale(F.col("seconds")).alias("time_scale"), robust_scale(F.col("km")).alias("gps_scale"))
     pairs = pairs.join(scale, "album_id").withColumns({"time": scoring.saturating(F.col("seconds"), F.col("time_scale")), "gps": scoring.saturating(F.col("km"), F.col("gps_scale"))})

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkroom.plans import cleaning
+from darkroom.plans import albums, cleaning, timelines
 
 FLAGSHIP = "exact_duplicates"
-MODULES = (cleaning,)
+MODULES = (cleaning, timelines, albums)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
