@@ -4,7 +4,7 @@ Every byte that lies in a string of LENGTH bytes that also starts anywhere else,
 
 Suffixes. Not every suffix is needed. Each string of LENGTH bytes has an anchor, the place of its least GRAM-byte hash (the
 leftmost of equals) among the WINDOW grams that it holds; equal strings have equal anchors. Only suffixes at anchors are
-sorted, about 2 of WINDOW + 1, each with the bytes before it that a string with this anchor can reach.
+sorted, about 2 of WINDOW + 1, each as far as the strings with this anchor reach, and with the bytes before it that they reach.
 
 Sort. Within a task, blocks of documents yield sorted runs of suffixes, cut at splitters of their bytes. A run is front
 coded: each suffix is stored as the length of the prefix that it shares with the one before, and the rest. Runs are exchanged by
@@ -43,11 +43,11 @@ BLOCK = 8 << 20
 SAMPLE_DOCS = 400
 
 
-def anchors(raw: bytes) -> np.ndarray:
-    """Places of the anchors of all strings of LENGTH bytes, ascending."""
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of all strings of LENGTH bytes, ascending, and the first and last start of the strings that each anchors."""
     n = len(raw) - GRAM + 1
     if len(raw) < LENGTH:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     x = mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + eight[8 : n + 8])
     key = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
@@ -58,15 +58,20 @@ def anchors(raw: bytes) -> np.ndarray:
     held = held.reshape(rows, WINDOW)
     ahead = np.minimum.accumulate(held[:, ::-1], 1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(held, 1).ravel()
-    least = np.minimum(ahead[: n - LEFT], behind[LEFT:n])
-    return np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = (np.minimum(ahead[: n - LEFT], behind[LEFT:n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # places never go back as the start goes on, so an anchor's starts are one stretch
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return place[first], first, np.append(first[1:], len(place)) - 1
 
 
-def contexts(raw: bytes, at: np.ndarray) -> np.ndarray:
-    """LENGTH bytes from each anchor, then the LEFT bytes before it, nearest first; zeros where the document ends."""
+def contexts(raw: bytes, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """`right` bytes from each anchor, then the `left` bytes before it, nearest first; zeros fill up LENGTH and LEFT places."""
     padded = np.frombuffer(bytes(LEFT) + raw + bytes(LENGTH), np.uint8)
-    offsets = np.concatenate([np.arange(LENGTH), -1 - np.arange(LEFT)]) + LEFT
-    return padded[at[:, None] + offsets]
+    ahead, back = np.arange(LENGTH), np.arange(LEFT)
+    out = padded[at[:, None] + np.concatenate([ahead, -1 - back]) + LEFT]
+    out[:, :LENGTH][ahead >= right[:, None]] = 0
+    out[:, LENGTH:][back >= left[:, None]] = 0
+    return out
 
 
 def common(a: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -91,17 +96,18 @@ def runs(docs: list[tuple[int, bytes]], splitters: np.ndarray) -> tuple[list[tup
     """Front-coded runs (range, blob) of a block of documents (row, bytes), and (row, start, end) of what repeats within the block by whole contexts."""
     context, row, place, left, right = [], [], [], [], []
     for k, raw in docs:
-        at = anchors(raw)
+        at, lo, hi = anchors(raw)
         if len(at):
-            context.append(contexts(raw, at))
             row.append(np.full(len(at), k, np.int64))
             place.append(at)
-            left.append(np.minimum(at, LEFT))
-            right.append(np.minimum(len(raw) - at, LENGTH))
+            left.append(at - lo)
+            right.append(hi + LENGTH - at)
+            context.append(contexts(raw, at, left[-1], right[-1]))
     if not context:
         return [], []
     context, row, place, left, right = map(np.concatenate, (context, row, place, left, right))
-    order = np.lexsort((left, right, context.view(f"S{LENGTH + LEFT}").ravel()))
+    text = lambda x: np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel()
+    order = np.lexsort((left, text(context[:, LENGTH:]), right, text(context[:, :LENGTH])))
     context, row, place, left, right = (x[order] for x in (context, row, place, left, right))
     same = np.zeros(len(row), bool)
     same[1:] = (context[1:] == context[:-1]).all(1) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])
@@ -112,7 +118,7 @@ def runs(docs: list[tuple[int, bytes]], splitters: np.ndarray) -> tuple[list[tup
     context, row, place, left, right = (x[head] for x in (context, row, place, left, right))
     suffix = context[:, :LENGTH]
     prefix = common(suffix, right)
-    cuts = [0, *np.searchsorted(np.ascontiguousarray(suffix).view(f"S{LENGTH}").ravel(), splitters, "left").tolist(), len(row)]
+    cuts = [0, *np.searchsorted(text(suffix), splitters, "left").tolist(), len(row)]
     out = []
     for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if a == b:
@@ -258,7 +264,7 @@ def splitters_of(docs: DataFrame, ranges: int) -> np.ndarray:
         for b in batches:
             for t in b["text"]:
                 raw = t.encode("utf-8", "surrogatepass")
-                at = anchors(raw)
+                at = anchors(raw)[0]
                 yield pd.DataFrame({"suffix": [raw[i : i + 48] for i in at[:: max(1, len(at) // 200)]]})
 
     some = docs.where(F.length("text") > 0).orderBy("row").limit(SAMPLE_DOCS)
