@@ -21,7 +21,7 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node that has an edge to another; component: its smallest node."""
+    """(node, component) of every node but the smallest of its component; component: that smallest node."""
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -98,7 +98,7 @@ def unigrams(count: np.ndarray, types: np.ndarray) -> Unigrams:
 
 def _pack(*parts) -> bytes:
     """Integers go as planes of bytes, whose high ones compress to nothing."""
-    planes = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" else x for x in parts]
+    planes = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" else x for x in parts]
     return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(planes, protocol=5))
 
 
