@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkroom.plans import albums, cleaning, timelines
+from darkroom.plans import albums, cleaning, lifecycles, timelines
 
 FLAGSHIP = "exact_duplicates"
-MODULES = (cleaning, timelines, albums)
+MODULES = (cleaning, timelines, albums, lifecycles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
