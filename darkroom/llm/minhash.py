@@ -133,8 +133,25 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int = PE
     return np.nonzero((100 * k >= percent * (na[:, None] + nb[None, :] - k)) & (k > 0))
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Of n places, the smallest that links i-j reach from each: what the links join, in n numbers whatever their count."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return root
+
+
 def confirmed(tests: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """tests(test, side, id) -> links (a, b): of each test, rows of side A against rows of side B, and rows of side S against each other."""
+    """tests(test, side, id) -> (a, b): of each test, rows of side A against rows of side B, and rows of side S against each other.
+
+    Each row that a link joins to others comes once, with a representative of what is joined: as connected as all links, in rows
+    that don't outnumber the test's."""
     kind = dict(sets.dtypes)["id"]
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -143,8 +160,12 @@ def confirmed(tests: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         left, right = (alone, alone) if len(alone) else (rows[rows["side"] == "A"], rows[rows["side"] == "B"])
         unpack = lambda x: [np.frombuffer(m, np.uint64) for m in x["members"]]
         i, j = linked(unpack(left), unpack(right), percent)
-        out = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
-        return out[out["a"] != out["b"]]
+        ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
+        # equal ids on both sides are one place
+        names, place = np.unique(ids, return_inverse=True)
+        root = forest(place[i], place[j + len(left)], len(names))
+        joined = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"a": names[root[joined]], "b": names[joined]})
 
     return tests.join(sets, "id").groupBy("test").applyInPandas(compare, f"a {kind}, b {kind}")
 
