@@ -166,15 +166,17 @@ def codec(path: str) -> Codec:
 
 
 def _added(rows: DataFrame, columns: list[T.StructField], make: Callable[[pa.RecordBatch, Codec], list[pa.Array]], path: str, block: int) -> DataFrame:
-    """rows with more columns, made of so many rows at a time; the other columns pass through as they are."""
-    schema = T.StructType([*rows.schema.fields, *columns])
+    """rows with more columns, made of so many rows at a time, in place of columns of their names; the others pass through as they are."""
+    new = {c.name for c in columns}
+    kept = [(i, f) for i, f in enumerate(rows.schema.fields) if f.name not in new]
+    schema = T.StructType([*(f for _, f in kept), *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, block):
                 part = b.slice(at, block)
-                yield pa.RecordBatch.from_arrays([*part.columns, *make(part, c)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i, _ in kept), *make(part, c)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

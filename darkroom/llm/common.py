@@ -24,10 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes what stored() has written in this application; results that still read it must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df, written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

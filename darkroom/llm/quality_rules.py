@@ -188,10 +188,10 @@ def learn_from(docs: DataFrame, labels: DataFrame, key: str, text: str, label: s
 
 def judge(docs: DataFrame, text: str, rules: DecisionList, into: str = "judged") -> DataFrame:
     """docs with a struct column: the statistics, base_failed, rejected_by_list and kept."""
-    s = F.col("_s")
+    s = F.col("__quality_stats")
     failed, rejected = base_failed(s), rules.rejects(features(s))
     out = F.struct(*(s[c].alias(c) for c in COUNTS), failed.alias("base_failed"), rejected.alias("rejected_by_list"), (~failed & ~rejected).alias("kept"))
-    return docs.withColumn("_s", stats(F.col(text))).withColumn(into, out).drop("_s")
+    return docs.withColumn("__quality_stats", stats(F.col(text))).withColumn(into, out).drop("__quality_stats")
 
 
 __all__ = ["DecisionList", "Test", "judge", "learn", "learn_from", "text_stats"]

@@ -163,6 +163,8 @@ def test_bpe_frames(spark):
     assert sorted(map(key, rows.collect())) == sorted(map(key, both.collect()))
     assert rows.where("doc_id < 4").select(F.max(F.size("ids"))).first()[0] == 0
     assert bpe.round_trip(empty(spark), "text", path).count() == 0
+    again = bpe.round_trip(both.withColumn("n", F.size("ids")), "text", path)
+    assert again.columns == ["doc_id", "text", "extra", "n", "ids", "decoded"] and again.where("n <> size(ids)").count() == 0
 
 
 def test_url_rules(spark):
