@@ -119,3 +119,27 @@ def logistic_fit(rows: DataFrame, columns: list[str], label: str, most_rows: int
         step = rate / (1 + t / 300)
         w, b = w - step * (z.T @ error / len(y) + l2 * w), b - step * error.mean()
     return {"columns": columns, "mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist(), "intercept": float(b)}
+
+
+# fixed values: gates of a cleaning run
+LEAST = {"duplicate_precision": 0.98, "duplicate_recall": 0.90, "removal_precision": 0.995, "preferred_accuracy": 0.85, "hard_blur_precision": 0.995, "low_texture_retention": 1.0, "resize_consistency": 0.99}
+MOST = {"false_removal_rate": 0.005, "hard_blur_false_removal_rate": 0.005}
+
+
+def gates(measured: DataFrame) -> DataFrame:
+    """(measure, rate, passed) from rates(): least rates, and for false removals the most that rate and upper bound may be. A measure without a gate passes."""
+    limit = lambda table: F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(v))))[F.col("measure")]
+    low, high = limit(LEAST), limit(MOST)
+    return measured.select("measure", "rate", (F.coalesce(F.col("rate") >= low, F.lit(True)) & F.coalesce((F.col("rate") <= high) & (F.col("high") <= high), F.lit(True))).alias("passed"))
+
+
+def preferred_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: truth groups with an acceptable member, and those predicted with equal members and an acceptable preferred one.
+
+    predicted(group_id, photo_id, preferred), truth(cluster, photo_id, acceptable). Groups are compared by size and common members, not as sets."""
+    t = truth.where(F.col("cluster").isNotNull()).withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where("n >= 2")
+    p = predicted.withColumn("m", F.count("*").over(Window.partitionBy("group_id")))
+    both = t.join(p, "photo_id").groupBy("cluster", "group_id", "n", "m").agg(F.count("*").alias("common"), F.bool_or((F.col("photo_id") == F.col("preferred")) & F.coalesce("acceptable", F.lit(False))).alias("right"))
+    hit = both.where("common = n AND common = m").groupBy("cluster").agg(F.bool_or("right").alias("right"))
+    asked = t.groupBy("cluster").agg(F.bool_or(F.coalesce("acceptable", F.lit(False))).alias("any")).where("any")
+    return asked.join(hit, "cluster", "left").agg(F.count("*").alias("groups"), F.count_if(F.coalesce("right", F.lit(False))).alias("right"))

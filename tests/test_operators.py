@@ -130,3 +130,12 @@ def test_streams_equal_batches(spark, tmp_path):
         make(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"cp{n}")).option("path", out).trigger(availableNow=True).start().awaitTermination()
         read = lambda df: sorted(tuple(r[k] for k in keys) for r in df.collect())
         assert read(spark.read.parquet(out)) == read(make(batch)) != []
+
+
+def test_gates_and_preferred(spark):
+    rates = spark.createDataFrame([("duplicate_precision", 0.97, 1.0), ("false_removal_rate", 0.004, 0.01), ("resize_consistency", 1.0, 1.0), ("high_quality_retention", 0.1, 0.2)], "measure string, rate double, high double")
+    assert {r.measure: r.passed for r in evaluation.gates(rates).collect()} == {"duplicate_precision": False, "false_removal_rate": False, "resize_consistency": True, "high_quality_retention": True}
+    truth = spark.createDataFrame([("x", 1, True), ("x", 2, False), ("y", 3, False), ("y", 4, True), ("z", 5, None), ("z", 6, None), ("w", 7, True)], "cluster string, photo_id int, acceptable boolean")
+    predicted = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 3, 3), (2, 4, 3), (3, 5, 5), (3, 6, 5)], "group_id int, photo_id int, preferred int")
+    got = evaluation.preferred_accuracy(predicted, truth).first()
+    assert (got.groups, got.right) == (2, 1)
