@@ -43,7 +43,9 @@ from darkroom.llm.shingles import mix, word_hashes
 
 K = 5
 END = np.uint64(0x2545F4914F6CDD1D)
-BLOCK_TOKENS, BLOCK_DOCS = 4_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
+#: A range of histories is handled in so many parts, one after another.
+PARTS = 4
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -203,7 +205,7 @@ def _answered(asked: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _bigrams(blocks: DataFrame, answers: DataFrame, uni: Unigrams, ranges: int) -> DataFrame:
-    """(range, block, kind, blob): 'grams' by range of histories, and one row 'docs' with what a block knows alone."""
+    """(range, part, block, kind, blob): 'grams' by range and part of histories, and one row 'docs' with what a block knows alone."""
     shared = blocks.sparkSession.sparkContext.broadcast(tuple(uni))
 
     def split(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -216,39 +218,52 @@ def _bigrams(blocks: DataFrame, answers: DataFrame, uni: Unigrams, ranges: int)
         for k, blob in zip(got["range"], got["blob"], strict=True):
             ids[r == k] = _unpack(blob)[0]
         ids[ids < 0] = u.unknown
-        w = ids[tokens]
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        n, docs = len(ids), len(lengths)
+        if n >= 1 << 24:
+            raise ValueError(f"a block has {n} distinct words; lower BLOCK_TOKENS")
+        doc = np.repeat(np.arange(docs, dtype=np.uint16), lengths)
         counts = u.counts(ids)
-        base = np.log10((counts + 1) / (u.tokens + u.unknown + 1))[tokens]
-        # history: the token before; the beginning of a text is the id after unknown
-        h = np.append(-1, w[:-1])
-        h[np.append(0, np.cumsum(lengths)[:-1])] = u.unknown + 1
-        alone = h == u.unknown
-        own = np.bincount(doc[alone], np.log10(u.probabilities(w[alone])), len(lengths))
-        sums = np.stack([np.bincount(doc, base, len(lengths)), own])
-        rows = [(int(name) % ranges, name, "docs", _pack(lengths, np.bincount(doc, counts[tokens] > 0, len(lengths)).astype(np.int64), sums))]
-        h, w, doc = h[~alone], w[~alone], doc[~alone]
-        at = (mix(h.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((doc, w, h, at))
-        at, h, w, doc = at[order], h[order], w[order], doc[order]
-        cut = np.searchsorted(at, np.arange(ranges + 1))
+        # the history of a token is the one before it; that of a text's first is place n, the beginning
+        before = np.empty(len(tokens), np.int32)
+        before[1:] = tokens[:-1]
+        before[np.append(0, np.cumsum(lengths)[:-1])] = n
+        known = np.append(ids != u.unknown, True)
+        base = np.bincount(doc, np.log10((counts + 1) / (u.tokens + u.unknown + 1))[tokens], docs)
+        alone = ~known[before]
+        own = np.bincount(doc[alone], np.log10(u.probabilities(ids))[tokens[alone]], docs)
+        rows = [(int(name) % ranges, 0, name, "docs", _pack(lengths, np.bincount(doc, (counts > 0)[tokens], docs).astype(np.int64), np.stack([base, own])))]
+        # one number for each token, in order of range, history, word and document, is sorted in place
+        history = np.append(ids, u.unknown + 1)
+        at = (mix(history.astype(np.uint64)) % np.uint64(ranges * PARTS)).astype(np.int64)
+        order = np.lexsort((history, at))
+        place = np.empty(n + 1, np.uint64)
+        place[order] = np.arange(n + 1, dtype=np.uint64)
+        word, which = np.unique(ids, return_inverse=True)
+        key = place[before]
+        key <<= np.uint64(24)
+        key |= which.astype(np.uint64)[tokens]
+        key <<= np.uint64(16)
+        key |= doc
+        key = key[~alone]
+        del before, alone, doc
+        key.sort()
+        cut = np.searchsorted(key >> np.uint64(40), np.searchsorted(at[order], np.arange(ranges * PARTS + 1)).astype(np.uint64))
         for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
             if a == z:
                 continue
-            hh, ww, dd = h[a:z], w[a:z], doc[a:z]
-            new = np.append(True, (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1]))
-            start = np.flatnonzero(new)
+            pair, dd = key[a:z] >> np.uint64(16), (key[a:z] & np.uint64(0xFFFF)).astype(np.int64)
+            start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             times = np.diff(np.append(start, z - a))
-            hs, ws = hh[start], ww[start]
+            hs, ws = history[order[(pair[start] >> np.uint64(24)).astype(np.int64)]], word[(pair[start] & np.uint64(0xFFFFFF)).astype(np.int64)]
             top = np.append(True, hs[1:] != hs[:-1])
             step = np.diff(ws, prepend=0)
             step[top] = ws[top]
             train = np.add.reduceat((~held[dd]).astype(np.int64), start)
             heads = np.flatnonzero(top)
-            rows.append((k, name, "grams", _pack(np.diff(hs[heads], prepend=0), np.diff(np.append(heads, len(hs))).astype(np.uint32), step, times.astype(np.uint32), train.astype(np.uint32), dd.astype(np.uint16), len(lengths))))
-        return pd.DataFrame(rows, columns=["range", "block", "kind", "blob"])
+            rows.append((k // PARTS, k % PARTS, name, "grams", _pack(np.diff(hs[heads], prepend=0), np.diff(np.append(heads, len(hs))).astype(np.uint32), step, times.astype(np.uint32), train.astype(np.uint32), dd.astype(np.uint16), docs)))
+        return pd.DataFrame(rows, columns=["range", "part", "block", "kind", "blob"])
 
-    return blocks.drop("ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(split, "range int, block long, kind string, blob binary")
+    return blocks.drop("ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(split, "range int, part int, block long, kind string, blob binary")
 
 
 class Grams(NamedTuple):
@@ -274,6 +289,30 @@ def gathered(h: np.ndarray, w: np.ndarray, count: np.ndarray, uni: Unigrams) ->
     return Grams(h, w, count, of, low, total, 1 - seen)
 
 
+def _met(blobs: list[bytes], uni: Unigrams) -> tuple[Grams, np.ndarray, np.ndarray, list[np.ndarray], list[int], np.ndarray]:
+    """The bigrams of some blocks as one table; of each block's bigrams, end to end, the place in it and the number of documents; documents and
+    their number by block, and where each block's bigrams begin."""
+    h, w, c, times, docs_of, sizes = [], [], [], [], [], []
+    for blob in blobs:
+        dh, n, step, t, train, doc, docs = _unpack(blob)
+        h.append(np.repeat(np.cumsum(dh), n))
+        start = np.repeat(np.cumsum(n.astype(np.int64)) - n, n)
+        run = np.cumsum(step)
+        w.append(run - np.where(start > 0, run[start - 1], 0))
+        c.append(train)
+        times.append(t)
+        docs_of.append(doc)
+        sizes.append(docs)
+    starts = np.cumsum([0, *map(len, h)])
+    h, w, c = map(np.concatenate, (h, w, c))
+    order = np.lexsort((w, h))
+    new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0))
+    place = np.empty(len(h), np.int32)
+    place[order] = np.cumsum(new) - 1
+    head = order[new]
+    return gathered(h[head], w[head], np.bincount(place, c).astype(np.int64), uni), place, np.concatenate(times), docs_of, sizes, starts
+
+
 def _reduced(bigrams: DataFrame, uni: Unigrams) -> DataFrame:
     """(kind, range, block, blob, histories, words, counts): kind 'grams' the table, 'sums' a block's partial sums, 'docs' as it came, 'stat' n_1 to n_(K+1)."""
     shared = bigrams.sparkSession.sparkContext.broadcast(tuple(uni))
@@ -283,24 +322,11 @@ def _reduced(bigrams: DataFrame, uni: Unigrams) -> DataFrame:
         u, out = Unigrams(*shared.value), []
         for block, blob in zip(part["block"][part["kind"] == "docs"], part["blob"][part["kind"] == "docs"], strict=True):
             out.append(("docs", key[0], block, blob, None, None, None))
-        mine = part[part["kind"] == "grams"]
-        parts = []
-        for blob in mine["blob"]:
-            dh, n, step, times, train, doc, docs = _unpack(blob)
-            hs = np.repeat(np.cumsum(dh), n)
-            start = np.repeat(np.cumsum(n.astype(np.int64)) - n, n)
-            run = np.cumsum(step)
-            ws = run - np.where(start > 0, run[start - 1], 0)
-            parts.append((hs, ws, train.astype(np.int64), times.astype(np.int64), doc, docs))
-        if parts:
-            h, w, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((w, h))
-            new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0))
-            place = np.empty(len(h), np.int64)
-            place[order] = np.cumsum(new) - 1
-            head = order[new]
-            g = gathered(h[head], w[head], np.bincount(place, c).astype(np.int64), u)
-            out.append(("stat", key[0], None, None, None, None, [int((g.count == r).sum()) for r in range(1, K + 2)]))
+        grams = part[part["kind"] == "grams"]
+        stat, sums = np.zeros(K + 1, np.int64), {}
+        for _, mine in grams.groupby("part"):
+            g, place, times, docs_of, sizes, starts = _met(mine["blob"].tolist(), u)
+            stat += [int((g.count == r).sum()) for r in range(1, K + 2)]
             known = np.flatnonzero(g.count > 0)
             for a in range(0, len(known), 200_000):
                 k = known[a : a + 200_000]
@@ -309,23 +335,30 @@ def _reduced(bigrams: DataFrame, uni: Unigrams) -> DataFrame:
             fixed = g.low.sum(1) == 0
             total = np.maximum(g.total + fixed, 1)
             with np.errstate(divide="ignore"):
-                seen_log = np.log10(g.count / total[g.of])
-            none = g.total == 0
-            backoff = np.where(none[g.of], 0.0, -np.log10(np.where(none, 1.0, total * g.unseen))[g.of]) + np.log10(u.probabilities(g.w))
-            value = np.where(g.count > 0, seen_log, backoff)
-            rank = np.where((g.count > 0) & (g.count <= K), g.count, 0)
+                value = np.log10(g.count / total[g.of])
+            none, unseen = g.total == 0, g.count == 0
+            backoff = np.where(none, 0.0, -np.log10(np.where(none, 1.0, total * g.unseen)))
+            value[unseen] = backoff[g.of[unseen]] + np.log10(u.probabilities(g.w[unseen]))
+            rank = np.where(g.count <= K, g.count, 0)
             # an unseen bigram of a history with discounted counts waits for what they free
-            waits = (g.count == 0) & ~fixed[g.of]
+            waits = unseen & ~fixed[g.of]
             vectors, vector = np.unique(g.low, axis=0, return_inverse=True)
             vector = vector.ravel()
-            at = 0
-            for block, (hs, _, _, times, doc, docs) in zip(mine["block"], parts, strict=True):
-                p = np.repeat(place[at : at + len(hs)], times)
-                at += len(hs)
-                by_rank = np.bincount(doc.astype(np.int64) * (K + 1) + rank[p], minlength=docs * (K + 1)).reshape(docs, K + 1)[:, 1:]
+            for block, docs, doc, a, z in zip(mine["block"], sizes, docs_of, starts, starts[1:], strict=False):
+                p = np.repeat(place[a:z], times[a:z])
+                got = sums.setdefault(block, [np.zeros(docs), np.zeros(docs * (K + 1), np.int64), [], [], []])
+                got[0] += np.bincount(doc, value[p], docs)
+                got[1] += np.bincount(doc.astype(np.int64) * (K + 1) + rank[p], minlength=docs * (K + 1))
                 late = np.flatnonzero(waits[p])
                 used, which = np.unique(vector[g.of[p[late]]], return_inverse=True)
-                out.append(("sums", key[0], block, _pack(np.bincount(doc, value[p], docs), by_rank.astype(np.uint32).ravel(), doc[late], which.astype(np.uint32), vectors[used].ravel()), None, None, None))
+                got[2].append(doc[late])
+                got[3].append(which + sum(map(len, got[4])))
+                got[4].append(vectors[used])
+        if sums:
+            out.append(("stat", key[0], None, None, None, None, stat.tolist()))
+        for block, (value, by_rank, late, which, vectors) in sums.items():
+            by_rank = by_rank.reshape(-1, K + 1)[:, 1:].astype(np.uint32).ravel()
+            out.append(("sums", key[0], block, _pack(value, by_rank, np.concatenate(late), np.concatenate(which).astype(np.uint32), np.concatenate(vectors).ravel()), None, None, None))
         return pd.DataFrame(out, columns=["kind", "range", "block", "blob", "histories", "words", "counts"])
 
     return stored(bigrams.groupBy("range").applyInPandas(meet, schema), "bigrams", "kind")

@@ -174,7 +174,6 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     """(id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable by links, and kept marks it."""
     signed = stored(signatures(docs, id, text), "signatures")
     some = signed.where(F.col("class").isNotNull() & F.col("id").isNotNull())
-    classes = some.groupBy("class").agg(F.min("id").alias("rep"))
     reps = stored(some.groupBy("class").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
@@ -217,7 +216,8 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     second = confirmed(both, sets, percent)
 
     final = components(stored(first.unionByName(second), "links"), "a", "b")
-    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+    # a table of its own, so that Spark may split the join where a class has very many rows
+    named = stored(reps.select("class", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component")), "class_components")
     out = signed.select("id", "n", "class").join(named, "class", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

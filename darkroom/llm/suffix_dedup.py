@@ -39,7 +39,7 @@ from darkroom.llm.shingles import mix
 LENGTH, GRAM = 200, 16
 WINDOW = LENGTH - GRAM + 1
 LEFT = WINDOW - 1
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 SAMPLE_DOCS = 400
 
 
@@ -213,9 +213,12 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     near, n = near[pick], len(pick)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    flat = [s for part in strings for s in part]
-    after = np.frombuffer(b"".join(flat[i].ljust(LENGTH, b"\0") for i in order_of[pick]), np.uint8).reshape(n, LENGTH)
-    before = np.concatenate([_spread(o[4], o[2]) for o in opened])[order_of][pick]
+    after = np.frombuffer(b"".join(strings[order[i][0]][order[i][1]].ljust(LENGTH, b"\0") for i in pick), np.uint8).reshape(n, LENGTH)
+    del strings
+    before, run, nth = np.zeros((n, LEFT), np.uint8), np.array([r for r, _, _ in order])[pick], np.array([i for _, i, _ in order])[pick]
+    for r, o in enumerate(opened):
+        mine = np.flatnonzero(run == r)
+        _spread(o[4], o[2], nth[mine], before, mine)
     right, left = joined(1).astype(np.int64), joined(2).astype(np.int64)
     base = 0x9E3779B97F4A7C15
     down, top = np.uint64(pow(base, -1, 1 << 64)), np.uint64(pow(base, LENGTH - 1, 1 << 64))
@@ -240,10 +243,16 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[found], (place - far)[found], (place - close + LENGTH)[found]
 
 
-def _spread(flat: bytes, length: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(length), LEFT), np.uint8)
-    out[np.arange(LEFT) < length[:, None].astype(np.int64)] = np.frombuffer(flat, np.uint8)
-    return out
+def _spread(flat: bytes, length: np.ndarray, rows: np.ndarray, out: np.ndarray, to: np.ndarray, step: int = 4096) -> None:
+    """Puts the strings of some rows, which lie end to end in flat, into rows of out, a few at a time."""
+    text, size = np.frombuffer(flat, np.uint8), length.astype(np.int64)
+    start, columns = np.cumsum(size) - size, np.arange(LEFT)
+    for i in range(0, len(rows), step):
+        r = rows[i : i + step]
+        inside = columns < size[r][:, None]
+        part = np.zeros(inside.shape, np.uint8)
+        part[inside] = text[(start[r][:, None] + columns)[inside]]
+        out[to[i : i + step]] = part
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -276,7 +285,8 @@ def splitters_of(docs: DataFrame, ranges: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, text, row) of docs, row a hash of both, and spans (row, start, end) of what repeats in them."""
     rows = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # two ranges a partition: what a task holds at once is one range
+    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splitters = splitters_of(rows, ranges)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
