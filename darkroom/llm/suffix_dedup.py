@@ -16,7 +16,8 @@ LENGTH - d after it. Only suffixes that share LENGTH - d bytes with a neighbour
 compared for each d by a rolling hash of 64 bits. The bytes from the farthest start to the nearest start's end go.
 
 Hot strings: equal contexts within a run travel once and are answered where they are, so a passage of very many documents is one
-entry of each run. Splitters come from a bounded sample; they decide only how evenly ranges are dealt.
+entry of each run. Splitters come from a bounded sample; they decide only how evenly ranges are dealt. They are GRAM bytes long, the
+least that partners share from the anchor on, so none can part two partners.
 
 Defined cases: null and empty texts, and those under LENGTH bytes, lose nothing; equal rows are documents of their own, so
 each loses what both hold; null and repeated ids have their own rows; an empty table gives no rows; other columns are ignored.
@@ -267,14 +268,14 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def splitters_of(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Quantiles of the suffixes of at most SAMPLE_DOCS documents."""
+    """Quantiles of the first GRAM bytes of suffixes of at most SAMPLE_DOCS documents; suffixes that share these bytes are in one range."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for t in b["text"]:
                 raw = t.encode("utf-8", "surrogatepass")
                 at = anchors(raw)[0]
-                yield pd.DataFrame({"suffix": [raw[i : i + 48] for i in at[:: max(1, len(at) // 200)]]})
+                yield pd.DataFrame({"suffix": [raw[i : i + GRAM] for i in at[:: max(1, len(at) // 200)]]})
 
     some = docs.where(F.length("text") > 0).orderBy("row").limit(SAMPLE_DOCS)
     got = sorted(some.select("text").mapInPandas(sample, "suffix binary").toPandas()["suffix"])

@@ -215,11 +215,7 @@ def test_estimates_and_kernels(spark):
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
-def test_repeats_equal_brute_force(spark):
-    rng = random.Random(4)
-    base = "".join(rng.choice("abc é\n") for _ in range(3000))
-    texts = [base[i : i + rng.randrange(100, 900)] + rng.choice(["", "zz\0", "q"]) for i in (rng.randrange(2500) for _ in range(30))] + ["ab" * 400, "ab" * 90, None, "", base[:250], base[:250], "x" * 199, "y" * 200, "y" * 100 + "z" * 100]
-    rows = spark.createDataFrame([(i if i % 9 else None, t, "e") for i, t in enumerate(texts)], DOCS)
+def slow_repeats(texts):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
     want = collections.Counter()
@@ -230,12 +226,31 @@ def test_repeats_equal_brute_force(spark):
                 m[i : i + 200] = b"\1" * 200
         kept = bytes(x for x, y in zip(b, m) if not y)
         want[len(b), sum(m), sum(m[i] and (not i or not m[i - 1]) for i in range(len(m))), hashlib.sha256(kept).hexdigest()] += 1
+    return want
+
+
+def test_repeats_equal_brute_force(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abc é\n") for _ in range(3000))
+    texts = [base[i : i + rng.randrange(100, 900)] + rng.choice(["", "zz\0", "q"]) for i in (rng.randrange(2500) for _ in range(30))] + ["ab" * 400, "ab" * 90, None, "", base[:250], base[:250], "x" * 199, "y" * 200, "y" * 100 + "z" * 100]
+    rows = spark.createDataFrame([(i if i % 9 else None, t, "e") for i, t in enumerate(texts)], DOCS)
+    want = slow_repeats(texts)
     got = suffix_dedup.remove_repeats(rows, "doc_id", "text").collect()
     assert collections.Counter((r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), r.kept_sha256) for r in got) == want
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
     assert suffix_dedup.remove_repeats(rows.limit(0), "doc_id", "text").count() == 0
 
 
+def test_splitters_part_no_partners(spark):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = next(p for p in iter(lambda: some(200), "") if suffix_dedup.anchors(p.encode())[0][0] >= 175)
+    # what follows the anchor differs early, so longer splitters would fall between the copies
+    texts = [some(300) + passage + some(300) for _ in range(40)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], DOCS), "doc_id", "text").collect()
+    assert collections.Counter((r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), r.kept_sha256) for r in got) == slow_repeats(texts)
+
+
 def test_loser_tree_merges_and_tells_prefixes():
     rng = random.Random(8)
     for k in (1, 2, 3, 7):
