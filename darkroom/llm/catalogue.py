@@ -17,6 +17,33 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A mark that no text holds is put around each match; what stands between marks gives the places.
+SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT DISTINCT text FROM d),
+found AS (
+  {kinds}),
+cut AS (SELECT text, nth, kind, string_split(marked, chr(57344)) AS p FROM found),
+m AS (SELECT text, nth, kind, p, unnest(range(2, len(p) + 1, 2)) AS i FROM cut WHERE len(p) > 1),
+s AS (SELECT text, nth, kind, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0)::BIGINT AS a, p[i] AS hit FROM m),
+k AS (
+  SELECT text, nth, kind, a, a + length(hit) AS z FROM s
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24 ELSE true END),
+g AS (
+  SELECT text, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, nth) FILTER (nth < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, nth) AS spans
+  FROM k GROUP BY text)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, sha256(d.text) AS blob, '1' AS rule_version
+FROM d LEFT JOIN g USING (text)
+"""
+
+
+def secrets_sql() -> str:
+    one = lambda n, r: f"SELECT text, {n} AS nth, '{r.kind}' AS kind, regexp_replace(text, '{r.pattern.pattern.replace(chr(39), chr(39) * 2)}', chr(57344) || '\\0' || chr(57344), 'g') AS marked FROM t"
+    return SECRETS_SQL.replace("{kinds}", "\n  UNION ALL ".join(one(n, r) for n, r in enumerate(secret_scan.RULES)))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan_versions(table(spark, sf_dir, "documents"), "doc_id", "text")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -144,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash": MINHASH_SQL, "op8_url_rules": URL_SQL, "op9_chat_format": CHAT_SQL}
+    return {"op1_secret_scan": secrets_sql(), "op6_minhash": MINHASH_SQL, "op8_url_rules": URL_SQL, "op9_chat_format": CHAT_SQL}

@@ -148,7 +148,7 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield pd.DataFrame([reader.row(now[1])])
 
     kind = dict(segments.dtypes)["conv"]
-    rows = segments.select(F.coalesce(F.col("conv").cast("string"), F.lit("null")).alias("_key"), "conv", "turn", "role", "segment", "loss_start", "loss_end")
+    rows = segments.select(F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("null")).alias("_key"), "conv", "turn", "role", "segment", "loss_start", "loss_end")
     ordered = rows.repartition("_key").sortWithinPartitions("_key", "turn", "role", "segment")
     return ordered.select("_key", "conv", "segment", "loss_start", "loss_end").mapInPandas(
         fold, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

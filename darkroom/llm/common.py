@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.darkroom.shared.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where none is set and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.darkroom.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="darkroom-")
         spark.conf.set("spark.darkroom.shared.dir", found)
     return found

@@ -107,7 +107,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "label": b["label"], "counts": [term_counts(t).astype(np.float16).tobytes() for t in b["t"]]})
 
-    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(keys), "k").mapInPandas(count, "k long, label int, counts binary").toPandas()
+    kinds = dict(keys.dtypes)
+    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(keys), "k").mapInPandas(count, f"k {kinds['k']}, label {kinds['label']}, counts binary").toPandas()
     got = got.sort_values(["k", "counts"], ignore_index=True).drop_duplicates("k")
     x = np.frombuffer(b"".join(got["counts"]), np.float16).reshape(-1, TERMS).astype(np.float32)
     return fit(x, got["label"].to_numpy(), dims)

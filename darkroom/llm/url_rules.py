@@ -10,9 +10,11 @@ nest, so the active rules are a stack: at a rule's start the rule is the top, at
 top along with a running last value, and the parent pointers are the rest of the stack. Of a url's suffixes, the longest rule
 (host and path together, then host) wins.
 
-Dealing out: equal urls are looked up once, and meet their rows again in a join that Spark may split. Ranges are cut at
-quantiles of a bounded hash sample of the keys (it decides only how evenly work is dealt). Rules that are open over
-several ranges are repeated in each. Only the sample, 16 keys for each range, reaches the driver.
+Dealing out: equal urls are looked up once, and meet their rows again in a join that Spark may split. There are as many ranges
+as shuffle partitions, 64 at least, cut at quantiles of a bounded hash sample of the keys (it decides only how evenly work is
+dealt). A key finds its range in two steps, among every so many cuts and then among the cuts between two of these, so that
+it is compared with about twice the square root of their number. Rules that are open over several ranges are repeated in
+each. Only the sample, 16 keys for each range, reaches the driver.
 
 Defined cases: a null url or one without :// has empty host and path and no rule; an empty host has no suffix and no
 rule; equal rules count once (block before allow where they differ); repeated rows and null ids keep a row each; an
@@ -21,6 +23,8 @@ empty table of pages or of rules works; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +71,28 @@ def intervals(rules: DataFrame) -> DataFrame:
     return keyed.join(parents, "start", "left").select("start", "top", F.coalesce("parent", none).alias("parent"))
 
 
-def judge(pages: DataFrame, row: str, url: str, rules: DataFrame, default: str = "allow", ranges: int = 64) -> DataFrame:
+def range_of(key: Column, cuts: list[str]) -> Column:
+    """How many of the ascending cuts are no larger than a key."""
+    below = lambda some: F.size(F.filter(some, lambda c: c <= key))
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    group = below(F.array(*(F.lit(g[0]) for g in groups)))
+    inside = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(group, F.lit(1)))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + below(inside))
+
+
+def judge(pages: DataFrame, row: str, url: str, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """(row, host, path, rule, verdict) of every page; without a rule, rule is null and the verdict is the default."""
+    ranges = ranges or max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = pages.select(F.col(row).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     targets = rows.select("host", "path").distinct()
     lookups = targets.select("host", "path", F.explode(suffixes(F.col("host"))).alias("domain"))
     lookups = lookups.select("host", "path", key_of(F.col("domain"), F.col("path")).alias("key"))
     sample = sorted(r[0] for r in lookups.select("key").orderBy(F.xxhash64("key"), "key").limit(16 * ranges).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
-    at = (lambda k: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= k))) if cuts else (lambda k: F.lit(0))
+    at = lambda k: range_of(k, cuts)
 
     ends = intervals(rules).withColumn("end", F.concat("start", F.lit(LAST))).withColumns({"first": at(F.col("start")), "final": at(F.concat("start", F.lit(LAST)))})
     nowhere = (F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))

@@ -185,6 +185,14 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), "page_id", "url", rules).count() == 0
 
 
+def test_ranges_of_keys(spark):
+    keys = spark.createDataFrame([(f"k{i:03d}",) for i in range(200)] + [("",), ("z",)], "key string")
+    for n in (0, 1, 2, 3, 16, 17, 150):
+        cuts = sorted({f"k{i * 199 // max(1, n):03d}" for i in range(n)})
+        got = keys.select("key", url_rules.range_of(F.col("key"), cuts).alias("n")).collect()
+        assert [r.n for r in got] == [sum(c <= r.key for c in cuts) for r in got]
+
+
 def test_nested_url_rules(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("ab"), rng.integers(0, 4)))
