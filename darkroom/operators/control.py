@@ -71,3 +71,15 @@ def next_code(names: DataFrame, taken: DataFrame) -> DataFrame:
 def audit(events: DataFrame, path: str, value: str) -> DataFrame:
     """Events whose JSON payload has a value at a path."""
     return events.where(F.get_json_object("payload", path) == value)
+
+
+def first_known(rows: DataFrame, keys: list[str], order: list[str], *columns: str) -> DataFrame:
+    """For each key and column the first value in order that is not null."""
+    at = F.struct(*order)
+    return rows.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns))
+
+
+def most_common(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """For each key the most frequent value that is not null; of equally frequent ones that seen first in order, then the smallest."""
+    seen = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return seen.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), "first", value)).alias(value))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.functions import scoring
+from darkroom.functions import scoring, structures
 
 
 def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -143,3 +143,22 @@ def preferred_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     hit = both.where("common = n AND common = m").groupBy("cluster").agg(F.bool_or("right").alias("right"))
     asked = t.groupBy("cluster").agg(F.bool_or(F.coalesce("acceptable", F.lit(False))).alias("any")).where("any")
     return asked.join(hit, "cluster", "left").agg(F.count("*").alias("groups"), F.count_if(F.coalesce("right", F.lit(False))).alias("right"))
+
+
+def calibration_enabled(c: F.Column) -> F.Column:
+    """Whether a calibration may be used: switched on, with usable knots, thresholds and classifier, on data that met the requirements and gates.
+
+    c: enabled, signal, probability, exclude_max, keep_min, features, coefficients, means, scales, requirements_met, metrics and gates (maps)."""
+    low, high, n = F.coalesce(c["exclude_max"], F.lit(0.25)), F.coalesce(c["keep_min"], F.lit(0.75)), F.size(c["features"])
+    apart = (low >= 0) & (low < high) & (high <= 1)
+    fits = (F.coalesce(n, F.lit(0)) <= 0) | ((F.size(c["coefficients"]) == n) & (F.size(c["means"]) == n) & (F.size(c["scales"]) == n) & F.forall(c["scales"], lambda s: s > 0))
+    m, g = (lambda k: c["metrics"][k]), (lambda k: c["gates"][k])
+    good = (m("candidate_precision") >= g("candidate_precision")) & (m("relevant_recall") >= g("relevant_recall")) & (m("false_exclusion_rate") <= g("false_exclusion_rate"))
+    return F.coalesce(c["enabled"] & structures.usable_knots(c["signal"], c["probability"]) & apart & fits & c["requirements_met"] & good, F.lit(False))
+
+
+def naming_outcomes(outcomes: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, named, fallback, provider): how many chapters a provider named, and the first provider in order."""
+    named = F.coalesce("named", F.lit(False))
+    first = F.min_by("provider", F.when(F.nullif("provider", F.lit("")).isNotNull(), F.col(order)))
+    return outcomes.groupBy(key).agg(F.count_if(named).alias("named"), F.count_if(~named).alias("fallback"), first.alias("provider"))

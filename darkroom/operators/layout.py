@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import decisions, texts
@@ -53,3 +53,38 @@ def moved(current: DataFrame, moves: DataFrame) -> DataFrame:
     stay = current.join(moves.select("photo_id"), "photo_id", "left_anti").select("chapter", "photo_id", F.lit(0).alias("late"), F.col("place").alias("nth"))
     every = stay.unionByName(moves.select("chapter", "photo_id", F.lit(1).alias("late"), "nth"))
     return every.select("chapter", "photo_id", (F.row_number().over(Window.partitionBy("chapter").orderBy("late", "nth", "photo_id")) - 1).alias("place"))
+
+
+# fixed values: pages in millimetres, and words of an instruction with the template that each asks for, the first that occurs
+PAGE_MM = {"A4": (210, 297), "A5": (148, 210), "square_10inch": (200, 200)}
+ASKED = (
+    (("full", "全页"), "full_page"), (("half", "对半"), "half_half"), (("two", "双栏"), "two_column"), (("grid_3", "三图"), "grid_3"), (("grid_4", "四图"), "grid_4"), (("1big", "一大两小"), "one_large_two_small"),
+)
+
+
+def page_mm(size: Column) -> Column:
+    """(width, height) of a book's pages in millimetres; A4 for unknown sizes."""
+    pair = lambda mm: F.struct(F.lit(mm[0]).alias("width"), F.lit(mm[1]).alias("height"))
+    out = pair(PAGE_MM["A4"])
+    for name, mm in PAGE_MM.items():
+        out = F.when(size == name, pair(mm)).otherwise(out)
+    return out
+
+
+def asked_template(instruction: Column, current: Column) -> Column:
+    """The template that an instruction names, else the current one."""
+    low, out = F.lower(instruction), F
+    for (latin, other), template in ASKED:
+        out = out.when(F.contains(low, F.lit(latin)) | F.contains(instruction, F.lit(other)), template)
+    return out.otherwise(current)
+
+
+def settled(proposals: DataFrame, most: int = 120) -> DataFrame:
+    """proposals with `ordered` and `captions` that a page can use: an order that names all its photos once, else the photos' own, and a caption for each.
+
+    proposals: photos array<long>, proposed array<long>, captions array<struct<photo_id,text>>. Of captions of one photo the first counts."""
+    known = F.array_distinct(F.filter("proposed", lambda p: F.array_contains("photos", p)))
+    ordered = F.when(F.size(known) == F.size("photos"), known).otherwise(F.col("photos"))
+    said = lambda p: F.filter("captions", lambda c: c["photo_id"] == p)
+    text = lambda p: F.coalesce(F.substring(F.trim(F.get(said(p), 0)["text"]), 1, most), F.lit(""))
+    return proposals.withColumn("ordered", ordered).withColumn("captions", F.transform("ordered", lambda p: F.struct(p.alias("photo_id"), text(p).alias("text"))))

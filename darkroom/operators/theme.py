@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.functions import scoring, times, vectors
+from darkroom.functions import scoring, structures, texts, times, vectors
 
 
 def relevance(photos: DataFrame, query: DataFrame, threshold: float = 0.60, automatic: bool = True) -> DataFrame:
@@ -73,3 +73,24 @@ def best(photos: DataFrame, query_vector: Column, most: int) -> DataFrame:
     """The photos most similar to a vector: a top-k of the whole table, kept small in each task."""
     sim = vectors.cosine(vectors.normalized(vectors.doubles(F.col("embedding"))), query_vector)
     return photos.withColumn("similarity", sim).orderBy(F.desc_nulls_last("similarity"), "photo_id").limit(most)
+
+
+def constraints(raw_years: Column, start: Column, end: Column, evidence: Column, request: Column) -> Column:
+    """A theme's constraints: four-digit years that are given or that the request names, its dates before the given ones, and distinct evidence."""
+    given = F.transform(F.filter(raw_years, lambda y: y.rlike("^[0-9]{4}$")), lambda y: y.cast("int"))
+    asked, days = texts.years(request), texts.dates(request)
+    sources = structures.some_texts(evidence, 20)
+    return F.struct(
+        F.array_sort(F.array_distinct(F.concat(F.coalesce(given, F.array().cast("array<int>")), asked))).alias("years"),
+        F.coalesce(F.array_min(days), start).alias("start_date"), F.coalesce(F.array_max(days), end).alias("end_date"),
+        F.when(F.nullif(request, F.lit("")).isNotNull(), F.array_distinct(F.concat(sources, F.array(F.lit("user_input"))))).otherwise(sources).alias("evidence"),
+    )
+
+
+def assessed(assessments: DataFrame, photos: DataFrame, key: str) -> DataFrame:
+    """(key, excluded, review, coverage): ids by effective decision, ascending, and assessments for each photo."""
+    now = F.coalesce(F.nullif("user_decision", F.lit("")), F.col("suggested_decision"))
+    ids = lambda d: F.array_sort(F.collect_set(F.when(now == d, F.col("photo_id"))))
+    by = assessments.groupBy(key).agg(ids("exclude").alias("excluded"), ids("review").alias("review"), F.count("*").alias("n"))
+    size = photos.groupBy(key).agg(F.count("*").alias("size"))
+    return by.join(size, key, "left").select(key, "excluded", "review", F.round(F.col("n") / F.greatest(F.coalesce("size", F.lit(0)), F.lit(1)), 4).alias("coverage"))

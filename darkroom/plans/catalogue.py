@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkroom.plans import albums, cleaning, lifecycles, timelines
+from darkroom.plans import albums, cleaning, details, lifecycles, timelines
 
 FLAGSHIP = "exact_duplicates"
-MODULES = (cleaning, timelines, albums, lifecycles)
+MODULES = (cleaning, timelines, albums, lifecycles, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
