@@ -38,14 +38,15 @@ class Rule(NamedTuple):
 
 
 #: In the order in which kinds are listed where spans start together; the first three are the base kinds.
+#: A private key runs to its END line, or to the end of the text without one.
 RULES = (
     Rule("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), (2, 6), ("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", re.compile(r"AKIA[A-Z0-9]+"), (0, 20), ("akia",)),
     Rule("hex", re.compile(r"[0-9a-f]{24,}"), (0, 24)),
-    Rule("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), (0, 1), ("private key-----",)),
+    Rule("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|[\s\S]*)"), (0, 1), ("private key-----",)),
     Rule("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), (0, 1), (".eyj",)),
     Rule("prefixed", re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})"), (0, 1), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")),
-    Rule("url_login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"), (0, 1), ("://",)),
+    Rule("url_login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"), (0, 1), ("://",)),
 )
 BASE_KINDS = ("assign", "access", "hex")
 RULE_VERSION = "1"

@@ -63,6 +63,22 @@ def test_redaction(spark):
     assert secret_scan.replaced("abcdef", [(1, 3, "x"), (2, 4, "y"), (5, 6, "z")]) == "a[x]e[z]"
 
 
+def test_redaction_takes_whole_private_keys(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEAq+/Zz" * 3] * 20)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a\n{key}\nb", f"a\n{key}\nb {key} c", f"a\n-----BEGIN PRIVATE KEY-----\n{body}\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(rows, "doc_id", "text").collect()}
+    assert got == {0: "a\n[private_key]\nb", 1: "a\n[private_key]\nb [private_key] c", 2: "a\n[private_key]"}
+
+
+def test_redaction_takes_long_logins_in_urls(spark):
+    user, password = "u" * 200, "p%21" * 300
+    rows = spark.createDataFrame([(1, f"see https://{user}:{password}@host/x y"), (2, f"see https://{user}/{password}@host")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(rows, "doc_id", "text").collect()}
+    assert got == {1: "see [url_login]host/x y", 2: f"see https://{user}/{password}@host"}
+
+
 def slow_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
