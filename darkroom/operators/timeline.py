@@ -260,12 +260,64 @@ def choose(d: np.ndarray, refs: list[np.ndarray], granularity: int = 0) -> Choic
     return Choice(mine[selected - 1], auto, selected, peak + 1)
 
 
+SEGMENT_COLUMNS = {"segment": int, "segments": int, "segment_auto_k": int, "segment_peak_k": int, "segment_k_stability": float, "segment_quality": float, "segment_needs_review": bool}
+SQL_TYPES = {int: "int", float: "double", bool: "boolean"}
+
+
+class Cut(NamedTuple):
+    choice: Choice
+    stability: float
+    quality: list[float]
+    have: dict[str, float]
+
+
+def cut(data: tuple[np.ndarray, ...], weights: dict[str, float], granularity: int, references: int, runs: int, seed: int, shaken: int) -> Cut:
+    """Contiguous parts of a sequence, how often perturbed weights choose as many, the quality of each part, and the share of pairs with each channel."""
+    own = channels(*data)
+    rng = np.random.default_rng(seed)
+    refs = [reference(*data, rng) for _ in range(max(2, references))]
+    d = matrix(own, weights)
+    first = choose(d, [matrix(r, weights) for r in refs], granularity)
+    n, cuts, same = len(d), np.zeros(max(0, len(d) - 1)), 0
+    rng = np.random.default_rng(seed ^ shaken)
+    for _ in range(max(1, runs)):
+        factor = rng.lognormal(0.0, 0.10, len(weights))
+        w = {k: v * f for (k, v), f in zip(weights.items(), factor, strict=True)}
+        w = {k: v / sum(w.values()) for k, v in w.items()}
+        c = choose(matrix(own, w), [matrix(r, w) for r in refs], granularity)
+        cuts += c.labels[1:] != c.labels[:-1]
+        same += c.auto == first.auto
+    cuts, stability = np.round(cuts / max(1, runs), 4), round(same / max(1, runs), 4) if n > 1 else 1.0
+    pairs = np.triu_indices(n, 1)
+    have = {k: float((~np.isnan(m[pairs])).mean()) if n > 1 else 1.0 for k, m in own.items()}
+    labels = first.labels
+    k = labels.max() + 1 if n else 0
+    if 1 < k < n:
+        mean = np.stack([d[:, labels == j].sum(1) for j in range(k)], 1)
+        size = np.bincount(labels)
+        a = mean[np.arange(n), labels] / np.maximum(size[labels] - 1, 1)
+        other = mean / size
+        other[np.arange(n), labels] = np.inf
+        b = other.min(1)
+        sil = np.where(size[labels] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+        sil = (sil + 1) / 2
+    else:
+        sil = np.full(n, np.clip(1 - (d[pairs].mean() if n > 1 else 0.0), 0, 1))
+    quality = []
+    for j in range(k):
+        at = np.flatnonzero(labels == j)
+        terms = [1 - cuts[i] for i in range(at[0], at[-1])] + ([cuts[at[0] - 1]] if at[0] > 0 else []) + ([cuts[at[-1]]] if at[-1] < n - 1 else [])
+        quality.append(round(float(np.clip(0.45 * (np.mean(terms) if terms else 1.0) + 0.35 * sil[at].mean() + 0.20 * stability, 0, 1)), 4))
+    return Cut(first, stability, quality, have)
+
+
 def sequential(photos: DataFrame, strategy: str = "balanced", granularity: int = 0, references: int = 20, runs: int = 20) -> DataFrame:
-    """(album_id, photo_id, chapter, chapters, auto_k, peak_k, k_stability, quality, coverage, needs_review) of every photo.
+    """(album_id, photo_id, chapter, chapters, auto_k, peak_k, k_stability, quality, coverage, needs_review) of every photo, and SEGMENT_COLUMNS.
 
     An album's timed photos in order are cut into contiguous chapters; the number of chapters is chosen by the gap statistic
     against references without structure, and its stability is tested by perturbing the weights. Photos without a time join the chapter
-    whose members are nearest on average. One task holds one album, whose pairs are of the square of its size; albums run in parallel.
+    whose members are nearest on average. Each chapter, these included, is cut into segments in the same way, by at most 5 references
+    and runs. One task holds one album, whose pairs are of the square of its size; albums run in parallel.
     Random numbers are seeded by the album's ids, so the result does not depend on partitioning."""
     weights = STRATEGIES.get(strategy, STRATEGIES["balanced"])
     granularity = max(-2, min(2, granularity))
@@ -294,48 +346,15 @@ def sequential(photos: DataFrame, strategy: str = "balanced", granularity: int =
         late = rows[rows["taken_at"].isna()].sort_values("photo_id")
         base, late = (timed, late) if len(timed) else (late, late.iloc[:0])
         seed = int.from_bytes(hashlib.sha256(("|".join(map(str, base["photo_id"])) + f"{strategy}:{granularity}").encode()).digest()[:8], "big")
-        data = arrays(base)
-        own = channels(*data)
-        rng = np.random.default_rng(seed)
-        refs = [reference(*data, rng) for _ in range(max(2, references))]
-        d = matrix(own, weights)
-        first = choose(d, [matrix(r, weights) for r in refs], granularity)
-        n, cuts, same = len(base), np.zeros(max(0, len(base) - 1)), 0
-        rng = np.random.default_rng(seed ^ 0xC7C7)
-        for _ in range(max(1, runs)):
-            factor = rng.lognormal(0.0, 0.10, len(weights))
-            w = {k: v * f for (k, v), f in zip(weights.items(), factor, strict=True)}
-            w = {k: v / sum(w.values()) for k, v in w.items()}
-            c = choose(matrix(own, w), [matrix(r, w) for r in refs], granularity)
-            cuts += c.labels[1:] != c.labels[:-1]
-            same += c.auto == first.auto
-        cuts, stability = np.round(cuts / max(1, runs), 4), round(same / max(1, runs), 4) if n > 1 else 1.0
-        pairs = np.triu_indices(n, 1)
-        have = {k: float((~np.isnan(m[pairs])).mean()) if n > 1 else 1.0 for k, m in own.items()}
-        covered = round(sum(weights[k] * round(v, 4) for k, v in have.items()), 4)
-        k = first.labels.max() + 1 if n else 0
-        if 1 < k < n:
-            mean = np.stack([d[:, first.labels == j].sum(1) for j in range(k)], 1)
-            size = np.bincount(first.labels)
-            a = mean[np.arange(n), first.labels] / np.maximum(size[first.labels] - 1, 1)
-            other = mean / size
-            other[np.arange(n), first.labels] = np.inf
-            b = other.min(1)
-            sil = np.where(size[first.labels] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            sil = (sil + 1) / 2
-        else:
-            sil = np.full(n, np.clip(1 - (d[pairs].mean() if n > 1 else 0.0), 0, 1))
-        labels, quality = first.labels, np.zeros(k)
-        for j in range(k):
-            at = np.flatnonzero(labels == j)
-            terms = [1 - cuts[i] for i in range(at[0], at[-1])] + ([cuts[at[0] - 1]] if at[0] > 0 else []) + ([cuts[at[-1]]] if at[-1] < n - 1 else [])
-            quality[j] = round(float(np.clip(0.45 * (np.mean(terms) if terms else 1.0) + 0.35 * sil[at].mean() + 0.20 * stability, 0, 1)), 4)
+        first, stability, quality, have = cut(arrays(base), weights, granularity, references, runs, seed, 0xC7C7)
+        n, k, labels = len(base), len(quality), first.labels
+        covered = round(sum(weights[c] * round(v, 4) for c, v in have.items()), 4)
         groups = [list(np.flatnonzero(labels == j)) for j in range(k)]
         every = pd.concat([base, late])
         chapter, weak = list(labels), set()
+        place = arrays(every)
         if len(late):
             # two rows at a time have their own scale of distance
-            place = arrays(every)
             for i in range(n, len(every)):
                 to = [np.mean([matrix(channels(np.full(2, np.nan), *(x[[i, m]] for x in place[1:])), weights)[0, 1] for m in g]) for g in groups]
                 at = int(np.argmin(to))
@@ -344,10 +363,17 @@ def sequential(photos: DataFrame, strategy: str = "balanced", granularity: int =
                 weak.add(at)
         q = [round(quality[j] * (0.85 if j in weak else 1), 4) for j in range(k)]
         poor = covered < 0.50 or stability < 0.60
+        inner = {c: np.empty(len(every), t) for c, t in SEGMENT_COLUMNS.items()}
+        for j, g in enumerate(groups):
+            own = seed ^ int.from_bytes(hashlib.sha256(str(j).encode()).digest()[:8], "big")
+            part, steady, good, _ = cut(tuple(x[g] for x in place), STRATEGIES["segments"], 0, min(references, 5), min(runs, 5), own, 0x5E6D3)
+            good = np.array(good)[part.labels]
+            for c, v in zip(SEGMENT_COLUMNS, (part.labels + 1, part.selected, part.auto, part.peak, steady, good, (good < 0.60) | (steady < 0.60)), strict=True):
+                inner[c][g] = v
         return pd.DataFrame({
             "album_id": every["album_id"], "photo_id": every["photo_id"], "chapter": np.array(chapter) + 1, "chapters": k, "auto_k": first.auto, "peak_k": first.peak, "k_stability": stability,
-            "quality": [q[j] for j in chapter], "coverage": covered, "needs_review": [bool(poor or q[j] < 0.60 or j in weak) for j in chapter],
+            "quality": [q[j] for j in chapter], "coverage": covered, "needs_review": [bool(poor or q[j] < 0.60 or j in weak) for j in chapter], **inner,
         })
 
     rows = photos.select("album_id", "photo_id", "taken_at", "lat", "lon", "embedding", "histogram")
-    return rows.groupBy("album_id").applyInPandas(cluster, f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, chapter int, chapters int, auto_k int, peak_k int, k_stability double, quality double, coverage double, needs_review boolean")
+    return rows.groupBy("album_id").applyInPandas(cluster, f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, chapter int, chapters int, auto_k int, peak_k int, k_stability double, quality double, coverage double, needs_review boolean, " + ", ".join(f"{c} {SQL_TYPES[t]}" for c, t in SEGMENT_COLUMNS.items()))

@@ -120,7 +120,7 @@ def chapter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sequential_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.sequential(embedded(spark, sf_dir), references=5, runs=5)
+    return timeline.sequential(embedded(spark, sf_dir))
 
 
 VISUAL = "greatest(0.0, least(1.0, (list_dot_product(p.embedding, q.embedding) - 0.2) / 0.75))"

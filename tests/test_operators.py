@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from darkroom.operators import control, duplicates, evaluation, timeline
+from darkroom.plans import timelines
 from darkroom.sources import manifests, media, tables
 from darkroom.streaming import rules
 
@@ -75,6 +76,27 @@ def test_sequential_finds_activities(spark):
     assert got == again
 
 
+def test_segments_cut_chapters_into_activities(spark):
+    rows = sequence(spark, each=6).unionByName(sequence(spark, each=6).where("photo_id = '00'").selectExpr("album_id", "'late' AS photo_id", "CAST(NULL AS TIMESTAMP) AS taken_at", "lat", "lon", "embedding", "histogram"))
+    got = {r.photo_id: r for r in timeline.sequential(rows, "activity_first", granularity=-2).collect()}
+    assert len(got) == 37 and got["late"].chapters == 4 and got["late"].chapter == got["00"].chapter and got["late"].segment >= 1
+    timed = [got[f"{g}{i}"] for g in range(6) for i in range(6)]
+    whole = [g for g in range(6) if len({(got[f"{g}{i}"].chapter, got[f"{g}{i}"].segment) for i in range(6)}) == 1]
+    assert whole == list(range(6))
+    assert len({(r.chapter, r.segment) for r in timed}) == 6
+    for chapter in range(1, 5):
+        parts = [r.segment for r in timed if r.chapter == chapter]
+        assert parts == sorted(parts) and set(parts) == set(range(1, parts[-1] + 1))
+    assert all(r.segments >= r.segment and 0 <= r.segment_quality <= 1 and r.segment_k_stability * 5 == round(r.segment_k_stability * 5) for r in got.values())
+
+
+def test_chapters_use_all_references_and_runs(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(timeline, "sequential", lambda photos, strategy="balanced", granularity=0, references=20, runs=20: used.append((strategy, granularity, references, runs)))
+    timelines.sequential_chapters(spark, "/root/testdata/sf0.001")
+    assert used == [("balanced", 0, 20, 20)]
+
+
 def test_chosen_k(spark):
     rows = [("a", k, g, 0.01) for k, g in enumerate([0.1, 0.2, 0.3, 0.35, 0.36, 0.37, 0.5, 0.49, 0.505], 1)]
     got = timeline.chosen_k(spark.createDataFrame(rows, "album_id string, k int, gap double, error double")).first()
