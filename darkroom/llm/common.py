@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,17 +32,50 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Removes what stored() has written in this application; results that still read it must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _tables(spark))
+    for t in spark.catalog.listTables():
+        if t.name.startswith(BUCKETED):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
 
+BUCKETED = "darkroom_bucketed_"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: With this setting a query's shuffle files go when it ends; what stored() returns reads the written table alone.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
+
+def stored(df: DataFrame, name: str, *partition_by: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """df, written as a table in the shared folder and read back: cuts lineage and survives lost executors.
+
+    buckets: so many, by that column, so that a later grouping by it needs no exchange."""
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    made = uuid.uuid4().hex
+    path = f"{_tables(spark)}/{name}-{made}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = out.partitionBy(*partition_by) if partition_by else out
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        if buckets:
+            out.bucketBy(*buckets).option("path", path).saveAsTable(f"{BUCKETED}{made}")
+        else:
+            out.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.table(f"{BUCKETED}{made}") if buckets else spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that stored() returned, once what was made of them is stored itself."""
+    for t in tables:
+        _remove(t.sparkSession, _paths.pop(t))

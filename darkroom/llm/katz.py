@@ -1,28 +1,31 @@
-r"""Bigram language model with Katz backoff, learned from and evaluated over whole corpora.
+r"""Trigram language model with Katz backoff, learned from and evaluated over whole corpora.
 
-Counts are discounted by Good-Turing: with n_r the number of n-grams seen r times, counts r up to K are scaled by
-d_r = (r*/r - A) / (1 - A), r* = (r + 1) n_(r+1) / n_r, A = (K + 1) n_(K+1) / n_1; where these are not all between 0 and 1, by
-(r - 1/2) / r. What is freed goes to unseen words, each token's probability is found by recursion:
+Counts are discounted by Good-Turing, for each order by itself: with n_r the number of n-grams seen r times, counts r up to K are
+scaled by d_r = (r*/r - A) / (1 - A), r* = (r + 1) n_(r+1) / n_r, A = (K + 1) n_(K+1) / n_1; where these are not all between 0 and
+1, by (r - 1/2) / r. What is freed goes to unseen words; each token's probability is found by recursion:
 
-    P(w | h) = d c(h, w) / c(h) if c(h, w) > 0, else alpha(h) P(w); alpha(h) = freed(h) / (1 - sum of P(v) over v seen after h)
-    P(w)     = d c(w) / N if c(w) > 0; all unknown words together have what unigrams free
+    P(w | u v) = d c(u v w) / c(u v) if c(u v w) > 0, else alpha(u v) P(w | v) if c(u v) > 0, else P(w | v); P(w | v) likewise
+    P(w)       = d c(w) / N if c(w) > 0; all unknown words together have what unigrams free
+    alpha(h)   = freed(h) / (1 - sum of P(x | h without its first word) over x seen after h)
 
 so that over the vocabulary and the class of unknown words each history's probabilities sum to 1 exactly. A history none
-of whose counts are discounted gets one count more in its denominator, for unseen words. After an unknown history, P(w).
+of whose counts are discounted gets one count more in its denominator, for unseen words. A text begins with two marks.
 
-Tables. Words are 64-bit fingerprints. `words` (fingerprint, count, id) is ranked by count, so an id gives its count by a
-table of as many entries as there are distinct counts (at most the square root of twice the tokens), the only thing broadcast.
-`grams` (histories, words, counts as arrays; partitioned by range of histories) holds the bigrams.
+Tables of a `Model`. words: (word, a 64-bit fingerprint; count; id, ranked by count; range; hot). bigrams and trigrams, partitioned by
+range of histories: a row holds many histories (u, v; u only of trigrams), each with its number of words, alpha and, end to end, its
+words with count and discounted probability p. saved() and loaded() keep a model for other texts and sessions.
 
 Dataflow. A corpus is tokenised once into stored blocks of bounded size. Blocks ask for the ids of their distinct words, by
-fingerprint; then send their distinct bigrams, with the documents that hold them, to the bigrams' histories, packed and
-pre-aggregated by block. There counts meet, alpha is summed, and each block gets back one partial sum for each document. What
-depends on the discounts of bigrams, known only when all counts are, stays apart (numbers of tokens by count, and histories'
-numbers of low counts) and is put in at the end, so that bigrams move once.
+fingerprint. For each order, they send their distinct training n-grams, pre-aggregated by block and packed, to the ranges of their
+histories, where counts meet and the tables are made; then they send all their distinct n-grams to look up p, or alpha where unseen.
+The number of ranges follows the tokens, so that each is of bounded size. A history with more than half a range's
+tokens is hot: its n-grams are dealt over all ranges by their words too, its sums meet in a second step, one row for each range, and
+its alpha is asked for at its home range. What is broadcast has one entry for each distinct count of words, at most the square
+root of twice the tokens. Of a range's words only their number reaches the driver, and one row for each distinct count.
 
 Defined cases: a null or empty text is one token, the end; null ids belong to training rows and keep their rows; repeated
 rows count and score each; without training rows every token is unknown, with probability 1; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored; very long texts make a block of their own.
 """
 
 from __future__ import annotations
@@ -35,17 +38,17 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import stored
+from darkroom.llm.common import dropped, stored
 from darkroom.llm.shingles import mix, word_hashes
 
 K = 5
 END = np.uint64(0x2545F4914F6CDD1D)
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
-#: A range of histories is handled in so many parts, one after another.
-PARTS = 4
+BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 60_000
+RANGE_TOKENS = 1_500_000
+CHUNK = 100_000
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -62,71 +65,95 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Unigrams(NamedTuple):
-    """Probabilities by id; ids are ranked by count, the largest first, `unknown` is the first free id."""
+    """Probabilities by id; ids are ranked by count, the largest first, `unknown` is the first free id; the beginning comes after it."""
 
     first_id: np.ndarray
     count: np.ndarray
-    unknown: int
-    tokens: int
-    log_p: np.ndarray
     p: np.ndarray
-    log_unknown: float
     p_unknown: float
+    unknown: int
+    tokens: int
 
-    def step(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first_id, ids, "right") - 1
+    def _of(self, ids: np.ndarray, values: np.ndarray, unknown: float) -> np.ndarray:
+        if not len(values):
+            return np.full(len(ids), unknown)
+        return np.where(ids < self.unknown, values[np.searchsorted(self.first_id, ids, "right") - 1], unknown)
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Count of each id, 0 if unknown."""
-        return np.where(ids < self.unknown, self.count[self.step(ids)], 0) if len(self.count) else np.zeros(len(ids), np.int64)
+        return self._of(ids, self.count, 0).astype(np.int64)
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.unknown, self.p[self.step(ids)], self.p_unknown) if len(self.count) else np.full(len(ids), self.p_unknown)
+        return self._of(ids, self.p, self.p_unknown)
 
 
 def unigrams(count: np.ndarray, types: np.ndarray) -> Unigrams:
     """From distinct counts, the largest first, and the number of words of each."""
     tokens, vocabulary = int((count * types).sum()), int(types.sum())
-    n = [int(types[count == r].sum()) for r in range(1, K + 2)]
-    d = discounts(n)
+    d = discounts([int(types[count == r].sum()) for r in range(1, K + 2)])
     scale = np.where(count <= K, d[np.clip(count, 1, K) - 1], 1.0)
     freed = float(((1 - scale) * count * types).sum())
     total = tokens if freed > 0 else tokens + 1
-    p = scale * count / total
-    p_unknown = (freed if freed > 0 else 1.0) / total
-    first = np.concatenate([[0], np.cumsum(types)[:-1]]).astype(np.int64) if len(types) else np.zeros(0, np.int64)
-    return Unigrams(first, count.astype(np.int64), vocabulary, tokens, np.log10(p), p, float(np.log10(p_unknown)), p_unknown)
+    first = np.cumsum(types) - types
+    return Unigrams(first.astype(np.int64), count.astype(np.int64), scale * count / total, (freed if freed > 0 else 1.0) / total, vocabulary, tokens)
+
+
+class Model(NamedTuple):
+    """What scores texts: tables, what is broadcast of the words, and how n-grams are dealt."""
+
+    words: DataFrame
+    bigrams: DataFrame
+    trigrams: DataFrame
+    unigrams: Unigrams
+    ranges: int
+    most: int  # tokens of a history that is not hot
+    beginnings: int  # training texts
 
 
-def _pack(*parts) -> bytes:
-    """Integers go as planes of bytes, whose high ones compress to nothing."""
-    planes = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" else x for x in parts]
-    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(planes, protocol=5))
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them."""
+    if x.dtype.kind not in "iu" or not len(x):
+        return x
+    return x.astype(np.result_type(np.min_scalar_type(x.min()), np.min_scalar_type(x.max())), copy=False)
 
 
-def _unpack(blob: bytes) -> list:
+def _pack(*parts: np.ndarray) -> bytes:
+    """Arrays go as planes of bytes, whose high ones compress to nothing."""
+    planes = []
+    for x in parts:
+        y = np.ascontiguousarray(_narrow(x))
+        planes.append((x.dtype.str, y.dtype.str, y.view(np.uint8).reshape(len(y), y.itemsize).T.tobytes()))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes, protocol=5))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
     out = []
-    for x in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
-        if isinstance(x, tuple):
-            size = np.dtype(x[0]).itemsize
-            x = np.frombuffer(np.frombuffer(x[1], np.uint8).reshape(size, -1).T.tobytes(), x[0])
-        out.append(x)
+    for kind, held, planes in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+        x = np.frombuffer(np.frombuffer(planes, np.uint8).reshape(np.dtype(held).itemsize, -1).T.tobytes(), held)
+        out.append(x.astype(kind, copy=False))
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, for numbers that mostly ascend; np.cumsum() undoes it."""
+    return np.diff(x, prepend=0).astype(np.int64)
+
+
+# ---- words ----
+
+
 def _blocks(docs: DataFrame, id: str, text: str, held_out: Column) -> DataFrame:
-    """(block, ids, held, words, body): words: fingerprints, the most frequent first, and their training counts; body: documents' lengths and tokens as places in words."""
+    """(block, ids, held, tokens, all_tokens, words, body): tokens: of training rows; words: fingerprints and their training counts; body: documents' lengths and tokens as places in words."""
 
     def out(number: int, ids: list, held: list, parts: list[np.ndarray]) -> pd.DataFrame:
         lengths = np.array([len(p) for p in parts], np.int64)
-        tokens = np.concatenate(parts)
-        words, place, total = np.unique(tokens, return_inverse=True, return_counts=True)
+        words, place, total = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         order = np.argsort(-total, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        train = np.bincount(place, np.repeat(~np.array(held), lengths), len(words)).astype(np.int64)
-        name = (TaskContext.get().partitionId() << 24) + number
-        return pd.DataFrame({"block": [name], "ids": [ids], "held": [held], "words": [_pack(words[order], train[order].astype(np.uint32))], "body": [_pack(lengths.astype(np.uint32), rank[place])]})
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        train = np.bincount(place, np.repeat(~np.array(held), lengths), len(words)).astype(np.uint32)
+        name = (TaskContext.get().partitionId() << 32) + number
+        tokens = int(lengths[~np.array(held)].sum())
+        return pd.DataFrame({"block": [name], "ids": [ids], "held": [held], "tokens": [tokens], "all_tokens": [len(place)], "words": [_pack(words[order], train[order])], "body": [_pack(lengths, rank[place])]})
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, ids, held, parts, size = 0, [], [], [], 0
@@ -144,27 +171,34 @@ def _blocks(docs: DataFrame, id: str, text: str, held_out: Column) -> DataFrame:
 
     kind = dict(docs.dtypes)[id]
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    return stored(rows.mapInPandas(tokenise, f"block long, ids array<{kind}>, held array<boolean>, words binary, body binary"), "token_blocks")
+    return stored(rows.mapInPandas(tokenise, f"block long, ids array<{kind}>, held array<boolean>, tokens long, all_tokens long, words binary, body binary"), "token_blocks")
 
 
 def _asked(blocks: DataFrame, ranges: int) -> DataFrame:
-    """(range, block, blob): a block's distinct words by range of fingerprints, in the block's order."""
+    """(range, block, blob): a block's distinct words and their training counts by range of fingerprints, in the block's order."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, blob in zip(b["block"], b["words"], strict=True):
                 words, train = _unpack(blob)
-                r = (words % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(r, kind="stable")
-                cut = np.searchsorted(r[order], np.arange(ranges + 1))
-                rows = [(k, block, _pack(words[order[a:z]], train[order[a:z]])) for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)) if z > a]
+                rows = [(k, block, _pack(words[mine], train[mine])) for k, mine in _dealt(words, ranges)]
                 yield pd.DataFrame(rows, columns=["range", "block", "blob"])
 
     return blocks.select("block", "words").mapInPandas(ask, "range int, block long, blob binary")
 
 
-def _ranked(asked: DataFrame, ranges: int) -> tuple[DataFrame, Unigrams]:
-    """The table words (word, count, range, id), and what is broadcast of it."""
+def _dealt(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range with the places of its hashes, in their order."""
+    r = (hashes % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(r, kind="stable")
+    cut = np.searchsorted(r[order], np.arange(ranges + 1))
+    for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
+        if z > a:
+            yield k, order[a:z]
+
+
+def _ranked(asked: DataFrame, ranges: int, most: int) -> tuple[DataFrame, Unigrams]:
+    """The table words, and what is broadcast of it."""
 
     def total(_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         words, train = map(np.concatenate, zip(*map(_unpack, part["blob"]), strict=True))
@@ -183,210 +217,410 @@ def _ranked(asked: DataFrame, ranges: int) -> tuple[DataFrame, Unigrams]:
     ordered = stored(counted.orderBy(F.desc("count"), "word").mapInPandas(number, "word long, count long, range int, part int, nth long"), "words")
     sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)])]).tolist()
-    words = ordered.select("word", "count", "range", (F.col("nth") + F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in before)), F.col("part") + 1)).alias("id"))
+    first = F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in before)), F.col("part") + 1)
+    words = ordered.select("word", "count", "range", (F.col("nth") + first).alias("id"), (F.col("count") > most).alias("hot"))
     steps = ordered.groupBy("count").agg(F.count("*").alias("types")).toPandas().sort_values("count", ascending=False)
     return words, unigrams(steps["count"].to_numpy(np.int64), steps["types"].to_numpy(np.int64))
 
 
-def _answered(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """(block, range, blob): ids of the words that a block asked for, -1 if unknown."""
+def _coded(blocks: DataFrame, asked: DataFrame, m: Model) -> DataFrame:
+    """(block, ids, held, blob): blob: documents' lengths, tokens as places in the block's ascending vocabulary of ids, that, and which are hot."""
+    unknown, ranges, start_hot = m.unigrams.unknown, m.ranges, m.beginnings > m.most
 
     def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(known["word"].to_numpy().view(np.uint64))
-        word, ids = known["word"].to_numpy().view(np.uint64)[order], known["id"].to_numpy()[order]
+        word, ids, hot = known["word"].to_numpy().view(np.uint64)[order], known["id"].to_numpy()[order], known["hot"].to_numpy(bool)[order]
         rows = []
         for block, r, blob in zip(asks["block"], asks["range"], asks["blob"], strict=True):
             want = _unpack(blob)[0]
             at = np.minimum(np.searchsorted(word, want), max(0, len(word) - 1))
-            rows.append((block, r, _pack(np.where(word[at] == want, ids[at], -1) if len(word) else np.full(len(want), -1))))
+            there = word[at] == want if len(word) else np.zeros(len(want), bool)
+            rows.append((block, r, _pack(np.where(there, ids[at], unknown), hot[at] & there) if len(word) else _pack(np.full(len(want), unknown), there)))
         return pd.DataFrame(rows, columns=["block", "range", "blob"])
 
-    return asked.groupBy("range").cogroup(words.groupBy("range")).applyInPandas(answer, "block long, range int, blob binary")
+    def code(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        words, _ = _unpack(block["words"].iloc[0])
+        lengths, tokens = _unpack(block["body"].iloc[0])
+        ids, hot = np.full(len(words), unknown, np.int64), np.zeros(len(words), bool)
+        blobs = dict(zip(got["range"], got["blob"], strict=True))
+        for k, mine in _dealt(words, ranges):
+            ids[mine], hot[mine] = _unpack(blobs[k])
+        vocabulary, first, place = np.unique(ids, return_index=True, return_inverse=True)
+        # the beginning is the last entry
+        vocabulary, hot = np.append(vocabulary, unknown + 1), np.append(hot[first], start_hot)
+        blob = _pack(lengths, place.astype(np.uint32)[tokens], _steps(vocabulary), hot)
+        return pd.DataFrame({"block": block["block"], "ids": block["ids"], "held": block["held"], "blob": [blob]})
 
+    answers = asked.groupBy("range").cogroup(m.words.groupBy("range")).applyInPandas(answer, "block long, range int, blob binary")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields[:3])
+    return stored(blocks.drop("tokens", "all_tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, f"{schema}, blob binary"), "coded_blocks")
 
-def _bigrams(blocks: DataFrame, answers: DataFrame, uni: Unigrams, ranges: int) -> DataFrame:
-    """(range, part, block, kind, blob): 'grams' by range and part of histories, and one row 'docs' with what a block knows alone."""
-    shared = blocks.sparkSession.sparkContext.broadcast(tuple(uni))
 
-    def split(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        u = Unigrams(*shared.value)
-        words, _ = _unpack(block["words"].iloc[0])
-        lengths, tokens = _unpack(block["body"].iloc[0])
-        held, name = np.array(block["held"].iloc[0]), block["block"].iloc[0]
-        lengths, ids = lengths.astype(np.int64), np.full(len(words), -1, np.int64)
-        r = (words % np.uint64(ranges)).astype(np.int64)
-        for k, blob in zip(got["range"], got["blob"], strict=True):
-            ids[r == k] = _unpack(blob)[0]
-        ids[ids < 0] = u.unknown
-        n, docs = len(ids), len(lengths)
-        if n >= 1 << 24:
-            raise ValueError(f"a block has {n} distinct words; lower BLOCK_TOKENS")
-        doc = np.repeat(np.arange(docs, dtype=np.uint16), lengths)
-        counts = u.counts(ids)
-        # the history of a token is the one before it; that of a text's first is place n, the beginning
-        before = np.empty(len(tokens), np.int32)
-        before[1:] = tokens[:-1]
-        before[np.append(0, np.cumsum(lengths)[:-1])] = n
-        known = np.append(ids != u.unknown, True)
-        base = np.bincount(doc, np.log10((counts + 1) / (u.tokens + u.unknown + 1))[tokens], docs)
-        alone = ~known[before]
-        own = np.bincount(doc[alone], np.log10(u.probabilities(ids))[tokens[alone]], docs)
-        rows = [(int(name) % ranges, 0, name, "docs", _pack(lengths, np.bincount(doc, (counts > 0)[tokens], docs).astype(np.int64), np.stack([base, own])))]
-        # one number for each token, in order of range, history, word and document, is sorted in place
-        history = np.append(ids, u.unknown + 1)
-        at = (mix(history.astype(np.uint64)) % np.uint64(ranges * PARTS)).astype(np.int64)
-        order = np.lexsort((history, at))
-        place = np.empty(n + 1, np.uint64)
-        place[order] = np.arange(n + 1, dtype=np.uint64)
-        word, which = np.unique(ids, return_inverse=True)
-        key = place[before]
-        key <<= np.uint64(24)
-        key |= which.astype(np.uint64)[tokens]
-        key <<= np.uint64(16)
-        key |= doc
-        key = key[~alone]
-        del before, alone, doc
-        key.sort()
-        cut = np.searchsorted(key >> np.uint64(40), np.searchsorted(at[order], np.arange(ranges * PARTS + 1)).astype(np.uint64))
-        for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
-            if a == z:
-                continue
-            pair, dd = key[a:z] >> np.uint64(16), (key[a:z] & np.uint64(0xFFFF)).astype(np.int64)
-            start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            times = np.diff(np.append(start, z - a))
-            hs, ws = history[order[(pair[start] >> np.uint64(24)).astype(np.int64)]], word[(pair[start] & np.uint64(0xFFFFFF)).astype(np.int64)]
-            top = np.append(True, hs[1:] != hs[:-1])
-            step = np.diff(ws, prepend=0)
-            step[top] = ws[top]
-            train = np.add.reduceat((~held[dd]).astype(np.int64), start)
-            heads = np.flatnonzero(top)
-            rows.append((k // PARTS, k % PARTS, name, "grams", _pack(np.diff(hs[heads], prepend=0), np.diff(np.append(heads, len(hs))).astype(np.uint32), step, times.astype(np.uint32), train.astype(np.uint32), dd.astype(np.uint16), docs)))
-        return pd.DataFrame(rows, columns=["range", "part", "block", "kind", "blob"])
-
-    return blocks.drop("ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(split, "range int, part int, block long, kind string, blob binary")
+# ---- n-grams of a block ----
 
 
 class Grams(NamedTuple):
-    """A range's bigrams by (history, word), with the histories' sums."""
-
-    h: np.ndarray
-    w: np.ndarray
-    count: np.ndarray
-    of: np.ndarray  # place of each bigram's history
-    low: np.ndarray  # histories x K: r * n_r
-    total: np.ndarray
-    unseen: np.ndarray  # 1 - sum of P(v) over v seen after a history
-
-
-def gathered(h: np.ndarray, w: np.ndarray, count: np.ndarray, uni: Unigrams) -> Grams:
-    """Sums by history of distinct bigrams, sorted; those of count 0 were not seen in training."""
-    top = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-    of = np.cumsum(top) - 1
-    n = int(top.sum())
-    total = np.bincount(of, count, n).astype(np.int64)
-    low = np.stack([np.bincount(of, np.where(count == r, r, 0), n) for r in range(1, K + 1)], 1).astype(np.int64)
-    seen = np.bincount(of, np.where(count > 0, uni.probabilities(w), 0.0), n)
-    return Grams(h, w, count, of, low, total, 1 - seen)
-
-
-def _met(blobs: list[bytes], uni: Unigrams) -> tuple[Grams, np.ndarray, np.ndarray, list[np.ndarray], list[int], np.ndarray]:
-    """The bigrams of some blocks as one table; of each block's bigrams, end to end, the place in it and the number of documents; documents and
-    their number by block, and where each block's bigrams begin."""
-    h, w, c, times, docs_of, sizes = [], [], [], [], [], []
+    """A block's distinct n-grams of one order, ascending by history and word, and rows that ask for hot histories' alpha alone."""
+
+    of: np.ndarray  # of each token its n-gram, -1 where the model does not know the history
+    times: np.ndarray  # training count; 0 of what asks alone
+    history: np.ndarray  # places of histories, ascending
+    v: np.ndarray  # ids
+    u: np.ndarray  # ids, empty for bigrams
+    w: np.ndarray  # ids, -1 of what asks alone
+    hot: np.ndarray
+    hashes: np.ndarray  # deal n-grams to ranges
+
+
+def _history_hash(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    h = mix(v.astype(np.uint64) + np.uint64(1))
+    return mix(h + mix(u.astype(np.uint64) + np.uint64(7))) if len(u) else h
+
+
+def _grams(history: np.ndarray, known: np.ndarray, v: np.ndarray, u: np.ndarray, hot: np.ndarray, b: Block) -> Grams:
+    """history: of each token a place in v, u and hot; known: whether the model has it."""
+    n = len(b.vocabulary) + 1
+    key, of = np.unique((history * n + b.tokens)[known], return_inverse=True)
+    times = np.bincount(of, b.train[known], len(key)).astype(np.int64)
+    # what asks for a hot history's alpha has the last word, n - 1
+    asks = np.unique(key // n)
+    asks = asks[hot[asks]] * n + n - 1
+    place = np.full(len(history), -1, np.int64)
+    place[known] = (np.arange(len(key)) + np.searchsorted(asks, key))[of]
+    at = np.searchsorted(key, asks)
+    key, times = np.insert(key, at, asks), np.insert(times, at, 0)
+    h, w = key // n, np.append(b.vocabulary, -1)[key % n]
+    hv, hu = v[h], u[h] if len(u) else u
+    hashes = _history_hash(hv, hu)
+    spread = hot[h] & (w >= 0)
+    return Grams(place, times, h, hv, hu, w, hot[h], np.where(spread, mix(hashes + w.astype(np.uint64)), hashes))
+
+
+class Block(NamedTuple):
+    lengths: np.ndarray
+    tokens: np.ndarray  # places in the vocabulary
+    vocabulary: np.ndarray  # ascending ids, the beginning last
+    hot: np.ndarray  # of the vocabulary, as histories
+    train: np.ndarray  # of tokens
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+
+def _opened(blob: bytes, held: list[bool]) -> Block:
+    lengths, tokens, vocabulary, hot = _unpack(blob)
+    return Block(lengths, tokens.astype(np.int64), np.cumsum(vocabulary), hot, np.repeat(~np.array(held, bool), lengths))
+
+
+def _bigrams(b: Block, m: Model) -> Grams:
+    before = np.empty_like(b.tokens)
+    before[1:] = b.tokens[:-1]
+    before[b.starts] = len(b.vocabulary) - 1
+    known = (b.vocabulary != m.unigrams.unknown) & ((b.vocabulary < m.unigrams.unknown) | (m.beginnings > 0))
+    return _grams(before, known[before], b.vocabulary, np.zeros(0, np.int64), b.hot, b)
+
+
+def _trigrams(b: Block, two: Grams, seen: np.ndarray, hot: np.ndarray, m: Model) -> Grams:
+    """seen, hot: of each bigram, as a history."""
+    # a token's history is the bigram before it; a text's first token has the beginning twice, the last place
+    history = np.empty_like(b.tokens)
+    history[1:] = two.of[:-1]
+    history[b.starts] = len(two.w)
+    start = b.vocabulary[-1]
+    known = (history >= 0) & np.append(seen, m.beginnings > 0)[history]
+    return _grams(np.where(known, history, 0), known, np.append(two.w, start), np.append(two.v, start), np.append(hot, b.hot[-1]), b)
+
+
+def _slices(g: Grams, ranges: int, keep: np.ndarray | None = None, *more: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(range, places, blob) of n-grams, of all or of some: histories with their sizes, words, and more columns."""
+    pick = np.arange(len(g.w)) if keep is None else np.flatnonzero(keep)
+    for k, mine in _dealt(g.hashes[pick], ranges):
+        mine = pick[mine]
+        head = np.flatnonzero(np.append(True, np.diff(g.history[mine]) != 0))
+        size, lead = np.diff(np.append(head, len(mine))), mine[head]
+        yield k, mine, _pack(size.astype(np.uint32), _steps(g.v[lead]), _steps(g.u[lead]) if len(g.u) else g.u, g.hot[lead], g.w[mine] + 1, *(x[mine] for x in more))
+
+
+def _gathered(blobs: list[bytes]) -> list[np.ndarray]:
+    """v, u, hot, w and more columns of slices, end to end."""
+    parts = []
     for blob in blobs:
-        dh, n, step, t, train, doc, docs = _unpack(blob)
-        h.append(np.repeat(np.cumsum(dh), n))
-        start = np.repeat(np.cumsum(n.astype(np.int64)) - n, n)
-        run = np.cumsum(step)
-        w.append(run - np.where(start > 0, run[start - 1], 0))
-        c.append(train)
-        times.append(t)
-        docs_of.append(doc)
-        sizes.append(docs)
-    starts = np.cumsum([0, *map(len, h)])
-    h, w, c = map(np.concatenate, (h, w, c))
-    order = np.lexsort((w, h))
-    new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0))
-    place = np.empty(len(h), np.int32)
-    place[order] = np.cumsum(new) - 1
-    head = order[new]
-    return gathered(h[head], w[head], np.bincount(place, c).astype(np.int64), uni), place, np.concatenate(times), docs_of, sizes, starts
-
-
-def _reduced(bigrams: DataFrame, uni: Unigrams) -> DataFrame:
-    """(kind, range, block, blob, histories, words, counts): kind 'grams' the table, 'sums' a block's partial sums, 'docs' as it came, 'stat' n_1 to n_(K+1)."""
-    shared = bigrams.sparkSession.sparkContext.broadcast(tuple(uni))
-    schema = "kind string, range int, block long, blob binary, histories array<long>, words array<long>, counts array<long>"
+        size, v, u, hot, w, *more = _unpack(blob)
+        parts.append([np.repeat(np.cumsum(v), size), np.repeat(np.cumsum(u), size) if len(u) else u, np.repeat(hot, size), w - 1, *more])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+# ---- tables ----
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where any of some sorted columns changes."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        if len(c):
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+COUNTED = "kind string, range int, v array<long>, u array<long>, size array<int>, total array<long>, low array<long>, seen array<double>, words array<long>, counts array<long>"
+TABLE = "range int, v array<long>, u array<long>, size array<int>, alpha array<double>, words array<long>, counts array<long>, p array<double>"
+
+
+def _counted(slices: DataFrame, uni: Unigrams) -> DataFrame:
+    """Counts of n-grams by range (kind 'whole'), those of hot histories in this range ('part'), and n_1 to n_(K+1) ('stat')."""
+    shared = slices.sparkSession.sparkContext.broadcast(tuple(uni))
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        u, out = Unigrams(*shared.value), []
-        for block, blob in zip(part["block"][part["kind"] == "docs"], part["blob"][part["kind"] == "docs"], strict=True):
-            out.append(("docs", key[0], block, blob, None, None, None))
-        grams = part[part["kind"] == "grams"]
-        stat, sums = np.zeros(K + 1, np.int64), {}
-        for _, mine in grams.groupby("part"):
-            g, place, times, docs_of, sizes, starts = _met(mine["blob"].tolist(), u)
-            stat += [int((g.count == r).sum()) for r in range(1, K + 2)]
-            known = np.flatnonzero(g.count > 0)
-            for a in range(0, len(known), 200_000):
-                k = known[a : a + 200_000]
-                out.append(("grams", key[0], None, None, g.h[k], g.w[k], g.count[k]))
-            # what doesn't depend on the discounts of bigrams
-            fixed = g.low.sum(1) == 0
-            total = np.maximum(g.total + fixed, 1)
-            with np.errstate(divide="ignore"):
-                value = np.log10(g.count / total[g.of])
-            none, unseen = g.total == 0, g.count == 0
-            backoff = np.where(none, 0.0, -np.log10(np.where(none, 1.0, total * g.unseen)))
-            value[unseen] = backoff[g.of[unseen]] + np.log10(u.probabilities(g.w[unseen]))
-            rank = np.where(g.count <= K, g.count, 0)
-            # an unseen bigram of a history with discounted counts waits for what they free
-            waits = unseen & ~fixed[g.of]
-            vectors, vector = np.unique(g.low, axis=0, return_inverse=True)
-            vector = vector.ravel()
-            for block, docs, doc, a, z in zip(mine["block"], sizes, docs_of, starts, starts[1:], strict=False):
-                p = np.repeat(place[a:z], times[a:z])
-                got = sums.setdefault(block, [np.zeros(docs), np.zeros(docs * (K + 1), np.int64), [], [], []])
-                got[0] += np.bincount(doc, value[p], docs)
-                got[1] += np.bincount(doc.astype(np.int64) * (K + 1) + rank[p], minlength=docs * (K + 1))
-                late = np.flatnonzero(waits[p])
-                used, which = np.unique(vector[g.of[p[late]]], return_inverse=True)
-                got[2].append(doc[late])
-                got[3].append(which + sum(map(len, got[4])))
-                got[4].append(vectors[used])
-        if sums:
-            out.append(("stat", key[0], None, None, None, None, stat.tolist()))
-        for block, (value, by_rank, late, which, vectors) in sums.items():
-            by_rank = by_rank.reshape(-1, K + 1)[:, 1:].astype(np.uint32).ravel()
-            out.append(("sums", key[0], block, _pack(value, by_rank, np.concatenate(late), np.concatenate(which).astype(np.uint32), np.concatenate(vectors).ravel()), None, None, None))
-        return pd.DataFrame(out, columns=["kind", "range", "block", "blob", "histories", "words", "counts"])
-
-    return stored(bigrams.groupBy("range").applyInPandas(meet, schema), "bigrams", "kind")
-
-
-def fit_and_score(docs: DataFrame, id: str, text: str, held_out: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Learns from the rows that are not held out, and scores all. Returns scores (id, held_out, n_tokens, n_known, train_tokens, base_score, score), the table words and the table grams."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs, id, text, held_out)
-    asked = _asked(blocks, ranges)
-    words, uni = _ranked(asked, ranges)
-    made = _reduced(_bigrams(blocks, _answered(asked, words), uni, ranges), uni)
-    stat = made.where("kind = 'stat'").select(*(F.sum(F.col("counts")[r]).alias(f"n{r}") for r in range(K + 1))).first()
+        v, u, hot, w, times, *lower = _gathered(part["blob"].tolist())
+        order = np.lexsort((w, v, u) if len(u) else (w, v))
+        v, u, hot, w, times = v[order], u[order] if len(u) else u, hot[order], w[order], times[order].astype(np.int64)
+        head = _heads(v, u, w)
+        count = np.add.reduceat(times, head)
+        low_p = lower[0][order][head] if lower else Unigrams(*shared.value).probabilities(w[head])
+        v, u, hot, w = v[head], u[head] if len(u) else u, hot[head], w[head]
+        top = _heads(v, u)
+        of = np.repeat(np.arange(len(top)), np.diff(np.append(top, len(v))))
+        low = np.stack([np.bincount(of, np.where(count == r, r, 0), len(top)) for r in range(1, K + 1)], 1).astype(np.int64)
+        total, seen = np.add.reduceat(count, top), np.add.reduceat(low_p, top)
+        ends = np.append(top, len(v))
+        out = [("stat", key[0], None, None, None, None, [int((count == r).sum()) for r in range(1, K + 2)], None, None, None)]
+
+        def row(kind: str, a: int, z: int) -> None:
+            h, g = slice(a, z), slice(ends[a], ends[z])
+            out.append((kind, key[0], v[top[h]], u[top[h]] if len(u) else [], np.diff(ends[a : z + 1]), total[h], low[h].ravel(), seen[h], w[g], count[g]))
+
+        # runs of histories that are not hot, in pieces of bounded size; each hot one by itself
+        cut = np.flatnonzero(hot[top] | (np.diff(ends[:-1] // CHUNK, prepend=-1) > 0))
+        for a, z in zip(cut, [*cut[1:], len(top)], strict=True):
+            if hot[top[a]]:
+                row("part", a, a + 1)
+                a += 1
+            if a < z:
+                row("whole", a, z)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in COUNTED.split(", ")])
+
+    return stored(slices.groupBy("range").applyInPandas(meet, COUNTED), "counted")
+
+
+def _table(slices: DataFrame, uni: Unigrams, ranges: int, buckets: int) -> DataFrame:
+    """The table of one order, in buckets by range."""
+    made = _counted(slices, uni)
+    stat = made.where("kind = 'stat'").select(*(F.sum(F.col("low")[r]) for r in range(K + 1))).first()
     d = discounts([int(x or 0) for x in stat])
-    train_tokens, kind = uni.tokens, dict(docs.dtypes)[id]
-
-    def finish(block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        length, known, sums = _unpack(parts["blob"][parts["kind"] == "docs"].iloc[0])
-        score = sums[1].copy()
-        for blob in parts["blob"][parts["kind"] == "sums"]:
-            fixed, by_rank, late, which, vectors = _unpack(blob)
-            score += fixed + by_rank.reshape(len(score), K) @ np.log10(d)
-            if len(late):
-                score += np.bincount(late, np.log10(vectors.reshape(-1, K) @ (1 - d))[which], len(score))
-        return pd.DataFrame({"id": pd.Series(list(block["ids"].iloc[0]), dtype=object), "held_out": block["held"].iloc[0], "n_tokens": length, "n_known": known, "train_tokens": train_tokens, "base_score": sums[0], "score": score})
-
-    partial = made.where("kind IN ('docs', 'sums')").select("block", "kind", "blob")
+    # sums of hot histories over all ranges
+    key = [F.col("v")[0].alias("hv"), F.coalesce(F.try_element_at("u", F.lit(1)), F.lit(-1)).alias("hu")]
+    parts = made.where("kind = 'part'").select(*key, "range", "v", "u", "size", "total", "low", "seen", "words", "counts")
+    sums = parts.groupBy("hv", "hu").agg(F.first("v").alias("v"), F.first("u").alias("u"), F.array(F.sum(F.col("total")[0])).alias("total"), F.array(*(F.sum(F.col("low")[r]) for r in range(K))).alias("low"), F.array(F.sum(F.col("seen")[0])).alias("seen"))
+    columns = ["range", "v", "u", "size", "total", "low", "seen", "words", "counts"]
+    spread = parts.drop("v", "u", "total", "low", "seen").join(sums, ["hv", "hu"]).select(*columns)
+    none = F.array().cast("array<long>")
+    home = sums.withColumns({"range": F.lit(-1), "size": F.array(F.lit(0)), "words": none, "counts": none}).select(*columns)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r, v, u, size, total, low, seen, words, counts in b[columns].itertuples(index=False):
+                low = low.reshape(-1, K)
+                fixed = low.sum(1) == 0
+                whole = total + fixed
+                alpha = np.where(fixed, 1.0, low @ (1 - d)) / whole / (1 - seen)
+                p = np.where(counts <= K, d[np.clip(counts, 1, K) - 1], 1.0) * counts / np.repeat(whole, size)
+                r = int(_history_hash(v, u)[0] % np.uint64(ranges)) if r < 0 else r
+                out.append((r, v, u, size, alpha, words, counts, p))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TABLE.split(", ")])
+
+    rows = made.where("kind = 'whole'").select(*columns).unionByName(spread).unionByName(home)
+    table = stored(rows.mapInPandas(weigh, TABLE), "grams", buckets=(buckets, "range"))
+    dropped(made)
+    return table
+
+
+def _located(keys: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
+    """The place of each key among known ones, which are distinct; -1 where there is none. Columns of ids."""
+    if not len(known[0]):
+        return np.full(len(keys[0]), -1)
+    for salt in range(1, 1 << 30):
+        hashed = lambda columns, h: [h := mix(h + c.astype(np.uint64)) for c in columns][-1]  # noqa: B023, E731
+        mine = hashed(known, np.uint64(salt))
+        order = np.argsort(mine)
+        mine = mine[order]
+        if not (mine[1:] == mine[:-1]).any():
+            break
+    at = order[np.minimum(np.searchsorted(mine, hashed(keys, np.uint64(salt))), len(mine) - 1)]
+    same = np.logical_and.reduce([k[at] == q for k, q in zip(known, keys, strict=True)])
+    return np.where(same, at, -1)
+
+
+def _looked_up(slices: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """(block, range, blob): of a slice's n-grams p, or -alpha of the history where unseen (nan: not in this range), and whether more than `most` were counted."""
+
+    def answer(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks):
+            return pd.DataFrame([], columns=["block", "range", "blob"])
+        known = [np.concatenate([*rows[c], np.zeros(0, t)]) for c, t in (("v", np.int64), ("u", np.int64), ("size", np.int64), ("alpha", float), ("words", np.int64), ("counts", np.int64), ("p", float))]
+        v, u, size, alpha, words, counts, p = known
+        size = size.astype(np.int64)
+        sizes, parts = [], []
+        for blob in asks["blob"]:
+            parts.append(_gathered([blob])[:4])
+            sizes.append(len(parts[-1][0]))
+        qv, qu, _, qw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        tri = len(qu) > 0
+        histories = [v, u] if tri else [v]
+        place = _located([qv, qu, qw] if tri else [qv, qw], [*(np.repeat(x, size) for x in histories), words])
+        hit, miss = place >= 0, np.flatnonzero(place < 0)
+        value, many = np.full(len(qw), np.nan), np.zeros(len(qw), bool)
+        value[hit], many[hit] = p[place[hit]], counts[place[hit]] > most
+        # parts of a hot history in this range are one history, as all have its alpha
+        order = np.lexsort(histories)
+        distinct = order[_heads(*(x[order] for x in histories))] if len(v) else order
+        at = _located([qv[miss], qu[miss]] if tri else [qv[miss]], [x[distinct] for x in histories])
+        value[miss[at >= 0]] = -alpha[distinct[at[at >= 0]]]
+        cut = np.cumsum(sizes)[:-1]
+        blobs = [_pack(a, m) for a, m in zip(np.split(value, cut), np.split(many, cut), strict=True)]
+        return pd.DataFrame({"block": asks["block"], "range": asks["range"], "blob": blobs})
+
+    return table.groupBy("range").cogroup(slices.groupBy("range")).applyInPandas(lambda rows, asks: answer(asks, rows), "block long, range int, blob binary")
+
+
+def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each n-gram its probability, whether it was seen, and whether it is hot as a history. lower: probabilities of the next lower order."""
+    value, many = np.full(len(g.w), np.nan), np.zeros(len(g.w), bool)
+    blobs = dict(zip(got["range"], got["blob"], strict=True))
+    for k, mine in _dealt(g.hashes, ranges):
+        value[mine], many[mine] = _unpack(blobs[k])
+    # a hot history's alpha is with what asked for it, the last of the history
+    alone = np.where(g.hot, value[np.searchsorted(g.history, g.history, "right") - 1], value) if len(value) else value
+    return np.where(value > 0, value, -alone * lower), value > 0, many
+
+
+def _rows(blocks: DataFrame, make) -> DataFrame:
+    """(range, block, blob) of what make(row) yields for each block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                yield pd.DataFrame([(k, row.block, blob) for k, blob in make(row)], columns=["range", "block", "blob"])
+
+    return blocks.mapInPandas(run, "range int, block long, blob binary")
+
+
+def _bigram_slices(coded: DataFrame, m: Model, fitting: bool) -> DataFrame:
+    def make(row) -> Iterator[tuple[int, bytes]]:
+        g = _bigrams(_opened(row.blob, row.held), m)
+        for k, _, blob in _slices(g, m.ranges, g.times > 0, g.times) if fitting else _slices(g, m.ranges):
+            yield k, blob
+
+    m = m._replace(words=None, bigrams=None, trigrams=None)
+    return _rows(coded.select("block", "held", "blob"), make)
+
+
+def _with_bigrams(coded: DataFrame, m: Model) -> DataFrame:
+    """coded with a column two: of each of a block's bigrams its probability, and whether it was seen and is hot as a history."""
+    answers = _looked_up(_bigram_slices(coded, m, False), m.bigrams, m.most)
+    m = m._replace(words=None, bigrams=None, trigrams=None)
+
+    def put(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        b = _opened(block["blob"].iloc[0], block["held"].iloc[0])
+        g = _bigrams(b, m)
+        return block.assign(two=[_pack(*_probabilities(g, got, m.ranges, m.unigrams.probabilities(g.w)))])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields)
+    buckets = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put, f"{schema}, two binary"), "coded_bigrams", buckets=(buckets, "block"))
+
+
+def _lower(b: Block, two: Grams, p: np.ndarray, m: Model) -> np.ndarray:
+    """P(w | v) of each token."""
+    return np.where(two.of >= 0, np.append(p, 0.0)[two.of], m.unigrams.probabilities(b.vocabulary)[b.tokens])
+
+
+def _of_grams(g: Grams, of_tokens: np.ndarray) -> np.ndarray:
+    """What tokens have, by their n-grams; 0 of what asks alone."""
+    out = np.zeros(len(g.w))
+    out[g.of[g.of >= 0]] = of_tokens[g.of >= 0]
+    return out
+
+
+def _trigram_slices(coded: DataFrame, m: Model, fitting: bool) -> DataFrame:
+    def make(row) -> Iterator[tuple[int, bytes]]:
+        b = _opened(row.blob, row.held)
+        two = _bigrams(b, m)
+        p, seen, hot = _unpack(row.two)
+        g = _trigrams(b, two, seen, hot, m)
+        for k, _, blob in _slices(g, m.ranges, g.times > 0, g.times, _of_grams(g, _lower(b, two, p, m))) if fitting else _slices(g, m.ranges):
+            yield k, blob
+
+    m = m._replace(words=None, bigrams=None, trigrams=None)
+    return _rows(coded.select("block", "held", "blob", "two"), make)
+
+
+def _finished(coded: DataFrame, m: Model, kind: str) -> DataFrame:
+    answers = stored(_looked_up(_trigram_slices(coded, m, False), m.trigrams, m.most), "trigram_answers")
+    m = m._replace(words=None, bigrams=None, trigrams=None)
+
+    def finish(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        b, u = _opened(block["blob"].iloc[0], block["held"].iloc[0]), m.unigrams
+        two = _bigrams(b, m)
+        p, seen, hot = _unpack(block["two"].iloc[0])
+        lower = _lower(b, two, p, m)
+        g = _trigrams(b, two, seen, hot, m)
+        top, _, _ = _probabilities(g, got, m.ranges, _of_grams(g, lower))
+        doc, n = np.repeat(np.arange(len(b.lengths)), b.lengths), len(b.lengths)
+        score = np.bincount(doc, np.log10(np.where(g.of >= 0, np.append(top, 0.0)[g.of], lower)), n)
+        counts = u.counts(b.vocabulary)
+        base = np.bincount(doc, np.log10((counts + 1) / (u.tokens + u.unknown + 1))[b.tokens], n)
+        known = np.bincount(doc, (counts > 0)[b.tokens], n).astype(np.int64)
+        return pd.DataFrame({"id": pd.Series(list(block["ids"].iloc[0]), dtype=object), "held_out": block["held"].iloc[0], "n_tokens": b.lengths, "n_known": known, "train_tokens": u.tokens, "base_score": base, "score": score})
+
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scores = blocks.select("block", "ids", "held").groupBy("block").cogroup(partial.groupBy("block")).applyInPandas(finish, schema)
-    return scores, words, made.where("kind = 'grams'").select("range", "histories", "words", "counts")
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
+
+
+def fit_and_score(docs: DataFrame, id: str, text: str, held_out: Column, ranges: int | None = None) -> tuple[DataFrame, Model]:
+    """Learns from the rows that are not held out, and scores all: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), and the model."""
+    blocks = _blocks(docs, id, text, held_out)
+    sums = blocks.agg(F.sum("all_tokens"), F.sum("tokens"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
+    every, train, beginnings = (int(x or 0) for x in sums)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(buckets, -(-every // RANGE_TOKENS))
+    most = max(1, -(-train // (2 * ranges)))
+    asked = _asked(blocks, ranges)
+    words, uni = _ranked(asked, ranges, most)
+    m = Model(words, None, None, uni, ranges, most, beginnings)
+    coded = _coded(blocks, asked, m)
+    dropped(blocks)
+    m = m._replace(bigrams=_table(_bigram_slices(coded, m, True), uni, ranges, buckets))
+    both = _with_bigrams(coded, m)
+    dropped(coded)
+    m = m._replace(trigrams=_table(_trigram_slices(both, m, True), uni, ranges, buckets))
+    return _finished(both, m, dict(docs.dtypes)[id]), m
+
+
+def score(docs: DataFrame, id: str, text: str, m: Model) -> DataFrame:
+    """Scores of other texts from a model's tables, columns as of fit_and_score(); none is held out."""
+    blocks = _blocks(docs, id, text, F.lit(False))
+    return _finished(_with_bigrams(_coded(blocks, _asked(blocks, m.ranges), m), m), m, dict(docs.dtypes)[id])
+
+
+def saved(m: Model, path: str) -> None:
+    """Writes a model's tables below a path; bigrams and trigrams are partitioned by range."""
+    spark, u = m.words.sparkSession, m.unigrams
+    steps = spark.createDataFrame(pd.DataFrame({"count": u.count, "p": u.p, "first_id": u.first_id}), "count long, p double, first_id long")
+    m.words.join(F.broadcast(steps.select("count", "p")), "count").write.parquet(f"{path}/words")
+    m.bigrams.write.partitionBy("range").parquet(f"{path}/bigrams")
+    m.trigrams.write.partitionBy("range").parquet(f"{path}/trigrams")
+    steps.coalesce(1).write.parquet(f"{path}/counts")
+    row = (u.p_unknown, u.unknown, u.tokens, m.ranges, m.most, m.beginnings)
+    spark.createDataFrame([row], "p_unknown double, unknown long, tokens long, ranges int, most long, beginnings long").coalesce(1).write.parquet(f"{path}/model")
+
+
+def loaded(spark: SparkSession, path: str) -> Model:
+    """A model that saved() has written."""
+    steps = spark.read.parquet(f"{path}/counts").toPandas().sort_values("first_id")
+    x = spark.read.parquet(f"{path}/model").first()
+    uni = Unigrams(*(steps[c].to_numpy() for c in ("first_id", "count", "p")), x["p_unknown"], x["unknown"], x["tokens"])
+    grams = [spark.read.schema(TABLE).parquet(f"{path}/{t}") for t in ("bigrams", "trigrams")]
+    return Model(spark.read.parquet(f"{path}/words"), *grams, uni, x["ranges"], x["most"], x["beginnings"])

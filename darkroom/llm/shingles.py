@@ -7,9 +7,16 @@ sequence, hashed with its length.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+from darkroom.llm.common import WHITE
+
 WORDS = 5
+#: Bytes of a text that are hashed at once; a text needs about 40 bytes for each of these, whatever its length.
+PIECE = 1 << 20
+_WHITE = re.compile(b"[" + re.escape(WHITE) + b"]")
 _R = 0x9E3779B97F4A7C15
 _INVERSE = pow(_R, -1, 1 << 64)
 _ISWHITE = np.zeros(256, bool)
@@ -26,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _R and of its inverse, as far as the longest text so far needs."""
+    """Powers of _R and of its inverse, as far as the longest piece so far needs."""
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]), 1 << 16)
         for k, base in enumerate((_R, _INVERSE)):
@@ -37,9 +44,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash for each word, in order."""
-    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+def _hashes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     word = ~_ISWHITE[b]
     edge = np.diff(np.concatenate([[False], word, [False]]).view(np.int8))
@@ -52,6 +57,35 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _long_word(raw: memoryview) -> np.ndarray:
+    """The hash of one word, a piece at a time."""
+    total, up = 0, _power(PIECE)[0]
+    for at in range(0, len(raw), PIECE):
+        b = np.frombuffer(raw[at : at + PIECE], np.uint8)
+        total += int(((b + np.uint64(1)) * up[: len(b)]).sum(dtype=np.uint64)) * pow(_R, at, 1 << 64)
+    return mix(np.array([(total + len(raw)) % (1 << 64)], np.uint64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One 64-bit hash for each word, in order; texts are hashed in pieces of bounded size, cut between words."""
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    if len(raw) <= PIECE:
+        return _hashes(raw)
+    out, at, view = [], 0, memoryview(raw)
+    while at < len(raw):
+        found = _WHITE.search(raw, at + PIECE)
+        end = found.start() if found else len(raw)
+        # the last word of the piece may be longer than the piece itself
+        last = max(raw.rfind(bytes([c]), at, end) for c in WHITE) + 1
+        if end - max(at, last) > PIECE:
+            cut = max(at, last)
+            out += [_hashes(raw[at:cut]), _long_word(view[cut:end])]
+        else:
+            out.append(_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; none without words."""
     w = word_hashes(text)

@@ -30,56 +30,104 @@ def test_oracle(spark, name):
 
 
 def model(token_lists):
-    c1, c2, h = collections.Counter(), collections.Counter(), collections.defaultdict(dict)
+    """(counts by order, tokens, p(u, v, w)) of a trigram model by plain recursion."""
+    count = [collections.Counter() for _ in range(4)]
     for w in token_lists:
-        c1.update(w)
-        c2.update(zip(["<s>", *w], w))
-    for (a, b), c in c2.items():
-        h[a][b] = c
-    n1, n2 = collections.Counter(c1.values()), collections.Counter(c2.values())
-    d1, d2 = (katz.discounts([n[r] for r in range(1, katz.K + 2)]) for n in (n1, n2))
-    scale = lambda d, c: d[c - 1] if c <= katz.K else 1.0
-    total = sum(c1.values())
-    freed = sum((1 - scale(d1, c)) * c for c in c1.values())
+        p = ["<s>", "<s>", *w]
+        for i in range(2, len(p)):
+            for n in (1, 2, 3):
+                count[n][tuple(p[i - n + 1 : i + 1])] += 1
+    d = [None]
+    for n in (1, 2, 3):
+        seen = collections.Counter(count[n].values())
+        d.append(katz.discounts([seen[r] for r in range(1, katz.K + 2)]))
+    scale = lambda n, c: d[n][c - 1] if c <= katz.K else 1.0
+    after = collections.defaultdict(dict)
+    for n in (2, 3):
+        for g, c in count[n].items():
+            after[g[:-1]][g[-1]] = c
+    total = sum(count[1].values())
+    freed = sum((1 - scale(1, c)) * c for c in count[1].values())
     size, unknown = (total, freed / total) if freed else (total + 1, 1 / (total + 1))
-    p1 = lambda w: scale(d1, c1[w]) * c1[w] / size if c1[w] else unknown
-    alpha = {}
-    for a, f in h.items():
-        n, free = sum(f.values()), sum((1 - scale(d2, c)) * c for c in f.values())
-        alpha[a] = ((free or 1) / (n + (free == 0)) / (1 - sum(map(p1, f))), n + (free == 0))
+    known = {}
 
-    def p(a, w):
-        if a not in alpha:
-            return p1(w)
-        c = h[a].get(w, 0)
-        return scale(d2, c) * c / alpha[a][1] if c else alpha[a][0] * p1(w)
+    def p(h, w):
+        if not h:
+            c = count[1][(w,)]
+            return scale(1, c) * c / size if c else unknown
+        n, f = len(h) + 1, after.get(h)
+        if f is None:
+            return p(h[1:], w)
+        if h not in known:
+            m, free = sum(f.values()), sum((1 - scale(n, c)) * c for c in f.values())
+            if all(c > katz.K for c in f.values()):
+                m, free = m + 1, 1
+            known[h] = free / m / (1 - sum(p(h[1:], x) for x in f)), m
+        alpha, m = known[h]
+        c = f.get(w, 0)
+        return scale(n, c) * c / m if c else alpha * p(h[1:], w)
 
-    return c1, total, p
+    return count, total, lambda u, v, w: p((u, v), w)
+
+
+def text_score(p, w):
+    w = ["<s>", "<s>", *w]
+    return sum(math.log10(p(*w[i - 2 : i + 1])) for i in range(2, len(w)))
 
 
 def test_katz_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     tokens = {k: [*words(t), "</s>"] for k, t in docs}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in docs}
-    c1, total, p = model([w for k, w in tokens.items() if not held[k]])
-    for a in ("<s>", "the", docs[0][1].split()[0].lower(), "never seen"):
-        assert sum(p(a, w) for w in c1) + p(a, "never seen") == pytest.approx(1, abs=1e-9)
+    count, total, p = model([w for k, w in tokens.items() if not held[k]])
+    vocabulary = [w for (w,) in count[1]]
+    for u, v in (("<s>", "<s>"), ("<s>", "the"), next(iter(count[2])), ("never seen", "the"), ("the", "never seen")):
+        assert sum(p(u, v, w) for w in vocabulary) + p(u, v, "unknown") == pytest.approx(1, abs=1e-9)
     got = {r.doc_id: r for r in catalogue.op3_katz(spark, SF).collect()}
     assert set(got) == set(tokens)
     for k, w in tokens.items():
         r = got[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(w), sum(c1[x] > 0 for x in w), total)
-        assert r.base_score == pytest.approx(sum(math.log10((c1[x] + 1) / (total + len(c1) + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(w), sum(count[1][x,] > 0 for x in w), total)
+        assert r.base_score == pytest.approx(sum(math.log10((count[1][x,] + 1) / (total + len(vocabulary) + 1)) for x in w))
+        assert r.score == pytest.approx(text_score(p, w), rel=1e-9)
+
+
+@pytest.mark.parametrize("ranges", [1, 60])
+def test_katz_deals_hot_histories_and_scores_new_texts_from_stored_tables(spark, tmp_path, ranges):
+    """Of 60 ranges most histories are hot, so that their sums and alphas come from several ranges."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a a a b b c d e f g".split()) for _ in range(rng.randrange(0, 60))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, _, p = model([[*words(t), "</s>"] for i, t in enumerate(texts) if i % 5])
+    scores, m = katz.fit_and_score(rows, "doc_id", "text", F.col("doc_id") % 5 == 0, ranges)
+    for r in scores.collect():
+        assert r.score == pytest.approx(text_score(p, [*words(texts[r.id]), "</s>"]), rel=1e-9)
+    katz.saved(m, f"file://{tmp_path}/model")
+    new = ["a b zz c", "", "g g g g zz zz", "a a b b c"]
+    m = katz.loaded(spark, f"file://{tmp_path}/model")
+    got = katz.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), "doc_id", "text", m).collect()
+    for r in got:
+        assert r.score == pytest.approx(text_score(p, [*words(new[r.id]), "</s>"]), rel=1e-9)
+    # stored weights: over the vocabulary a history's probabilities sum to 1
+    row = m.trigrams.where("size(words) > 0").first()
+    n, (u, v) = row["size"][0], (row["u"][0], row["v"][0])
+    parts = [x for x in m.trigrams.where((F.col("u")[0] == u) & (F.col("v")[0] == v)).collect() if len(x["words"])]
+    if ranges == 1:
+        lower = {w: q for x in m.bigrams.collect() for i, vv in enumerate(x["v"]) if vv == v for w, q in list(zip(x["words"], x["p"]))[sum(x["size"][:i]) : sum(x["size"][: i + 1])]}
+        seen = row["words"][:n]
+        assert sum(row["p"][:n]) + row["alpha"][0] * (1 - sum(lower[w] for w in seen)) == pytest.approx(1, abs=1e-9)
+    else:
+        assert len({x["alpha"][0] for x in parts}) == 1
 
 
 def test_katz_on_odd_rows(spark):
-    scores, _, grams = katz.fit_and_score(odd(spark), "doc_id", "text", F.col("doc_id") == 5)
+    scores, m = katz.fit_and_score(odd(spark), "doc_id", "text", F.col("doc_id") == 5)
     got = scores.collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)
     assert sum(r.held_out for r in got) == 2 and {r.n_tokens for r in got if r.id in (1, 2, 3)} == {1}
-    assert grams.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] == got[0].train_tokens
-    nothing, _, _ = katz.fit_and_score(odd(spark), "doc_id", "text", F.lit(True))
+    for table in (m.bigrams, m.trigrams):
+        assert table.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] == got[0].train_tokens
+    nothing, _ = katz.fit_and_score(odd(spark), "doc_id", "text", F.lit(True))
     assert {r.score for r in nothing.collect()} == {0.0}
     assert katz.fit_and_score(empty(spark), "doc_id", "text", F.lit(False))[0].count() == 0
 
@@ -215,6 +263,15 @@ def test_estimates_and_kernels(spark):
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab  \n\té") for _ in range(n)) for n in (10, 63, 64, 65, 500)] + ["x" * 300, " " * 200 + "y" * 200, "ab " * 30 + "z" * 130 + " q", "z" * 65]
+    want = [shingles.word_hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    assert [shingles.word_hashes(t).tolist() for t in texts] == want
+    assert [len(w) for w in want] == [len(words(t)) for t in texts]
+
+
 def slow_repeats(texts):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
