@@ -12,16 +12,16 @@ so that over the vocabulary and the class of unknown words each history's probab
 of whose counts are discounted gets one count more in its denominator, for unseen words. A text begins with two marks.
 
 Tables of a `Model`. words: (word, a 64-bit fingerprint; count; id, ranked by count; range; hot). bigrams and trigrams, partitioned by
-range of histories: a row holds many histories (u, v; u only of trigrams), each with its number of words, alpha and, end to end, its
-words with count and discounted probability p. saved() and loaded() keep a model for other texts and sessions.
+range of histories: a row holds a range, packed: histories (u, v; u only of trigrams) with alpha, and their words with count and
+discounted probability p. histories() and grams() unpack them; saved() and loaded() keep a model for score(), in other sessions too.
 
 Dataflow. A corpus is tokenised once into stored blocks of bounded size. Blocks ask for the ids of their distinct words, by
-fingerprint. For each order, they send their distinct training n-grams, pre-aggregated by block and packed, to the ranges of their
-histories, where counts meet and the tables are made; then they send all their distinct n-grams to look up p, or alpha where unseen.
-The number of ranges follows the tokens, so that each is of bounded size. A history with more than half a range's
-tokens is hot: its n-grams are dealt over all ranges by their words too, its sums meet in a second step, one row for each range, and
-its alpha is asked for at its home range. What is broadcast has one entry for each distinct count of words, at most the square
-root of twice the tokens. Of a range's words only their number reaches the driver, and one row for each distinct count.
+fingerprint. For each order they send their distinct n-grams, pre-aggregated by block and packed, to the ranges of their histories.
+There counts meet; when the discounts are known, each range makes its table and answers each block with p, or alpha where
+unseen. The number of ranges follows the tokens, so that each is of bounded size. A history with more than half a range's
+tokens is hot: its n-grams are dealt over all ranges by their words too, and its sums meet in a grouping of their own and go back to
+the ranges that have it. What is broadcast has one entry for each distinct count of words, at most the square root of twice the
+tokens. Of a range's words only their number reaches the driver, and one row for each distinct count.
 
 Defined cases: a null or empty text is one token, the end; null ids belong to training rows and keep their rows; repeated
 rows count and score each; without training rows every token is unknown, with probability 1; an empty table gives no rows;
@@ -46,9 +46,8 @@ from darkroom.llm.shingles import mix, word_hashes
 
 K = 5
 END = np.uint64(0x2545F4914F6CDD1D)
-BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 60_000
-RANGE_TOKENS = 1_500_000
-CHUNK = 100_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
+RANGE_TOKENS = 1_000_000
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -108,6 +107,10 @@ class Model(NamedTuple):
     most: int  # tokens of a history that is not hot
     beginnings: int  # training texts
 
+    def alone(self) -> Model:
+        """Without tables, for tasks."""
+        return self._replace(words=None, bigrams=None, trigrams=None)
+
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     """The same integers in the smallest type that holds them."""
@@ -277,10 +280,25 @@ def _history_hash(v: np.ndarray, u: np.ndarray) -> np.ndarray:
     return mix(h + mix(u.astype(np.uint64) + np.uint64(7))) if len(u) else h
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(key, return_inverse=True) of numbers that are not negative, by one sort of keys and places together where both fit in 64 bits."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()) >> (64 - bits):
+        return np.unique(key, return_inverse=True)
+    both = (key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    place = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both >>= np.uint64(bits)
+    new = np.append(True, both[1:] != both[:-1])
+    of = np.empty(len(key), np.int64)
+    of[place] = np.cumsum(new) - 1
+    return both[new].astype(np.int64), of
+
+
 def _grams(history: np.ndarray, known: np.ndarray, v: np.ndarray, u: np.ndarray, hot: np.ndarray, b: Block) -> Grams:
     """history: of each token a place in v, u and hot; known: whether the model has it."""
     n = len(b.vocabulary) + 1
-    key, of = np.unique((history * n + b.tokens)[known], return_inverse=True)
+    key, of = _distinct((history * n + b.tokens)[known])
     times = np.bincount(of, b.train[known], len(key)).astype(np.int64)
     # what asks for a hot history's alpha has the last word, n - 1
     asks = np.unique(key // n)
@@ -332,109 +350,160 @@ def _trigrams(b: Block, two: Grams, seen: np.ndarray, hot: np.ndarray, m: Model)
     return _grams(np.where(known, history, 0), known, np.append(two.w, start), np.append(two.v, start), np.append(hot, b.hot[-1]), b)
 
 
-def _slices(g: Grams, ranges: int, keep: np.ndarray | None = None, *more: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
-    """(range, places, blob) of n-grams, of all or of some: histories with their sizes, words, and more columns."""
-    pick = np.arange(len(g.w)) if keep is None else np.flatnonzero(keep)
-    for k, mine in _dealt(g.hashes[pick], ranges):
-        mine = pick[mine]
+def _slices(g: Grams, ranges: int, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, blob) of n-grams: histories with their sizes, words, and more columns."""
+    for k, mine in _dealt(g.hashes, ranges):
         head = np.flatnonzero(np.append(True, np.diff(g.history[mine]) != 0))
         size, lead = np.diff(np.append(head, len(mine))), mine[head]
-        yield k, mine, _pack(size.astype(np.uint32), _steps(g.v[lead]), _steps(g.u[lead]) if len(g.u) else g.u, g.hot[lead], g.w[mine] + 1, *(x[mine] for x in more))
+        yield k, _pack(size, _steps(g.v[lead]), _steps(g.u[lead]) if len(g.u) else g.u, g.hot[lead], g.w[mine] + 1, *(x[mine] for x in more))
 
 
-def _gathered(blobs: list[bytes]) -> list[np.ndarray]:
-    """v, u, hot, w and more columns of slices, end to end."""
-    parts = []
-    for blob in blobs:
-        size, v, u, hot, w, *more = _unpack(blob)
-        parts.append([np.repeat(np.cumsum(v), size), np.repeat(np.cumsum(u), size) if len(u) else u, np.repeat(hot, size), w - 1, *more])
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+# ---- tables ----
 
 
-# ---- tables ----
+class Part(NamedTuple):
+    """A range's distinct n-grams by history (u, v) and word, also those not seen in training."""
+
+    size: np.ndarray  # of histories, which ascend by u and v
+    v: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    count: np.ndarray
+    total: np.ndarray  # of histories
+    low: np.ndarray  # of histories, K each: r * n_r
+    seen: np.ndarray  # of histories: lower probabilities of words seen after them
+
+    def packed(self) -> bytes:
+        return _pack(self.size, _steps(self.v), _steps(self.u), self.w + 1, self.count, self.total, self.low.ravel(), self.seen)
+
+    @staticmethod
+    def opened(blob: bytes) -> Part:
+        size, v, u, w, count, total, low, seen = _unpack(blob)
+        return Part(size, np.cumsum(v), np.cumsum(u), w - 1, count, total.copy(), low.reshape(-1, K).copy(), seen.copy())
+
 
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """Ascending by columns of ids, the first first."""
+    if len(columns) == 1 or not len(columns[0]):
+        return np.argsort(columns[0], kind="stable")
+    if len(columns) == 2 and max(map(np.max, columns)) < 1 << 31 and min(map(np.min, columns)) >= 0:
+        return np.argsort((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1].astype(np.uint64))
+    return np.lexsort(columns[::-1])
 
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where any of some sorted columns changes."""
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
     for c in columns:
-        if len(c):
-            new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
-COUNTED = "kind string, range int, v array<long>, u array<long>, size array<int>, total array<long>, low array<long>, seen array<double>, words array<long>, counts array<long>"
-TABLE = "range int, v array<long>, u array<long>, size array<int>, alpha array<double>, words array<long>, counts array<long>, p array<double>"
+MET = "range int, blob binary, blocks array<long>, places array<binary>, hv array<long>, hu array<long>, total array<long>, low array<long>, seen array<double>, stat array<long>"
 
 
-def _counted(slices: DataFrame, uni: Unigrams) -> DataFrame:
-    """Counts of n-grams by range (kind 'whole'), those of hot histories in this range ('part'), and n_1 to n_(K+1) ('stat')."""
+def _met(slices: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
+    """One row for each range: its Part, each slice's places in it, sums of its hot histories, and n_1 to n_(K+1)."""
     shared = slices.sparkSession.sparkContext.broadcast(tuple(uni))
 
-    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        v, u, hot, w, times, *lower = _gathered(part["blob"].tolist())
-        order = np.lexsort((w, v, u) if len(u) else (w, v))
-        v, u, hot, w, times = v[order], u[order] if len(u) else u, hot[order], w[order], times[order].astype(np.int64)
-        head = _heads(v, u, w)
-        count = np.add.reduceat(times, head)
-        low_p = lower[0][order][head] if lower else Unigrams(*shared.value).probabilities(w[head])
-        v, u, hot, w = v[head], u[head] if len(u) else u, hot[head], w[head]
-        top = _heads(v, u)
-        of = np.repeat(np.arange(len(top)), np.diff(np.append(top, len(v))))
-        low = np.stack([np.bincount(of, np.where(count == r, r, 0), len(top)) for r in range(1, K + 1)], 1).astype(np.int64)
-        total, seen = np.add.reduceat(count, top), np.add.reduceat(low_p, top)
-        ends = np.append(top, len(v))
-        out = [("stat", key[0], None, None, None, None, [int((count == r).sum()) for r in range(1, K + 2)], None, None, None)]
-
-        def row(kind: str, a: int, z: int) -> None:
-            h, g = slice(a, z), slice(ends[a], ends[z])
-            out.append((kind, key[0], v[top[h]], u[top[h]] if len(u) else [], np.diff(ends[a : z + 1]), total[h], low[h].ravel(), seen[h], w[g], count[g]))
-
-        # runs of histories that are not hot, in pieces of bounded size; each hot one by itself
-        cut = np.flatnonzero(hot[top] | (np.diff(ends[:-1] // CHUNK, prepend=-1) > 0))
-        for a, z in zip(cut, [*cut[1:], len(top)], strict=True):
-            if hot[top[a]]:
-                row("part", a, a + 1)
-                a += 1
-            if a < z:
-                row("whole", a, z)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COUNTED.split(", ")])
-
-    return stored(slices.groupBy("range").applyInPandas(meet, COUNTED), "counted")
-
-
-def _table(slices: DataFrame, uni: Unigrams, ranges: int, buckets: int) -> DataFrame:
-    """The table of one order, in buckets by range."""
-    made = _counted(slices, uni)
-    stat = made.where("kind = 'stat'").select(*(F.sum(F.col("low")[r]) for r in range(K + 1))).first()
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        size, v, u, hot, w, times, *lower = (np.concatenate(x) for x in zip(*((s, np.cumsum(a), np.cumsum(b), *rest) for s, a, b, *rest in map(_unpack, rows["blob"])), strict=True))
+        histories = (u, v) if len(u) else (v,)
+        order = _order(*histories)
+        new = _changes(*(x[order] for x in histories))
+        of = np.empty(len(v), np.int64)
+        of[order] = np.cumsum(new) - 1
+        lead = order[new]
+        h = np.repeat(of, size)
+        order = _order(h, w)
+        new = _changes(h[order], w[order])
+        place = np.empty(len(w), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]
+        del order, new
+        n, g = len(lead), h[first]
+        count = np.bincount(place, times, len(first)).astype(np.int64)
+        below = lower[0][first] if lower else Unigrams(*shared.value).probabilities(w[first] - 1)
+        low = np.stack([r * np.bincount(g[count == r], minlength=n) for r in range(1, K + 1)], 1)
+        part = Part(np.bincount(g, minlength=n), v[lead], u[lead] if len(u) else u, w[first] - 1, count, np.bincount(g, count, n).astype(np.int64), low, np.bincount(g, np.where(count > 0, below, 0.0), n))
+        ends = np.cumsum([np.sum(_unpack(b)[0]) for b in rows["blob"]]).astype(int)
+        places = [_pack(_steps(x)) for x in np.split(place, ends[:-1])]
+        some = np.flatnonzero(hot[lead])
+        stat = [int((count == r).sum()) for r in range(1, K + 2)]
+        hu = part.u[some] if len(u) else np.full(len(some), -1)
+        return pd.DataFrame([(key[0], part.packed(), rows["block"].to_numpy(), places, part.v[some], hu, part.total[some], low[some].ravel(), part.seen[some], stat)], columns=[c.split()[0] for c in MET.split(", ")])
+
+    return stored(slices.groupBy("range").applyInPandas(meet, MET), "met", buckets=(buckets, "range"))
+
+
+def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The table of one order (range, blob), and answers (range, block, blob): of a slice's n-grams p, or -alpha of the history where unseen,
+    and whether more than `most` were counted."""
+    met = _met(slices, m.unigrams, buckets)
+    stat = met.select(*(F.sum(F.col("stat")[r]) for r in range(K + 1))).first()
     d = discounts([int(x or 0) for x in stat])
-    # sums of hot histories over all ranges
-    key = [F.col("v")[0].alias("hv"), F.coalesce(F.try_element_at("u", F.lit(1)), F.lit(-1)).alias("hu")]
-    parts = made.where("kind = 'part'").select(*key, "range", "v", "u", "size", "total", "low", "seen", "words", "counts")
-    sums = parts.groupBy("hv", "hu").agg(F.first("v").alias("v"), F.first("u").alias("u"), F.array(F.sum(F.col("total")[0])).alias("total"), F.array(*(F.sum(F.col("low")[r]) for r in range(K))).alias("low"), F.array(F.sum(F.col("seen")[0])).alias("seen"))
-    columns = ["range", "v", "u", "size", "total", "low", "seen", "words", "counts"]
-    spread = parts.drop("v", "u", "total", "low", "seen").join(sums, ["hv", "hu"]).select(*columns)
-    none = F.array().cast("array<long>")
-    home = sums.withColumns({"range": F.lit(-1), "size": F.array(F.lit(0)), "words": none, "counts": none}).select(*columns)
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # sums of hot histories over all ranges go back to each range that has them
+    low = F.transform(F.sequence(F.lit(0), F.size("hv") - 1), lambda i: F.slice("low", i * K + 1, K))
+    parts = met.where(F.size("hv") > 0).select("range", F.explode(F.arrays_zip("hv", "hu", "total", low.alias("low"), "seen")).alias("h")).select("range", "h.*")
+    sums = parts.groupBy("hv", "hu").agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("low")[r]) for r in range(K))).alias("low"), F.sum("seen").alias("seen"))
+    back = parts.select(F.col("range").alias("at"), "hv", "hu").join(sums, ["hv", "hu"]).select("at", "hv", "hu", "total", "low", "seen")
+    most = m.most
+
+    def weigh(key: tuple, rows: pd.DataFrame, hot: pd.DataFrame) -> pd.DataFrame:
+        row = rows.iloc[0]
+        t = Part.opened(row["blob"])
+        if len(hot):
+            at = _located([hot["hv"].to_numpy(), hot["hu"].to_numpy()] if len(t.u) else [hot["hv"].to_numpy()], [t.v, t.u] if len(t.u) else [t.v])
+            t.total[at], t.low[at], t.seen[at] = hot["total"], np.stack(hot["low"].tolist()), hot["seen"]
+        fixed = t.low.sum(1) == 0
+        whole = t.total + fixed
+        alpha = np.where(fixed, 1.0, t.low @ (1 - d)) / whole / (1 - t.seen)
+        p = np.where(t.count <= K, d[np.clip(t.count, 1, K) - 1], 1.0) * t.count / np.repeat(whole, t.size)
+        value, many = np.where(t.count > 0, p, -np.repeat(alpha, t.size)), t.count > most
+        out = []
+        for block, blob in zip(row["blocks"], row["places"], strict=True):
+            at = np.cumsum(_unpack(blob)[0])
+            out.append(("answer", key[0], block, _pack(value[at], many[at])))
+        known, seen = t.total > 0, t.count > 0
+        size = np.bincount(np.repeat(np.arange(len(known)), t.size)[seen], minlength=len(known))
+        out.append(("table", key[0], None, _pack(size[known], _steps(t.v[known]), _steps(t.u[known]) if len(t.u) else t.u, alpha[known], t.w[seen], t.count[seen], p[seen])))
+        return pd.DataFrame(out, columns=["kind", "range", "block", "blob"])
+
+    made = stored(met.groupBy("range").cogroup(back.groupBy("at")).applyInPandas(weigh, "kind string, range int, block long, blob binary"), "weighed", "kind")
+    dropped(met)
+    return made.where("kind = 'table'").select("range", "blob"), made.where("kind = 'answer'").select("range", "block", "blob")
+
+
+def _opened_table(blobs: list[bytes]) -> list[np.ndarray]:
+    """size, v, u, alpha of histories, and w, count, p of n-grams, of rows of a table."""
+    parts = [(size, np.cumsum(v), np.cumsum(u), *rest) for size, v, u, *rest in map(_unpack, blobs)]
+    kinds = (np.int64, np.int64, np.int64, float, np.int64, np.int64, float)
+    return [np.concatenate([*x, np.zeros(0, k)]) for x, k in zip(zip(*parts, strict=True) if parts else [()] * 7, kinds, strict=True)]
+
+
+def histories(table: DataFrame) -> DataFrame:
+    """(range, u, v, alpha) of a model's table, a row for each history; u is null in bigrams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r, v, u, size, total, low, seen, words, counts in b[columns].itertuples(index=False):
-                low = low.reshape(-1, K)
-                fixed = low.sum(1) == 0
-                whole = total + fixed
-                alpha = np.where(fixed, 1.0, low @ (1 - d)) / whole / (1 - seen)
-                p = np.where(counts <= K, d[np.clip(counts, 1, K) - 1], 1.0) * counts / np.repeat(whole, size)
-                r = int(_history_hash(v, u)[0] % np.uint64(ranges)) if r < 0 else r
-                out.append((r, v, u, size, alpha, words, counts, p))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TABLE.split(", ")])
-
-    rows = made.where("kind = 'whole'").select(*columns).unionByName(spread).unionByName(home)
-    table = stored(rows.mapInPandas(weigh, TABLE), "grams", buckets=(buckets, "range"))
-    dropped(made)
-    return table
+            for r, blob in zip(b["range"], b["blob"], strict=True):
+                _, v, u, alpha, *_ = _opened_table([blob])
+                yield pd.DataFrame({"range": r, "u": u if len(u) else None, "v": v, "alpha": alpha})
+
+    return table.mapInPandas(run, "range int, u long, v long, alpha double")
+
+
+def grams(table: DataFrame) -> DataFrame:
+    """(range, u, v, w, count, p) of a model's table, a row for each n-gram; u is null in bigrams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r, blob in zip(b["range"], b["blob"], strict=True):
+                size, v, u, _, w, count, p = _opened_table([blob])
+                yield pd.DataFrame({"range": r, "u": np.repeat(u, size) if len(u) else None, "v": np.repeat(v, size), "w": w, "count": count, "p": p})
+
+    return table.mapInPandas(run, "range int, u long, v long, w long, count long, p double")
 
 
 def _located(keys: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
@@ -454,35 +523,23 @@ def _located(keys: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
 
 
 def _looked_up(slices: DataFrame, table: DataFrame, most: int) -> DataFrame:
-    """(block, range, blob): of a slice's n-grams p, or -alpha of the history where unseen (nan: not in this range), and whether more than `most` were counted."""
-
-    def answer(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks):
-            return pd.DataFrame([], columns=["block", "range", "blob"])
-        known = [np.concatenate([*rows[c], np.zeros(0, t)]) for c, t in (("v", np.int64), ("u", np.int64), ("size", np.int64), ("alpha", float), ("words", np.int64), ("counts", np.int64), ("p", float))]
-        v, u, size, alpha, words, counts, p = known
-        size = size.astype(np.int64)
-        sizes, parts = [], []
-        for blob in asks["blob"]:
-            parts.append(_gathered([blob])[:4])
-            sizes.append(len(parts[-1][0]))
-        qv, qu, _, qw = (np.concatenate(x) for x in zip(*parts, strict=True))
-        tri = len(qu) > 0
-        histories = [v, u] if tri else [v]
-        place = _located([qv, qu, qw] if tri else [qv, qw], [*(np.repeat(x, size) for x in histories), words])
-        hit, miss = place >= 0, np.flatnonzero(place < 0)
-        value, many = np.full(len(qw), np.nan), np.zeros(len(qw), bool)
-        value[hit], many[hit] = p[place[hit]], counts[place[hit]] > most
-        # parts of a hot history in this range are one history, as all have its alpha
-        order = np.lexsort(histories)
-        distinct = order[_heads(*(x[order] for x in histories))] if len(v) else order
-        at = _located([qv[miss], qu[miss]] if tri else [qv[miss]], [x[distinct] for x in histories])
-        value[miss[at >= 0]] = -alpha[distinct[at[at >= 0]]]
-        cut = np.cumsum(sizes)[:-1]
-        blobs = [_pack(a, m) for a, m in zip(np.split(value, cut), np.split(many, cut), strict=True)]
-        return pd.DataFrame({"block": asks["block"], "range": asks["range"], "blob": blobs})
-
-    return table.groupBy("range").cogroup(slices.groupBy("range")).applyInPandas(lambda rows, asks: answer(asks, rows), "block long, range int, blob binary")
+    """Answers as of _weighed(), for n-grams of other texts; nan where a hot history is not in this range."""
+
+    def answer(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        size, v, u, alpha, words, counts, p = _opened_table(rows["blob"].tolist())
+        out = []
+        for block, r, blob in zip(asks["block"], asks["range"], asks["blob"], strict=True):
+            n, qv, qu, _, qw, _ = _unpack(blob)
+            ask = [np.cumsum(qv), np.cumsum(qu)] if len(qu) else [np.cumsum(qv)]
+            have = [v, u] if len(qu) else [v]
+            h = _located(ask, have) if len(v) else np.full(len(n), -1)
+            h = np.repeat(h, n)
+            place = _located([h, qw], [np.repeat(np.arange(len(v)), size), words + 1])
+            value = np.where(place >= 0, np.append(p, 0.0)[place], -np.append(alpha, np.nan)[h])
+            out.append((block, r, _pack(value, (np.append(counts, 0)[place] > most) & (place >= 0))))
+        return pd.DataFrame(out, columns=["block", "range", "blob"])
+
+    return table.groupBy("range").cogroup(slices.groupBy("range")).applyInPandas(answer, "block long, range int, blob binary")
 
 
 def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -507,20 +564,18 @@ def _rows(blocks: DataFrame, make) -> DataFrame:
     return blocks.mapInPandas(run, "range int, block long, blob binary")
 
 
-def _bigram_slices(coded: DataFrame, m: Model, fitting: bool) -> DataFrame:
+def _bigram_slices(coded: DataFrame, m: Model) -> DataFrame:
     def make(row) -> Iterator[tuple[int, bytes]]:
         g = _bigrams(_opened(row.blob, row.held), m)
-        for k, _, blob in _slices(g, m.ranges, g.times > 0, g.times) if fitting else _slices(g, m.ranges):
-            yield k, blob
+        return _slices(g, m.ranges, g.times)
 
-    m = m._replace(words=None, bigrams=None, trigrams=None)
+    m = m.alone()
     return _rows(coded.select("block", "held", "blob"), make)
 
 
-def _with_bigrams(coded: DataFrame, m: Model) -> DataFrame:
+def _with_bigrams(coded: DataFrame, answers: DataFrame, m: Model, buckets: int) -> DataFrame:
     """coded with a column two: of each of a block's bigrams its probability, and whether it was seen and is hot as a history."""
-    answers = _looked_up(_bigram_slices(coded, m, False), m.bigrams, m.most)
-    m = m._replace(words=None, bigrams=None, trigrams=None)
+    m = m.alone()
 
     def put(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = _opened(block["blob"].iloc[0], block["held"].iloc[0])
@@ -528,7 +583,6 @@ def _with_bigrams(coded: DataFrame, m: Model) -> DataFrame:
         return block.assign(two=[_pack(*_probabilities(g, got, m.ranges, m.unigrams.probabilities(g.w)))])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields)
-    buckets = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return stored(coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put, f"{schema}, two binary"), "coded_bigrams", buckets=(buckets, "block"))
 
 
@@ -545,21 +599,21 @@ def _of_grams(g: Grams, of_tokens: np.ndarray) -> np.ndarray:
 
 
 def _trigram_slices(coded: DataFrame, m: Model, fitting: bool) -> DataFrame:
+    """fitting: with the training counts and lower probabilities."""
+
     def make(row) -> Iterator[tuple[int, bytes]]:
         b = _opened(row.blob, row.held)
         two = _bigrams(b, m)
         p, seen, hot = _unpack(row.two)
         g = _trigrams(b, two, seen, hot, m)
-        for k, _, blob in _slices(g, m.ranges, g.times > 0, g.times, _of_grams(g, _lower(b, two, p, m))) if fitting else _slices(g, m.ranges):
-            yield k, blob
+        return _slices(g, m.ranges, g.times, _of_grams(g, _lower(b, two, p, m))) if fitting else _slices(g, m.ranges, g.times)
 
-    m = m._replace(words=None, bigrams=None, trigrams=None)
+    m = m.alone()
     return _rows(coded.select("block", "held", "blob", "two"), make)
 
 
-def _finished(coded: DataFrame, m: Model, kind: str) -> DataFrame:
-    answers = stored(_looked_up(_trigram_slices(coded, m, False), m.trigrams, m.most), "trigram_answers")
-    m = m._replace(words=None, bigrams=None, trigrams=None)
+def _finished(coded: DataFrame, answers: DataFrame, m: Model, kind: str) -> DataFrame:
+    m = m.alone()
 
     def finish(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b, u = _opened(block["blob"].iloc[0], block["held"].iloc[0]), m.unigrams
@@ -579,12 +633,15 @@ def _finished(coded: DataFrame, m: Model, kind: str) -> DataFrame:
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
 
 
+def _buckets(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fit_and_score(docs: DataFrame, id: str, text: str, held_out: Column, ranges: int | None = None) -> tuple[DataFrame, Model]:
     """Learns from the rows that are not held out, and scores all: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), and the model."""
-    blocks = _blocks(docs, id, text, held_out)
+    blocks, buckets = _blocks(docs, id, text, held_out), _buckets(docs)
     sums = blocks.agg(F.sum("all_tokens"), F.sum("tokens"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
     every, train, beginnings = (int(x or 0) for x in sums)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or max(buckets, -(-every // RANGE_TOKENS))
     most = max(1, -(-train // (2 * ranges)))
     asked = _asked(blocks, ranges)
@@ -592,17 +649,19 @@ def fit_and_score(docs: DataFrame, id: str, text: str, held_out: Column, ranges:
     m = Model(words, None, None, uni, ranges, most, beginnings)
     coded = _coded(blocks, asked, m)
     dropped(blocks)
-    m = m._replace(bigrams=_table(_bigram_slices(coded, m, True), uni, ranges, buckets))
-    both = _with_bigrams(coded, m)
+    bigrams, answers = _weighed(_bigram_slices(coded, m), m, buckets)
+    both = _with_bigrams(coded, answers, m, buckets)
     dropped(coded)
-    m = m._replace(trigrams=_table(_trigram_slices(both, m, True), uni, ranges, buckets))
-    return _finished(both, m, dict(docs.dtypes)[id]), m
+    trigrams, answers = _weighed(_trigram_slices(both, m, True), m, buckets)
+    return _finished(both, answers, m, dict(docs.dtypes)[id]), m._replace(bigrams=bigrams, trigrams=trigrams)
 
 
 def score(docs: DataFrame, id: str, text: str, m: Model) -> DataFrame:
     """Scores of other texts from a model's tables, columns as of fit_and_score(); none is held out."""
-    blocks = _blocks(docs, id, text, F.lit(False))
-    return _finished(_with_bigrams(_coded(blocks, _asked(blocks, m.ranges), m), m), m, dict(docs.dtypes)[id])
+    blocks, buckets = _blocks(docs, id, text, F.lit(False)), _buckets(docs)
+    coded = _coded(blocks, _asked(blocks, m.ranges), m)
+    both = _with_bigrams(coded, _looked_up(_bigram_slices(coded, m), m.bigrams, m.most), m, buckets)
+    return _finished(both, _looked_up(_trigram_slices(both, m, False), m.trigrams, m.most), m, dict(docs.dtypes)[id])
 
 
 def saved(m: Model, path: str) -> None:
@@ -622,5 +681,5 @@ def loaded(spark: SparkSession, path: str) -> Model:
     steps = spark.read.parquet(f"{path}/counts").toPandas().sort_values("first_id")
     x = spark.read.parquet(f"{path}/model").first()
     uni = Unigrams(*(steps[c].to_numpy() for c in ("first_id", "count", "p")), x["p_unknown"], x["unknown"], x["tokens"])
-    grams = [spark.read.schema(TABLE).parquet(f"{path}/{t}") for t in ("bigrams", "trigrams")]
+    grams = [spark.read.schema("range int, blob binary").parquet(f"{path}/{t}") for t in ("bigrams", "trigrams")]
     return Model(spark.read.parquet(f"{path}/words"), *grams, uni, x["ranges"], x["most"], x["beginnings"])

@@ -108,16 +108,18 @@ def test_katz_deals_hot_histories_and_scores_new_texts_from_stored_tables(spark,
     got = katz.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), "doc_id", "text", m).collect()
     for r in got:
         assert r.score == pytest.approx(text_score(p, [*words(new[r.id]), "</s>"]), rel=1e-9)
-    # stored weights: over the vocabulary a history's probabilities sum to 1
-    row = m.trigrams.where("size(words) > 0").first()
-    n, (u, v) = row["size"][0], (row["u"][0], row["v"][0])
-    parts = [x for x in m.trigrams.where((F.col("u")[0] == u) & (F.col("v")[0] == v)).collect() if len(x["words"])]
-    if ranges == 1:
-        lower = {w: q for x in m.bigrams.collect() for i, vv in enumerate(x["v"]) if vv == v for w, q in list(zip(x["words"], x["p"]))[sum(x["size"][:i]) : sum(x["size"][: i + 1])]}
-        seen = row["words"][:n]
-        assert sum(row["p"][:n]) + row["alpha"][0] * (1 - sum(lower[w] for w in seen)) == pytest.approx(1, abs=1e-9)
-    else:
-        assert len({x["alpha"][0] for x in parts}) == 1
+    # stored weights: over the words seen after a history, and the weight of all others, probabilities sum to 1
+    lower = {(r.v, r.w): r.p for r in katz.grams(m.bigrams).collect()}
+    top, alpha = collections.defaultdict(dict), {}
+    for r in katz.grams(m.trigrams).collect():
+        top[r.u, r.v][r.w] = r.p
+    for r in katz.histories(m.trigrams).collect():
+        assert alpha.setdefault((r.u, r.v), r.alpha) == r.alpha
+    first = m.unigrams.unknown + 1
+    assert set(alpha) == set(top) and len(top) > 20
+    for (u, v), seen in top.items():
+        rest = 1 - sum(lower[v, w] for w in seen)
+        assert sum(seen.values()) + alpha[u, v] * rest == pytest.approx(1, abs=1e-9) and (u != first or v == first or (first, v) in lower)
 
 
 def test_katz_on_odd_rows(spark):
@@ -126,7 +128,7 @@ def test_katz_on_odd_rows(spark):
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)
     assert sum(r.held_out for r in got) == 2 and {r.n_tokens for r in got if r.id in (1, 2, 3)} == {1}
     for table in (m.bigrams, m.trigrams):
-        assert table.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] == got[0].train_tokens
+        assert katz.grams(table).select(F.sum("count")).first()[0] == got[0].train_tokens
     nothing, _ = katz.fit_and_score(odd(spark), "doc_id", "text", F.lit(True))
     assert {r.score for r in nothing.collect()} == {0.0}
     assert katz.fit_and_score(empty(spark), "doc_id", "text", F.lit(False))[0].count() == 0
