@@ -75,7 +75,7 @@ def stored(df: DataFrame, name: str, *partition_by: str, buckets: tuple[int, str
     return table
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Removes the files of tables that stored() returned, once what was made of them is stored itself."""
+def dropped(*tables: DataFrame, part: str = "") -> None:
+    """Removes the files of tables that stored() returned, or those of one partition, once what was made of them is stored itself."""
     for t in tables:
-        _remove(t.sparkSession, _paths.pop(t))
+        _remove(t.sparkSession, f"{_paths[t]}/{part}")

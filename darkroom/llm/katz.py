@@ -17,8 +17,8 @@ discounted probability p. histories() and grams() unpack them; saved() and loade
 
 Dataflow. A corpus is tokenised once into stored blocks of bounded size. Blocks ask for the ids of their distinct words, by
 fingerprint. For each order they send their distinct n-grams, pre-aggregated by block and packed, to the ranges of their histories.
-There counts meet; when the discounts are known, each range makes its table and answers each block with p, or alpha where
-unseen. The number of ranges follows the tokens, so that each is of bounded size. A history with more than half a range's
+There counts meet; when the discounts are known, each range makes its table and answers each block with counts, and alpha
+where unseen; of these blocks evaluate the recursion, token by token. The number of ranges follows the tokens, so that each is of bounded size. A history with more than half a range's
 tokens is hot: its n-grams are dealt over all ranges by their words too, and its sums meet in a grouping of their own and go back to
 the ranges that have it. What is broadcast has one entry for each distinct count of words, at most the square root of twice the
 tokens. Of a range's words only their number reaches the driver, and one row for each distinct count.
@@ -96,6 +96,11 @@ def unigrams(count: np.ndarray, types: np.ndarray) -> Unigrams:
     return Unigrams(first.astype(np.int64), count.astype(np.int64), scale * count / total, (freed if freed > 0 else 1.0) / total, vocabulary, tokens)
 
 
+def scaled(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Counts, discounted."""
+    return np.where(count <= K, d[np.clip(count, 1, K) - 1], 1.0) * count
+
+
 class Model(NamedTuple):
     """What scores texts: tables, what is broadcast of the words, and how n-grams are dealt."""
 
@@ -106,11 +111,17 @@ class Model(NamedTuple):
     ranges: int
     most: int  # tokens of a history that is not hot
     beginnings: int  # training texts
+    bigram_discounts: np.ndarray | None = None
+    trigram_discounts: np.ndarray | None = None
 
     def alone(self) -> Model:
         """Without tables, for tasks."""
         return self._replace(words=None, bigrams=None, trigrams=None)
 
+    def totals(self, ids: np.ndarray) -> np.ndarray:
+        """How often ids begin a bigram: texts for the beginning, else a word's count; no text's end begins one, and none is asked for."""
+        return np.where(ids == self.unigrams.unknown + 1, self.beginnings, self.unigrams.counts(ids))
+
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     """The same integers in the smallest type that holds them."""
@@ -339,15 +350,15 @@ def _bigrams(b: Block, m: Model) -> Grams:
     return _grams(before, known[before], b.vocabulary, np.zeros(0, np.int64), b.hot, b)
 
 
-def _trigrams(b: Block, two: Grams, seen: np.ndarray, hot: np.ndarray, m: Model) -> Grams:
-    """seen, hot: of each bigram, as a history."""
+def _trigrams(b: Block, two: Two, m: Model) -> Grams:
     # a token's history is the bigram before it; a text's first token has the beginning twice, the last place
     history = np.empty_like(b.tokens)
-    history[1:] = two.of[:-1]
-    history[b.starts] = len(two.w)
+    history[1:] = two.grams.of[:-1]
+    history[b.starts] = len(two.count)
     start = b.vocabulary[-1]
-    known = (history >= 0) & np.append(seen, m.beginnings > 0)[history]
-    return _grams(np.where(known, history, 0), known, np.append(two.w, start), np.append(two.v, start), np.append(hot, b.hot[-1]), b)
+    known = (history >= 0) & np.append(two.count > 0, m.beginnings > 0)[history]
+    hot = np.append(two.count > m.most, b.hot[-1])
+    return _grams(np.where(known, history, 0), known, np.append(two.grams.w, start), np.append(two.grams.v, start), hot, b)
 
 
 def _slices(g: Grams, ranges: int, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -366,20 +377,26 @@ class Part(NamedTuple):
 
     size: np.ndarray  # of histories, which ascend by u and v
     v: np.ndarray
-    u: np.ndarray
+    u: np.ndarray  # empty in bigrams
     w: np.ndarray
     count: np.ndarray
-    total: np.ndarray  # of histories
-    low: np.ndarray  # of histories, K each: r * n_r
-    seen: np.ndarray  # of histories: lower probabilities of words seen after them
+    lower: np.ndarray  # of trigrams the training count of their bigram v w
+    fixed: np.ndarray  # and whether v has no discounted counts
 
     def packed(self) -> bytes:
-        return _pack(self.size, _steps(self.v), _steps(self.u), self.w + 1, self.count, self.total, self.low.ravel(), self.seen)
+        return _pack(self.size, _steps(self.v), _steps(self.u), self.w + 1, self.count, self.lower, self.fixed)
 
     @staticmethod
     def opened(blob: bytes) -> Part:
-        size, v, u, w, count, total, low, seen = _unpack(blob)
-        return Part(size, np.cumsum(v), np.cumsum(u), w - 1, count, total.copy(), low.reshape(-1, K).copy(), seen.copy())
+        size, v, u, w, *rest = _unpack(blob)
+        return Part(size, np.cumsum(v), np.cumsum(u), w - 1, *rest)
+
+    def sums(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of histories in this range: counts, r * n_r for r to K, and lower probabilities of the words seen after them."""
+        n, h = len(self.size), np.repeat(np.arange(len(self.size)), self.size)
+        p = scaled(self.lower, m.bigram_discounts) / np.maximum(m.totals(self.v)[h] + self.fixed, 1) if len(self.u) else m.unigrams.probabilities(self.w)
+        low = np.stack([r * np.bincount(h[self.count == r], minlength=n) for r in range(1, K + 1)], 1)
+        return np.bincount(h, self.count, n).astype(np.int64), low, np.bincount(h, np.where(self.count > 0, p, 0.0), n)
 
 
 def _order(*columns: np.ndarray) -> np.ndarray:
@@ -403,9 +420,9 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 MET = "range int, blob binary, blocks array<long>, places array<binary>, hv array<long>, hu array<long>, total array<long>, low array<long>, seen array<double>, stat array<long>"
 
 
-def _met(slices: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
+def _met(slices: DataFrame, m: Model, buckets: int) -> DataFrame:
     """One row for each range: its Part, each slice's places in it, sums of its hot histories, and n_1 to n_(K+1)."""
-    shared = slices.sparkSession.sparkContext.broadcast(tuple(uni))
+    m = m.alone()
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         size, v, u, hot, w, times, *lower = (np.concatenate(x) for x in zip(*((s, np.cumsum(a), np.cumsum(b), *rest) for s, a, b, *rest in map(_unpack, rows["blob"])), strict=True))
@@ -422,25 +439,23 @@ def _met(slices: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
         place[order] = np.cumsum(new) - 1
         first = order[new]
         del order, new
-        n, g = len(lead), h[first]
-        count = np.bincount(place, times, len(first)).astype(np.int64)
-        below = lower[0][first] if lower else Unigrams(*shared.value).probabilities(w[first] - 1)
-        low = np.stack([r * np.bincount(g[count == r], minlength=n) for r in range(1, K + 1)], 1)
-        part = Part(np.bincount(g, minlength=n), v[lead], u[lead] if len(u) else u, w[first] - 1, count, np.bincount(g, count, n).astype(np.int64), low, np.bincount(g, np.where(count > 0, below, 0.0), n))
+        n, count = len(lead), np.bincount(place, times, len(first)).astype(np.int64)
+        part = Part(np.bincount(h[first], minlength=n), v[lead], u[lead] if len(u) else u, w[first] - 1, count, *([x[first] for x in lower] or [np.zeros(0, np.int64)] * 2))
         ends = np.cumsum([np.sum(_unpack(b)[0]) for b in rows["blob"]]).astype(int)
         places = [_pack(_steps(x)) for x in np.split(place, ends[:-1])]
         some = np.flatnonzero(hot[lead])
+        total, low, seen = part.sums(m) if len(some) else (np.zeros((0, K)),) * 3
         stat = [int((count == r).sum()) for r in range(1, K + 2)]
         hu = part.u[some] if len(u) else np.full(len(some), -1)
-        return pd.DataFrame([(key[0], part.packed(), rows["block"].to_numpy(), places, part.v[some], hu, part.total[some], low[some].ravel(), part.seen[some], stat)], columns=[c.split()[0] for c in MET.split(", ")])
+        return pd.DataFrame([(key[0], part.packed(), rows["block"].to_numpy(), places, part.v[some], hu, total[some], low[some].ravel(), seen[some], stat)], columns=[c.split()[0] for c in MET.split(", ")])
 
     return stored(slices.groupBy("range").applyInPandas(meet, MET), "met", buckets=(buckets, "range"))
 
 
-def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """The table of one order (range, blob), and answers (range, block, blob): of a slice's n-grams p, or -alpha of the history where unseen,
-    and whether more than `most` were counted."""
-    met = _met(slices, m.unigrams, buckets)
+def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The table of one order (kind = 'table': range, blob), answers ('answer': range, block, blob) and discounts. An answer: of a slice's n-grams counts and
+    whether the history has no discounted counts, and of the unseen ones alpha."""
+    met = _met(slices, m, buckets)
     stat = met.select(*(F.sum(F.col("stat")[r]) for r in range(K + 1))).first()
     d = discounts([int(x or 0) for x in stat])
     # sums of hot histories over all ranges go back to each range that has them
@@ -448,38 +463,38 @@ def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, Data
     parts = met.where(F.size("hv") > 0).select("range", F.explode(F.arrays_zip("hv", "hu", "total", low.alias("low"), "seen")).alias("h")).select("range", "h.*")
     sums = parts.groupBy("hv", "hu").agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("low")[r]) for r in range(K))).alias("low"), F.sum("seen").alias("seen"))
     back = parts.select(F.col("range").alias("at"), "hv", "hu").join(sums, ["hv", "hu"]).select("at", "hv", "hu", "total", "low", "seen")
-    most = m.most
+    m = m.alone()
 
     def weigh(key: tuple, rows: pd.DataFrame, hot: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
         t = Part.opened(row["blob"])
+        total, low, seen = t.sums(m)
         if len(hot):
             at = _located([hot["hv"].to_numpy(), hot["hu"].to_numpy()] if len(t.u) else [hot["hv"].to_numpy()], [t.v, t.u] if len(t.u) else [t.v])
-            t.total[at], t.low[at], t.seen[at] = hot["total"], np.stack(hot["low"].tolist()), hot["seen"]
-        fixed = t.low.sum(1) == 0
-        whole = t.total + fixed
-        alpha = np.where(fixed, 1.0, t.low @ (1 - d)) / whole / (1 - t.seen)
-        p = np.where(t.count <= K, d[np.clip(t.count, 1, K) - 1], 1.0) * t.count / np.repeat(whole, t.size)
-        value, many = np.where(t.count > 0, p, -np.repeat(alpha, t.size)), t.count > most
+            total[at], low[at], seen[at] = hot["total"], np.stack(hot["low"].tolist()), hot["seen"]
+        fixed = low.sum(1) == 0
+        alpha = np.where(fixed, 1.0, low @ (1 - d)) / (total + fixed) / (1 - seen)
+        h = np.repeat(np.arange(len(alpha)), t.size)
         out = []
         for block, blob in zip(row["blocks"], row["places"], strict=True):
             at = np.cumsum(_unpack(blob)[0])
-            out.append(("answer", key[0], block, _pack(value[at], many[at])))
-        known, seen = t.total > 0, t.count > 0
-        size = np.bincount(np.repeat(np.arange(len(known)), t.size)[seen], minlength=len(known))
-        out.append(("table", key[0], None, _pack(size[known], _steps(t.v[known]), _steps(t.u[known]) if len(t.u) else t.u, alpha[known], t.w[seen], t.count[seen], p[seen])))
+            count = t.count[at]
+            out.append(("answer", key[0], block, _pack(count, fixed[h[at]], alpha[h[at[count == 0]]])))
+        known, seen = total > 0, t.count > 0
+        p = (scaled(t.count, d) / (total + fixed)[h])[seen]
+        out.append(("table", key[0], None, _pack(np.bincount(h[seen], minlength=len(known))[known], _steps(t.v[known]), _steps(t.u[known]) if len(t.u) else t.u, alpha[known], fixed[known], t.w[seen], t.count[seen], p)))
         return pd.DataFrame(out, columns=["kind", "range", "block", "blob"])
 
     made = stored(met.groupBy("range").cogroup(back.groupBy("at")).applyInPandas(weigh, "kind string, range int, block long, blob binary"), "weighed", "kind")
     dropped(met)
-    return made.where("kind = 'table'").select("range", "blob"), made.where("kind = 'answer'").select("range", "block", "blob")
+    return made, made.where("kind = 'answer'").select("range", "block", "blob"), d
 
 
 def _opened_table(blobs: list[bytes]) -> list[np.ndarray]:
-    """size, v, u, alpha of histories, and w, count, p of n-grams, of rows of a table."""
+    """size, v, u, alpha and fixed of histories, and w, count, p of n-grams, of rows of a table."""
     parts = [(size, np.cumsum(v), np.cumsum(u), *rest) for size, v, u, *rest in map(_unpack, blobs)]
-    kinds = (np.int64, np.int64, np.int64, float, np.int64, np.int64, float)
-    return [np.concatenate([*x, np.zeros(0, k)]) for x, k in zip(zip(*parts, strict=True) if parts else [()] * 7, kinds, strict=True)]
+    kinds = (np.int64, np.int64, np.int64, float, bool, np.int64, np.int64, float)
+    return [np.concatenate([*x, np.zeros(0, k)]) for x, k in zip(zip(*parts, strict=True) if parts else [()] * 8, kinds, strict=True)]
 
 
 def histories(table: DataFrame) -> DataFrame:
@@ -500,7 +515,7 @@ def grams(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r, blob in zip(b["range"], b["blob"], strict=True):
-                size, v, u, _, w, count, p = _opened_table([blob])
+                size, v, u, _, _, w, count, p = _opened_table([blob])
                 yield pd.DataFrame({"range": r, "u": np.repeat(u, size) if len(u) else None, "v": np.repeat(v, size), "w": w, "count": count, "p": p})
 
     return table.mapInPandas(run, "range int, u long, v long, w long, count long, p double")
@@ -522,35 +537,37 @@ def _located(keys: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
     return np.where(same, at, -1)
 
 
-def _looked_up(slices: DataFrame, table: DataFrame, most: int) -> DataFrame:
-    """Answers as of _weighed(), for n-grams of other texts; nan where a hot history is not in this range."""
+def _looked_up(slices: DataFrame, table: DataFrame) -> DataFrame:
+    """Answers as of _weighed(), for n-grams of other texts; alpha is nan where a hot history is not in this range."""
 
     def answer(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        size, v, u, alpha, words, counts, p = _opened_table(rows["blob"].tolist())
+        size, v, u, alpha, fixed, words, counts, _ = _opened_table(rows["blob"].tolist())
         out = []
         for block, r, blob in zip(asks["block"], asks["range"], asks["blob"], strict=True):
-            n, qv, qu, _, qw, _ = _unpack(blob)
+            n, qv, qu, _, qw, *_ = _unpack(blob)
             ask = [np.cumsum(qv), np.cumsum(qu)] if len(qu) else [np.cumsum(qv)]
-            have = [v, u] if len(qu) else [v]
-            h = _located(ask, have) if len(v) else np.full(len(n), -1)
-            h = np.repeat(h, n)
+            h = np.repeat(_located(ask, [v, u] if len(qu) else [v]), n)
             place = _located([h, qw], [np.repeat(np.arange(len(v)), size), words + 1])
-            value = np.where(place >= 0, np.append(p, 0.0)[place], -np.append(alpha, np.nan)[h])
-            out.append((block, r, _pack(value, (np.append(counts, 0)[place] > most) & (place >= 0))))
+            count = np.where(place >= 0, np.append(counts, 0)[place], 0)
+            out.append((block, r, _pack(count, np.append(fixed, False)[h], np.append(alpha, np.nan)[h[count == 0]])))
         return pd.DataFrame(out, columns=["block", "range", "blob"])
 
     return table.groupBy("range").cogroup(slices.groupBy("range")).applyInPandas(answer, "block long, range int, blob binary")
 
 
-def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each n-gram its probability, whether it was seen, and whether it is hot as a history. lower: probabilities of the next lower order."""
-    value, many = np.full(len(g.w), np.nan), np.zeros(len(g.w), bool)
+def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, totals: np.ndarray, d: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each n-gram its probability, count, and whether its history has no discounted counts. totals: of histories, by place; lower: probabilities of the next lower order."""
+    count, fixed, alpha = np.zeros(len(g.w), np.int64), np.zeros(len(g.w), bool), np.full(len(g.w), np.nan)
     blobs = dict(zip(got["range"], got["blob"], strict=True))
     for k, mine in _dealt(g.hashes, ranges):
-        value[mine], many[mine] = _unpack(blobs[k])
+        count[mine], fixed[mine], weights = _unpack(blobs[k])
+        alpha[mine[count[mine] == 0]] = weights
+    if not len(alpha):
+        return alpha, count, fixed
     # a hot history's alpha is with what asked for it, the last of the history
-    alone = np.where(g.hot, value[np.searchsorted(g.history, g.history, "right") - 1], value) if len(value) else value
-    return np.where(value > 0, value, -alone * lower), value > 0, many
+    last = np.searchsorted(g.history, g.history, "right") - 1
+    alpha, fixed = np.where(g.hot, alpha[last], alpha), np.where(g.hot, fixed[last], fixed)
+    return np.where(count > 0, scaled(count, d) / np.maximum(totals[g.history] + fixed, 1), alpha * lower), count, fixed
 
 
 def _rows(blocks: DataFrame, make) -> DataFrame:
@@ -574,39 +591,49 @@ def _bigram_slices(coded: DataFrame, m: Model) -> DataFrame:
 
 
 def _with_bigrams(coded: DataFrame, answers: DataFrame, m: Model, buckets: int) -> DataFrame:
-    """coded with a column two: of each of a block's bigrams its probability, and whether it was seen and is hot as a history."""
+    """coded with a column two: of each of a block's bigrams its count and whether its history has no discounted counts, and of the unseen ones the probability."""
     m = m.alone()
 
     def put(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = _opened(block["blob"].iloc[0], block["held"].iloc[0])
         g = _bigrams(b, m)
-        return block.assign(two=[_pack(*_probabilities(g, got, m.ranges, m.unigrams.probabilities(g.w)))])
+        p, count, fixed = _probabilities(g, got, m.ranges, m.totals(b.vocabulary), m.bigram_discounts, m.unigrams.probabilities(g.w))
+        return block.assign(two=[_pack(count, fixed, p[count == 0])])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields)
     return stored(coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put, f"{schema}, two binary"), "coded_bigrams", buckets=(buckets, "block"))
 
 
-def _lower(b: Block, two: Grams, p: np.ndarray, m: Model) -> np.ndarray:
-    """P(w | v) of each token."""
-    return np.where(two.of >= 0, np.append(p, 0.0)[two.of], m.unigrams.probabilities(b.vocabulary)[b.tokens])
+class Two(NamedTuple):
+    """A block's bigrams, with what is known of them, and P(w | v) of its tokens."""
+
+    grams: Grams
+    count: np.ndarray
+    fixed: np.ndarray
+    lower: np.ndarray
+
+
+def _two(b: Block, blob: bytes, m: Model) -> Two:
+    g = _bigrams(b, m)
+    count, fixed, rest = _unpack(blob)
+    p = scaled(count, m.bigram_discounts) / np.maximum(m.totals(b.vocabulary)[g.history] + fixed, 1)
+    p[count == 0] = rest
+    return Two(g, count, fixed, np.where(g.of >= 0, np.append(p, 0.0)[g.of], m.unigrams.probabilities(b.vocabulary)[b.tokens]))
 
 
 def _of_grams(g: Grams, of_tokens: np.ndarray) -> np.ndarray:
     """What tokens have, by their n-grams; 0 of what asks alone."""
-    out = np.zeros(len(g.w))
+    out = np.zeros(len(g.w), of_tokens.dtype)
     out[g.of[g.of >= 0]] = of_tokens[g.of >= 0]
     return out
 
 
-def _trigram_slices(coded: DataFrame, m: Model, fitting: bool) -> DataFrame:
-    """fitting: with the training counts and lower probabilities."""
-
+def _trigram_slices(coded: DataFrame, m: Model) -> DataFrame:
     def make(row) -> Iterator[tuple[int, bytes]]:
         b = _opened(row.blob, row.held)
-        two = _bigrams(b, m)
-        p, seen, hot = _unpack(row.two)
-        g = _trigrams(b, two, seen, hot, m)
-        return _slices(g, m.ranges, g.times, _of_grams(g, _lower(b, two, p, m))) if fitting else _slices(g, m.ranges, g.times)
+        two = _two(b, row.two, m)
+        g = _trigrams(b, two, m)
+        return _slices(g, m.ranges, g.times, _of_grams(g, np.append(two.count, 0)[two.grams.of]), _of_grams(g, np.append(two.fixed, False)[two.grams.of]))
 
     m = m.alone()
     return _rows(coded.select("block", "held", "blob", "two"), make)
@@ -617,13 +644,11 @@ def _finished(coded: DataFrame, answers: DataFrame, m: Model, kind: str) -> Data
 
     def finish(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b, u = _opened(block["blob"].iloc[0], block["held"].iloc[0]), m.unigrams
-        two = _bigrams(b, m)
-        p, seen, hot = _unpack(block["two"].iloc[0])
-        lower = _lower(b, two, p, m)
-        g = _trigrams(b, two, seen, hot, m)
-        top, _, _ = _probabilities(g, got, m.ranges, _of_grams(g, lower))
+        two = _two(b, block["two"].iloc[0], m)
+        g = _trigrams(b, two, m)
+        top, _, _ = _probabilities(g, got, m.ranges, np.append(two.count, m.beginnings), m.trigram_discounts, _of_grams(g, two.lower))
         doc, n = np.repeat(np.arange(len(b.lengths)), b.lengths), len(b.lengths)
-        score = np.bincount(doc, np.log10(np.where(g.of >= 0, np.append(top, 0.0)[g.of], lower)), n)
+        score = np.bincount(doc, np.log10(np.where(g.of >= 0, np.append(top, 0.0)[g.of], two.lower)), n)
         counts = u.counts(b.vocabulary)
         base = np.bincount(doc, np.log10((counts + 1) / (u.tokens + u.unknown + 1))[b.tokens], n)
         known = np.bincount(doc, (counts > 0)[b.tokens], n).astype(np.int64)
@@ -649,19 +674,22 @@ def fit_and_score(docs: DataFrame, id: str, text: str, held_out: Column, ranges:
     m = Model(words, None, None, uni, ranges, most, beginnings)
     coded = _coded(blocks, asked, m)
     dropped(blocks)
-    bigrams, answers = _weighed(_bigram_slices(coded, m), m, buckets)
+    made, answers, d = _weighed(_bigram_slices(coded, m), m, buckets)
+    m = m._replace(bigrams=made.where("kind = 'table'").select("range", "blob"), bigram_discounts=d)
     both = _with_bigrams(coded, answers, m, buckets)
     dropped(coded)
-    trigrams, answers = _weighed(_trigram_slices(both, m, True), m, buckets)
-    return _finished(both, answers, m, dict(docs.dtypes)[id]), m._replace(bigrams=bigrams, trigrams=trigrams)
+    dropped(made, part="kind=answer")
+    made, answers, d = _weighed(_trigram_slices(both, m), m, buckets)
+    m = m._replace(trigrams=made.where("kind = 'table'").select("range", "blob"), trigram_discounts=d)
+    return _finished(both, answers, m, dict(docs.dtypes)[id]), m
 
 
 def score(docs: DataFrame, id: str, text: str, m: Model) -> DataFrame:
     """Scores of other texts from a model's tables, columns as of fit_and_score(); none is held out."""
     blocks, buckets = _blocks(docs, id, text, F.lit(False)), _buckets(docs)
     coded = _coded(blocks, _asked(blocks, m.ranges), m)
-    both = _with_bigrams(coded, _looked_up(_bigram_slices(coded, m), m.bigrams, m.most), m, buckets)
-    return _finished(both, _looked_up(_trigram_slices(both, m, False), m.trigrams, m.most), m, dict(docs.dtypes)[id])
+    both = _with_bigrams(coded, _looked_up(_bigram_slices(coded, m), m.bigrams), m, buckets)
+    return _finished(both, _looked_up(_trigram_slices(both, m), m.trigrams), m, dict(docs.dtypes)[id])
 
 
 def saved(m: Model, path: str) -> None:
@@ -672,8 +700,8 @@ def saved(m: Model, path: str) -> None:
     m.bigrams.write.partitionBy("range").parquet(f"{path}/bigrams")
     m.trigrams.write.partitionBy("range").parquet(f"{path}/trigrams")
     steps.coalesce(1).write.parquet(f"{path}/counts")
-    row = (u.p_unknown, u.unknown, u.tokens, m.ranges, m.most, m.beginnings)
-    spark.createDataFrame([row], "p_unknown double, unknown long, tokens long, ranges int, most long, beginnings long").coalesce(1).write.parquet(f"{path}/model")
+    row = (u.p_unknown, u.unknown, u.tokens, m.ranges, m.most, m.beginnings, m.bigram_discounts.tolist(), m.trigram_discounts.tolist())
+    spark.createDataFrame([row], "p_unknown double, unknown long, tokens long, ranges int, most long, beginnings long, two array<double>, three array<double>").coalesce(1).write.parquet(f"{path}/model")
 
 
 def loaded(spark: SparkSession, path: str) -> Model:
@@ -682,4 +710,4 @@ def loaded(spark: SparkSession, path: str) -> Model:
     x = spark.read.parquet(f"{path}/model").first()
     uni = Unigrams(*(steps[c].to_numpy() for c in ("first_id", "count", "p")), x["p_unknown"], x["unknown"], x["tokens"])
     grams = [spark.read.schema("range int, blob binary").parquet(f"{path}/{t}") for t in ("bigrams", "trigrams")]
-    return Model(spark.read.parquet(f"{path}/words"), *grams, uni, x["ranges"], x["most"], x["beginnings"])
+    return Model(spark.read.parquet(f"{path}/words"), *grams, uni, x["ranges"], x["most"], x["beginnings"], np.array(x["two"]), np.array(x["three"]))
