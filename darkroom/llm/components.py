@@ -1,6 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join, so that a node with many edges is pre-aggregated and its join may be split. Labels
+Each step gives every edge the smallest neighbour of one of its ends. A node with many edges would meet in one task there, so edges are
+dealt by node and salt: minima come first by node and salt, then by node over at most SALTS rows, and go back to each salt. Labels
 halve their distance to the smallest node of the component, so the number of steps grows with the logarithm of its width. Each
 round is written to the shared folder, which cuts lineage. Only counts reach the driver.
 
@@ -12,12 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import stored
+from darkroom.llm.common import dropped, stored
 
+SALTS = 32
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, v) in both directions -> (u, m): the smallest of u and its neighbours."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+def _with_least(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """edges with m, the smallest v among those of its u."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(v), F.lit(SALTS)))
+    part = salted.groupBy(u, "salt").agg(F.min(v).alias("m"))
+    least = part.groupBy(u).agg(F.min("m").alias("m"))
+    return salted.join(part.select(u, "salt").join(least, u), [u, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -29,11 +35,12 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node are linked to the smallest of its neighbourhood
-        large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         # small star: a node and its neighbours below it are linked to the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "edges")
+        low = _with_least(large, "u", "v")
+        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("v = m").select("u", F.col("m").alias("v")))
+        before, now = now, stored(small.where("u <> v").distinct(), "edges")
+        dropped(before)
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

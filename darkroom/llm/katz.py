@@ -203,9 +203,10 @@ def _asked(blocks: DataFrame, ranges: int) -> DataFrame:
 
 def _dealt(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each range with the places of its hashes, in their order."""
-    r = (hashes % np.uint64(ranges)).astype(np.int64)
+    # of 16 bits a stable sort is by digits
+    r = (hashes % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
     order = np.argsort(r, kind="stable")
-    cut = np.searchsorted(r[order], np.arange(ranges + 1))
+    cut = np.append(0, np.cumsum(np.bincount(r, minlength=ranges)))
     for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
         if z > a:
             yield k, order[a:z]

@@ -9,16 +9,17 @@ Candidates never become all pairs of a bucket:
    the packed bits (share of equal 2-bit values, corrected for values equal by chance); pairs estimated 6 standard deviations
    below the threshold are left, the others are confirmed on full sets, a leader's members in chunks of bounded size.
 2. what a bucket still holds in more than one component may be linked past its leader. Such buckets' members are
-   gathered into groups, dealt into blocks of bounded size, and each two blocks of a group are compared on full sets by a
-   matrix product within one task, which emits links only.
+   gathered into groups. A component with many members in a group is dealt into blocks of its own, small ones share blocks, all of bounded
+   size. Two blocks are compared on full sets by a matrix product within one task, unless both are of one component, as members of
+   one component need no more links; a task emits what its links join.
 Components of all links follow, and class members get their class's component.
 
 Scale: text is read twice (the second time only candidates' texts become sets); what is shuffled is 16 bytes a band and class.
-A group of copies collapses before any pairing; a group of near copies costs a test for each member and leader, except for
-members that remain apart.
+A group of copies collapses before any pairing; a group of near copies costs a test for each member and leader, and one more with each
+block of members that remain apart: linear in the linked members, of the square of the unlinked ones only.
 
 Defined cases: without words or with a null text the set is empty and linked with nothing; rows with a null id are kept, in no
-component; rows that repeat an id are one node; an empty table gives no rows; other columns are ignored by group().
+component; rows that repeat an id are one node, so that texts of one id are in one component, and deduplicated() keeps one of them; an empty table gives no rows; other columns are ignored by group().
 """
 
 from __future__ import annotations
@@ -170,6 +171,29 @@ def confirmed(tests: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return tests.join(sets, "id").groupBy("test").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
+def blocked(groups: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(test, side, id): members of each group(node, component), and the group's smallest, dealt into blocks of about CHUNK; a test for each two blocks
+    whose members are not all of one component so far. so_far(node, component)."""
+    members = groups.select("component", "node").unionByName(groups.select("component", F.col("component").alias("node")).distinct()).withColumnRenamed("component", "of")
+    named = members.join(so_far, "node", "left").select("of", F.col("node").alias("id"), F.coalesce("component", "node").alias("label"))
+    size = named.groupBy("of", "label").agg(F.count("*").alias("n"))
+    kinds = size.groupBy("of").agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("n") < CHUNK, F.col("n"))), F.lit(0)).alias("rest")).where("labels > 1")
+    large = F.col("n") >= CHUNK
+    # a block is a label of its own and a number, or, of small labels together, a number alone
+    number = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest") / CHUNK), F.lit(1))))
+    placed = stored(named.join(size, ["of", "label"]).join(kinds, "of").select("of", "id", F.when(large, F.col("label")).alias("own"), number.cast("int").alias("number")), "placed")
+    blocks = placed.select("of", "own", "number").distinct()
+    key = lambda x: F.struct(F.col(f"{x}.own").isNotNull(), F.coalesce(f"{x}.own", "of"), f"{x}.number")
+    pairs = blocks.select("of", F.struct("own", "number").alias("x")).join(blocks.select("of", F.struct("own", "number").alias("y")), "of").where((key("x") <= key("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    alone = key("x") == key("y")
+    text = lambda x: F.concat_ws("/", F.coalesce(F.col(f"{x}.own").cast("string"), F.lit("")), f"{x}.number")
+    named_tests = pairs.withColumn("test", F.concat_ws(":", F.col("of").cast("string"), text("x"), text("y"))).withColumn("alone", alone)
+    sides = F.when(F.col("alone"), F.array(F.struct(F.col("x").alias("block"), F.lit("S").alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit("A").alias("side")), F.struct(F.col("y").alias("block"), F.lit("B").alias("side"))))
+    wanted = named_tests.select("of", "test", F.explode(sides).alias("s")).select("of", "test", "s.side", F.coalesce("s.block.own", "of").alias("own"), F.col("s.block.own").isNotNull().alias("pure"), "s.block.number")
+    have = placed.select("of", "id", F.col("own").isNotNull().alias("pure"), F.coalesce("own", "of").alias("own"), "number")
+    return wanted.join(have, ["of", "own", "pure", "number"]).select("test", "side", "id")
+
+
 def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable by links, and kept marks it."""
     signed = stored(signatures(docs, id, text), "signatures")
@@ -201,21 +225,17 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     first = stored(confirmed(tests, sets, percent), "links")
 
     # 2. buckets that still hold several components, in blocks
-    so_far = components(first, "a", "b")
+    so_far = stored(components(first, "a", "b"), "components")
     labelled = shared.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("least")).where("low <> high")
     # a bucket of two members, leader and member, was tested
     loose = stored(shared.join(apart.select("bucket", "least"), "bucket").where("id <> least").select("least", "id").distinct(), "loose")
-    groups = stored(components(loose, "least", "id"), "groups")
-    blocks = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-    count = blocks.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).join(groups.groupBy("component").count().where("count > 1"), "component", "left_semi")
-    placed = blocks.join(count, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    other = placed.select(F.col("node").alias("id"), "component", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    side = F.when(F.col("mine") == F.col("other"), "S").when(F.col("mine") < F.col("other"), "A").otherwise("B")
-    both = other.select(F.concat_ws(":", F.col("component").cast("string"), F.least("mine", "other"), F.greatest("mine", "other")).alias("test"), side.alias("side"), "id")
-    second = confirmed(both, sets, percent)
-
-    final = components(stored(first.unionByName(second), "links"), "a", "b")
+    second = confirmed(blocked(stored(components(loose, "least", "id"), "groups"), so_far), sets, percent)
+    # rows that share an id are one node
+    own = some.select("id", "class").distinct().join(reps.select("class", F.col("id").alias("rep")), "class").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps")).where("a <> b")
+    same = own.select("a", F.explode("reps").alias("b")).where("a <> b")
+
+    final = components(stored(first.unionByName(second).unionByName(same), "links"), "a", "b")
     # a table of its own, so that Spark may split the join where a class has very many rows
     named = stored(reps.select("class", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component")), "class_components")
     out = signed.select("id", "n", "class").join(named, "class", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
@@ -224,5 +244,12 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
 
 def deduplicated(docs: DataFrame, id: str, text: str) -> DataFrame:
     """docs with one document of each group."""
-    gone = group(docs, id, text).where(~F.col("kept")).select(F.col("id").alias(id)).distinct()
-    return docs.join(gone, id, "left_anti")
+    found = group(docs, id, text)
+    gone = found.where(~F.col("kept")).select(F.col("id").alias(id)).distinct()
+    kept = docs.join(gone, id, "left_anti")
+    again = docs.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1")
+    if again.isEmpty():
+        return kept
+    # of rows that repeat an id one stays; only these meet
+    several = kept.join(again, id).drop("_n").dropDuplicates([id])
+    return kept.join(again.select(id), id, "left_anti").unionByName(several.select(kept.columns))

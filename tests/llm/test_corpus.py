@@ -253,6 +253,44 @@ def test_groups_equal_all_pairs(spark):
     assert minhash.deduplicated(rows, "doc_id", "text").where("doc_id IS NOT NULL").count() == len({find(x) for x in sets})
 
 
+def test_outliers_cost_no_square(spark):
+    """Near copies in one component are compared with the few that remain apart, not with each other."""
+    n = 5000
+    groups = spark.range(1, n + 3).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    so_far = spark.range(1, n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    sides = minhash.blocked(groups, so_far).groupBy("test").pivot("side", ["A", "B", "S"]).count().na.fill(0)
+    compared = sides.select(F.sum(F.col("A") * F.col("B") + F.col("S") * F.col("S"))).first()[0]
+    # the three that are apart meet each of the others once, and each other
+    assert compared <= 3 * n + 9
+
+
+def test_blocks_pair_different_components_only(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    groups = [(0, i) for i in range(1, 12)] + [(20, 21), (20, 22)]
+    label = {i: 0 for i in range(8)} | {8: 8, 9: 9, 10: 9, 11: 9, 20: 20, 21: 20, 22: 20}
+    rows = spark.createDataFrame([(n, g) for g, n in groups], "node long, component long")
+    tests = collections.defaultdict(lambda: collections.defaultdict(set))
+    for r in minhash.blocked(rows, spark.createDataFrame([(n, c) for n, c in label.items() if n != c], "node long, component long")).collect():
+        tests[r.test][r.side].add(r.id)
+    met = set()
+    for sides in tests.values():
+        a, b = (sides["S"], sides["S"]) if sides["S"] else (sides["A"], sides["B"])
+        met |= {(min(i, j), max(i, j)) for i in a for j in b if i != j}
+    need = {(i, j) for i in range(12) for j in range(i + 1, 12) if label[i] != label[j]}
+    assert need <= met and not {x for x in met if max(x) >= 20}
+    assert not {(i, j) for i, j in met if label[i] == label[j] == 0}
+
+
+def test_repeated_ids_are_one_node(spark):
+    a, b, c = "one two three four five six seven", "quite another text of seven words here", "a third text that is like no other one"
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, c), (9, b), (None, b)], "doc_id long, text string")
+    got = minhash.group(rows, "doc_id", "text").collect()
+    assert sorted((r.id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 7, True), (9, 3, False)]
+    assert sorted((r.doc_id or 0) for r in minhash.deduplicated(rows, "doc_id", "text").collect()) == [0, 3, 7]
+    alone = rows.where("doc_id = 5").unionByName(rows.where("doc_id = 7"))
+    assert sorted(r.doc_id for r in minhash.deduplicated(alone, "doc_id", "text").collect()) == [5, 7]
+
+
 def test_estimates_and_kernels(spark):
     a, b = (shingles.shingles(t) for t in near_copies(2, 9))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
