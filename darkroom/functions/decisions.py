@@ -82,3 +82,33 @@ def print_spec(size: Column, bleed: Column, margin: Column, dpi: Column, profile
         F.when(known, size).otherwise("A4").alias("book_size"), number(bleed, "double", 3.0, 0.0, 8.0).alias("bleed_mm"), number(margin, "double", 8.0, 4.0, 18.0).alias("safe_margin_mm"),
         number(dpi, "int", 300, 150, 600).alias("page_dpi"), F.when(supported, colour).otherwise("rgb").alias("color_profile"), warnings.alias("warnings"),
     )
+
+
+def accessible(user: Column, admin: Column, owner: Column) -> Column:
+    """Whether a user may see what an owner has: admins, the owner, and all where nobody owns it."""
+    return F.coalesce(admin, F.lit(False)) | owner.isNull() | F.coalesce(user == owner, F.lit(False))
+
+
+def chosen(decision: Column, wanted: str) -> Column:
+    """Whether a photo is listed under a recommendation: keep (all that is not removed), remove, or any other word for all."""
+    return F.lit(True) if wanted not in ("keep", "remove") else ~included(decision) if wanted == "remove" else included(decision)
+
+
+def analysis_refusal(status: Column, pending: Column) -> Column:
+    """Why an album's theme can't be analysed yet; null if it can."""
+    return F.when(status.isin("draft", "uploaded"), "cleaning_not_completed").when(F.coalesce(pending, F.lit(0)) > 0, "cleaning_review_pending")
+
+
+def analysis_key(album: Column, revision: Column, version: str, custom: Column) -> Column:
+    """The key under which equal requests of an analysis are one; of the custom text the first 500 characters count."""
+    text = F.coalesce(F.nullif(F.substring(F.trim(custom), 1, 500), F.lit("")), F.lit("default"))
+    return F.concat_ws(":", F.lit("theme-analysis"), album, revision, F.lit(version), F.substring(F.sha2(text, 256), 1, 12))
+
+
+def reopening(status: Column, chapters: Column, confirmed: Column) -> Column:
+    """What reopening a theme review does: nothing where it is open, a refusal, or reopen, which removes chapters only if that was confirmed."""
+    many = F.coalesce(chapters, F.lit(0)) > 0
+    return (
+        F.when(status == "review_pending", "open").when(~F.coalesce(status == "confirmed", F.lit(False)), "not_available")
+        .when(many & ~F.coalesce(confirmed, F.lit(False)), "confirmation_needed").when(many, "reopen_and_clear").otherwise("reopen")
+    )

@@ -19,6 +19,7 @@ def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
 
 
 #: Similarity by hours and by kilometres between neighbours.
+# fixed values: likeness by hours and by kilometres between photos
 BY_HOURS = [(0.0, 1.0), (6.0, 1.0), (24.0, 0.7), (72.0, 0.3), (336.0, 0.0)]
 BY_KM = [(0.0, 1.0), (5.0, 1.0), (50.0, 0.4), (300.0, 0.0)]
 

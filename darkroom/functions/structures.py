@@ -36,3 +36,22 @@ def usable_knots(signal: Column, probability: Column) -> Column:
     """Whether knots map signals to probabilities: two or more, signals rise, probabilities lie between 0 and 1 and never fall."""
     long = (F.size(signal) >= 2) & (F.size(signal) == F.size(probability))
     return F.coalesce(long & ascending(signal, True) & ascending(probability) & F.forall(probability, lambda p: p.between(0, 1)), F.lit(False))
+
+
+def listed(setting: Column) -> Column:
+    """A list from a setting's text: of JSON where it begins with a bracket, else of what commas part, trimmed, without empty ones; empty for null.
+
+    Null where the JSON can't be read."""
+    raw = F.trim(setting)
+    parts = F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.when(raw.isNull() | (raw == ""), F.array().cast("array<string>")).when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(parts)
+
+
+def concepts(texts: Column, most: int = 8) -> Column:
+    """The first distinct lower-case texts of a list, trimmed, without empty ones."""
+    return some_texts(F.transform(texts, lambda t: F.lower(t)), most)
+
+
+def without(details: Column, fields: tuple[str, ...], items: str, inner: tuple[str, ...]) -> Column:
+    """A struct without some fields, and without some fields of each struct in its array `items`."""
+    return details.dropFields(*fields).withField(items, F.transform(details[items], lambda i: i.dropFields(*inner)))

@@ -82,3 +82,19 @@ def rewrite_attribute(html: Column, tag: str, attribute: str, old: Column, new:
 def screenshot(filename: Column) -> Column:
     """Whether a file name is a screenshot's."""
     return F.coalesce(filename.rlike(SCREENSHOT), F.lit(False))
+
+
+def cjk_title(text: Column, most: int = 8, least: int = 2) -> Column:
+    """The first Chinese characters of a text, nothing else; null if they are too few."""
+    only = F.substring(F.regexp_replace(text, "[^\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]", ""), 1, most)
+    return F.when(F.length(only) >= least, only)
+
+
+def snippet(html: Column, most: int = 800) -> Column:
+    """The first characters of a page's markup; empty for null."""
+    return F.substring(F.coalesce(html, F.lit("")), 1, most)
+
+
+def iso(time: Column) -> Column:
+    """ISO 8601 of a time; null stays null."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")

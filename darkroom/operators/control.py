@@ -59,13 +59,21 @@ def child_counts(parents: DataFrame, key: str, children: dict[str, DataFrame]) -
 
 
 def next_code(names: DataFrame, taken: DataFrame) -> DataFrame:
-    """(name, code): the name's slug, or the first free of slug-2, slug-3, ... for names whose slug is taken or repeats.
-
-    names(name, slug), taken(code). Numbers go on after the largest that is taken."""
-    split = taken.select(F.regexp_extract("code", r"^(.*?)(?:-(\d+))?$", 1).alias("slug"), F.coalesce(F.regexp_extract("code", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("number"))
-    most = split.groupBy("slug").agg(F.max("number").alias("most"))
-    rows = names.join(most, "slug", "left").withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy("name")) + F.coalesce("most", F.lit(0)))
-    return rows.select("name", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n"))).alias("code"))
+    """(name, code): of slug, slug-2, slug-3, ... the first that is free; names of one slug take them in order of name.
+
+    names(name, slug), taken(code). Another name's own slug counts as taken, so that slugs are settled before numbers. Taken
+    numbers and names of a slug are swept together: the k-th name gets k plus as many as are taken before the k-th free number."""
+    own = names.select(F.col("slug").alias("code"))
+    codes = taken.select("code").unionByName(own).where(F.col("code").isNotNull()).distinct()
+    number = F.regexp_extract("code", r"-([1-9]\d*)$", 1).try_cast("long")
+    numbered = codes.select(F.regexp_replace("code", r"-[1-9]\d*$", "").alias("slug"), number.alias("n")).where("n >= 2")
+    plain = taken.select(F.col("code").alias("slug"), F.lit(1).cast("long").alias("n"))
+    used = numbered.unionByName(plain).distinct().withColumn("at", F.col("n") - F.row_number().over(Window.partitionBy("slug").orderBy("n")))
+    wanted = names.select("slug", "name", F.row_number().over(Window.partitionBy("slug").orderBy("name")).cast("long").alias("at"))
+    # a number taken before the k-th free one has fewer than k free ones below it
+    rows = wanted.withColumn("used", F.lit(0)).unionByName(used.select("slug", F.lit(None).cast(dict(names.dtypes)["name"]).alias("name"), "at", F.lit(1).alias("used")))
+    swept = rows.withColumn("n", F.col("at") + F.sum("used").over(Window.partitionBy("slug").orderBy("at", "used").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("used = 0")
+    return swept.select("name", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n"))).alias("code"))
 
 
 def audit(events: DataFrame, path: str, value: str) -> DataFrame:
@@ -83,3 +91,25 @@ def most_common(rows: DataFrame, keys: list[str], value: str, order: str) -> Dat
     """For each key the most frequent value that is not null; of equally frequent ones that seen first in order, then the smallest."""
     seen = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return seen.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), "first", value)).alias(value))
+
+
+def listed(tasks: DataFrame, album: str | None = None, kind: str | None = None) -> DataFrame:
+    """Tasks of an album and of a kind, where these are asked for, the newest first."""
+    for column, value in (("album_id", album), ("task_type", kind)):
+        tasks = tasks if value is None else tasks.where(F.col(column) == value)
+    return tasks.orderBy(F.desc("created_at"), "task_id")
+
+
+def reassigned(rows: DataFrame, column: str, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with old values of a column replaced by new ones, and (old, moved): how many rows each move touched. moves(old, new), old distinct."""
+    both = rows.join(moves.select(F.col("old").alias(column), F.col("new").alias("_new")), column, "left")
+    counts = rows.groupBy(F.col(column).alias("old")).agg(F.count("*").alias("moved"))
+    changed = both.withColumn(column, F.coalesce("_new", column)).drop("_new").select(rows.columns)
+    return changed, moves.select("old").join(counts, "old", "left").na.fill({"moved": 0})
+
+
+def fresh(changes: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """changes with accepted: whether the revision that each expects is the current one; a change that expects none is accepted, one of an unknown key is not."""
+    now = current.select(key, F.col("revision").alias("_now"))
+    ok = F.col("_now").isNotNull() & (F.col("expected").isNull() | (F.col("expected") == F.col("_now")))
+    return changes.join(now, key, "left").withColumn("accepted", ok).drop("_now")

@@ -14,7 +14,7 @@ from darkroom.functions import times, vectors
 
 NEAR = {"hamming": 6, "aspect": 0.02, "histogram": 0.20}
 BURST = {"hamming": 12, "aspect": 0.05, "histogram": 0.30, "ms": 3000}
-BAND_BITS, NEIGHBOURS, MOST_CANDIDATES, MOST_MEMBERS = 5, 8, 64, 64
+BAND_BITS, NEIGHBOURS, MOST_MEMBERS = 5, 8, 64
 
 
 def exact_groups(photos: DataFrame, *order: F.Column) -> DataFrame:

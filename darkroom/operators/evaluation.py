@@ -61,21 +61,52 @@ def family_consistency(rows: DataFrame, family: str, verdict: str) -> DataFrame:
     return per.agg(F.count("*").alias("families"), F.count_if(F.col("kinds") == 1).alias("consistent"))
 
 
+PARTS = 64
+
+
+def _swept(rows: DataFrame, score: str, **marks: F.Column) -> DataFrame:
+    """(score, above_*, below_*, all_*): of each distinct score, rows with a mark at or above it, at or below it, and in all, for each mark.
+
+    Rows are pre-aggregated by score; running sums go over PARTS ranges of scores, whose totals are combined first, so no task sees all
+    rows, and what is broadcast has PARTS rows whatever the scores are: those outside 0 to 1 belong to the first and last part."""
+    by = rows.groupBy(F.col(score).alias("score")).agg(*(F.count_if(m).alias(k) for k, m in marks.items()))
+    part = by.withColumn("part", F.least(F.greatest(F.floor(F.col("score") * PARTS), F.lit(0)), F.lit(PARTS - 1)))
+    run = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = part.withColumns({f"in_{k}": F.sum(k).over(run) for k in marks})
+    sums = part.groupBy("part").agg(*(F.sum(k).alias(f"p_{k}") for k in marks))
+    before = sums.alias("a").join(F.broadcast(sums).alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(*(F.coalesce(F.sum(f"b.p_{k}"), F.lit(0)).alias(f"before_{k}") for k in marks))
+    total = sums.agg(*(F.coalesce(F.sum(f"p_{k}"), F.lit(0)).alias(f"all_{k}") for k in marks))
+    out = inner.join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
+    below = {k: F.col(f"in_{k}") + F.col(f"before_{k}") for k in marks}
+    return out.select("score", *(b.alias(f"below_{k}") for k, b in below.items()), *((F.col(f"all_{k}") - b + F.col(k)).alias(f"above_{k}") for k, b in below.items()), *(f"all_{k}" for k in marks))
+
+
 def keep_threshold(rows: DataFrame, score: str, relevant: F.Column, precision: float = 0.90) -> DataFrame:
-    """One row: the lowest threshold of largest recall among those whose rows at or above it have that precision, from counts by distinct score (from 0 to 1); nulls if none has.
-
-    Rows are pre-aggregated by score; running sums go over ranges of scores, whose totals are combined first, so no task sees all rows."""
-    by = rows.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.count_if(relevant).alias("hit"))
-    total = by.agg(F.sum("n").alias("n_all"), F.sum("hit").alias("hit_all"))
-    part = by.withColumn("part", F.floor(F.col("score") * 64))
-    inner = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = part.withColumns({"n_in": F.coalesce(F.sum("n").over(inner), F.lit(0)), "hit_in": F.coalesce(F.sum("hit").over(inner), F.lit(0))})
-    sums = part.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("hit").alias("ph"))
-    before = sums.alias("a").join(F.broadcast(sums).alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.pn"), F.lit(0)).alias("n_before"), F.coalesce(F.sum("b.ph"), F.lit(0)).alias("hit_before"))
-    swept = below.join(F.broadcast(before), "part").crossJoin(F.broadcast(total)).select("score", (F.col("n_all") - F.col("n_in") - F.col("n_before")).alias("at_least"), (F.col("hit_all") - F.col("hit_in") - F.col("hit_before")).alias("hits"), "hit_all")
-    good = swept.where(F.col("hits") >= precision * F.col("at_least"))
-    best = good.agg(F.max_by(F.struct("score", "hits", "at_least", "hit_all"), F.struct("hits", -F.col("score"))).alias("b"))
-    return best.select(F.col("b.score").alias("threshold"), (F.col("b.hits") / F.col("b.at_least")).alias("precision"), (F.col("b.hits") / F.col("b.hit_all")).alias("recall"))
+    """One row: the lowest threshold of largest recall among those whose rows at or above it have that precision, from counts by distinct score; nulls if none has."""
+    good = _swept(rows, score, n=F.lit(True), hit=relevant).where(F.col("above_hit") >= precision * F.col("above_n"))
+    best = good.agg(F.max_by(F.struct("score", "above_hit", "above_n", "all_hit"), F.struct("above_hit", -F.col("score"))).alias("b"))
+    return best.select(F.col("b.score").alias("threshold"), (F.col("b.above_hit") / F.col("b.above_n")).alias("precision"), (F.col("b.above_hit") / F.col("b.all_hit")).alias("recall"))
+
+
+def relevance_thresholds(rows: DataFrame, score: str, label: str, precision: float = 0.90, most_false: float = 0.02) -> DataFrame:
+    """One row (exclude_max, keep_min): of the distinct scores, 0 and 1, the lowest threshold of largest recall of relevant rows whose rows at or above it
+    have that precision (1 if none has), and that of largest recall of off-theme rows at or below it which excludes at most that share of relevant rows (0 if none does)."""
+    ends = rows.sparkSession.range(2).select(F.col("id").cast("double").alias(score), F.lit(None).cast("string").alias(label))
+    s = _swept(rows.select(F.col(score).cast("double").alias(score), label).unionByName(ends), score, n=F.col(label).isNotNull(), yes=F.coalesce(F.col(label) == "relevant", F.lit(False)), no=F.coalesce(F.col(label) == "off_theme", F.lit(False)))
+    keep = scoring.ratio(F.col("above_yes"), F.col("above_n")) >= precision
+    drop = scoring.ratio(F.col("below_yes"), F.col("all_yes")) <= most_false
+    first = lambda ok, gain: F.min_by("score", F.when(ok, F.struct(-F.col(gain), "score")))
+    return s.agg(F.round(F.coalesce(first(drop, "below_no"), F.lit(0.0)), 8).alias("exclude_max"), F.round(F.coalesce(first(keep, "above_yes"), F.lit(1.0)), 8).alias("keep_min"))
+
+
+def relevance_metrics(rows: DataFrame, score: str, label: str, thresholds: DataFrame) -> DataFrame:
+    """One row: precision and recall of what is kept, share of relevant rows that are excluded, and share of rows between the thresholds, which users review."""
+    both = rows.crossJoin(F.broadcast(thresholds.limit(1)))
+    yes = F.coalesce(F.col(label) == "relevant", F.lit(False))
+    kept, out = F.col(score) >= F.col("keep_min"), F.col(score) <= F.col("exclude_max")
+    n = lambda c: F.count_if(c)
+    ratio = scoring.ratio
+    return both.agg(ratio(n(kept & yes), n(kept)).alias("candidate_precision"), ratio(n(kept & yes), n(yes)).alias("relevant_recall"), ratio(n(out & yes), n(yes)).alias("false_exclusion_rate"), ratio(n(~kept & ~out), F.count("*")).alias("review_rate"))
 
 
 def requirements(rows: DataFrame, least_rows: int = 500, least_categories: int = 8) -> DataFrame:
@@ -111,14 +142,15 @@ def logistic_fit(rows: DataFrame, columns: list[str], label: str, most_rows: int
     bound = rows.select(*columns, F.col(label).cast("double").alias("_y")).orderBy(F.xxhash64(*columns)).limit(most_rows).toPandas()
     x, y = bound[columns].to_numpy(float), bound["_y"].to_numpy(float)
     mean, scale = np.nanmean(x, 0), np.nanstd(x, 0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
+    scale = np.maximum(scale, 1e-6)
     z, p = np.nan_to_num((x - mean) / scale), np.clip(y.mean(), 1e-6, 1 - 1e-6)
     w, b = np.zeros(len(columns)), float(np.log(p / (1 - p)))
     for t in range(steps):
         error = 1 / (1 + np.exp(-np.clip(z @ w + b, -40, 40))) - y
         step = rate / (1 + t / 300)
         w, b = w - step * (z.T @ error / len(y) + l2 * w), b - step * error.mean()
-    return {"columns": columns, "mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist(), "intercept": float(b)}
+    ten = lambda v: [round(float(i), 10) for i in v]
+    return {"columns": columns, "mean": ten(mean), "scale": ten(scale), "weights": ten(w), "intercept": round(float(b), 10)}
 
 
 # fixed values: gates of a cleaning run

@@ -88,3 +88,33 @@ def settled(proposals: DataFrame, most: int = 120) -> DataFrame:
     said = lambda p: F.filter("captions", lambda c: c["photo_id"] == p)
     text = lambda p: F.coalesce(F.substring(F.trim(F.get(said(p), 0)["text"]), 1, most), F.lit(""))
     return proposals.withColumn("ordered", ordered).withColumn("captions", F.transform("ordered", lambda p: F.struct(p.alias("photo_id"), text(p).alias("text"))))
+
+
+def full_books(sections: DataFrame, chapters: DataFrame, albums: DataFrame) -> DataFrame:
+    """(album_id, html): a document for each album: a cover, for each chapter in order of its first page a divider and its pages, and a closing page.
+
+    sections(album_id, chapter, page, html), chapters(album_id, chapter, name, description, photos), albums(album_id, title, cover_title, style,
+    photo_count). Pages without a known chapter have no divider. Parts are counted first and joined as rows, so only one album's markup meets in one row."""
+    first = sections.groupBy("album_id", "chapter").agg(F.min("page").alias("first"), F.count("*").alias("pages"))
+    named = first.join(chapters, ["album_id", "chapter"]).withColumn("nth", F.row_number().over(Window.partitionBy("album_id").orderBy("first")))
+    text = lambda c, most: texts.html_text(F.col(c), most)
+    p = lambda kind, body: F.concat(F.lit(f'<p class="{kind}">'), body, F.lit("</p>"))
+    page = lambda kind, *body: F.concat(F.lit(f'<section class="{kind}">'), *body, F.lit("</section>"))
+    counts = lambda *pairs: p("counts", F.concat_ws(", ", *(F.concat(F.col(c).cast("string"), F.lit(f" {word}")) for c, word in pairs)))
+    divider = page("divider", p("kicker", F.concat(F.lit("Chapter "), F.lpad(F.col("nth").cast("string"), 2, "0"))), F.lit("<h2>"), text("name", 80), F.lit("</h2>"), p("description", text("description", 180)), counts(("photos", "Photos"), ("pages", "Pages")))
+    size = albums.select("album_id").join(chapters.groupBy("album_id").agg(F.count("*").alias("chapters")), "album_id", "left").join(sections.groupBy("album_id").agg(F.count("*").alias("pages")), "album_id", "left").na.fill(0)
+    whole = albums.join(size, "album_id")
+    title = F.coalesce(F.nullif(F.trim("cover_title"), F.lit("")), F.col("title"))
+    subtitle = F.when(F.trim(title) != F.trim("title"), p("subtitle", text("title", 80))).otherwise("")
+    cover = page("cover", F.lit("<h1>"), texts.html_text(title, 80), F.lit("</h1>"), subtitle, counts(("photo_count", "Photos"), ("chapters", "Chapters")), p("style", text("style", 40)))
+    closer = page("closer", F.lit("<h2>"), text("title", 80), F.lit("</h2>"), counts(("photo_count", "Photos"), ("chapters", "Chapters"), ("pages", "Pages")))
+    # places: cover, then of each page number the divider before the page, then the closing page
+    part = lambda at, kind, html: F.struct(F.lit(at).cast("long").alias("page") if isinstance(at, int) else at.cast("long").alias("page"), F.lit(kind).alias("kind"), html.alias("html")).alias("part")
+    rows = sections.select("album_id", part(F.col("page"), 1, F.col("html"))).unionByName(named.select("album_id", part(F.col("first"), 0, divider))).unionByName(whole.select("album_id", part(-1, 0, cover))).unionByName(whole.select("album_id", part(1 << 40, 2, closer)))
+    body = rows.groupBy("album_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda s: s["html"]), "").alias("body"))
+    return albums.join(body, "album_id").select("album_id", F.concat(F.lit("<!doctype html><title>"), text("title", 80), F.lit("</title>"), F.col("body")).alias("html"))
+
+
+def shown(rows: DataFrame, keys: list[str], order: list[F.Column], page: int = 24, clicks: int = 0) -> DataFrame:
+    """Of each list the first page of rows, and one more for each click."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= page * (clicks + 1)).drop("_n")

@@ -67,3 +67,35 @@ def accept_preferred(groups: DataFrame, members: DataFrame, least: float = 0.8)
     """Wanted decisions for groups of enough confidence: the preferred photo is kept, the others go."""
     sure = groups.where(F.col("confidence") >= least).select("album_id", "group_id", "preferred")
     return members.join(sure, ["album_id", "group_id"]).select("album_id", "photo_id", F.when(F.col("photo_id") == F.col("preferred"), "keep").otherwise("remove").alias("decision"), F.lit("user_delegated").alias("source"))
+
+
+def resolved(photos: DataFrame, groups: DataFrame, members: DataFrame, requests: DataFrame) -> DataFrame:
+    """(album_id, photo_id, decision, source) that requests for single items of a queue ask for. requests(album_id, item, action).
+
+    Of a photo: keep or remove. Of a group: keep_all, or accept_preferred, which removes all but the preferred. Other actions, and items that
+    don't exist, ask for nothing."""
+    kind, id = F.split("item", ":", 2)[0], F.split("item", ":", 2)[1]
+    asked = requests.select("album_id", "action", kind.alias("kind"), id.alias("id"))
+    photo = asked.where("kind = 'photo' AND action IN ('keep', 'remove')").join(photos.select("album_id", "photo_id", F.col("photo_id").cast("string").alias("id")), ["album_id", "id"])
+    one = photo.select("album_id", "photo_id", F.col("action").alias("decision"))
+    group = asked.where("kind = 'group' AND action IN ('accept_preferred', 'keep_all')").join(groups.select("album_id", "group_id", "preferred", F.col("group_id").cast("string").alias("id")), ["album_id", "id"])
+    gone = (F.col("action") == "accept_preferred") & ~F.col("photo_id").eqNullSafe(F.col("preferred"))
+    many = group.join(members.select("album_id", "group_id", "photo_id"), ["album_id", "group_id"]).select("album_id", "photo_id", F.when(gone, "remove").otherwise("keep").alias("decision"))
+    return one.unionByName(many).withColumn("source", F.lit("user"))
+
+
+def resolved_remaining(photos: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(album_id, photo_id, decision, source) that settle a whole queue by each item's own action, for photos without a decision."""
+    items = queue(photos, groups, members).select("album_id", "item", "kind", "action", F.explode("photo_ids").alias("photo_id"))
+    best = groups.select("album_id", F.concat(F.lit("group:"), F.col("group_id").cast("string")).alias("item"), "preferred")
+    open_ = photos.where(F.col("decision").isNull()).select("album_id", "photo_id")
+    rows = items.join(best, ["album_id", "item"], "left").join(open_, ["album_id", "photo_id"], "left_semi")
+    gone = (F.col("action") == "remove") | ((F.col("action") == "accept_preferred") & ~F.col("photo_id").eqNullSafe(F.col("preferred")))
+    return rows.select("album_id", "photo_id", F.when(gone, "remove").otherwise("keep").alias("decision"), F.lit("user_delegated").alias("source"))
+
+
+def reset(photos: DataFrame, analysis: list[str], clear_users: bool = False) -> DataFrame:
+    """photos without what an analysis found, and without decisions but users' (these too with clear_users)."""
+    stays = F.lit(not clear_users) & F.coalesce(F.col("source").isin("user", "user_delegated"), F.lit(False))
+    kinds = dict(photos.dtypes)
+    return photos.withColumns({c: F.lit(None).cast(kinds[c]) for c in analysis} | {c: F.when(stays, F.col(c)) for c in ("decision", "source")})

@@ -94,3 +94,25 @@ def assessed(assessments: DataFrame, photos: DataFrame, key: str) -> DataFrame:
     by = assessments.groupBy(key).agg(ids("exclude").alias("excluded"), ids("review").alias("review"), F.count("*").alias("n"))
     size = photos.groupBy(key).agg(F.count("*").alias("size"))
     return by.join(size, key, "left").select(key, "excluded", "review", F.round(F.col("n") / F.greatest(F.coalesce("size", F.lit(0)), F.lit(1)), 4).alias("coverage"))
+
+
+def with_complete_records(assessed: DataFrame, complete: Column) -> DataFrame:
+    """relevance() rows, where those whose theme is the complete record are relevant and kept whatever their vectors and times."""
+    over = {"score": F.lit(1.0), "label": F.lit("relevant"), "decision": F.lit("keep"), "reasons": F.array(F.lit("complete_record"))}
+    return assessed.withColumns({c: F.when(complete, v).otherwise(F.col(c)) for c, v in over.items()})
+
+
+def embedding_batches(responses: DataFrame, expected: DataFrame, dimension: int) -> DataFrame:
+    """(batch, failure, vectors): answers of an embedding service, checked by batch; vectors are of unit length in order of index, null with a failure.
+
+    responses(batch, index, embedding), expected(batch, n). A batch fails as a whole: on another number of answers, a vector of another
+    length, one that is not finite, or of zeros. A missing index counts as 0."""
+    v = vectors.doubles(F.col("embedding"))
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    why = F.when(F.coalesce(F.size(v), F.lit(-1)) != dimension, "dimension_mismatch").when(odd, "non_finite").when(vectors.norm(v) <= 0, "zero_vector")
+    rows = responses.select("batch", F.coalesce("index", F.lit(0)).alias("index"), why.alias("why"), vectors.normalized(v).alias("unit"))
+    # equal indices come in the order of their vectors, so that the result does not depend on the rows' order
+    by = rows.groupBy("batch").agg(F.count("*").alias("n"), F.min_by("why", F.when(F.col("why").isNotNull(), F.struct("index", "why"))).alias("why"), F.transform(F.array_sort(F.collect_list(F.struct("index", "unit"))), lambda s: s["unit"]).alias("vectors"))
+    out = expected.select("batch", F.col("n").alias("wanted")).join(by, "batch", "left")
+    failure = F.when(~F.coalesce("n", F.lit(0)).eqNullSafe(F.col("wanted")), "count_mismatch").otherwise(F.col("why"))
+    return out.select("batch", failure.alias("failure"), "vectors").withColumn("vectors", F.when(F.col("failure").isNull(), F.coalesce("vectors", F.array().cast("array<array<double>>"))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import geo, scoring, texts, times, vectors
 
+# fixed values: weights of the channels by strategy
 STRATEGIES = {
     "balanced": {"embedding": 0.60, "time": 0.20, "gps": 0.10, "color": 0.10},
     "activity_first": {"embedding": 0.75, "time": 0.10, "gps": 0.05, "color": 0.10},
@@ -22,6 +23,8 @@ STRATEGIES = {
 
 
 class EventRules(NamedTuple):
+    """What parts events."""
+
     threshold: float = 0.45
     hard_gap_hours: float = 30 * 24
     short_gap_hours: float = 2
@@ -45,9 +48,11 @@ def event_boundaries(photos: DataFrame, rules: EventRules = EventRules(), hours:
     gap, far = F.col("gap_hours"), F.col("distance_km")
     parts = [(scoring.piecewise(gap, hours), 0.55), (scoring.piecewise(far, km), 0.25), (F.col("scene"), 0.15), (F.col("overlap"), 0.05)]
     rows = rows.withColumn("score", F.when(gap.isNotNull(), F.round(scoring.clamp(scoring.weighted(parts, 0.0)), 4)))
+    # decisions compare what is reported: hours and kilometres of three places, likeness of four
+    gap, far = F.round(gap, 3), F.round(far, 3)
     hard, short = gap > rules.hard_gap_hours, (gap <= rules.short_gap_hours) & ~F.coalesce(far > rules.short_gap_km, F.lit(False))
     low = F.col("score") < rules.threshold
-    dull = (F.coalesce("scene", F.lit(1.0)) < 0.35) | (F.coalesce("overlap", F.lit(1.0)) < 0.35)
+    dull = (F.coalesce(F.round("scene", 4), F.lit(1.0)) < 0.35) | (F.coalesce(F.round("overlap", 4), F.lit(1.0)) < 0.35)
     reason = F.when(hard, "large_time_gap").when(short, "short_time_gap").when(~low, "event_continuity").when(far > 50, "location_change").when(dull, "visual_change").when(low, "large_time_gap")
     margin = F.abs(F.col("score") - rules.threshold) / max(rules.threshold, 1 - rules.threshold)
     rows = rows.withColumns({

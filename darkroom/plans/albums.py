@@ -164,24 +164,29 @@ def claimed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.claimed(tasks, claims)
 
 
-@query("""WITH s AS (SELECT CASE WHEN p_partkey % 4 < 2 THEN p_brand END AS project, CASE WHEN p_partkey % 2 = 0 THEN p_size % 10 END AS stage, p_size AS priority, p_name || p_partkey AS value FROM part WHERE p_partkey % 7 = 0),
+@query("""WITH s AS (SELECT CASE WHEN p_partkey % 4 < 2 THEN p_brand END AS project, CASE WHEN p_partkey % 2 = 0 THEN p_size % 10 END AS stage, p_size AS priority, p_name || p_partkey AS value FROM part),
 w AS (SELECT DISTINCT p_brand AS project, p_size % 10 AS stage FROM part),
 r AS (SELECT w.project, w.stage, s.value, row_number() OVER (PARTITION BY w.project, w.stage ORDER BY CASE WHEN s.project IS NOT NULL AND s.stage IS NOT NULL THEN 0 WHEN s.project IS NOT NULL THEN 1 WHEN s.stage IS NOT NULL THEN 2 ELSE 3 END, s.priority, s.value) AS n
   FROM w LEFT JOIN s ON (s.project IS NULL OR s.project = w.project) AND (s.stage IS NULL OR s.stage = w.stage)) SELECT project, stage, value FROM r WHERE n = 1""")
 def setting_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    scopes = part.where(k % 7 == 0).select(F.when(k % 4 < 2, F.col("p_brand")).alias("project"), F.when(k % 2 == 0, F.col("p_size") % 10).alias("stage"), F.col("p_size").alias("priority"), F.concat("p_name", k.cast("string")).alias("value"))
+    scopes = part.select(F.when(k % 4 < 2, F.col("p_brand")).alias("project"), F.when(k % 2 == 0, F.col("p_size") % 10).alias("stage"), F.col("p_size").alias("priority"), F.concat("p_name", k.cast("string")).alias("value"))
     return control.setting(scopes, part.select(F.col("p_brand").alias("project"), (F.col("p_size") % 10).alias("stage")).distinct())
 
 
-@query("""WITH n AS (SELECT p_partkey AS name, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part), t AS (SELECT slug, 3 AS most FROM (SELECT DISTINCT slug FROM n) WHERE slug LIKE '%1'),
-r AS (SELECT name, slug, row_number() OVER (PARTITION BY slug ORDER BY name) + coalesce(most, 0) AS n FROM n LEFT JOIN t USING (slug)) SELECT name, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS code FROM r""")
+@query("""WITH n AS (SELECT p_partkey AS name, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part UNION ALL SELECT -1, 'brand'),
+t AS (SELECT DISTINCT slug AS code FROM n WHERE slug LIKE '%1' UNION SELECT slug || '-3' FROM n WHERE slug LIKE '%1' UNION SELECT slug || '-2024' FROM n UNION SELECT 'brand' UNION SELECT 'brand-2'),
+c AS (SELECT s.slug, i FROM (SELECT slug, count(*) AS k FROM n GROUP BY slug) s, unnest(range(1, k + 60)) u(i) WHERE CASE WHEN i = 1 THEN slug ELSE slug || '-' || i END NOT IN (SELECT code FROM t) AND (i = 1 OR slug || '-' || i NOT IN (SELECT slug FROM n))),
+f AS (SELECT slug, i, row_number() OVER (PARTITION BY slug ORDER BY i) AS k FROM c), m AS (SELECT name, slug, row_number() OVER (PARTITION BY slug ORDER BY name) AS k FROM n)
+SELECT name, CASE WHEN i = 1 THEN slug ELSE slug || '-' || i END AS code FROM m JOIN f USING (slug, k)""")
 def next_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of parts by their brands' slugs, which end in numbers themselves, and of one name whose slug is the common beginning of all."""
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), texts.slugify(F.col("p_brand")).alias("slug"))
-    taken = names.select("slug").distinct().where("slug LIKE '%1'").select(F.explode(F.array(F.col("slug"), F.concat("slug", F.lit("-3")))).alias("code"))
-    # a brand ends in digits of its own, which the pattern of a number must not eat
-    return control.next_code(names.withColumn("slug", F.regexp_replace("slug", "-", "_")), taken.withColumn("code", F.concat(F.regexp_replace(F.regexp_replace("code", "-3$", ""), "-", "_"), F.regexp_extract("code", "(-3)?$", 1)))).select("name", F.regexp_replace("code", "_", "-").alias("code"))
+    names = names.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("name"), F.lit("brand").alias("slug")))
+    ones = names.where("slug LIKE '%1'")
+    taken = ones.select(F.explode(F.array(F.col("slug"), F.concat("slug", F.lit("-3")))).alias("code")).unionByName(names.select(F.concat("slug", F.lit("-2024")).alias("code")))
+    return control.next_code(names, taken.unionByName(spark.range(1).select(F.explode(F.array(F.lit("brand"), F.lit("brand-2"))).alias("code"))))
 
 
 @query("""WITH t AS (SELECT doc_id, 'trip ' || (1990 + doc_id % 40) || '至' || (1990 + doc_id % 53) || ', again ' || (2000 + doc_id % 7) || '年' || (doc_id % 12 + 1) || '月' || (doc_id % 28 + 1) AS t FROM documents)

@@ -28,9 +28,9 @@ STEPS = f"""{PHOTOS}, ordered AS (
   SELECT o.album_id, o.photo_id, o.taken_at, o.lat, o.lon, o.tags, b.photo_id IS NOT NULL AS has, abs(epoch_us(o.taken_at) - epoch_us(b.taken_at)) / 3.6e9 AS gap, {km("b", "o")} AS far,
     {JACCARD.format(a="b.tags", b="o.tags")} AS scene FROM ordered o LEFT JOIN photos b ON b.album_id = o.album_id AND b.photo_id = o.before), scored AS (
   SELECT *, CASE WHEN gap IS NOT NULL THEN round(greatest(0.0, least(1.0, {weighted([(f"({piecewise('gap', scoring.BY_HOURS)})", 0.55), (f"({piecewise('far', scoring.BY_KM)})", 0.25), ("scene", 0.15)], "0.0")})), 4) END AS score FROM stepped), decided AS (
-  SELECT *, CASE WHEN NOT has THEN false WHEN gap > 720 THEN true WHEN gap <= 2 AND NOT coalesce(far > 300, false) THEN false ELSE score < 0.45 END AS split,
-    CASE WHEN NOT has THEN NULL WHEN gap > 720 THEN 'large_time_gap' WHEN gap <= 2 AND NOT coalesce(far > 300, false) THEN 'short_time_gap' WHEN score >= 0.45 THEN 'event_continuity' WHEN far > 50 THEN 'location_change'
-      WHEN coalesce(scene, 1.0) < 0.35 THEN 'visual_change' ELSE 'large_time_gap' END AS reason FROM scored), events2 AS (
+  SELECT *, CASE WHEN NOT has THEN false WHEN round(gap, 3) > 720 THEN true WHEN round(gap, 3) <= 2 AND NOT coalesce(round(far, 3) > 300, false) THEN false ELSE score < 0.45 END AS split,
+    CASE WHEN NOT has THEN NULL WHEN round(gap, 3) > 720 THEN 'large_time_gap' WHEN round(gap, 3) <= 2 AND NOT coalesce(round(far, 3) > 300, false) THEN 'short_time_gap' WHEN score >= 0.45 THEN 'event_continuity' WHEN round(far, 3) > 50 THEN 'location_change'
+      WHEN coalesce(round(scene, 4), 1.0) < 0.35 THEN 'visual_change' ELSE 'large_time_gap' END AS reason FROM scored), events2 AS (
   SELECT *, 1 + sum(split::INT) OVER (PARTITION BY album_id ORDER BY taken_at, photo_id ROWS UNBOUNDED PRECEDING) AS event FROM decided)"""
 
 

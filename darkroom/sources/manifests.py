@@ -26,3 +26,13 @@ def items(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(f"items array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>, {schema}").option("multiLine", True).json(path)
     own = F.array(F.struct(*(F.col(f.name) for f in rows.schema.fields if f.name != "items")))
     return rows.select(F.explode(F.coalesce("items", own)).alias("item")).select("item.*")
+
+
+def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, state) of every file that a manifest names or that is there: ok, missing, unlisted, or mismatch where the SHA-256 differs.
+
+    files(name, content), manifest(name, sha256); only digests move."""
+    have = files.select("name", F.sha2("content", 256).alias("have"))
+    both = manifest.select("name", F.lower("sha256").alias("want"), F.lit(True).alias("listed")).join(have, "name", "full")
+    state = F.when(F.col("have").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.col("have").eqNullSafe(F.col("want")), "ok").otherwise("mismatch")
+    return both.select("name", state.alias("state"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,14 +20,24 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_size(content: Column) -> Column:
-    """(width, height) of PNG, GIF and BMP from their first bytes; null for others. JPEG: jpeg_sizes()."""
-    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
-    swapped = lambda at, n: F.conv(F.concat(*(F.hex(F.substring(content, at + i, 1)) for i in reversed(range(n)))), 16, 10).cast("int")
-    head = F.hex(F.substring(content, 1, 8))
+    """(width, height) of PNG, GIF, BMP and WEBP from their first bytes; null for others, and for sizes that no int holds. JPEG, HEIC: image_size()."""
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).try_cast("int")
+    swapped = lambda at, n: F.conv(F.concat(*(F.lpad(F.hex(F.substring(content, at + i, 1)), 2, "0") for i in reversed(range(n)))), 16, 10).try_cast("long")
+    # heights of bitmaps are signed: negative ones are stored from the top
+    signed = lambda at: F.abs(F.when(swapped(at, 4) >= 1 << 31, swapped(at, 4) - (1 << 32)).otherwise(swapped(at, 4)))
+    size = lambda w, h: F.struct(w.try_cast("int").alias("width"), h.try_cast("int").alias("height"))
+    head, kind = F.hex(F.substring(content, 1, 12)), F.decode(F.substring(content, 13, 4), "ISO-8859-1")
+    packed, low14 = swapped(22, 4), F.lit((1 << 14) - 1)
+    webp = (
+        F.when(kind == "VP8X", size(swapped(25, 3) + 1, swapped(28, 3) + 1))
+        .when(kind == "VP8L", size(packed.bitwiseAND(low14) + 1, F.shiftright(packed, 14).bitwiseAND(low14) + 1))
+        .when(kind == "VP8 ", size(swapped(27, 2).bitwiseAND(low14), swapped(29, 2).bitwiseAND(low14)))
+    )
     return (
-        F.when(head == "89504E470D0A1A0A", F.struct(number(17, 4).alias("width"), number(21, 4).alias("height")))
-        .when(head.startswith("474946"), F.struct(swapped(7, 2).alias("width"), swapped(9, 2).alias("height")))
-        .when(head.startswith("424D"), F.struct(swapped(19, 4).alias("width"), swapped(23, 4).alias("height")))
+        F.when(head.startswith("89504E470D0A1A0A"), size(number(17, 4), number(21, 4)))
+        .when(head.startswith("474946"), size(swapped(7, 2), swapped(9, 2)))
+        .when(head.startswith("424D"), size(swapped(19, 4), signed(23)))
+        .when(head.startswith("52494646") & head.endswith("57454250"), webp)
     )
 
 
@@ -43,26 +54,46 @@ def jpeg_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def heic_size(content: bytes) -> tuple[int, int] | None:
+    """The largest of the spatial extents that a HEIC file's items have."""
+    if content[4:8] != b"ftyp":
+        return None
+    found, at = [], content.find(b"ispe")
+    while 0 <= at and at + 16 <= len(content):
+        found.append(struct.unpack(">II", content[at + 8 : at + 16]))
+        at = content.find(b"ispe", at + 4)
+    return max(found, key=lambda s: s[0] * s[1], default=None)
+
+
 def with_sizes(rows: DataFrame, head_bytes: int = 65536) -> DataFrame:
-    """rows(path, content, ...) with width and height; only the first bytes of a JPEG go to Python."""
+    """rows(path, content, ...) with width and height, null if the file does not tell.
+
+    Of a JPEG or HEIC the first bytes go to Python, and the whole file only where these do not reach its header."""
 
     @F.pandas_udf("width int, height int")
-    def jpeg(heads: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([jpeg_size(h) or (None, None) if h is not None else (None, None) for h in heads], columns=["width", "height"])
+    def sized(parts: pd.Series) -> pd.DataFrame:
+        fits = lambda s: s if s and max(s) < 1 << 31 else (None, None)
+        found = [fits(jpeg_size(h) or heic_size(h)) if h is not None else (None, None) for h in parts]
+        return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
 
-    is_jpeg = F.hex(F.substring("content", 1, 2)) == "FFD8"
-    size = F.coalesce(header_size(F.col("content")), jpeg(F.when(is_jpeg, F.substring("content", 1, head_bytes))))
-    return rows.withColumn("_size", size).withColumns({"width": F.col("_size.width"), "height": F.col("_size.height")}).drop("_size")
+    in_python = (F.hex(F.substring("content", 1, 2)) == "FFD8") | (F.substring("content", 5, 4) == F.lit(b"ftyp"))
+    short = rows.withColumn("_size", F.coalesce(header_size(F.col("content")), sized(F.when(in_python, F.substring("content", 1, head_bytes)))))
+    more = in_python & F.col("_size.width").isNull() & (F.length("content") > head_bytes)
+    # asNondeterministic: evaluated once, after the first
+    whole = short.withColumn("_more", sized.asNondeterministic()(F.when(more, F.col("content"))))
+    return whole.withColumns({c: F.coalesce(f"_size.{c}", f"_more.{c}") for c in ("width", "height")}).drop("_size", "_more")
 
 
-def checked(rows: DataFrame, batch: str) -> DataFrame:
+def checked(rows: DataFrame, batch: str, content_type: str | None = None) -> DataFrame:
     """rows(path, length, width, height, batch) with reason: null if accepted, else why a file is refused.
 
-    Files of a batch count in order of their paths, those refused for themselves don't count."""
+    content_type: the column of the declared type, which must be an image's, if given. A file without a size is refused, as the limit of
+    pixels could not be checked. Files of a batch count in order of their paths, those refused for themselves don't count."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    declared = F.coalesce(F.lower(F.col(content_type)).startswith("image/"), F.lit(False)) if content_type else F.lit(True)
     own = (
-        F.when(~suffix.isin(*SUFFIXES), "unsupported_type").when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large")
-        .when(F.col("width").cast("long") * F.col("height") > MOST_PIXELS, "too_many_pixels")
+        F.when(~suffix.isin(*SUFFIXES) | ~declared, "unsupported_type").when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large")
+        .when(F.col("width").isNull() | F.col("height").isNull() | (F.least("width", "height") <= 0), "unreadable").when(F.col("width").cast("long") * F.col("height") > MOST_PIXELS, "too_many_pixels")
     )
     run = Window.partitionBy(batch).orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = rows.withColumn("_own", own).withColumns({"_files": F.sum(F.col("_own").isNull().cast("int")).over(run), "_bytes": F.sum(F.when(F.col("_own").isNull(), F.col("length")).otherwise(0)).over(run)})

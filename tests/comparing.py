@@ -21,8 +21,10 @@ def connect(sf_dir):
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "null"
-    if isinstance(v, (bool, int, float, Decimal)):
-        return f"{float(v):.6g}"
+    if isinstance(v, (bool, int)) or isinstance(v, (float, Decimal)) and v == int(v):
+        return str(int(v))
+    if isinstance(v, (float, Decimal)):
+        return f"{float(v):.9g}"
     return str(v)
 
 

@@ -53,9 +53,17 @@ def test_layouts_are_settled(spark):
 
 
 def test_constraints_and_outcomes(spark):
-    one = spark.createDataFrame([(["2024", "x"], "2020-01-01", None, ["a"], "2023-2025 旅行 2025年05月01日-2025年05月03日"), (None, None, None, None, None)], "y array<string>, s string, e string, v array<string>, r string")
+    one = spark.createDataFrame([(["2011", "soon"], "2009-12-31", None, ["a"], "hikes of 2010~2012, mostly 2012/7/9 and 2012/7/21"), (None, None, None, None, None)], "y array<string>, s string, e string, v array<string>, r string")
     got = [r.c for r in one.select(theme.constraints(*map(F.col, "ysevr")).alias("c")).collect()]
-    assert (got[0].years, got[0].start_date, got[0].end_date, got[0].evidence) == ([2023, 2024, 2025], "2025-05-01", "2025-05-03", ["a", "user_input"])
+    assert (got[0].years, got[0].start_date, got[0].end_date, got[0].evidence) == ([2010, 2011, 2012], "2012-07-09", "2012-07-21", ["a", "user_input"])
     assert (got[1].years, got[1].start_date, got[1].evidence) == ([], None, [])
     rows = spark.createDataFrame([("a", 2, True, "q"), ("a", 1, True, ""), ("a", 3, None, None)], "k string, n int, named boolean, provider string")
     assert [tuple(r) for r in evaluation.naming_outcomes(rows, "k", "n").collect()] == [("a", 2, 1, "q")]
+
+
+def test_codes_are_the_first_free(spark):
+    names = [(1, "report"), (2, "report"), (3, "trip"), (4, "trip"), (5, "trip"), (6, "trip-2"), (7, "new"), (8, "x-05"), (9, "trip-2")]
+    taken = ["report-2024", "trip", "trip-3", "trip-4", "new", "new-2", None, "x-5"]
+    got = control.next_code(spark.createDataFrame(names, "name long, slug string"), spark.createDataFrame([(t,) for t in taken], "code string")).collect()
+    assert dict(map(tuple, got)) == {1: "report", 2: "report-2", 3: "trip-5", 4: "trip-6", 5: "trip-7", 6: "trip-2", 7: "new-3", 8: "x-05", 9: "trip-2-2"}
+    assert control.next_code(spark.createDataFrame([], "name long, slug string"), spark.createDataFrame([("a",)], "code string")).count() == 0
