@@ -4,16 +4,20 @@ Documents and benchmark items are sequences of lower-cased runs of letters and d
 document shares with an item are joined first; only pairs whose seeds could cover enough of the item go on. For these the tiles are
 found by running Karp-Rabin: windows of the search length are matched by rolling hashes, matches are extended and the
 longest are marked first, never overlapping marked tokens of either side, and the search length falls down to `LEAST`.
-The share of the item's tokens that tiles cover decides, in whatever order its parts occur.
+The share of the item's tokens that tiles cover decides, in whatever order its parts occur. An item of fewer tokens is one seed of all
+of them, and matches where these occur in a row.
 
-Any match of `LEAST` tokens or more consists of seeds, so tiling runs on the seeded stretches of a document only.
+Plan. Documents are read once, whatever the benchmark's size: a bitmap of bounded size, broadcast, tells which seeds of a document may be
+a benchmark's; of documents with such seeds, the stretches that these cover go on, as token hashes. Their seeds are joined with an index
+of the benchmark's, which has for each item all seeds but the most frequent ones that could not cover enough of it by themselves: so a
+phrase that many items share makes no pairs unless it is half of them. Pairs then meet stretches and items, and are tiled one at a time.
+Any match of `LEAST` tokens or more consists of seeds, so tiling needs the stretches only.
 
-Bounds: items are broadcast in blocks of at most `block_tokens` tokens (about 40 bytes each), whatever their number; each
-block is one pass over the documents. Items reach the driver one block at a time. A document is handled alone in its task.
+Bounds: the bitmap has at most 2**BITS bits (32 MB); beyond about 16 million seeds it lets more through, which the join removes. Tokens and
+seeds are hashes of 64 bits.
 
-Defined cases: null and empty documents match nothing; null or empty items, and items of fewer than LEAST tokens, match
-nothing; equal items are all reported; repeated documents and null keys have their own rows; empty tables give no rows; other
-columns are ignored, and extra columns of documents stay in remove().
+Defined cases: null and empty documents match nothing, nor do items without a token; equal items are all reported; repeated documents
+and null keys have their own rows; empty tables give no rows; other columns are ignored, and extra columns of documents stay in remove().
 """
 
 from __future__ import annotations
@@ -21,30 +25,47 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import pairwise
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"[^\W_]+")
+from darkroom.llm.common import stored
+from darkroom.llm.shingles import mix, word_hashes
+
+APART = re.compile(r"[\W_]+")
 LEAST = 5
 COVERAGE = 0.5
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BITS, SLICE = 28, 20
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of a text's tokens, in order."""
+    return word_hashes(APART.sub(" ", text.lower())) if text else np.zeros(0, np.uint64)
+
 
+_known: dict[int, np.ndarray] = {}
 
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of a base, kept as far as the longest text so far needs."""
+    out = _known.get(base, np.ones(1, np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    _known[base] = out
+    return out[:n]
 
 
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2**64, of all windows of that width."""
-    x = ids.astype(np.uint64)
-    out = np.zeros(max(0, len(x) - width + 1), np.uint64)
-    for i in range(width):
-        out = out * BASE + x[i : i + len(out)]
-    return out
+    """Karp-Rabin hashes, modulo 2**64, of all windows of that width: differences of running sums, so that time does not depend on the width."""
+    n = len(ids)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids.astype(np.uint64) * _powers(BASE, n))])
+    return (total[width:] - total[: n - width + 1]) * _powers(INVERSE, n - width + 1)
 
 
 def tile(doc: list[int], item: list[int], least: int = LEAST, start: int = 20) -> list[tuple[int, int, int]]:
@@ -98,107 +119,148 @@ def _scan(doc: list[int], item: list[int], taken_d: bytearray, taken_i: bytearra
     return found, 0
 
 
-class Block(NamedTuple):
-    """Items as token numbers (from 1), with their seeds sorted by hash."""
+def seeds(ids: np.ndarray, width: int) -> np.ndarray:
+    return mix(rolling(ids, width) + np.uint64(width))
 
-    vocabulary: dict[str, int]
-    names: list
-    items: list[list[int]]
-    seeds: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
 
+def _bits(seed: np.ndarray, bits: int) -> np.ndarray:
+    return (seed >> np.uint64(64 - bits)).astype(np.int64)
 
-def index(items: list[tuple[object, list[str]]]) -> Block:
-    vocabulary: dict[str, int] = {}
-    coded = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws] for _, ws in items]
-    hashes = [rolling(np.array(c), LEAST) for c in coded]
-    seeds = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-    place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, int)]).astype(int)
-    order = np.argsort(seeds, kind="stable")
-    return Block(vocabulary, [name for name, _ in items], coded, seeds[order], owner[order], place[order])
 
+def indexed(size: int, times: np.ndarray, coverage: float) -> np.ndarray:
+    """Places of the seeds by which an item must be found: all but the most frequent, as far as what these cover stays under the share that matters."""
+    width = min(LEAST, size)
+    covered, left = np.zeros(size, bool), np.ones(len(times), bool)
+    for at in np.argsort(-times, kind="stable"):
+        more = covered.copy()
+        more[at : at + width] = True
+        if more.sum() >= coverage * size:
+            break
+        covered, left[at] = more, False
+    return np.flatnonzero(left)
 
-def matches(text: str | None, block: Block, coverage: float) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(item, covered tokens, tiles) of the items that a text covers enough of."""
-    words = tokens(text)
-    if len(words) < LEAST:
-        return []
-    get = block.vocabulary.get
-    ids = np.array([get(w, 0) for w in words], np.int64)
-    known = ids > 0
-    inside = known[: 1 - LEAST].copy()
-    for i in range(1, LEAST):
-        inside &= known[i : len(known) - LEAST + 1 + i]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return []
-    h = np.zeros(len(at), np.uint64)
-    for i in range(LEAST):
-        h = h * BASE + ids[at + i].astype(np.uint64)
-    low, high = np.searchsorted(block.seeds, h, "left"), np.searchsorted(block.seeds, h, "right")
-    hit = high > low
-    n, at, low = (high - low)[hit], at[hit], low[hit]
-    if not len(at):
+
+class Benchmark:
+    """A benchmark's tables: names (name, item), items (item, tokens) without equal ones, index (seed, item), and what is broadcast of it."""
+
+    def __init__(self, benchmark: DataFrame, name: str, text: str, coverage: float) -> None:
+        kind = dict(benchmark.dtypes)[name]
+
+        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(n, len(h), h.tobytes(), int(mix(seeds(h, len(h)))[0].view(np.int64))) for n, h in zip(b["name"], map(tokens, b["text"]), strict=True) if len(h)]
+                yield pd.DataFrame(rows, columns=["name", "size", "tokens", "item"])
+
+        def sown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for item, blob in zip(b["item"], b["tokens"], strict=True):
+                    h = np.frombuffer(blob, np.uint64)
+                    s = seeds(h, min(LEAST, len(h)))
+                    yield pd.DataFrame({"item": item, "size": len(h), "at": np.arange(len(s)), "seed": s.view(np.int64)})
+
+        def pick(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("at")
+            found = rows.iloc[indexed(int(rows["size"].iloc[0]), rows["n"].to_numpy(), coverage)]
+            return found[["seed", "item"]].drop_duplicates()
+
+        rows = stored(benchmark.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInPandas(hashed, f"name {kind}, size int, tokens binary, item long"), "benchmark")
+        self.names = rows.select("name", "item")
+        self.items = rows.groupBy("item").agg(F.first("tokens").alias("tokens"))
+        every = stored(self.items.mapInPandas(sown, "item long, size int, at int, seed long"), "benchmark_seeds")
+        self.index = stored(every.join(every.groupBy("seed").agg(F.count("*").alias("n")), "seed").groupBy("item").applyInPandas(pick, "seed long, item long"), "benchmark_index")
+        told = every.agg(F.count("*").alias("n"), F.collect_set(F.least("size", F.lit(LEAST))).alias("widths")).first()
+        self.widths, self.bits = sorted(told["widths"]), min(BITS, max(SLICE, int(16 * told["n"]).bit_length()))
+        self.bitmap = self._bitmap(every)
+
+    def _bitmap(self, every: DataFrame) -> np.ndarray:
+        """Made in slices of equal size, of which the driver gets each once."""
+        bits = self.bits
+
+        def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(1 << SLICE, bool)
+            out[rows["place"].to_numpy() & ((1 << SLICE) - 1)] = True
+            return pd.DataFrame({"part": [key[0]], "slice": [np.packbits(out).tobytes()]})
+
+        place = F.shiftrightunsigned("seed", 64 - bits)
+        slices = every.select(place.alias("place")).distinct().groupBy(F.shiftright("place", SLICE).alias("part")).applyInPandas(fill, "part long, slice binary")
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for r in slices.collect():
+            at = r["part"] << (SLICE - 3)
+            out[at : at + (1 << (SLICE - 3))] = np.frombuffer(r["slice"], np.uint8)
+        return out
+
+
+def stretches(h: np.ndarray, widths: list[int], bits: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct seeds of a text that the bitmap has, and places of the tokens that they cover."""
+    found, covered = [np.zeros(0, np.uint64)], np.zeros(len(h) + 1, np.int64)
+    for width in widths:
+        s = seeds(h, width)
+        at = _bits(s, bits)
+        hit = np.flatnonzero(bitmap[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
+        found.append(s[hit])
+        covered += np.bincount(hit, minlength=len(covered)) - np.bincount(hit + width, minlength=len(covered))
+    return np.unique(np.concatenate(found)), np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+
+
+def tiled(place: np.ndarray, h: np.ndarray, item: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
+    """Tiles of an item in a text's stretches; none if its seeds there can't cover enough."""
+    width = min(LEAST, len(item))
+    # stretches are parted by a token that matches nothing
+    new = np.flatnonzero(np.diff(place) > 1) + 1
+    where = np.insert(place, new, -1)
+    known, number = np.unique(item, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    ids = np.insert(np.where(known[at] == h, at + 1, -1), new, -1)
+    mine, theirs = seeds(number + 1, width), seeds(np.where(ids < 0, 1 << 40, ids), width)
+    shared = np.isin(mine, theirs)
+    reach = np.zeros(len(item), bool)
+    for i in range(width):
+        reach[np.flatnonzero(shared) + i] = True
+    if reach.sum() < coverage * len(item):
         return []
-    # every pair of a seed of the text and an equal seed of an item
-    which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    doc_at, owner, place = np.repeat(at, n), block.owner[which], block.place[which]
-    out = []
-    for item in np.unique(owner):
-        mine = owner == item
-        size, reach = len(block.items[item]), np.zeros(len(block.items[item]) + LEAST, int)
-        for i in range(LEAST):
-            reach[np.unique(place[mine]) + i] = 1
-        if reach.sum() < coverage * size:
-            continue
-        spots = np.unique((np.unique(doc_at[mine])[:, None] + np.arange(LEAST)).ravel())
-        # stretches of the text, parted by a token that matches nothing
-        parts = np.split(spots, np.flatnonzero(np.diff(spots) > 1) + 1)
-        doc, where = [], []
-        for p in parts:
-            doc += [*ids[p].tolist(), -1]
-            where += [*p.tolist(), -1]
-        tiles = [(where[d], i, m) for d, i, m in tile(doc, block.items[item])]
-        covered = sum(m for _, _, m in tiles)
-        if covered >= coverage * size:
-            out.append((int(item), covered, tiles))
-    return out
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str, block_tokens: int) -> Iterator[list[tuple[object, list[str]]]]:
-    held, size = [], 0
-    for row in benchmark.select(item, text).toLocalIterator():
-        if len(words := tokens(row[1])) >= LEAST:
-            held, size = [*held, (row[0], words)], size + len(words)
-        if size >= block_tokens:
-            yield held
-            held, size = [], 0
-    yield held
-
-
-def contaminated(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, coverage: float = COVERAGE, block_tokens: int = 500_000) -> DataFrame:
+    hit = np.flatnonzero(np.isin(theirs, mine))
+    spots = np.unique((hit[:, None] + np.arange(width)).ravel())
+    cut = np.flatnonzero(np.diff(spots) > 1) + 1
+    doc, back = np.insert(ids[spots], cut, -1), np.insert(where[spots], cut, -1)
+    tiles = tile(doc.tolist(), (number + 1).tolist(), width)
+    return [(int(back[d]), i, n) for d, i, n in tiles] if sum(n for _, _, n in tiles) >= coverage * len(item) else []
+
+
+def contaminated(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, coverage: float = COVERAGE) -> DataFrame:
     """(key, item, item_tokens, covered, coverage, tiles): pairs of a document and an item that it covers to that share at least."""
-    kinds, item_kind, spark, out = dict(docs.dtypes), dict(benchmark.dtypes)[item], docs.sparkSession, None
-    schema = f"key {kinds[key]}, item {item_kind}, item_tokens int, covered int, coverage double, tiles array<struct<doc_at:int,item_at:int,length:int>>"
-    for held in _blocks(benchmark, item, item_text, block_tokens):
-        shared = spark.sparkContext.broadcast(tuple(index(held)))
+    kind, b = dict(docs.dtypes)[key], Benchmark(benchmark, item, item_text, coverage)
+    shared = docs.sparkSession.sparkContext.broadcast((b.widths, b.bits, b.bitmap))
 
-        def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = Block(*shared.value)
-            for b in batches:
-                rows = []
-                for k, t in zip(b["key"], b["text"], strict=True):
-                    for i, covered, tiles in matches(t, block, coverage):
-                        size = len(block.items[i])
-                        rows.append((k, block.names[i], size, covered, covered / size, [{"doc_at": x, "item_at": y, "length": n} for x, y, n in tiles]))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["key", "item", "item_tokens", "covered", "coverage", "tiles"])
-
-        part = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(match, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for k, x, y, t in zip(part["key"].astype(object), part["x"], part["y"], part["text"], strict=True):
+                h = tokens(t)
+                found, place = stretches(h, *shared.value)
+                if len(found):
+                    rows.append((None if k is None or k != k else k, x, y, found.view(np.int64), place.astype(np.int64).tobytes(), h[place].tobytes()))
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "x", "y", "seeds", "place", "hashes"])
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for k, i, place, h, whole in zip(part["key"].astype(object), part["item"], part["place"], part["hashes"], part["tokens"], strict=True):
+                own = np.frombuffer(whole, np.uint64)
+                tiles = tiled(np.frombuffer(place, np.int64), np.frombuffer(h, np.uint64), own, coverage)
+                if tiles:
+                    covered = sum(n for _, _, n in tiles)
+                    rows.append((None if k is None or k != k else k, i, len(own), covered, covered / len(own), [{"doc_at": x, "item_at": y, "length": n} for x, y, n in tiles]))
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "item", "item_tokens", "covered", "coverage", "tiles"])
+
+    named = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("x"), F.xxhash64(F.lit(1), text, key).alias("y"), F.col(text).alias("text"))
+    hits = stored(named.mapInPandas(scan, f"key {kind}, x long, y long, seeds array<long>, place binary, hashes binary"), "seeded")
+    pairs = hits.select("x", "y", F.explode("seeds").alias("seed")).join(b.index, "seed").select("x", "y", "item").distinct()
+    met = hits.select("key", "x", "y", "place", "hashes").join(pairs, ["x", "y"]).join(b.items, "item").select("key", "item", "place", "hashes", "tokens")
+    tiles = "tiles array<struct<doc_at:int,item_at:int,length:int>>"
+    found = met.mapInPandas(match, f"key {kind}, item long, item_tokens int, covered int, coverage double, {tiles}")
+    return found.join(b.names, "item").select("key", F.col("name").alias("item"), "item_tokens", "covered", "coverage", "tiles")
 
 
 def remove(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, coverage: float = COVERAGE) -> DataFrame:
