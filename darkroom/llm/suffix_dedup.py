@@ -16,8 +16,13 @@ LENGTH - d after it. Only suffixes that share LENGTH - d bytes with a neighbour
 compared for each d by a rolling hash of 64 bits. The bytes from the farthest start to the nearest start's end go.
 
 Hot strings: equal contexts within a run travel once and are answered where they are, so a passage of very many documents is one
-entry of each run. Splitters come from a bounded sample; they decide only how evenly ranges are dealt. They are GRAM bytes long, the
-least that partners share from the anchor on, so none can part two partners.
+entry of each run. Splitters are GRAM bytes long, the least that partners share from the anchor on, so none can part two partners. Where very
+many suffixes share these bytes but not what lies around them, this would be one range. Such hot grams go out once for each of SHARES
+intervals of d instead: partners whose d is within an interval share the LENGTH - d bytes of its far end after the anchor, and the d bytes
+of its near end before it, so a hash of both deals them without parting partners, and what lies farther is cut off, so more of them are equal.
+
+Bounds: the number of ranges follows the bytes of the texts; splitters and hot grams come from a bounded sample for each range and decide
+only how evenly work is dealt. Texts are handled in overlapping pieces of bounded size. Rows are told apart by two hashes of 64 bits each.
 
 Defined cases: null and empty texts, and those under LENGTH bytes, lose nothing; equal rows are documents of their own, so
 each loses what both hold; null and repeated ids have their own rows; an empty table gives no rows; other columns are ignored.
@@ -27,7 +32,9 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,8 +47,12 @@ from darkroom.llm.shingles import mix
 LENGTH, GRAM = 200, 16
 WINDOW = LENGTH - GRAM + 1
 LEFT = WINDOW - 1
-BLOCK = 6 << 20
-SAMPLE_DOCS = 400
+BLOCK, PIECE = 6 << 20, 1 << 20
+#: Bytes of text for each range; sampled documents for each range, 400 at least.
+RANGE_BYTES, SAMPLE_DOCS = 16 << 20, 4
+#: Intervals of d of a hot gram, which is one that the sample has so many times.
+SHARES, HOT = 4, 24
+INTERVALS = [(i * WINDOW // SHARES, (i + 1) * WINDOW // SHARES - 1) for i in range(SHARES)]
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,47 +104,101 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def runs(docs: list[tuple[int, bytes]], splitters: np.ndarray) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int]]]:
-    """Front-coded runs (range, blob) of a block of documents (row, bytes), and (row, start, end) of what repeats within the block by whole contexts."""
-    context, row, place, left, right = [], [], [], [], []
-    for k, raw in docs:
-        at, lo, hi = anchors(raw)
-        if len(at):
-            row.append(np.full(len(at), k, np.int64))
-            place.append(at)
-            left.append(at - lo)
-            right.append(hi + LENGTH - at)
-            context.append(contexts(raw, at, left[-1], right[-1]))
-    if not context:
-        return [], []
-    context, row, place, left, right = map(np.concatenate, (context, row, place, left, right))
-    text = lambda x: np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel()
-    order = np.lexsort((left, text(context[:, LENGTH:]), right, text(context[:, :LENGTH])))
-    context, row, place, left, right = (x[order] for x in (context, row, place, left, right))
-    same = np.zeros(len(row), bool)
-    same[1:] = (context[1:] == context[:-1]).all(1) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])
+def pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes): overlapping pieces, so that each string of LENGTH bytes starts in one alone."""
+    for at in range(0, max(0, len(raw) - LENGTH + 1), PIECE):
+        yield at, raw[at : at + PIECE + LENGTH - 1]
+
+
+class Suffixes(NamedTuple):
+    """Suffixes at anchors of a block, columns of equal length."""
+
+    context: np.ndarray
+    row: np.ndarray  # places in the block's documents
+    place: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def of(self, which: np.ndarray) -> Suffixes:
+        return Suffixes(*(x[which] for x in self))
+
+
+def _text(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel()
+
+
+def _within(s: Suffixes, low: int, high: int) -> Suffixes:
+    """What strings that start low to high bytes before an anchor need: their anchors, and no farther bytes."""
+    left, right = np.minimum(s.left, high), np.minimum(s.right, LENGTH - low)
+    can = np.maximum(low, LENGTH - right) <= left
+    s, left, right = s.of(can), left[can], right[can]
+    s.context[:, :LENGTH][np.arange(LENGTH) >= right[:, None]] = 0
+    s.context[:, LENGTH:][np.arange(LEFT) >= left[:, None]] = 0
+    return s._replace(left=left, right=right)
+
+
+def _run(s: Suffixes, names: np.ndarray, dealt) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """Front-coded runs (range, blob) of suffixes, and (row, start, end) of what repeats among them by whole contexts. dealt(suffixes in order): ranges."""
+    order = np.lexsort((s.left, _text(s.context[:, LENGTH:]), s.right, _text(s.context[:, :LENGTH])))
+    s = s.of(order)
+    same = np.zeros(len(s.row), bool)
+    same[1:] = (s.context[1:] == s.context[:-1]).all(1) & (s.left[1:] == s.left[:-1]) & (s.right[1:] == s.right[:-1])
     head = np.flatnonzero(~same)
-    times = np.diff(np.append(head, len(row)))
+    times = np.diff(np.append(head, len(s.row)))
     many = np.repeat(times > 1, times)
-    local = np.stack([row, place - left, place + right], 1)[many].tolist()
-    context, row, place, left, right = (x[head] for x in (context, row, place, left, right))
-    suffix = context[:, :LENGTH]
-    prefix = common(suffix, right)
-    cuts = [0, *np.searchsorted(text(suffix), splitters, "left").tolist(), len(row)]
-    out = []
-    for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if a == b:
-            continue
-        lcp = prefix[a:b].copy()
-        lcp[0] = 0
-        columns = np.arange(LENGTH)
-        rest = suffix[a:b][(columns >= lcp[:, None]) & (columns < right[a:b, None])].tobytes()
-        before = context[a:b, LENGTH:][np.arange(LEFT) < left[a:b, None]].tobytes()
-        rows, index = np.unique(row[a:b], return_inverse=True)
-        out.append((r, _pack(lcp.astype(np.uint8), right[a:b].astype(np.uint8), left[a:b].astype(np.uint8), rest, before, rows, index.astype(np.uint32), place[a:b].astype(np.uint32), times[a:b] > 1)))
+    local = np.stack([s.row, s.place - s.left, s.place + s.right], 1)[many]
+    s = s.of(head)
+    to, out, columns = dealt(s), [], np.arange(LENGTH)
+    by = np.argsort(to, kind="stable")
+    for mine in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+        part = s.of(mine)
+        suffix = part.context[:, :LENGTH]
+        lcp = common(suffix, part.right)
+        rest = suffix[(columns >= lcp[:, None]) & (columns < part.right[:, None])].tobytes()
+        before = part.context[:, LENGTH:][np.arange(LEFT) < part.left[:, None]].tobytes()
+        rows, index = np.unique(part.row, return_inverse=True)
+        out.append((int(to[mine[0]]), _pack(lcp.astype(np.uint8), part.right.astype(np.uint8), part.left.astype(np.uint8), rest, before, names[rows], index.astype(np.uint32), part.place, times[mine] > 1)))
     return out, local
 
 
+class Dealing(NamedTuple):
+    """Where suffixes go: ranges 0 to n - 1 between splitters; those of hot grams, by hash, to ranges n * (1 + i) on for the i-th interval."""
+
+    splitters: np.ndarray
+    hot: np.ndarray
+    ranges: int
+
+
+def runs(docs: list[tuple[tuple[int, int], int, bytes]], how: Dealing) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray]:
+    """Front-coded runs (range, blob) of a block of pieces (name, offset, bytes), and names and (start, end) of what repeats within the block by whole contexts."""
+    names, parts = np.array([n for n, _, _ in docs], np.int64).reshape(-1, 2), []
+    for k, (_, offset, raw) in enumerate(docs):
+        at, first, last = anchors(raw)
+        if len(at):
+            left, right = at - first, last + LENGTH - at
+            parts.append(Suffixes(contexts(raw, at, left, right), np.full(len(at), k, np.int64), at + offset, left, right))
+    if not parts:
+        return [], np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
+    whole = Suffixes(*map(np.concatenate, zip(*parts, strict=True)))
+    del parts
+    hot = np.isin(_text(whole.context[:, :GRAM]), how.hot) if len(how.hot) else np.zeros(len(whole.row), bool)
+    made, local = _run(whole.of(~hot), names, lambda s: np.searchsorted(how.splitters, _text(s.context[:, :GRAM]), "right"))
+    found = [local]
+    some = whole.of(hot)
+    for i, (low, high) in enumerate(INTERVALS if hot.any() else []):
+
+        def dealt(s: Suffixes, i=i, low=low, high=high) -> np.ndarray:
+            shared = np.concatenate([s.context[:, : LENGTH - high], s.context[:, LENGTH : LENGTH + low]], 1)
+            h = np.array([zlib.crc32(x.tobytes()) for x in shared], np.int64)
+            return how.ranges * (1 + i) + h % how.ranges
+
+        more, local = _run(_within(some.of(np.arange(len(some.row))), low, high), names, dealt)
+        made += more
+        found.append(local)
+    local = np.concatenate(found)
+    return made, names[local[:, 0]], local[:, 1:]
+
+
 class LoserTree:
     """Merges sorted runs of strings. shared[i]: the prefix that run i's head shares with the last string put out, or with the string that beat it at its node."""
 
@@ -200,8 +265,8 @@ def decoded(lcp: np.ndarray, length: np.ndarray, rest: bytes) -> list[bytes]:
     return out
 
 
-def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of what repeats among the runs of a range."""
+def repeats(blobs: list[bytes], low: int = 0, high: int = LEFT) -> tuple[np.ndarray, np.ndarray]:
+    """Names and (start, end) of what repeats among the runs of a range, of strings that start low to high bytes before an anchor."""
     opened = [_unpack(b) for b in blobs]
     strings = [decoded(o[0], o[1], o[3]) for o in opened]
     order = list(LoserTree(strings, [o[0].tolist() for o in opened]).merged())
@@ -213,7 +278,7 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = lambda n: np.concatenate([o[n] for o in opened])[order_of][pick]
     near, n = near[pick], len(pick)
     if not n:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
     after = np.frombuffer(b"".join(strings[order[i][0]][order[i][1]].ljust(LENGTH, b"\0") for i in pick), np.uint8).reshape(n, LENGTH)
     del strings
     before, run, nth = np.zeros((n, LEFT), np.uint8), np.array([r for r, _, _ in order])[pick], np.array([i for _, i, _ in order])[pick]
@@ -231,6 +296,8 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for d in range(LEFT + 1):
         if d:
             h = (h - after[:, LENGTH - d].astype(np.uint64) * top) * np.uint64(base) + before[:, d - 1]
+        if not low <= d <= high:
+            continue
         can = np.flatnonzero((near >= LENGTH - d) & (left >= d) & (right >= LENGTH - d))
         if len(can) > 1:
             by = can[np.argsort(h[can], kind="stable")]
@@ -238,10 +305,10 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             hit = by[np.append(twin, False) | np.append(False, twin)]
             far[hit] = d
             close[hit] = np.minimum(close[hit], d)
-    rows = np.concatenate([o[5][o[6]] for o in opened])[order_of][pick]
+    names = np.concatenate([o[5][o[6]] for o in opened])[order_of][pick]
     place = joined(7).astype(np.int64)
     found = (far >= 0) & ~joined(8)
-    return rows[found], (place - far)[found], (place - close + LENGTH)[found]
+    return names[found], np.stack([place - far, place - close + LENGTH], 1)[found]
 
 
 def _spread(flat: bytes, length: np.ndarray, rows: np.ndarray, out: np.ndarray, to: np.ndarray, step: int = 4096) -> None:
@@ -267,65 +334,73 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def splitters_of(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Quantiles of the first GRAM bytes of suffixes of at most SAMPLE_DOCS documents; suffixes that share these bytes are in one range."""
+def dealing(docs: DataFrame, ranges: int) -> Dealing:
+    """Quantiles of the first GRAM bytes of suffixes of a bounded sample of documents, and those that it has very often."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for t in b["text"]:
-                raw = t.encode("utf-8", "surrogatepass")
-                at = anchors(raw)[0]
-                yield pd.DataFrame({"suffix": [raw[i : i + GRAM] for i in at[:: max(1, len(at) // 200)]]})
-
-    some = docs.where(F.length("text") > 0).orderBy("row").limit(SAMPLE_DOCS)
-    got = sorted(some.select("text").mapInPandas(sample, "suffix binary").toPandas()["suffix"])
-    picked = sorted({bytes(got[i * len(got) // ranges]) for i in range(1, ranges)}) if got else []
-    return np.array(picked, f"S{LENGTH}")
-
-
-def repeated_spans(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, text, row) of docs, row a hash of both, and spans (row, start, end) of what repeats in them."""
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    # two ranges a partition: what a task holds at once is one range
-    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    splitters = splitters_of(rows, ranges)
+                grams = []
+                for _, raw in pieces(t.encode("utf-8", "surrogatepass")):
+                    grams += [raw[i : i + GRAM] for i in anchors(raw)[0]]
+                # each gram of a text counts once
+                yield pd.DataFrame({"suffix": [g for n, g in enumerate(dict.fromkeys(grams)) if n % max(1, len(grams) // 200) == 0]})
+
+    some = docs.where(F.length("text") > 0).orderBy("a", "b").limit(max(400, SAMPLE_DOCS * ranges))
+    got = np.array(sorted(some.select("text").mapInPandas(sample, "suffix binary").toPandas()["suffix"]), f"S{GRAM}")
+    gram, times = np.unique(got, return_counts=True)
+    hot = gram[times >= max(HOT, len(got) // (2 * ranges))]
+    cool = got[~np.isin(got, hot)]
+    picked = np.unique(cool[np.arange(1, ranges) * len(cool) // ranges]) if len(cool) else cool
+    return Dealing(picked, hot, ranges)
+
+
+def repeated_spans(docs: DataFrame, id: str, text: str, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text, a, b) of docs, a and b hashes that name a row, and spans (a, b, start, end) of what repeats in them."""
+    value = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.col(id).alias("id"), value.alias("text"), F.xxhash64(id, value).alias("a"), F.xxhash64(F.lit(1), value, id).alias("b"))
+    # two ranges a partition at least: what a task holds at once is one range
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = ranges or max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))
+    how = dealing(rows, ranges)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, n = [], 0, 0
 
         def out() -> pd.DataFrame:
-            made, local = runs(held, splitters)
+            made, names, spans = runs(held, how)
             made = [(r, True, blob) for r, blob in made]
-            if local:
-                made.append((n % ranges, False, _pack(np.array(local, np.int64))))
+            if len(spans):
+                made.append((n % ranges, False, _pack(names, spans)))
             return pd.DataFrame(made, columns=["range", "run", "blob"])
 
         for b in batches:
-            for k, t in zip(b["row"], b["text"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                if len(raw) >= LENGTH:
-                    held.append((k, raw))
+            for x, y, t in zip(b["a"], b["b"], b["text"], strict=True):
+                for offset, raw in pieces(t.encode("utf-8", "surrogatepass")):
+                    held.append(((x, y), offset, raw))
                     size += len(raw)
-                if size >= BLOCK:
-                    yield out()
-                    held, size, n = [], 0, n + 1
+                    if size >= BLOCK:
+                        yield out()
+                        held, size, n = [], 0, n + 1
         if held:
             yield out()
 
     def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        row, start, end = repeats(part["blob"][part["run"]].tolist()) if part["run"].any() else (np.zeros(0, np.int64),) * 3
-        known = [_unpack(b)[0] for b in part["blob"][~part["run"]]]
-        row, start, end = (np.concatenate([x, *(k[:, i] for k in known)]) for i, x in enumerate((row, start, end)))
-        return pd.DataFrame({"row": row, "start": start, "end": end})
+        known = [_unpack(b) for b in part["blob"][~part["run"]]]
+        if part["run"].any():
+            interval = INTERVALS[key[0] // ranges - 1] if key[0] >= ranges else (0, LEFT)
+            known.append(repeats(part["blob"][part["run"]].tolist(), *interval))
+        names, spans = (np.concatenate(x) for x in zip(*known, strict=True))
+        return pd.DataFrame({"a": names[:, 0], "b": names[:, 1], "start": spans[:, 0], "end": spans[:, 1]})
 
-    exchanged = rows.select("row", "text").mapInPandas(cut, "range int, run boolean, blob binary")
-    return rows, exchanged.groupBy("range").applyInPandas(merge, "row long, start long, end long")
+    exchanged = rows.select("a", "b", "text").mapInPandas(cut, "range int, run boolean, blob binary")
+    return rows, exchanged.groupBy("range").applyInPandas(merge, "a long, b long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, id: str, text: str, keep_bytes: bool = True) -> DataFrame:
     """(id, n_bytes, removed, kept, kept_sha256) of every row; removed: maximal spans of removed bytes; kept: the remaining bytes, null unless keep_bytes."""
     rows, spans = repeated_spans(docs, id, text)
-    by_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_row = spans.groupBy("a", "b").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -340,4 +415,4 @@ def remove_repeats(docs: DataFrame, id: str, text: str, keep_bytes: bool = True)
                 yield pd.DataFrame(out, columns=["id", "n_bytes", "removed", "kept", "kept_sha256"])
 
     kind = dict(docs.dtypes)[id]
-    return rows.join(by_row, "row", "left").select("id", "text", "spans").mapInPandas(strip, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+    return rows.join(by_row, ["a", "b"], "left").select("id", "text", "spans").mapInPandas(strip, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
