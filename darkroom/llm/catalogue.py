@@ -73,7 +73,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(5)) == 0
+    held_out = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string")), F.lit(5)) == 0, F.lit(False))
     voters = quality_vote.learn(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")), "doc_id", "text", "quality")
     scored = quality_vote.score(docs, "doc_id", "text", voters)
     return scored.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -1,12 +1,15 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of terms: trigrams over 16 character classes, and a few repetition terms (echoed words, repeated
+A text becomes counts of terms: its words, by hash, trigrams over 16 character classes, and a few repetition terms (echoed words, repeated
 lines). Log counts, weighted by inverse document frequency and projected to a few dimensions by a truncated singular value
 decomposition, are its vector. Vectors of labelled texts are broadcast; every document's exact cosines with all of
 them are one blocked matrix product, and the labels of its nearest neighbours vote, weighted by similarity.
 
 Bounds: at most `max_labels` labelled texts (chosen by a hash of the key) are learned from and broadcast, each as a vector
-of `dims` floats: 3000 x 32 x 4 bytes = 0.4 MB, whatever the input. The projection has TERMS x dims floats (0.5 MB).
+of `dims` floats: 3000 x 32 x 4 bytes = 0.4 MB, whatever the input. The projection has TERMS x dims floats (1 MB).
+
+Ties: similarities count to six places, so that they do not depend on how documents are blocked; of learned texts that are equally
+near, those of smaller keys vote first.
 
 Defined cases: null and empty texts are the zero vector, without neighbours, and score the share of label 1 among the
 learned rows; without learned rows every score is 0.5; null keys and repeated rows are scored like others; repeated labels
@@ -23,10 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkroom.llm.shingles import word_hashes
+
 CLASSES = 16
 GRAMS = CLASSES**3
 EXTRA = 8
-TERMS = GRAMS + EXTRA
+WORDS = 2048
+TERMS = GRAMS + EXTRA + WORDS
 
 
 def _table() -> bytes:
@@ -54,9 +60,11 @@ def term_counts(text: str | None) -> np.ndarray:
         # shares as counts of 0 to 30, so that they weigh like frequent trigrams, and spread over terms of low, middle and high
         for k, share in enumerate((sum(map(bytes.__eq__, words, words[1:])) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / n)):
             out[GRAMS + 2 * k], out[GRAMS + 2 * k + 1] = 30 * share * (share > 0.3), 30 * share
-    total = out[:GRAMS].sum()
-    if total:
-        out[:GRAMS] *= 1000 / total
+        out[GRAMS + EXTRA :] = np.bincount((word_hashes(text) % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+    # shares of trigrams and of words, in thousands
+    for part in (out[:GRAMS], out[GRAMS + EXTRA :]):
+        if total := part.sum():
+            part *= 1000 / total
     return np.log1p(out)
 
 
@@ -76,12 +84,14 @@ class Voters(NamedTuple):
         """Share of label 1 among the k nearest learned texts, weighted by similarity."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        sims = self.embed(counts) @ self.vectors.T
+        sims = np.round((self.embed(counts) @ self.vectors.T).astype(np.float64), 6)
         k = min(k, len(self.labels))
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 8
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        above, tied = sims > least, sims == least
+        near = above | (tied & (np.cumsum(tied, 1) <= k - above.sum(1, keepdims=True)))
+        w = np.where(near, np.maximum(sims, 0), 0) ** 8
         total = w.sum(1)
-        return np.where(total > 0, (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1), self.labels.mean())
+        return np.where(total > 0, w @ self.labels / np.where(total > 0, total, 1), self.labels.mean())
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dims: int = 32, seed: int = 7) -> Voters:
