@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 
 #: Parts a reversed host from the path: below every character of a host or path but controls.
 MARK = "\x01"
-#: Above every character: UTF-8's largest code point.
-LAST = "\U0010ffff"
+#: Above every byte of UTF-8.
+LAST = b"\xff"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty without ://."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -47,8 +48,8 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(host: Column, path: Column) -> Column:
-    """Canonical key: labels in reverse order, MARK, path."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(MARK), path)
+    """Canonical key: the bytes of labels in reverse order, MARK, path."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(MARK), path).cast("binary")
 
 
 def suffixes(host: Column) -> Column:
@@ -59,19 +60,19 @@ def suffixes(host: Column) -> Column:
 
 def intervals(rules: DataFrame) -> DataFrame:
     """rules(host, path, verdict) -> (start, top, parent): what is on top of the stack within a rule and after its end."""
-    once = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where(F.col("host").isNotNull())
+    once = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where(F.col("host").isNotNull())
     once = once.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     top = F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict").alias("top")
     keyed = once.select("host", "path", key_of(F.col("host"), F.col("path")).alias("start"), top)
     # a rule's parent is the longest rule among the proper prefixes of its path at its host
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda i: F.concat(key_of(F.col("host"), F.lit("")), F.substring(F.col("path"), F.lit(1), i))))
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda i: F.concat(key_of(F.col("host"), F.lit("")), F.substring(F.col("path"), F.lit(1), i).cast("binary"))))
     up = keyed.where(F.length("path") > 0).select("start", cut.alias("up")).join(keyed.select(F.col("start").alias("up"), "top"), "up")
     parents = up.groupBy("start").agg(F.max("top").alias("parent"))
     none = F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("n", "int"), ("h", "int"), ("rule", "string"), ("verdict", "string"))))
     return keyed.join(parents, "start", "left").select("start", "top", F.coalesce("parent", none).alias("parent"))
 
 
-def range_of(key: Column, cuts: list[str]) -> Column:
+def range_of(key: Column, cuts: list[bytes]) -> Column:
     """How many of the ascending cuts are no larger than a key."""
     below = lambda some: F.size(F.filter(some, lambda c: c <= key))
     if not cuts:
@@ -90,7 +91,7 @@ def judge(pages: DataFrame, row: str, url: str, rules: DataFrame, default: str =
     targets = rows.select("host", "path").distinct()
     lookups = targets.select("host", "path", F.explode(suffixes(F.col("host"))).alias("domain"))
     lookups = lookups.select("host", "path", key_of(F.col("domain"), F.col("path")).alias("key"))
-    sample = sorted(r[0] for r in lookups.select("key").orderBy(F.xxhash64("key"), "key").limit(16 * ranges).collect())
+    sample = sorted(bytes(r[0]) for r in lookups.select("key").orderBy(F.xxhash64("key"), "key").limit(16 * ranges).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
     at = lambda k: range_of(k, cuts)
 
@@ -99,7 +100,7 @@ def judge(pages: DataFrame, row: str, url: str, rules: DataFrame, default: str =
     starts = ends.select(F.col("first").alias("range"), F.col("start").alias("key"), F.lit(0).alias("nth"), "top", *nowhere)
     stops = ends.select(F.col("final").alias("range"), F.col("end").alias("key"), F.lit(0).alias("nth"), F.col("parent").alias("top"), *nowhere)
     # what is open where a range begins, outer rules first
-    still = ends.where("final > first").select(F.explode(F.expr("sequence(first + 1, final)")).alias("range"), F.lit("").alias("key"), F.length("start").alias("nth"), "top", *nowhere)
+    still = ends.where("final > first").select(F.explode(F.expr("sequence(first + 1, final)")).alias("range"), F.lit(b"").alias("key"), F.length("start").alias("nth"), "top", *nowhere)
     points = lookups.select(at(F.col("key")).alias("range"), "key", F.lit(1).alias("nth"), F.lit(None).cast(ends.schema["top"].dataType).alias("top"), "host", "path")
     swept = starts.unionByName(stops).unionByName(still).unionByName(points)
     sweep = Window.partitionBy("range").orderBy("key", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
