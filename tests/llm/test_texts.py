@@ -1,5 +1,6 @@
 """Secret scans, quality rules and voting, BPE, URL rules and chat formatting against brute force, with odd rows."""
 
+import collections
 import hashlib
 import re
 
@@ -83,8 +84,41 @@ def slow_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    inside = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside)
+    times, seen, again = collections.Counter(windows), set(), 0
+    inside = {j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 5)}
+    for x in lines:
+        again += x in seen
+        seen.add(x)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), again, len(inside)
+
+
+def plain_verdicts(docs, rules):
+    """doc_id -> (base counts, base_failed, kept) by the learned list, evaluated row by row."""
+    out = {}
+    for k, text in docs.items():
+        s = dict(zip(quality_rules.COUNTS, quality_rules.text_stats(text)))
+        base = slow_stats(text)
+        per = lambda a, b: s[a] / s[b] if s[b] else 0.0  # noqa: B023, E731
+        f = {
+            "symbols_per_word": per("n_symbols", "n_words"), "chars_per_word": per("word_chars", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"),
+            "upper_share": per("n_upper", "n_letters"), "distinct_share": per("n_distinct", "n_words"), "echo_share": per("n_echo", "n_words"), "ending_share": per("n_ending", "n_words"),
+        }
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        rejected = any(all((f[t.feature] >= t.at) == t.above for t in rule) for rule in rules.rules)
+        out[k] = (base, failed, not failed and not rejected)
+    return out
+
+
+def test_quality_query_equals_plain_version(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = quality_rules.learn_from(table, spark.read.parquet(f"{SF}/labels.parquet"), "doc_id", "text", "quality")
+    want = plain_verdicts(docs, rules)
+    got = {r.doc_id: r for r in catalogue.op2_quality_rules(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for k, (base, failed, kept) in want.items():
+        r = got[k]
+        assert ((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed, r.kept) == (base, failed, kept)
 
 
 def test_statistics(spark):
@@ -136,6 +170,37 @@ def test_vote_accuracy_and_odd_rows(spark):
     assert quality_vote.score(empty(spark), "doc_id", "text", voters).count() == 0
 
 
+def test_vote_query_equals_plain_neighbours(spark):
+    """Every document's score from all cosines with the learned vectors, sorted one by one; ties by key."""
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in docs:
+            labels[r.doc_id] = min(r.quality, labels.get(r.doc_id, 1))
+    keys = sorted(labels)
+    counts = lambda k: quality_vote.term_counts(docs[k]).astype(np.float16).astype(np.float32)
+    v = quality_vote.fit(np.stack([counts(k) for k in keys]), np.array([labels[k] for k in keys]))
+    got = {r.doc_id: r for r in catalogue.op5_quality_vote(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for k, text in docs.items():
+        e = v.embed(quality_vote.term_counts(text)[None])[0]
+        sims = [round(float(e @ x), 6) for x in v.vectors]
+        near = sorted(range(len(keys)), key=lambda j: (-sims[j], j))[:15]
+        w = [max(0.0, sims[j]) ** 8 for j in near]
+        want = sum(a * labels[keys[j]] for a, j in zip(w, near)) / sum(w) if sum(w) else sum(labels.values()) / len(labels)
+        assert got[k].score == pytest.approx(want, abs=0.02) and got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+        assert got[k].predicted == (got[k].score >= 0.3)
+
+
+def test_ties_vote_by_key():
+    v = quality_vote.Voters(np.ones(quality_vote.TERMS, np.float32), np.eye(quality_vote.TERMS, 2, dtype=np.float32), np.array([[1, 0]] * 4 + [[0, 1]], np.float32), np.array([1.0, 0, 0, 0, 1]))
+    row = np.zeros((3, quality_vote.TERMS), np.float32)
+    row[:, 0] = 2
+    assert v.scores(row, 1).tolist() == [1.0] * 3 and v.scores(row, 2).tolist() == [0.5] * 3
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(0)
     counts = rng.random((40, quality_vote.TERMS)).astype(np.float32)
@@ -163,6 +228,19 @@ def test_bpe_equals_the_library(spark):
         assert c.decode(c.encode(text)) == t.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_query_equals_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(catalogue.word_bpe_path())
+    t.no_truncation()
+    t.no_padding()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in catalogue.op7_bpe(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        assert got.pop(r.doc_id) == (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+    assert not got
+
+
 def test_long_and_short_merges_agree():
     c = bpe.Codec(catalogue.word_bpe_path())
     rng = np.random.default_rng(2)
@@ -201,10 +279,19 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), "page_id", "url", rules).count() == 0
 
 
+def test_url_rules_beyond_ascii(spark):
+    """Only A-Z are lower-cased, of hosts and rules alike, and the largest code point belongs to a rule's paths."""
+    rules = spark.createDataFrame([("BÜCHER.de", "/", "block"), ("x.org", "/a", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    pages = [(1, "http://BÜCHER.de/x"), (2, "http://bücher.de/x"), (3, "http://a.bÜcher.DE/"), (4, "http://x.org/a\U0010ffffb"), (5, "http://x.org/a"), (6, "http://x.org/b"), (7, "http://X.ORG/a\U0010ffff\U0010ffff")]
+    for ranges in (1, 5):
+        got = {r.row: r.rule for r in url_rules.judge(spark.createDataFrame(pages, "id long, url string"), "id", "url", rules, ranges=ranges).collect()}
+        assert got == {1: "bÜcher.de/", 2: None, 3: "bÜcher.de/", 4: "x.org/a", 5: "x.org/a", 6: None, 7: "x.org/a"}
+
+
 def test_ranges_of_keys(spark):
-    keys = spark.createDataFrame([(f"k{i:03d}",) for i in range(200)] + [("",), ("z",)], "key string")
+    keys = spark.createDataFrame([(f"k{i:03d}".encode(),) for i in range(200)] + [(b"",), (b"z",)], "key binary")
     for n in (0, 1, 2, 3, 16, 17, 150):
-        cuts = sorted({f"k{i * 199 // max(1, n):03d}" for i in range(n)})
+        cuts = sorted({f"k{i * 199 // max(1, n):03d}".encode() for i in range(n)})
         got = keys.select("key", url_rules.range_of(F.col("key"), cuts).alias("n")).collect()
         assert [r.n for r in got] == [sum(c <= r.key for c in cuts) for r in got]
 
