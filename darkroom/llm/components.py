@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step gives every edge the smallest neighbour of one of its ends. A node with many edges would meet in one task there, so edges are
-dealt by node and salt: minima come first by node and salt, then by node over at most SALTS rows, and go back to each salt. Labels
-halve their distance to the smallest node of the component, so the number of steps grows with the logarithm of its width. Each
-round is written to the shared folder, which cuts lineage. Only counts reach the driver.
+Each step gives every edge the smallest neighbour of one of its ends, found by a grouping that combines before it shuffles. A node with
+many edges would meet its edges in one task of the join that follows; such hubs, of which there are at most MOST_HUBS whatever the input,
+are broadcast instead. Labels halve their distance to the smallest node of the component, so the number of steps grows with the
+logarithm of its width. Each round is written to the shared folder, which cuts lineage. Only counts reach the driver.
 
 Defined cases: no edges give no rows; edges of a node to itself and repeated edges don't matter; null ends are left out.
 """
@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from darkroom.llm.common import dropped, stored
 
-SALTS = 32
+#: Nodes with more edges than twice the edges divided by this are hubs; nodes of 200 edges or fewer never are.
+MOST_HUBS = 4000
 
 
-def _with_least(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """edges with m, the smallest v among those of its u."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64(v), F.lit(SALTS)))
-    part = salted.groupBy(u, "salt").agg(F.min(v).alias("m"))
-    least = part.groupBy(u).agg(F.min("m").alias("m"))
-    return salted.join(part.select(u, "salt").join(least, u), [u, "salt"]).drop("salt")
+def _with_least(edges: DataFrame, u: str, v: str, count: int) -> DataFrame:
+    """edges with m, the smallest v among those of its u. count: the number of edges, or more."""
+    least = edges.groupBy(u).agg(F.min(v).alias("m"), F.count("*").alias("n"))
+    many = F.col("n") > max(200, 2 * count // MOST_HUBS)
+    told = edges.join(F.broadcast(least.where(many).select(u, "m")), u, "left")
+    return told.where("m IS NULL").drop("m").join(least.where(~many).select(u, "m"), u).unionByName(told.where("m IS NOT NULL"))
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -31,18 +32,18 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    state = None
+    state, count = None, now.count()
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node are linked to the smallest of its neighbourhood
-        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, "u", "v", 2 * count).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         # small star: a node and its neighbours below it are linked to the smallest of them
-        low = _with_least(large, "u", "v")
+        low = _with_least(large, "u", "v", 2 * count)
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("v = m").select("u", F.col("m").alias("v")))
         before, now = now, stored(small.where("u <> v").distinct(), "edges")
         dropped(before)
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = found
+        state, count = found, found[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
