@@ -67,15 +67,23 @@ def assign_untimed(untimed: DataFrame, events: DataFrame, least: float = 0.60, m
     """(album_id, photo_id, event, profile): the event of the album that a photo without time resembles; null if none is clear.
 
     Resemblance is the best place (.45), scene (.35) and histogram (.20) similarity to a timed member. It needs `least`, and
-    `margin` over the runner-up. Photos are compared with the timed members only, so the result does not depend on an order."""
-    side = events.select("album_id", "event", F.struct("lat", "lon", "tags", "histogram").alias("m"))
-    pairs = untimed.join(side, "album_id")
-    m = F.col("m")
-    sims = pairs.groupBy("album_id", "photo_id", "event").agg(
-        F.max(scoring.piecewise(geo.haversine_km(F.col("lat"), F.col("lon"), m["lat"], m["lon"]), km)).alias("gps"),
-        F.max(texts.jaccard(texts.scene_tags(F.col("tags")), texts.scene_tags(m["tags"]))).alias("scene"), F.max(vectors.histogram_overlap(F.col("histogram"), m["histogram"])).alias("overlap"),
-    )
-    scored = sims.withColumn("profile", scoring.weighted([(F.col("gps"), 0.45), (F.col("scene"), 0.35), (F.col("overlap"), 0.20)])).where(F.col("profile").isNotNull())
+    `margin` over the runner-up. Photos are compared with the timed members only, so the result does not depend on an order. The best of
+    each channel is found among its distinct values alone, of photos and of events, so photos that share a place or tags cost once."""
+    tags = texts.scene_tags(F.col("tags"))
+    channels = {
+        "gps": (F.struct("lat", "lon"), lambda a, b: scoring.piecewise(geo.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]), km)),
+        "scene": (F.array_sort(tags), texts.jaccard),
+        "overlap": (F.col("histogram"), vectors.histogram_overlap),
+    }
+    keyed = untimed.select("album_id", "photo_id", *(value.alias(c) for c, (value, _) in channels.items()))
+    scored = keyed.select("album_id", "photo_id", *channels).join(events.select("album_id", "event").distinct(), "album_id")
+    for c, (value, like) in channels.items():
+        mine = keyed.select("album_id", F.col(c).alias("a")).where(F.col("a").isNotNull()).distinct()
+        theirs = events.select("album_id", "event", value.alias("b")).where(F.col("b").isNotNull()).distinct()
+        best = mine.join(theirs, "album_id").groupBy("album_id", "event", "a").agg(F.max(like(F.col("a"), F.col("b"))).alias(f"best_{c}")).withColumnRenamed("a", c)
+        scored = scored.join(best, ["album_id", "event", c], "left")
+    profile = scoring.weighted([(F.col("best_gps"), 0.45), (F.col("best_scene"), 0.35), (F.col("best_overlap"), 0.20)])
+    scored = scored.withColumn("profile", profile).where(F.col("profile").isNotNull())
     by = Window.partitionBy("album_id", "photo_id").orderBy(F.desc("profile"), "event")
     top = scored.withColumn("nth", F.row_number().over(by)).withColumn("next", F.coalesce(F.lead("profile").over(by), F.lit(0.0))).where("nth = 1")
     sure = (F.col("profile") >= least) & (F.col("profile") - F.col("next") >= margin)
@@ -107,9 +115,17 @@ def pair_distances(photos: DataFrame, weights: dict[str, float], most: int = 200
     return pairs.withColumn("distance", scoring.clamp(scoring.weighted([(F.col(c), w) for c, w in weights.items()], 1.0))).drop("time_scale", "gps_scale")
 
 
-def coverage(pairs: DataFrame, channels: tuple[str, ...] = ("embedding", "time", "gps", "color")) -> DataFrame:
-    """Share of an album's pairs that have each channel."""
-    return pairs.groupBy("album_id").agg(F.count("*").alias("pairs"), *(F.round(F.avg(F.col(c).isNotNull().cast("double")), 4).alias(c) for c in channels))
+def coverage(photos: DataFrame) -> DataFrame:
+    """Share of an album's pairs that have each channel, from counts: of m photos that have it m (m - 1) / 2 pairs do; embeddings and histograms pair with those of their length."""
+    have = {
+        "embedding": F.when(vectors.normalized(vectors.doubles(F.col("embedding"))).isNotNull(), F.size("embedding")), "time": F.when(F.col("taken_at").isNotNull(), 1),
+        "gps": F.when(geo.valid(F.col("lat"), F.col("lon")), 1), "color": F.when(vectors.shares(F.col("histogram")).isNotNull(), F.size("histogram")),
+    }
+    of = lambda n: n * (n - 1) / 2
+    kinds = photos.select("album_id", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), v.alias("kind")) for c, v in have.items()))).alias("h")).select("album_id", "h.*")
+    by = kinds.where("kind IS NOT NULL").groupBy("album_id", "channel", "kind").agg(F.count("*").alias("n")).groupBy("album_id").agg(*(F.sum(F.when(F.col("channel") == c, of(F.col("n")))).alias(c) for c in have))
+    total = photos.groupBy("album_id").agg(of(F.count("*")).cast("long").alias("pairs")).where("pairs > 0")
+    return total.join(by, "album_id", "left").select("album_id", "pairs", *(F.round(F.coalesce(c, F.lit(0.0)) / F.col("pairs"), 4).alias(c) for c in have))
 
 
 def dispersion(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,53 +158,50 @@ def chosen_k(gaps: DataFrame) -> DataFrame:
 # ---- an album's sequence as a whole: dynamic programming, which no relational operator expresses ----
 
 
-def interval_costs(d: np.ndarray) -> np.ndarray:
-    """costs[i, j]: half the mean distance sum of the rows from i to j, both inside."""
-    n = len(d)
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = d.cumsum(0).cumsum(1)
-    i, j = np.arange(n)[:, None], np.arange(n)[None, :]
-    block = total[j + 1, j + 1] - total[i, j + 1] - total[j + 1, i] + total[i, i]
-    return np.where(j > i, block / (2.0 * np.maximum(j - i + 1, 1)), 0.0)
-
+def partitioned(d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of the best contiguous partitions into 1 to `most` parts, and where their last parts begin, by number of parts and end.
 
-def partitions(d: np.ndarray, most: int) -> list[np.ndarray]:
-    """Labels of the best contiguous partition into 1 to `most` parts; the earliest start among equals."""
+    A part costs half the mean distance sum of its rows; the earliest start wins among equals. Costs come from one table of running sums of
+    distances, a row at a time, which is what it needs besides d."""
     n = len(d)
-    most = min(most, n)
-    costs, best, start = interval_costs(d), np.full((most + 1, n + 1), np.inf), np.zeros((most + 1, n + 1), int)
+    total = np.zeros((n + 1, n + 1))
+    np.cumsum(d, axis=0, dtype=float, out=total[1:, 1:])
+    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
+    own = np.ascontiguousarray(np.diagonal(total))
+    best, start = np.full((most + 1, n + 1), np.inf), np.zeros((most + 1, n + 1), np.int32)
     best[0, 0] = 0.0
-    for k in range(1, most + 1):
-        for end in range(k, n + 1):
-            options = best[k - 1, k - 1 : end] + costs[k - 1 : end, end - 1]
-            at = int(options.argmin())
-            best[k, end], start[k, end] = options[at], k - 1 + at
-    out = []
-    for k in range(1, most + 1):
-        labels, end = np.zeros(n, int), n
-        for part in range(k, 0, -1):
-            labels[start[part, end] : end] = part - 1
-            end = start[part, end]
-        out.append(labels)
-    return out
+    for end in range(1, n + 1):
+        cost = (own[end] - 2 * total[end, :end] + own[:end]) / (2.0 * np.arange(end, 0, -1))
+        cost[-1] = 0.0
+        options = best[:most, :end] + cost
+        at = options.argmin(1)
+        best[1:, end], start[1:, end] = options[np.arange(most), at], at
+    return np.maximum(best[1:, n], 1e-12), start
 
 
-def spread(d: np.ndarray, labels: np.ndarray) -> float:
-    inside = labels[:, None] == labels[None, :]
-    sizes = np.bincount(labels)[labels]
-    return max(float((d * inside / (2.0 * sizes[:, None])).sum()), 1e-12)
+def labels_of(start: np.ndarray, parts: int) -> np.ndarray:
+    end = start.shape[1] - 1
+    labels = np.zeros(end, int)
+    for part in range(parts, 0, -1):
+        labels[start[part, end] : end] = part - 1
+        end = start[part, end]
+    return labels
 
 
 def matrix(channels: dict[str, np.ndarray], weights: dict[str, float]) -> np.ndarray:
     """Weighted mean of channel matrices, NaN where a pair lacks a channel; 1 without any."""
-    total, weight = 0.0, 0.0
+    some = next(iter(channels.values()))
+    total, weight = np.zeros_like(some), np.zeros_like(some)
     for name, w in weights.items():
-        c = channels[name]
+        c, w = channels[name], some.dtype.type(w)
         have = ~np.isnan(c)
-        total, weight = total + np.where(have, w * np.nan_to_num(c), 0.0), weight + np.where(have, w, 0.0)
-    out = np.clip(np.where(weight > 0, total / np.where(weight > 0, weight, 1), 1.0), 0, 1)
-    np.fill_diagonal(out, 0.0)
-    return out
+        np.add(total, c * w, out=total, where=have)
+        np.add(weight, w, out=weight, where=have)
+    np.divide(total, weight, out=total, where=weight > 0)
+    total[weight == 0] = 1
+    np.clip(total, 0, 1, out=total)
+    np.fill_diagonal(total, 0.0)
+    return total
 
 
 def _scale(x: np.ndarray) -> float:
@@ -200,16 +213,36 @@ def _scale(x: np.ndarray) -> float:
     return max(q[2] - q[0], q[1], 1e-9)
 
 
+#: Albums of more photos have distances of single precision, and are dealt over tasks by reference.
+LARGE = 400
+
+
+def _arcs(lat: np.ndarray, lon: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Kilometres between places, in the type of the inputs."""
+    a = np.sin((lat2 - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat2) * np.sin((lon2 - lon) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(a)))
+
+
+def _hellinger(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of square roots: from their products, without differences of all pairs."""
+    return np.sqrt(np.maximum(0, ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)) / 2))
+
+
 def channels(t: np.ndarray, e: np.ndarray, lat: np.ndarray, lon: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
     """Distances of all pairs of an album in each channel; rows of NaN lack it."""
+    n, kind = len(t), np.float32 if len(t) > LARGE else np.float64
     with np.errstate(invalid="ignore"):
         seconds = np.abs(t[:, None] - t[None, :])
-        a = np.sin(np.radians(lat[None, :] - lat[:, None]) / 2) ** 2 + np.cos(np.radians(lat))[:, None] * np.cos(np.radians(lat))[None, :] * np.sin(np.radians(lon[None, :] - lon[:, None]) / 2) ** 2
-        km = 2 * geo.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
-        root = np.sqrt(c)
-        hell = np.sqrt(np.maximum(0.0, ((root[:, None, :] - root[None, :, :]) ** 2).sum(2)) / 2) if c.size else np.full((len(t), len(t)), np.nan)
-        cos = np.clip((1 - e @ e.T) / 2, 0, 1) if e.size else np.full((len(t), len(t)), np.nan)
-        return {"embedding": cos, "time": seconds / (seconds + _scale(seconds)), "gps": km / (km + _scale(km)), "color": hell}
+        seconds = (seconds / (seconds + _scale(seconds))).astype(kind)
+        y, x = np.radians(lat).astype(kind), np.radians(lon).astype(kind)
+        km = _arcs(y[:, None], x[:, None], y[None, :], x[None, :])
+        km = (km / (km + kind(_scale(km)))).astype(kind)
+        root, e = np.sqrt(c).astype(kind), e.astype(kind)
+        hell = _hellinger(root, root) if c.size else np.full((n, n), np.nan, kind)
+        cos = np.clip((1 - e @ e.T) / 2, 0, 1) if e.size else np.full((n, n), np.nan, kind)
+        for m in (hell, cos):
+            np.fill_diagonal(m, np.where(np.isnan(np.diagonal(m)), np.nan, 0))
+        return {"embedding": cos, "time": seconds, "gps": km, "color": hell}
 
 
 def _box(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -243,26 +276,42 @@ def reference(t: np.ndarray, e: np.ndarray, lat: np.ndarray, lon: np.ndarray, c:
 
 
 class Choice(NamedTuple):
-    labels: np.ndarray
     auto: int
     selected: int
     peak: int
 
 
-def choose(d: np.ndarray, refs: list[np.ndarray], granularity: int = 0) -> Choice:
-    """Number of parts by the gap statistic: the smallest within one standard error of the peak, moved by granularity."""
-    n = len(d)
-    if n <= 2:
-        return Choice(np.zeros(n, int), 1, 1, 1)
-    most = min(n - 1, int(np.ceil(np.sqrt(n))) + 1)
-    mine = partitions(d, most)
-    logs = np.array([[np.log(spread(r, p)) for p in partitions(r, most)] for r in refs])
-    gaps = logs.mean(0) - np.log([spread(d, p) for p in mine])
+def choose(own: np.ndarray, refs: np.ndarray, granularity: int = 0) -> Choice:
+    """Number of parts by the gap statistic, from costs by number of parts, of references in rows: the smallest within one standard error of the peak, moved by granularity."""
+    most = len(own)
+    if most <= 1:
+        return Choice(1, 1, 1)
+    logs = np.log(refs)
+    gaps = logs.mean(0) - np.log(own)
     errors = logs.std(0, ddof=1) * np.sqrt(1 + 1 / len(refs))
     peak = int(gaps.argmax())
     auto = 1 + int(np.flatnonzero(gaps[peak] - gaps <= np.sqrt(errors[peak] ** 2 + errors**2))[0])
-    selected = int(np.clip(auto + granularity, 1, most))
-    return Choice(mine[selected - 1], auto, selected, peak + 1)
+    return Choice(auto, int(np.clip(auto + granularity, 1, most)), peak + 1)
+
+
+def most_parts(n: int) -> int:
+    return 1 if n <= 2 else min(n - 1, int(np.ceil(np.sqrt(n))) + 1)
+
+
+def shaken_weights(weights: dict[str, float], runs: int, seed: int) -> list[dict[str, float]]:
+    """The weights, and perturbed ones for each run."""
+    rng, out = np.random.default_rng(seed), [weights]
+    for _ in range(max(1, runs)):
+        factor = rng.lognormal(0.0, 0.10, len(weights))
+        w = {k: v * f for (k, v), f in zip(weights.items(), factor, strict=True)}
+        out.append({k: v / sum(w.values()) for k, v in w.items()})
+    return out
+
+
+def reference_costs(data: tuple[np.ndarray, ...], every: list[dict[str, float]], seed: int, nth: int) -> np.ndarray:
+    """Costs of the nth reference's partitions by weights and number of parts. One reference's distances live at a time."""
+    made = reference(*data, np.random.default_rng([seed, nth]))
+    return np.stack([partitioned(matrix(made, w), most_parts(len(data[0])))[0] for w in every])
 
 
 SEGMENT_COLUMNS = {"segment": int, "segments": int, "segment_auto_k": int, "segment_peak_k": int, "segment_k_stability": float, "segment_quality": float, "segment_needs_review": bool}
@@ -271,31 +320,34 @@ SQL_TYPES = {int: "int", float: "double", bool: "boolean"}
 
 class Cut(NamedTuple):
     choice: Choice
+    labels: np.ndarray
     stability: float
     quality: list[float]
     have: dict[str, float]
 
 
-def cut(data: tuple[np.ndarray, ...], weights: dict[str, float], granularity: int, references: int, runs: int, seed: int, shaken: int) -> Cut:
-    """Contiguous parts of a sequence, how often perturbed weights choose as many, the quality of each part, and the share of pairs with each channel."""
-    own = channels(*data)
-    rng = np.random.default_rng(seed)
-    refs = [reference(*data, rng) for _ in range(max(2, references))]
-    d = matrix(own, weights)
-    first = choose(d, [matrix(r, weights) for r in refs], granularity)
-    n, cuts, same = len(d), np.zeros(max(0, len(d) - 1)), 0
-    rng = np.random.default_rng(seed ^ shaken)
-    for _ in range(max(1, runs)):
-        factor = rng.lognormal(0.0, 0.10, len(weights))
-        w = {k: v * f for (k, v), f in zip(weights.items(), factor, strict=True)}
-        w = {k: v / sum(w.values()) for k, v in w.items()}
-        c = choose(matrix(own, w), [matrix(r, w) for r in refs], granularity)
-        cuts += c.labels[1:] != c.labels[:-1]
-        same += c.auto == first.auto
+def cut(data: tuple[np.ndarray, ...], weights: dict[str, float], granularity: int, references: int, runs: int, seed: int, shaken: int, known: np.ndarray | None = None) -> Cut:
+    """Contiguous parts of a sequence, how often perturbed weights choose as many, the quality of each part, and the share of pairs with each channel.
+
+    known: costs of references (reference, weights, parts), where they were found elsewhere."""
+    n, every = len(data[0]), shaken_weights(weights, runs, seed ^ shaken)
+    if known is None:
+        known = np.stack([reference_costs(data, every, seed, r) for r in range(max(2, references))])
+    own, cuts, same, d = channels(*data), np.zeros(max(0, n - 1)), 0, None
+    for j, w in enumerate(every):
+        m = matrix(own, w)
+        costs, start = partitioned(m, most_parts(n))
+        choice = choose(costs, known[:, j], granularity)
+        labels = labels_of(start, choice.selected)
+        if j == 0:
+            first, chosen, d = choice, labels, m
+        else:
+            cuts += labels[1:] != labels[:-1]
+            same += choice.auto == first.auto
     cuts, stability = np.round(cuts / max(1, runs), 4), round(same / max(1, runs), 4) if n > 1 else 1.0
+    labels = chosen
     pairs = np.triu_indices(n, 1)
     have = {k: float((~np.isnan(m[pairs])).mean()) if n > 1 else 1.0 for k, m in own.items()}
-    labels = first.labels
     k = labels.max() + 1 if n else 0
     if 1 < k < n:
         mean = np.stack([d[:, labels == j].sum(1) for j in range(k)], 1)
@@ -313,72 +365,116 @@ def cut(data: tuple[np.ndarray, ...], weights: dict[str, float], granularity: in
         at = np.flatnonzero(labels == j)
         terms = [1 - cuts[i] for i in range(at[0], at[-1])] + ([cuts[at[0] - 1]] if at[0] > 0 else []) + ([cuts[at[-1]]] if at[-1] < n - 1 else [])
         quality.append(round(float(np.clip(0.45 * (np.mean(terms) if terms else 1.0) + 0.35 * sil[at].mean() + 0.20 * stability, 0, 1)), 4))
-    return Cut(first, stability, quality, have)
+    return Cut(first, labels, stability, quality, have)
+
+
+def _stacked(column: pd.Series, scale) -> np.ndarray:
+    have = [np.asarray(v, float) if v is not None and len(v) else None for v in column]
+    sizes = [len(v) for v in have if v is not None]
+    if not sizes:
+        return np.zeros((len(column), 0))
+    width = max(dict.fromkeys(sizes), key=sizes.count)
+    out = np.full((len(column), width), np.nan)
+    for i, v in enumerate(have):
+        if v is not None and len(v) == width and np.isfinite(v).all() and scale(v) > 0:
+            out[i] = v / scale(v)
+    return out
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Times, embeddings, places and histograms of photos; NaN where they lack one."""
+    t = (pd.to_datetime(rows["taken_at"]).astype("datetime64[us]").astype("int64") / 1e6).where(rows["taken_at"].notna()).to_numpy(float)
+    lat, lon = rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)
+    bad = ~((np.abs(lat) <= 90) & (np.abs(lon) <= 180))
+    return t, _stacked(rows["embedding"], np.linalg.norm), np.where(bad, np.nan, lat), np.where(bad, np.nan, lon), _stacked(rows["histogram"], np.sum)
+
 
+def _ordered(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The sequence, and the photos without a time, which are the sequence where all lack one."""
+    timed = rows[rows["taken_at"].notna()].sort_values(["taken_at", "photo_id"])
+    late = rows[rows["taken_at"].isna()].sort_values("photo_id")
+    return (timed, late) if len(timed) else (late, late.iloc[:0])
 
-def sequential(photos: DataFrame, strategy: str = "balanced", granularity: int = 0, references: int = 20, runs: int = 20) -> DataFrame:
+
+def _seed(base: pd.DataFrame, strategy: str, granularity: int) -> int:
+    return int.from_bytes(hashlib.sha256(("|".join(map(str, base["photo_id"])) + f"{strategy}:{granularity}").encode()).digest()[:8], "big")
+
+
+def _beside(i: int, others: np.ndarray, place: tuple[np.ndarray, ...], weights: dict[str, float]) -> np.ndarray:
+    """Distances of a photo without a time to others. Of two places alone the scale is their own distance, so apart counts one half."""
+    _, e, lat, lon, c = place
+    with np.errstate(invalid="ignore"):
+        y, x = np.radians(lat), np.radians(lon)
+        km = _arcs(y[i], x[i], y[others], x[others])
+        made = {
+            "embedding": np.clip((1 - e[others] @ e[i]) / 2, 0, 1) if e.size else np.full(len(others), np.nan), "time": np.full(len(others), np.nan),
+            "gps": np.where(np.isnan(km), np.nan, np.where(km > 0, 0.5, 0.0)), "color": _hellinger(np.sqrt(c[others]), np.sqrt(c[i : i + 1]))[:, 0] if c.size else np.full(len(others), np.nan),
+        }
+    total, weight = np.zeros(len(others)), np.zeros(len(others))
+    for name, w in weights.items():
+        have = ~np.isnan(made[name])
+        total[have] += w * made[name][have]
+        weight[have] += w
+    return np.where(weight > 0, total / np.where(weight > 0, weight, 1), 1.0)
+
+
+SHAKEN = 0xC7C7
+
+
+def sequential(photos: DataFrame, strategy: str = "balanced", granularity: int = 0, references: int = 20, runs: int = 20, large: int = LARGE) -> DataFrame:
     """(album_id, photo_id, chapter, chapters, auto_k, peak_k, k_stability, quality, coverage, needs_review) of every photo, and SEGMENT_COLUMNS.
 
     An album's timed photos in order are cut into contiguous chapters; the number of chapters is chosen by the gap statistic
     against references without structure, and its stability is tested by perturbing the weights. Photos without a time join the chapter
     whose members are nearest on average. Each chapter, these included, is cut into segments in the same way, by at most 5 references
-    and runs. One task holds one album, whose pairs are of the square of its size; albums run in parallel.
-    Random numbers are seeded by the album's ids, so the result does not depend on partitioning."""
+    and runs. Random numbers are seeded by the album's ids, so the result does not depend on partitioning.
+
+    Albums run in parallel; of those of more than `large` photos each reference is a task of its own. A task holds the distances of one
+    album and of one reference at most: about 32 bytes a pair, so 5000 photos take 0.8 GB; albums that exceed a task's memory have no other way."""
     weights = STRATEGIES.get(strategy, STRATEGIES["balanced"])
     granularity = max(-2, min(2, granularity))
     kinds = dict(photos.dtypes)
 
-    def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        def stack(column: str, scale) -> np.ndarray:
-            have = [np.asarray(v, float) if v is not None and len(v) else None for v in rows[column]]
-            sizes = [len(v) for v in have if v is not None]
-            if not sizes:
-                return np.zeros((len(rows), 0))
-            width = max(dict.fromkeys(sizes), key=sizes.count)
-            out = np.full((len(rows), width), np.nan)
-            for i, v in enumerate(have):
-                if v is not None and len(v) == width and np.isfinite(v).all() and scale(v) > 0:
-                    out[i] = v / scale(v)
-            return out
-
-        t = (pd.to_datetime(rows["taken_at"]).astype("datetime64[us]").astype("int64") / 1e6).where(rows["taken_at"].notna()).to_numpy(float)
-        lat, lon = rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)
-        bad = ~((np.abs(lat) <= 90) & (np.abs(lon) <= 180))
-        return t, stack("embedding", np.linalg.norm), np.where(bad, np.nan, lat), np.where(bad, np.nan, lon), stack("histogram", np.sum)
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        timed = rows[rows["taken_at"].notna()].sort_values(["taken_at", "photo_id"])
-        late = rows[rows["taken_at"].isna()].sort_values("photo_id")
-        base, late = (timed, late) if len(timed) else (late, late.iloc[:0])
-        seed = int.from_bytes(hashlib.sha256(("|".join(map(str, base["photo_id"])) + f"{strategy}:{granularity}").encode()).digest()[:8], "big")
-        first, stability, quality, have = cut(arrays(base), weights, granularity, references, runs, seed, 0xC7C7)
-        n, k, labels = len(base), len(quality), first.labels
+    def trial(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        base, _ = _ordered(rows)
+        seed = _seed(base, strategy, granularity)
+        costs = reference_costs(_arrays(base), shaken_weights(weights, runs, seed ^ SHAKEN), seed, key[1])
+        return pd.DataFrame({"album": [key[0]], "nth": [key[1]], "costs": [costs.ravel()]})
+
+    def cluster(_key: tuple, rows: pd.DataFrame, trials: pd.DataFrame) -> pd.DataFrame:
+        base, late = _ordered(rows)
+        seed, known = _seed(base, strategy, granularity), None
+        if len(trials):
+            known = np.stack(trials.sort_values("nth")["costs"].tolist()).reshape(len(trials), max(1, runs) + 1, -1)
+        first, labels, stability, quality, have = cut(_arrays(base), weights, granularity, references, runs, seed, SHAKEN, known)
+        n, k = len(base), len(quality)
         covered = round(sum(weights[c] * round(v, 4) for c, v in have.items()), 4)
-        groups = [list(np.flatnonzero(labels == j)) for j in range(k)]
         every = pd.concat([base, late])
-        chapter, weak = list(labels), set()
-        place = arrays(every)
-        if len(late):
-            # two rows at a time have their own scale of distance
-            for i in range(n, len(every)):
-                to = [np.mean([matrix(channels(np.full(2, np.nan), *(x[[i, m]] for x in place[1:])), weights)[0, 1] for m in g]) for g in groups]
-                at = int(np.argmin(to))
-                groups[at].append(i)
-                chapter.append(at)
-                weak.add(at)
+        chapter, weak = np.concatenate([labels, np.full(len(late), -1)]).astype(int), set()
+        place = _arrays(every)
+        for i in range(n, len(every)):
+            far, inside = _beside(i, np.arange(i), place, weights), chapter[:i]
+            at = int(np.argmin(np.bincount(inside, far, k) / np.bincount(inside, minlength=k)))
+            chapter[i] = at
+            weak.add(at)
+        groups = [np.flatnonzero(chapter == j) for j in range(k)]
         q = [round(quality[j] * (0.85 if j in weak else 1), 4) for j in range(k)]
         poor = covered < 0.50 or stability < 0.60
         inner = {c: np.empty(len(every), t) for c, t in SEGMENT_COLUMNS.items()}
         for j, g in enumerate(groups):
             own = seed ^ int.from_bytes(hashlib.sha256(str(j).encode()).digest()[:8], "big")
-            part, steady, good, _ = cut(tuple(x[g] for x in place), STRATEGIES["segments"], 0, min(references, 5), min(runs, 5), own, 0x5E6D3)
-            good = np.array(good)[part.labels]
-            for c, v in zip(SEGMENT_COLUMNS, (part.labels + 1, part.selected, part.auto, part.peak, steady, good, (good < 0.60) | (steady < 0.60)), strict=True):
+            part, parts, steady, good, _ = cut(tuple(x[g] for x in place), STRATEGIES["segments"], 0, min(references, 5), min(runs, 5), own, 0x5E6D3)
+            good = np.array(good)[parts]
+            for c, v in zip(SEGMENT_COLUMNS, (parts + 1, part.selected, part.auto, part.peak, steady, good, (good < 0.60) | (steady < 0.60)), strict=True):
                 inner[c][g] = v
         return pd.DataFrame({
-            "album_id": every["album_id"], "photo_id": every["photo_id"], "chapter": np.array(chapter) + 1, "chapters": k, "auto_k": first.auto, "peak_k": first.peak, "k_stability": stability,
+            "album_id": every["album_id"], "photo_id": every["photo_id"], "chapter": chapter + 1, "chapters": k, "auto_k": first.auto, "peak_k": first.peak, "k_stability": stability,
             "quality": [q[j] for j in chapter], "coverage": covered, "needs_review": [bool(poor or q[j] < 0.60 or j in weak) for j in chapter], **inner,
         })
 
     rows = photos.select("album_id", "photo_id", "taken_at", "lat", "lon", "embedding", "histogram")
-    return rows.groupBy("album_id").applyInPandas(cluster, f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, chapter int, chapters int, auto_k int, peak_k int, k_stability double, quality double, coverage double, needs_review boolean, " + ", ".join(f"{c} {SQL_TYPES[t]}" for c, t in SEGMENT_COLUMNS.items()))
+    big = rows.groupBy("album_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("album_id")
+    dealt = rows.join(big, "album_id", "left_semi").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(2, references) - 1))))
+    trials = dealt.groupBy("album_id", "nth").applyInPandas(trial, f"album {kinds['album_id']}, nth int, costs array<double>")
+    schema = f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, chapter int, chapters int, auto_k int, peak_k int, k_stability double, quality double, coverage double, needs_review boolean, "
+    return rows.groupBy("album_id").cogroup(trials.groupBy("album")).applyInPandas(cluster, schema + ", ".join(f"{c} {SQL_TYPES[t]}" for c, t in SEGMENT_COLUMNS.items()))

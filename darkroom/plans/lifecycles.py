@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from darkroom.functions import decisions, texts
 from darkroom.operators import lifecycle
 from darkroom.plans import pipelines
-from darkroom.plans.analogs import embedded, photos, table
+from darkroom.plans.analogs import PHOTOS, embedded, photos, table
 from darkroom.plans.cleaning import WIDE_BURST, WIDE_NEAR
+from darkroom.plans.timelines import STEPS, UNTIMED
 
 QUERIES, SQL = {}, {}
 
@@ -118,7 +119,17 @@ def cleaning_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clean(spark, sf_dir).queue.select("album_id", "item", "kind", "priority", "action")
 
 
-@query()
+KEPT = PHOTOS.replace("photos AS (", "every AS (", 1) + ", photos AS (SELECT * FROM every WHERE decision IS DISTINCT FROM 'remove')"
+
+
+@query(f"""WITH {STEPS.replace(PHOTOS, KEPT)}, {UNTIMED}, c AS (
+  SELECT p.album_id, p.photo_id, p.device, p.width, p.height, p.taken_at, coalesce(e.event, u.event, 1 << 30) AS chapter FROM photos p LEFT JOIN events2 e ON e.album_id = p.album_id AND e.photo_id = p.photo_id LEFT JOIN untimed u ON u.album_id = p.album_id AND u.photo_id = p.photo_id), n AS (
+  SELECT *, row_number() OVER (PARTITION BY album_id, chapter ORDER BY taken_at IS NULL, taken_at, photo_id) - 1 AS n FROM c), g AS (
+  SELECT *, n % 3 AS slot, dense_rank() OVER (PARTITION BY album_id ORDER BY chapter, n // 3) AS page FROM n), t AS (
+  SELECT album_id, page, count(*) AS photos, count_if(height > width * 1.12) AS p, count_if(width > height * 1.12) AS l, string_agg('<figure>' || device || ' ' || photo_id || '</figure>', '' ORDER BY slot) AS body FROM g GROUP BY ALL), s AS (
+  SELECT album_id, page, '<section class="' || CASE photos WHEN 1 THEN CASE WHEN l = 1 THEN 'cinema_landscape' WHEN p = 1 THEN 'gallery_portrait' ELSE 'full_page' END WHEN 2 THEN CASE WHEN p = 2 THEN 'half_half' WHEN l >= 1 THEN 'two_column' ELSE 'staggered_duo' END
+    ELSE CASE WHEN p >= 2 THEN 'one_large_two_small' WHEN l >= 2 THEN 'triptych_strip' ELSE 'grid_3' END END || '">' || body || '</section>' AS html FROM t)
+SELECT a.album_id, '<!doctype html><title>Album_' || a.album_id || '</title>' || coalesce(string_agg(html, '' ORDER BY page), '') AS html FROM (SELECT DISTINCT album_id FROM every) a LEFT JOIN s ON s.album_id = a.album_id GROUP BY a.album_id""")
 def chapter_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters by events of albums without embeddings, as books."""
     rows = photos(spark, sf_dir).withColumn("caption", F.concat("device", F.lit(" "), F.col("photo_id").cast("string")))

@@ -40,12 +40,15 @@ def event_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("album_id", "photo_id", F.round("gap_hours", 3).alias("gap_hours"), F.round("distance_km", 3).alias("distance_km"), "score", "split", "reason", F.col("event").cast("long").alias("event"))
 
 
-@query(f"""WITH {STEPS}, s AS (
+UNTIMED = f"""s0 AS (
   SELECT u.album_id, u.photo_id, m.event, max({piecewise("(" + km("u", "m") + ")", scoring.BY_KM)}) AS gps, max({JACCARD.format(a="u.tags", b="m.tags")}) AS scene
-  FROM photos u JOIN events2 m ON m.album_id = u.album_id WHERE u.taken_at IS NULL GROUP BY ALL), p AS (
-  SELECT *, {weighted([("gps", 0.45), ("scene", 0.35)])} AS profile FROM s), r AS (
-  SELECT *, row_number() OVER w AS n, coalesce(lead(profile) OVER w, 0) AS next FROM p WHERE profile IS NOT NULL WINDOW w AS (PARTITION BY album_id, photo_id ORDER BY profile DESC, event))
-SELECT u.album_id, u.photo_id, CASE WHEN profile >= 0.60 AND profile - next >= 0.15 THEN event END::BIGINT AS event, round(profile, 6) AS profile FROM photos u LEFT JOIN r ON r.album_id = u.album_id AND r.photo_id = u.photo_id AND n = 1 WHERE u.taken_at IS NULL""")
+  FROM photos u JOIN events2 m ON m.album_id = u.album_id WHERE u.taken_at IS NULL GROUP BY ALL), p0 AS (
+  SELECT *, {weighted([("gps", 0.45), ("scene", 0.35)])} AS profile FROM s0), r0 AS (
+  SELECT *, row_number() OVER w AS n, coalesce(lead(profile) OVER w, 0) AS next FROM p0 WHERE profile IS NOT NULL WINDOW w AS (PARTITION BY album_id, photo_id ORDER BY profile DESC, event)), untimed AS (
+  SELECT u.album_id, u.photo_id, CASE WHEN profile >= 0.60 AND profile - next >= 0.15 THEN event END::BIGINT AS event, round(profile, 6) AS profile FROM photos u LEFT JOIN r0 r ON r.album_id = u.album_id AND r.photo_id = u.photo_id AND n = 1 WHERE u.taken_at IS NULL)"""
+
+
+@query(f"WITH {STEPS}, {UNTIMED} SELECT * FROM untimed")
 def untimed_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = photos(spark, sf_dir)
     out = timeline.assign_untimed(rows.where("taken_at IS NULL"), timeline.event_boundaries(rows))
@@ -82,7 +85,7 @@ def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT album_id, count(*) AS pairs, " + ", ".join(f"round(avg(({c} IS NOT NULL)::INT), 4) AS {c}" for c in ("embedding", "time", "gps", "color")) + " FROM pairs GROUP BY album_id")
 def channel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.coverage(pairs(spark, sf_dir))
+    return timeline.coverage(embedded(spark, sf_dir))
 
 
 LABELS = "labels2 AS (SELECT album_id, photo_id, photo_id // 40 % 3 AS label FROM e)"

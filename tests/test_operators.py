@@ -49,14 +49,16 @@ def test_partitions_match_brute_force():
     rng = np.random.default_rng(1)
     x = rng.random((7, 2))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    costs = timeline.interval_costs(d)
-    for k, labels in enumerate(timeline.partitions(d, 4), 1):
+    costs = {(a, b): d[a:b, a:b].sum() / (2 * (b - a)) for a in range(7) for b in range(a + 1, 8)}
+    found, start = timeline.partitioned(d, 4)
+    for k in range(1, 5):
+        labels = timeline.labels_of(start, k)
         from itertools import combinations
 
-        best = min(sum(costs[a, b - 1] for a, b in zip((0, *c), (*c, 7))) for c in combinations(range(1, 7), k - 1))
+        best = min(sum(costs[a, b] for a, b in zip((0, *c), (*c, 7))) for c in combinations(range(1, 7), k - 1))
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1), 7]
-        assert sum(costs[a, b - 1] for a, b in zip(cuts, cuts[1:])) == pytest.approx(best)
-        assert timeline.spread(d, labels) == pytest.approx(max(best, 1e-12))
+        assert sum(costs[a, b] for a, b in zip(cuts, cuts[1:])) == pytest.approx(best)
+        assert found[k - 1] == pytest.approx(max(best, 1e-12))
 
 
 def sequence(spark, groups=6, each=4, reverse=False):
@@ -90,6 +92,50 @@ def test_segments_cut_chapters_into_activities(spark):
     assert all(r.segments >= r.segment and 0 <= r.segment_quality <= 1 and r.segment_k_stability * 5 == round(r.segment_k_stability * 5) for r in got.values())
 
 
+def test_large_albums_are_dealt_by_reference(spark):
+    """Equal results, whether one task or one for each reference finds the references' costs."""
+    key = lambda df: sorted((r.photo_id, r.chapter, r.segment, r.quality, r.k_stability) for r in df.collect())
+    assert key(timeline.sequential(sequence(spark), "balanced", references=3, runs=3, large=10)) == key(timeline.sequential(sequence(spark), "balanced", references=3, runs=3))
+
+
+def test_distances_of_large_albums_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n = 1200
+    data = (np.sort(rng.random(n)) * 1e6, rng.standard_normal((n, 16)), rng.random(n) * 10, rng.random(n) * 10, rng.random((n, 48)))
+    tracemalloc.start()
+    costs = timeline.reference_costs(data, timeline.shaken_weights(timeline.STRATEGIES["balanced"], 1, 1), 5, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert costs.shape == (2, 36) and peak < 40 * n * n
+    # single and double precision agree
+    small = tuple(x[:400] for x in data)
+    double = timeline.matrix(timeline.channels(*small), timeline.STRATEGIES["balanced"])
+    assert double.dtype == np.float64 and timeline.matrix(timeline.channels(*data), timeline.STRATEGIES["balanced"]).dtype == np.float32
+    for i, j in ((0, 1), (5, 300), (17, 17)):
+        c = timeline.channels(*small)
+        km = c["gps"][i, j] / (1 - c["gps"][i, j])
+        assert c["time"][i, j] == c["time"][j, i] and km >= 0 and double[i, j] == double[j, i]
+
+
+def test_photos_without_time_join_the_nearest():
+    """Vectorised distances of a photo to others against those of each two photos alone."""
+    rng = np.random.default_rng(4)
+    n = 9
+    e = rng.standard_normal((n, 5))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = rng.random((n, 6))
+    c /= c.sum(1, keepdims=True)
+    lat, lon = rng.random(n) * 10, rng.random(n) * 10
+    lat[2], lat[5], lon[5], e[3], c[4] = np.nan, lat[8], lon[8], np.nan, np.nan
+    place = (np.full(n, np.nan), e, lat, lon, c)
+    got = timeline._beside(8, np.arange(8), place, timeline.STRATEGIES["balanced"])
+    for m in range(8):
+        alone = timeline.matrix(timeline.channels(np.full(2, np.nan), *(x[[8, m]] for x in place[1:])), timeline.STRATEGIES["balanced"])[0, 1]
+        assert got[m] == pytest.approx(alone, abs=1e-9)
+
+
 def test_chapters_use_all_references_and_runs(spark, monkeypatch):
     used = []
     monkeypatch.setattr(timeline, "sequential", lambda photos, strategy="balanced", granularity=0, references=20, runs=20: used.append((strategy, granularity, references, runs)))
