@@ -20,11 +20,14 @@ MOST_HUBS = 4000
 
 
 def _with_least(edges: DataFrame, u: str, v: str, count: int) -> DataFrame:
-    """edges with m, the smallest v among those of its u. count: the number of edges, or more."""
-    least = edges.groupBy(u).agg(F.min(v).alias("m"), F.count("*").alias("n"))
+    """(u, v, m): edges with the smallest v among those of their u. count: the number of edges, or more."""
+    keyed = edges.select(F.xxhash64(u).alias("k"), u, v)
+    least = keyed.groupBy("k", u).agg(F.min(v).alias("m"), F.count("*").alias("n"))
     many = F.col("n") > max(200, 2 * count // MOST_HUBS)
-    told = edges.join(F.broadcast(least.where(many).select(u, "m")), u, "left")
-    return told.where("m IS NULL").drop("m").join(least.where(~many).select(u, "m"), u).unionByName(told.where("m IS NOT NULL"))
+    told = keyed.join(F.broadcast(least.where(many).select(u, F.col("m").alias("told"))), u, "left")
+    # hubs' edges have theirs, and are dealt by their other ends
+    told = told.withColumn("k", F.when(F.col("told").isNull(), F.col("k")).otherwise(F.xxhash64(v)))
+    return told.join(least.where(~many).select("k", u, "m"), ["k", u], "left").select(u, v, F.coalesce("told", "m").alias("m"))
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -36,7 +39,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node are linked to the smallest of its neighbourhood
-        large = _with_least(both, "u", "v", 2 * count).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, "u", "v", 2 * count).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
         # small star: a node and its neighbours below it are linked to the smallest of them
         low = _with_least(large, "u", "v", 2 * count)
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("v = m").select("u", F.col("m").alias("v")))

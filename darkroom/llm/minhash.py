@@ -235,7 +235,9 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     own = some.select("id", "class").distinct().join(reps.select("class", F.col("id").alias("rep")), "class").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps")).where("a <> b")
     same = own.select("a", F.explode("reps").alias("b")).where("a <> b")
 
-    final = components(stored(first.unionByName(second).unionByName(same), "links"), "a", "b")
+    more = stored(second.unionByName(same), "links")
+    # what is joined so far stands for the links that joined it
+    final = so_far if more.isEmpty() else components(so_far.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b")
     # a table of its own, so that Spark may split the join where a class has very many rows
     named = stored(reps.select("class", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component")), "class_components")
     out = signed.select("id", "n", "class").join(named, "class", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))

@@ -48,8 +48,8 @@ LENGTH, GRAM = 200, 16
 WINDOW = LENGTH - GRAM + 1
 LEFT = WINDOW - 1
 BLOCK, PIECE = 6 << 20, 1 << 20
-#: Bytes of text for each range; sampled documents for each range, 400 at least.
-RANGE_BYTES, SAMPLE_DOCS = 16 << 20, 4
+#: Bytes of text for each range; sampled documents for each range, 400 at least, and at most. Each gives 200 grams of 16 bytes at most to the driver.
+RANGE_BYTES, SAMPLE_DOCS, MOST_DOCS = 16 << 20, 4, 20_000
 #: Intervals of d of a hot gram, which is one that the sample has so many times.
 SHARES, HOT = 4, 24
 INTERVALS = [(i * WINDOW // SHARES, (i + 1) * WINDOW // SHARES - 1) for i in range(SHARES)]
@@ -346,7 +346,7 @@ def dealing(docs: DataFrame, ranges: int) -> Dealing:
                 # each gram of a text counts once
                 yield pd.DataFrame({"suffix": [g for n, g in enumerate(dict.fromkeys(grams)) if n % max(1, len(grams) // 200) == 0]})
 
-    some = docs.where(F.length("text") > 0).orderBy("a", "b").limit(max(400, SAMPLE_DOCS * ranges))
+    some = docs.where(F.length("text") > 0).orderBy("a", "b").limit(min(max(400, SAMPLE_DOCS * ranges), MOST_DOCS))
     got = np.array(sorted(some.select("text").mapInPandas(sample, "suffix binary").toPandas()["suffix"]), f"S{GRAM}")
     gram, times = np.unique(got, return_counts=True)
     hot = gram[times >= max(HOT, len(got) // (2 * ranges))]
