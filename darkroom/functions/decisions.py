@@ -112,3 +112,21 @@ def reopening(status: Column, chapters: Column, confirmed: Column) -> Column:
         F.when(status == "review_pending", "open").when(~F.coalesce(status == "confirmed", F.lit(False)), "not_available")
         .when(many & ~F.coalesce(confirmed, F.lit(False)), "confirmation_needed").when(many, "reopen_and_clear").otherwise("reopen")
     )
+
+
+# fixed values: providers that each stage may have
+STAGE_PROVIDERS = {"chapter": ("openai_compatible",), "chapter_embedding": ("dashscope_multimodal_embedding",), "layout": ("openai_compatible",)}
+
+
+def provider_allowed(stage: Column, provider: Column) -> Column:
+    """Whether a stage may have a provider; unknown stages may have none."""
+    out = F.lit(False)
+    for name, allowed in STAGE_PROVIDERS.items():
+        out = F.when(stage == name, F.coalesce(provider.isin(*allowed), F.lit(False))).otherwise(out)
+    return out
+
+
+def deletion_refusal(active: Column, albums: Column, force: Column) -> Column:
+    """Why a project can't be deleted: tasks that run, or albums unless it is forced; null if it can."""
+    some = lambda n: F.coalesce(n, F.lit(0)) > 0
+    return F.when(some(active), "running_tasks").when(some(albums) & ~F.coalesce(force, F.lit(False)), "contains_albums")

@@ -55,3 +55,20 @@ def concepts(texts: Column, most: int = 8) -> Column:
 def without(details: Column, fields: tuple[str, ...], items: str, inner: tuple[str, ...]) -> Column:
     """A struct without some fields, and without some fields of each struct in its array `items`."""
     return details.dropFields(*fields).withField(items, F.transform(details[items], lambda i: i.dropFields(*inner)))
+
+
+def settled_candidates(candidates: Column) -> Column:
+    """Candidates (structs of id, title, summary, include_concepts, exclude_concepts, constraints) without summaries, whose concepts have moved into their
+    constraints (a struct of include_concepts and exclude_concepts), where these had none."""
+    given = lambda old, new: F.when(F.coalesce(F.size(new), F.lit(0)) > 0, new).otherwise(F.when(F.size(old) > 0, old).otherwise(new))
+
+    def one(c: Column) -> Column:
+        held = F.struct(*(given(c[k], c["constraints"][k]).alias(k) for k in ("include_concepts", "exclude_concepts")))
+        return F.struct(c["id"].alias("id"), c["title"].alias("title"), held.alias("constraints"))
+
+    return F.coalesce(F.transform(candidates, one), F.array())
+
+
+def joined(*lists: Column) -> Column:
+    """Distinct values of lists in order of their first occurrence; null lists are empty."""
+    return F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))

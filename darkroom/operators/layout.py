@@ -49,7 +49,8 @@ def books(sections: DataFrame, titles: DataFrame) -> DataFrame:
 def moved(current: DataFrame, moves: DataFrame) -> DataFrame:
     """(chapter, photo_id, place) after photos were moved to the ends of chapters in order; places are renumbered from 0.
 
-    current(chapter, photo_id, place), moves(chapter, photo_id, nth). A photo moved within its chapter goes to its end."""
+    current(chapter, photo_id, place), moves(chapter, photo_id, nth). A photo that is in the chapter already stays where it is."""
+    moves = moves.join(current.select("chapter", "photo_id"), ["chapter", "photo_id"], "left_anti")
     stay = current.join(moves.select("photo_id"), "photo_id", "left_anti").select("chapter", "photo_id", F.lit(0).alias("late"), F.col("place").alias("nth"))
     every = stay.unionByName(moves.select("chapter", "photo_id", F.lit(1).alias("late"), "nth"))
     return every.select("chapter", "photo_id", (F.row_number().over(Window.partitionBy("chapter").orderBy("late", "nth", "photo_id")) - 1).alias("place"))
@@ -118,3 +119,21 @@ def full_books(sections: DataFrame, chapters: DataFrame, albums: DataFrame) -> D
 def shown(rows: DataFrame, keys: list[str], order: list[F.Column], page: int = 24, clicks: int = 0) -> DataFrame:
     """Of each list the first page of rows, and one more for each click."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= page * (clicks + 1)).drop("_n")
+
+
+def merged(current: DataFrame, merges: DataFrame) -> DataFrame:
+    """(chapter, photo_id, place) after chapters were merged into others: their photos follow the target's in order of chapter and place, each photo once.
+
+    current(chapter, photo_id, place), merges(source, target); a chapter merged into itself stays."""
+    into = merges.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    rows = current.join(into, current["chapter"] == into["source"], "left").select(F.coalesce("target", "chapter").alias("to"), F.col("target").isNotNull().alias("late"), "chapter", "photo_id", "place")
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("to", "photo_id").orderBy("late", "chapter", "place"))).where("nth = 1")
+    return first.select(F.col("to").alias("chapter"), "photo_id", (F.row_number().over(Window.partitionBy("to").orderBy("late", F.col("chapter"), "place")) - 1).alias("place"))
+
+
+def edited(chapters: DataFrame, touched: DataFrame) -> DataFrame:
+    """chapters, of which those that users changed lose what clustering said of them: source, version, quality, review and explanation."""
+    kinds = dict(chapters.dtypes)
+    hand = chapters.join(touched.select("chapter").distinct().withColumn("_hand", F.lit(True)), "chapter", "left")
+    over = {"source": F.lit("user"), "version": F.lit(None).cast(kinds["version"]), "quality": F.lit(None).cast(kinds["quality"]), "needs_review": F.lit(False), "explanation": F.lit(None).cast(kinds["explanation"])}
+    return hand.withColumns({c: F.when(F.col("_hand"), v).otherwise(F.col(c)) for c, v in over.items()}).select(chapters.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,31 @@ def token_valid(token: Column, now: Column, **expected: Column) -> Column:
     for name, value in expected.items():
         ok = ok & token[name].eqNullSafe(value)
     return F.coalesce(ok, F.lit(False))
+
+
+def cleared(albums: DataFrame, changed: DataFrame, key: str, stale: str = "cleaned") -> tuple[DataFrame, DataFrame]:
+    """albums, of which the changed ones lose their artifacts and, if they were rendered or exported, go back to a status; and (key, path) of the files to delete.
+
+    albums: key, status, preview_path, print_path, manifest_path."""
+    paths = ("preview_path", "print_path", "manifest_path")
+    hit = albums.join(changed.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    gone = hit.where("_hit").select(key, F.explode(F.array_compact(F.array(*paths))).alias("path"))
+    back = F.when(F.col("_hit") & F.col("status").isin("rendered", "exported"), stale).otherwise(F.col("status"))
+    return hit.withColumn("status", back).withColumns({p: F.when(~F.col("_hit"), F.col(p)) for p in paths}).select(albums.columns), gone
+
+
+def positions(photos: DataFrame) -> DataFrame:
+    """photos with position, from 0, in their album's order of upload."""
+    return photos.withColumn("position", F.row_number().over(Window.partitionBy("album_id").orderBy("uploaded_at", "photo_id")) - 1)
+
+
+def best_rated(photos: DataFrame, most: int = 6) -> DataFrame:
+    """Each album's photos of highest quality, those without one last."""
+    order = Window.partitionBy("album_id").orderBy(F.coalesce("quality", F.lit(0.0)).desc(), "photo_id")
+    return photos.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
+def busy(tasks: DataFrame, albums: DataFrame, key: str) -> DataFrame:
+    """Distinct keys (as of projects) of albums that have queued or running tasks."""
+    active = tasks.where(F.col("status").isin("queued", "running")).select("album_id")
+    return albums.join(active, "album_id", "left_semi").select(key).distinct()

@@ -9,7 +9,7 @@ from darkroom.functions import decisions, scoring, structures, texts, times
 from darkroom.operators import control, evaluation, images, layout, lifecycle, review, theme
 from darkroom.plans.albums import PAGED, paged
 from darkroom.plans.analogs import PHOTOS, photos, table
-from darkroom.sources import manifests, tables
+from darkroom.sources import manifests, media, tables
 from darkroom.streaming import rules
 
 QUERIES, SQL = {}, {}
@@ -414,3 +414,117 @@ def picture_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lambda name: F.round(F.col("m")[name], 6)
     out = images.measured(rows, "p_partkey")
     return out.select(F.col("key").alias("p_partkey"), F.round(F.col("m")["a_laplacian"], 3).alias("laplacian"), m("a_entropy").alias("entropy"), *(m(n).alias(n) for n in ("dark", "bright", "p05", "p50", "p95")))
+
+
+# ---- chapters, projects and artifacts ----
+
+
+@query("""WITH c AS (SELECT conv_id AS chapter, conv_id * 100 + turn AS photo_id, turn AS place FROM conversations), r AS (
+  SELECT CASE WHEN chapter % 3 = 1 THEN chapter - 1 ELSE chapter END AS t, chapter % 3 = 1 AS late, * FROM c)
+SELECT t AS chapter, photo_id, row_number() OVER (PARTITION BY t ORDER BY late, chapter, place) - 1 AS place FROM r""")
+def merged_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), (F.col("conv_id") * 100 + F.col("turn")).alias("photo_id"), F.col("turn").alias("place"))
+    merges = now.where("chapter % 3 < 2").select(F.col("chapter").alias("source"), (F.col("chapter") - F.col("chapter") % 3).alias("target")).distinct()
+    return layout.merged(now, merges)
+
+
+@query("""SELECT o_orderkey AS chapter, CASE WHEN o_orderstatus = 'F' THEN 'user' ELSE 'auto' END AS source, CASE WHEN o_orderstatus <> 'F' THEN 'v3' END AS version, CASE WHEN o_orderstatus <> 'F' THEN o_orderkey % 10 END AS quality,
+  o_orderstatus <> 'F' AND o_orderkey % 2 = 0 AS needs_review, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS explanation FROM orders""")
+def edited_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    chapters = orders.select(k.alias("chapter"), F.lit("auto").alias("source"), F.lit("v3").alias("version"), (k % 10).alias("quality"), (k % 2 == 0).alias("needs_review"), F.col("o_orderpriority").alias("explanation"))
+    return layout.edited(chapters, orders.where("o_orderstatus = 'F'").select(k.alias("chapter")))
+
+
+@query("""SELECT c_custkey, CASE WHEN active > 0 THEN 'running_tasks' WHEN n > 0 AND c_custkey % 4 > 0 THEN 'contains_albums' END AS refusal FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'P') AS active FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def project_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("active"))
+    return table(spark, sf_dir, "customer").join(by, "c_custkey", "left").select("c_custkey", decisions.deletion_refusal(F.col("active"), F.col("n"), F.col("c_custkey") % 4 == 0).alias("refusal"))
+
+
+@query("""SELECT DISTINCT s_nationkey::BIGINT AS project FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag = 'R')""")
+def busy_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("l_linestatus") == "O", "queued").when(F.col("l_returnflag") == "R", "running").otherwise("succeeded")
+    tasks = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("album_id"), status.alias("status"))
+    albums = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("album_id"), F.col("s_nationkey").cast("long").alias("project"))
+    return lifecycle.busy(tasks, albums, "project")
+
+
+@query("""WITH a AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'rendered' WHEN 1 THEN 'exported' ELSE 'planned' END AS status, p_brand LIKE '%1' AS hit FROM part)
+SELECT p_partkey, CASE WHEN hit AND status <> 'planned' THEN 'cleaned' ELSE status END AS status, NOT hit AS has_preview, CASE WHEN hit THEN 2 ELSE 0 END AS deleted FROM a""")
+def cleared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    s = F.col("p_size") % 3
+    path = lambda kind: F.concat(F.lit(f"{kind}/"), text_of("p_partkey"))
+    albums = part.select("p_partkey", F.when(s == 0, "rendered").when(s == 1, "exported").otherwise("planned").alias("status"), path("preview").alias("preview_path"), path("print").alias("print_path"), F.lit(None).cast("string").alias("manifest_path"))
+    after, gone = lifecycle.cleared(albums, part.where("p_brand LIKE '%1'"), "p_partkey")
+    n = gone.groupBy("p_partkey").agg(F.count("*").alias("deleted"))
+    return after.join(n, "p_partkey", "left").select("p_partkey", "status", F.col("preview_path").isNotNull().alias("has_preview"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
+
+
+@query(f"WITH {PHOTOS} SELECT album_id, photo_id, row_number() OVER (PARTITION BY album_id ORDER BY uploaded_at, photo_id) - 1 AS position FROM photos")
+def photo_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.positions(photos(spark, sf_dir)).select("album_id", "photo_id", "position")
+
+
+@query(f"WITH {PHOTOS}, n AS (SELECT album_id, photo_id, row_number() OVER (PARTITION BY album_id ORDER BY quality DESC, photo_id) AS nth FROM photos) SELECT * FROM n WHERE nth <= 6")
+def theme_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.best_rated(photos(spark, sf_dir)).select("album_id", "photo_id", "nth")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 3 = 0 WHEN 1 THEN o_orderkey % 3 = 1 WHEN 2 THEN o_orderkey % 3 = 0 ELSE false END AS allowed FROM orders")
+def allowed_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    stage = F.when(k % 4 == 0, "chapter").when(k % 4 == 1, "chapter_embedding").when(k % 4 == 2, "layout").otherwise("cleaning")
+    provider = F.when(k % 3 == 0, "openai_compatible").when(k % 3 == 1, "dashscope_multimodal_embedding")
+    return table(spark, sf_dir, "orders").select("o_orderkey", decisions.provider_allowed(stage, provider).alias("allowed"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'own' END AS include, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE '' END AS exclude FROM part""")
+def settled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    none = F.lit(None).cast("array<string>")
+    held = F.struct(F.when(n % 2 == 1, F.array(F.lit("own"))).alias("include_concepts"), none.alias("exclude_concepts"))
+    one = F.struct(F.lit("c1").alias("id"), F.col("p_name").alias("title"), F.lit("s").alias("summary"), F.array("p_type").alias("include_concepts"), F.when(n % 3 == 0, F.array("p_brand")).alias("exclude_concepts"), held.alias("constraints"))
+    c = structures.settled_candidates(F.array(one))[0]["constraints"]
+    text = lambda k: F.coalesce(F.array_join(c[k], ","), F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", text("include_concepts").alias("include"), text("exclude_concepts").alias("exclude"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'a,b,F,' || o_orderpriority ELSE 'a,b,' || o_orderpriority END AS reasons FROM orders""")
+def joined_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("b"), F.col("o_orderstatus"), F.lit("a")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(structures.joined(F.array(F.lit("a"), F.lit("b"), F.lit("a")), more, F.array("o_orderpriority")), ",").alias("reasons"))
+
+
+@query("SELECT vec_id % 20 AS album_id, count(*) AS photos, count_if(label % 2 = 0)::BIGINT AS embedded FROM embeddings GROUP BY 1")
+def feature_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("album_id"), F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("embedding"))
+    return rows.groupBy("album_id").agg(F.count("*").alias("photos"), F.count("embedding").alias("embedded"))
+
+
+# ---- media ----
+
+SIZED = "f AS (SELECT p_partkey, p_partkey * 37 % 20000 + 1 AS w, p_partkey * 91 % 16000 + 1 AS h, p_partkey % 5 AS kind, p_partkey // 250 AS batch FROM part)"
+
+
+@query(f"""WITH {SIZED}, o AS (SELECT *, CASE WHEN kind = 4 THEN 'unsupported_type' WHEN w * h > 60000000 THEN 'too_many_pixels' END AS own FROM f),
+c AS (SELECT *, count_if(own IS NULL) OVER (PARTITION BY batch ORDER BY p_partkey) AS n FROM o)
+SELECT p_partkey, CASE WHEN p_partkey % 9 BETWEEN 5 AND 8 THEN h ELSE w END AS width, CASE WHEN p_partkey % 9 BETWEEN 5 AND 8 THEN w ELSE h END AS height, coalesce(own, CASE WHEN n > 200 THEN 'too_many_files' END) AS reason FROM c""")
+def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of PNG, bitmaps stored from the top, WEBP and JPEG files, made from keys, and what an upload of 250 files in a batch accepts."""
+    k = F.col("p_partkey")
+    w, h, kind = k * 37 % 20000 + 1, k * 91 % 16000 + 1, k % 5
+    big = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
+    little = lambda n, size: F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(size)))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4))
+    bmp = F.concat(F.lit("424D" + "00" * 16), little(w, 4), little(F.lit(1 << 32) - h, 4))
+    webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), little(w - 1, 3), little(h - 1, 3))
+    jpeg = F.concat(F.lit("FFD8FFE1000401"), F.lit("02FFC0001108"), big(h, 2), big(w, 2), F.lit("00" * 10))
+    content = F.unhex(F.when(kind == 0, png).when(kind == 1, bmp).when(kind == 2, webp).otherwise(jpeg))
+    suffix = F.when(kind == 0, ".png").when(kind == 1, ".bmp").when(kind == 2, ".webp").when(kind == 3, ".JPG").otherwise(".tiff")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lpad(text_of("p_partkey"), 9, "0"), suffix).alias("path"), content.alias("content"), F.floor(k / 250).alias("batch"))
+    out = media.checked(media.with_sizes(rows.withColumn("length", F.length("content"))), "batch")
+    size = media.upright(F.col("width"), F.col("height"), k % 9)
+    return out.select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), "reason")

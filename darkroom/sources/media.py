@@ -110,3 +110,9 @@ def decoded(rows: DataFrame, decode) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "width": [g.get("width") for g in got], "height": [g.get("height") for g in got], "features": [g.get("features") for g in got], "failed": [not g for g in got]})
 
     return rows.select("path", "content").mapInPandas(run, "path string, width int, height int, features map<string,double>, failed boolean")
+
+
+def upright(width: Column, height: Column, orientation: Column) -> Column:
+    """(width, height) after the turn that an EXIF orientation asks for: 5 to 8 swap the sides."""
+    turned = F.coalesce(orientation.between(5, 8), F.lit(False))
+    return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))

@@ -24,3 +24,11 @@ def cached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 def copied(listing: DataFrame, stored: DataFrame) -> DataFrame:
     """Files of a listing (path, key) that a store (key) does not hold, one path for each key: what a migration copies."""
     return listing.join(stored.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("path").alias("path"))
+
+
+def write_bundles(books: DataFrame, path: str) -> None:
+    """Writes books(album_id, revision, kind, html) as one text file each, below album, revision and kind: kinds are preview, print and manifest.
+
+    The html of a book goes out as it is; a revision that is there already is replaced, others stay."""
+    rows = books.select("album_id", F.concat(F.lit("r"), F.col("revision").cast("string")).alias("revision"), "kind", "html")
+    rows.repartition("album_id", "revision", "kind").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("album_id", "revision", "kind").text(path)

@@ -67,3 +67,26 @@ def test_codes_are_the_first_free(spark):
     got = control.next_code(spark.createDataFrame(names, "name long, slug string"), spark.createDataFrame([(t,) for t in taken], "code string")).collect()
     assert dict(map(tuple, got)) == {1: "report", 2: "report-2", 3: "trip-5", 4: "trip-6", 5: "trip-7", 6: "trip-2", 7: "new-3", 8: "x-05", 9: "trip-2-2"}
     assert control.next_code(spark.createDataFrame([], "name long, slug string"), spark.createDataFrame([("a",)], "code string")).count() == 0
+
+
+def test_moved_and_merged_photos(spark):
+    now = spark.createDataFrame([(c, 10 * c + i, i) for c in (1, 2, 3) for i in range(3)], "chapter int, photo_id int, place int")
+    moves = spark.createDataFrame([(1, 10, 0), (1, 21, 1)], "chapter int, photo_id int, nth int")
+    of = lambda df, c: [r.photo_id for r in df.where(df.chapter == c).orderBy("place").collect()]
+    got = layout.moved(now, moves)
+    assert (of(got, 1), of(got, 2)) == ([10, 11, 12, 21], [20, 22])
+    merges = spark.createDataFrame([(2, 1), (3, 1), (1, 1)], "source int, target int")
+    assert of(layout.merged(now, merges), 1) == [10, 11, 12, 20, 21, 22, 30, 31, 32]
+    twice = now.unionByName(spark.createDataFrame([(2, 11, 9)], now.schema))
+    assert of(layout.merged(twice, merges), 1) == [10, 11, 12, 20, 21, 22, 30, 31, 32]
+
+
+def test_bundles(spark, tmp_path):
+    from darkroom.sources import tables
+
+    rows = [("a", 1, "preview", "<p>1</p>"), ("a", 1, "print", "<p>2</p>"), ("b", 4, "manifest", "{}")]
+    books = spark.createDataFrame(rows, "album_id string, revision int, kind string, html string")
+    tables.write_bundles(books, str(tmp_path / "out"))
+    tables.write_bundles(books.where("kind = 'print'").withColumn("html", F.lit("<p>3</p>")), str(tmp_path / "out"))
+    got = {str(p.parent.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")}
+    assert got == {"album_id=a/revision=r1/kind=preview": "<p>1</p>\n", "album_id=a/revision=r1/kind=print": "<p>3</p>\n", "album_id=b/revision=r4/kind=manifest": "{}\n"}
