@@ -48,8 +48,8 @@ LENGTH, GRAM = 200, 16
 WINDOW = LENGTH - GRAM + 1
 LEFT = WINDOW - 1
 BLOCK, PIECE = 6 << 20, 1 << 20
-#: Bytes of text for each range; sampled documents for each range, 400 at least, and at most. Each gives 200 grams of 16 bytes at most to the driver.
-RANGE_BYTES, SAMPLE_DOCS, MOST_DOCS = 16 << 20, 4, 20_000
+#: Bytes of text for each range; about so many documents for each range are sampled, 400 at least, and at most. Each gives 200 grams of 16 bytes at most to the driver.
+RANGE_BYTES, SAMPLE_DOCS, MOST_DOCS = 8 << 20, 4, 20_000
 #: Intervals of d of a hot gram, which is one that the sample has so many times.
 SHARES, HOT = 4, 24
 INTERVALS = [(i * WINDOW // SHARES, (i + 1) * WINDOW // SHARES - 1) for i in range(SHARES)]
@@ -334,8 +334,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dealing(docs: DataFrame, ranges: int) -> Dealing:
-    """Quantiles of the first GRAM bytes of suffixes of a bounded sample of documents, and those that it has very often."""
+def dealing(docs: DataFrame, ranges: int, rows: int) -> Dealing:
+    """Quantiles of the first GRAM bytes of suffixes of a bounded sample of documents, by a hash, and those that it has very often. rows: the number of documents."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -346,7 +346,8 @@ def dealing(docs: DataFrame, ranges: int) -> Dealing:
                 # each gram of a text counts once
                 yield pd.DataFrame({"suffix": [g for n, g in enumerate(dict.fromkeys(grams)) if n % max(1, len(grams) // 200) == 0]})
 
-    some = docs.where(F.length("text") > 0).orderBy("a", "b").limit(min(max(400, SAMPLE_DOCS * ranges), MOST_DOCS))
+    every = max(1, rows // min(max(400, SAMPLE_DOCS * ranges), MOST_DOCS))
+    some = docs.where((F.length("text") > 0) & (F.pmod("a", F.lit(every)) == 0))
     got = np.array(sorted(some.select("text").mapInPandas(sample, "suffix binary").toPandas()["suffix"]), f"S{GRAM}")
     gram, times = np.unique(got, return_counts=True)
     hot = gram[times >= max(HOT, len(got) // (2 * ranges))]
@@ -360,9 +361,9 @@ def repeated_spans(docs: DataFrame, id: str, text: str, ranges: int | None = Non
     value = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(id).alias("id"), value.alias("text"), F.xxhash64(id, value).alias("a"), F.xxhash64(F.lit(1), value, id).alias("b"))
     # two ranges a partition at least: what a task holds at once is one range
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = ranges or max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))
-    how = dealing(rows, ranges)
+    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    ranges = ranges or max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size or 0) // RANGE_BYTES))
+    how = dealing(rows, ranges, count)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, n = [], 0, 0

@@ -448,7 +448,7 @@ def test_a_shared_passage_is_dealt_over_ranges(spark):
     passage = some(120)
     texts = [some(200) + passage + some(200) for _ in range(400)]
     rows = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], DOCS)
-    how = suffix_dedup.dealing(rows.select("text", F.col("doc_id").alias("a"), F.lit(0).alias("b")), 8)
+    how = suffix_dedup.dealing(rows.select("text", F.col("doc_id").alias("a"), F.lit(0).alias("b")), 8, 400)
     assert 1 <= len(how.hot) <= 3
     made, _, _ = suffix_dedup.runs([((k, 0), 0, t.encode()) for k, t in enumerate(texts)], how)
     sizes = [len(suffix_dedup._unpack(blob)[0]) for r, blob in made if r >= how.ranges]
