@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,19 +121,33 @@ def requirements(rows: DataFrame, least_rows: int = 500, least_categories: int =
     return ok.withColumn("passed", F.col("enough_rows") & F.col("enough_categories") & F.col("one_configuration") & F.coalesce("valid_labels", F.lit(False)) & F.coalesce("two_annotators", F.lit(False)))
 
 
-def isotonic(rows: DataFrame, signal: str, label: str, most_points: int = 100_000) -> tuple[list[float], list[float]]:
-    """Knots of the isotonic fit of a 0/1 label on a signal. The driver gets counts by distinct signal, at most `most_points` (an error beyond)."""
-    by = rows.groupBy(F.col(signal).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("s")).limit(most_points + 1).toPandas().sort_values("x")
-    if len(by) > most_points:
-        raise ValueError(f"more than {most_points} distinct signals: round them first")
+def _pooled(blocks: list[list[float]]) -> list[list[float]]:
+    """Blocks (first signal, last signal, rows, sum of labels) in order, neighbours joined until means never fall."""
     stack: list[list[float]] = []
-    for x, n, s in by[["x", "n", "s"]].itertuples(index=False):
-        stack.append([x, x, n, s])
+    for block in blocks:
+        stack.append(list(block))
         while len(stack) > 1 and stack[-2][3] / stack[-2][2] > stack[-1][3] / stack[-1][2]:
             low, high = stack[-2], stack.pop()
             stack[-1] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
+    return stack
+
+
+def isotonic(rows: DataFrame, signal: str, label: str) -> tuple[list[float], list[float]]:
+    """Knots of the isotonic fit of a 0/1 label on a signal, two for each of its levels.
+
+    Signals are pre-aggregated and pooled by ranges, which is exact as blocks that are joined stay joined; the driver gets the ranges' blocks,
+    about as many as the result has."""
+
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[list[float]] = []
+        for b in batches:
+            stack = _pooled([*stack, *b[["x", "x", "n", "s"]].to_numpy(float).tolist()])
+        yield pd.DataFrame(stack, columns=["a", "b", "n", "s"])
+
+    by = rows.where(F.col(signal).isNotNull()).groupBy(F.col(signal).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("s"))
+    found = by.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(pool, "a double, b double, n double, s double").toPandas().sort_values("a")
     xs, ys = [], []
-    for a, b, n, s in stack:
+    for a, b, n, s in _pooled(found[["a", "b", "n", "s"]].to_numpy(float).tolist()):
         for x in dict.fromkeys((round(float(a), 8), round(float(b), 8))):
             xs.append(x)
             ys.append(round(float(s / n), 8))

@@ -155,6 +155,14 @@ def test_isotonic_and_logistic(spark):
     assert xs == sorted(xs) and ys == sorted(ys) and 0 <= ys[0] <= ys[-1] <= 1
     fit = evaluation.logistic_fit(rows, ["x"], "y")
     assert fit["weights"][0] > 0
+    # a constant feature has the least scale, and numbers ten places
+    flat = evaluation.logistic_fit(rows.selectExpr("x", "1.5 AS c", "y"), ["x", "c"], "y")
+    assert flat["scale"][1] == 1e-6 and flat["weights"][1] == 0 and flat["mean"][1] == 1.5 and all(round(w, 10) == w for w in flat["weights"])
+    # pooling by ranges and then over them equals pooling at once
+    rng = np.random.default_rng(3)
+    blocks = [[float(i), float(i), 1.0, float(v)] for i, v in enumerate(rng.random(60) + np.arange(60) / 40)]
+    by_range = [b for part in (blocks[:17], blocks[17:40], blocks[40:]) for b in evaluation._pooled(part)]
+    assert np.allclose(evaluation._pooled(by_range), evaluation._pooled(blocks))
 
 
 def test_precedence_and_codes(spark):
