@@ -371,7 +371,7 @@ def expression_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("album_id", "photo_id", "deviation").where("deviation >= 0.35")
 
 
-@query("""WITH r AS (SELECT round(least(value, 100) / 100, 2) AS signal, CASE WHEN event_id % 100 < least(value, 90) THEN 1.0 ELSE 0.0 END AS label FROM events), n AS (
+@query("""WITH r AS (SELECT floor(least(value, 100)) / 100 AS signal, CASE WHEN event_id % 100 < least(value, 90) THEN 1.0 ELSE 0.0 END AS label FROM events), n AS (
   SELECT signal, count(*) AS n, sum(label) AS s FROM r GROUP BY 1), c AS (SELECT signal, n, s, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM n WINDOW w AS (ORDER BY signal)),
 p AS (SELECT a.signal AS low, b.signal AS high, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.signal <= b.signal),
 m AS (SELECT x.signal, p.low, min(p.mean) AS least FROM n x JOIN p ON p.low <= x.signal AND p.high >= x.signal GROUP BY ALL)
@@ -379,7 +379,7 @@ SELECT signal, round(round(max(least), 8), 6) AS probability FROM m GROUP BY sig
 def isotonic_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each signal's level in the isotonic fit; the SQL takes the largest over beginnings of the smallest mean over ends."""
     v = F.col("value")
-    rows = table(spark, sf_dir, "events").select(F.round(F.least(v, F.lit(100.0)) / 100, 2).alias("signal"), F.when(F.col("event_id") % 100 < F.least(v, F.lit(90.0)), 1.0).otherwise(0.0).alias("label"))
+    rows = table(spark, sf_dir, "events").select((F.floor(F.least(v, F.lit(100.0))) / 100).alias("signal"), F.when(F.col("event_id") % 100 < F.least(v, F.lit(90.0)), 1.0).otherwise(0.0).alias("label"))
     xs, ys = evaluation.isotonic(rows, "signal", "label")
     return rows.select("signal").distinct().select("signal", F.round(scoring.interpolated(F.col("signal"), xs, ys), 6).alias("probability"))
 
