@@ -40,7 +40,7 @@ HASHES = BANDS * ROWS
 PERCENT = 75
 #: Estimates below this are 6 standard deviations from the threshold.
 LEAST_ESTIMATE = 0.45
-CHUNK = 256
+CHUNK, SLOTS = 256, 32
 _RANDOM = np.random.default_rng(20)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -178,10 +178,14 @@ def blocked(groups: DataFrame, so_far: DataFrame) -> DataFrame:
     named = members.join(so_far, "node", "left").select("of", F.col("node").alias("id"), F.coalesce("component", "node").alias("label"))
     size = named.groupBy("of", "label").agg(F.count("*").alias("n"))
     kinds = size.groupBy("of").agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("n") < CHUNK, F.col("n"))), F.lit(0)).alias("rest")).where("labels > 1")
-    large = F.col("n") >= CHUNK
+    # groups and labels with very many members meet these in slots
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")
+    kinds, big = kinds.select("of", "rest", slots), size.where(F.col("n") >= CHUNK).select("of", "label", "n", slots)
+    met = named.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")).join(kinds, ["of", "slot"]).join(big, ["of", "label", "slot"], "left")
+    large = F.col("n").isNotNull()
     # a block is a label of its own and a number, or, of small labels together, a number alone
     number = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest") / CHUNK), F.lit(1))))
-    placed = stored(named.join(size, ["of", "label"]).join(kinds, "of").select("of", "id", F.when(large, F.col("label")).alias("own"), number.cast("int").alias("number")), "placed")
+    placed = stored(met.select("of", "id", F.when(large, F.col("label")).alias("own"), number.cast("int").alias("number")), "placed")
     blocks = placed.select("of", "own", "number").distinct()
     key = lambda x: F.struct(F.col(f"{x}.own").isNotNull(), F.coalesce(f"{x}.own", "of"), f"{x}.number")
     pairs = blocks.select("of", F.struct("own", "number").alias("x")).join(blocks.select("of", F.struct("own", "number").alias("y")), "of").where((key("x") <= key("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
