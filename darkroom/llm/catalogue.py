@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm import bpe, chat_format, decontaminate, katz, minhash, quality_rules, quality_vote, secret_scan, suffix_dedup, url_rules
+from darkroom.llm import bpe, chat_format, collocations, decontaminate, katz, main_text, merkle, minhash, quality_rules, quality_vote, secret_scan, suffix_dedup, url_rules
 from darkroom.llm.common import table
 
 
@@ -154,6 +154,90 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
+#: CRC-32 by its definition: -1 stands for a shift by one bit. A node of level k at idx is above the leaves from 16^k * idx on.
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('=' || source, '') AS grp, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)) % 5 = 0 AS tampered
+  FROM documents),
+l AS (SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN tampered THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS forged FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM l),
+up(grp, k, idx, n, digest) AS (
+  SELECT grp, 0, idx, n, leaf FROM o
+  UNION ALL SELECT grp, k + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY grp, k, idx // 16, n),
+heads AS (SELECT grp, digest, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+top(k, idx, n, digest) AS (
+  SELECT 0, idx, n, digest FROM heads
+  UNION ALL SELECT k + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY k, idx // 16, n),
+steps AS (
+  SELECT o.grp, o.idx, u.k, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < o.idx >> (4 * u.k)), '') AS before, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > o.idx >> (4 * u.k)), '') AS after
+  FROM o JOIN up u ON u.grp = o.grp AND u.n > 1 AND u.idx >> 4 = o.idx >> (4 * u.k + 4) GROUP BY ALL
+  UNION ALL
+  SELECT o.grp, o.idx, 100 + t.k, coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx < h.idx >> (4 * t.k)), ''), coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx > h.idx >> (4 * t.k)), '')
+  FROM o JOIN heads h USING (grp) JOIN top t ON t.n > 1 AND t.idx >> 4 = h.idx >> (4 * t.k + 4) GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY grp, idx ORDER BY k) AS nth FROM steps),
+proofs AS (SELECT grp, idx, string_agg(before || after, '' ORDER BY k) AS proof FROM steps GROUP BY grp, idx),
+fold(grp, idx, nth, digest) AS (
+  SELECT grp, idx, 0, coalesce(forged, leaf) FROM o
+  UNION ALL SELECT f.grp, f.idx, f.nth + 1, sha256(s.before || f.digest || s.after) FROM fold f JOIN numbered s ON s.grp = f.grp AND s.idx = f.idx AND s.nth = f.nth + 1),
+folded AS (SELECT grp, idx, arg_max(digest, nth) AS folded_root FROM fold GROUP BY grp, idx),
+root AS (SELECT digest AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, h.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM o JOIN heads h USING (grp) LEFT JOIN proofs p ON p.grp = o.grp AND p.idx = o.idx JOIN folded f ON f.grp = o.grp AND f.idx = o.idx, root
+"""
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    forged = F.when(tampered, merkle.digest(*(low if f == "text" else F.col(f) for f in MANIFEST_FIELDS)))
+    found = merkle.manifest(docs, "doc_id", "source", MANIFEST_FIELDS, forged)
+    out = found.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("proof")))
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The given pages mark their article and hold two kinds of references, the one for & also without its semicolon.
+MAIN_TEXT_SQL = r"""
+WITH b AS (SELECT page_id, unnest(string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS block, generate_subscripts(string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS i FROM pages),
+t AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(regexp_replace(replace(block, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&amp'), '&amp', '&'), '\s+', ' ', 'g')) AS line FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars
+FROM pages LEFT JOIN (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM t WHERE line <> '' GROUP BY page_id) USING (page_id)
+"""
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html").withColumnRenamed("key", "page_id")
+
+
+COLLOCATIONS_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k)),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM i GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1 : c.k], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b JOIN n USING (lang) LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.longer IS NULL OR 100 * i.longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), "lang", "text")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -167,8 +251,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_chat_format": op9_chat_format,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_main_text": op12_main_text,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets_sql(), "op6_minhash": MINHASH_SQL, "op8_url_rules": URL_SQL, "op9_chat_format": CHAT_SQL}
+    return {"op1_secret_scan": secrets_sql(), "op6_minhash": MINHASH_SQL, "op8_url_rules": URL_SQL, "op9_chat_format": CHAT_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_main_text": MAIN_TEXT_SQL, "op13_collocations": COLLOCATIONS_SQL}
