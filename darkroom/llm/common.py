@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,3 +81,15 @@ def dropped(*tables: DataFrame, part: str = "") -> None:
     """Removes the files of tables that stored() returned, or those of one partition, once what was made of them is stored itself."""
     for t in tables:
         _remove(t.sparkSession, f"{_paths[t]}/{part}")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Python workers get so many rows at once; for operators on long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,9 +241,10 @@ def extract(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
     """(key, url, text, n_chars), a row for each page."""
     kinds = dict(pages.dtypes)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "url": b["url"], "text": [main_text(p) for p in b["page"]]})
+            texts = pa.array([main_text(p.as_py()) for p in b.column("page")], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), texts], names=["key", "url", "text"])
 
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
-    return rows.mapInPandas(read, f"key {kinds[key]}, url {kinds[url]}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.mapInArrow(read, f"key {kinds[key]}, url {kinds[url]}, text string").withColumn("n_chars", F.length("text").cast("long"))
