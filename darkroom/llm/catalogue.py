@@ -34,14 +34,14 @@ g AS (
     string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, nth) FILTER (nth < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, nth) AS spans
   FROM k GROUP BY text)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, sha256(d.text) AS blob, '1' AS rule_version
+  coalesce(spans, '') AS spans, sha256(d.text) AS blob, '{version}' AS rule_version
 FROM d LEFT JOIN g USING (text)
 """
 
 
 def secrets_sql() -> str:
     one = lambda n, r: f"SELECT text, {n} AS nth, '{r.kind}' AS kind, regexp_replace(text, '{r.pattern.pattern.replace(chr(39), chr(39) * 2)}', chr(57344) || '\\0' || chr(57344), 'g') AS marked FROM t"
-    return SECRETS_SQL.replace("{kinds}", "\n  UNION ALL ".join(one(n, r) for n, r in enumerate(secret_scan.RULES)))
+    return SECRETS_SQL.replace("{version}", secret_scan.RULE_VERSION).replace("{kinds}", "\n  UNION ALL ".join(one(n, r) for n, r in enumerate(secret_scan.RULES)))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

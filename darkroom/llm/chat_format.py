@@ -11,14 +11,16 @@ conversation of any number of turns needs bounded memory.
 
 Escaping: each backslash is doubled, and a backslash is put between < and | . Escaped texts hold no "<|".
 
-Defined cases: null texts and null arrays of parts are empty texts; a null role is the empty role; null turns come first;
-equal turns are ordered by role and text; rows that repeat are turns of their own; null conversation ids form one
+Defined cases: null texts and null arrays of parts are empty texts, null parts are left out; sizes, seconds and pages that are null, not finite or less than
+one token's count as one token, and no part counts as more than MOST_TOKENS; a null role is the empty role; null turns come first;
+equal turns are ordered by role and text (as it was before escaping); rows that repeat are turns of their own; null conversation ids form one
 conversation; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 PARTS = f"array<{PART}>"
 END = "<|end|>"
-PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 256
+PATCH, AUDIO_RATE, PAGE_TOKENS, MOST_TOKENS = 28, 25, 256, 2**31 - 1
 _TURN = re.compile(r"<\|((?:[^\\|]|\\.)*)\|>\n(.*?)<\|end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\([\\|])")
 
@@ -60,7 +62,8 @@ class Visitor:
         self.attach("image", part, across * down)
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, max(1, round((part["seconds"] or 0) * AUDIO_RATE)))
+        seconds = part["seconds"] or 0
+        self.attach("audio", part, max(1, round(min(seconds * AUDIO_RATE, MOST_TOKENS))) if math.isfinite(seconds) else 1)
 
     def visit_document(self, part: dict) -> None:
         self.attach("document", part, PAGE_TOKENS * max(1, int(part["pages"] or 1)))
@@ -70,7 +73,7 @@ class Visitor:
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         self.out.append(f"<|{kind}:{len(self.attachments)}|>")
-        self.attachments.append({"kind": kind, "uri": part["uri"], "tokens": tokens})
+        self.attachments.append({"kind": kind, "uri": part["uri"], "tokens": min(tokens, MOST_TOKENS)})
 
 
 SEGMENT = "segment string, loss_start int, loss_end int, attachments array<struct<kind:string,uri:string,tokens:int>>, expanded_tokens long"
@@ -83,7 +86,8 @@ def format_turn(role: str | None, parts: list[dict] | None, text_only: str | Non
         v.out.append(escape(text_only or ""))
     else:
         for p in parts:
-            v.visit(p)
+            if p is not None:
+                v.visit(p)
     head, body = f"<|{(role or '').replace(chr(92), chr(92) * 2).replace('|', chr(92) + '|')}|>\n", "".join(v.out)
     end = len(head) + len(body) if role == "assistant" else len(head)
     return f"{head}{body}{END}\n", len(head), end, v.attachments
@@ -149,7 +153,9 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     kind = dict(segments.dtypes)["conv"]
     rows = segments.select(F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("null")).alias("_key"), "conv", "turn", "role", "segment", "loss_start", "loss_end")
-    ordered = rows.repartition("_key").sortWithinPartitions("_key", "turn", "role", "segment")
+    # ties go by the text that was escaped; it is made out of the segment where turns are compared, not moved beside it
+    body = F.substring("segment", F.col("loss_start") + 1, F.length("segment") - F.col("loss_start") - (len(END) + 1))
+    ordered = rows.repartition("_key").sortWithinPartitions("_key", "turn", "role", F.regexp_replace(body, r"\\([\\|])", "$1"))
     return ordered.select("_key", "conv", "segment", "loss_start", "loss_end").mapInPandas(
         fold, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: the space and \x09-\x0D; exactly what bytes.split() splits on.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -83,6 +84,12 @@ def dropped(*tables: DataFrame, part: str = "") -> None:
         _remove(t.sparkSession, f"{_paths[t]}/{part}")
 
 
+def one_text(docs: DataFrame, key: str, text: str, keys: DataFrame) -> DataFrame:
+    """(_k, _label, _t): a row for each of keys(_k, _label) that docs has; of several texts of a key, the one whose hash is least."""
+    met = docs.select(F.col(key).alias("_k"), F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t")).alias("_r")).join(keys, "_k")
+    return met.groupBy("_k", "_label").agg(F.min("_r").alias("_r")).select("_k", "_label", F.col("_r.t").alias("_t"))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it holds, Python workers get so many rows at once; for operators on long texts."""

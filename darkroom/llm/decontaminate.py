@@ -17,7 +17,7 @@ Bounds: the bitmap has at most 2**BITS bits (32 MB); beyond about 16 million see
 seeds are hashes of 64 bits.
 
 Defined cases: null and empty documents match nothing, nor do items without a token; equal items are all reported; repeated documents
-and null keys have their own rows; empty tables give no rows; other columns are ignored, and extra columns of documents stay in remove().
+and null keys have their own rows, and remove() drops rows, not keys; empty tables give no rows; other columns are ignored, and stay in remove().
 """
 
 from __future__ import annotations
@@ -226,8 +226,18 @@ def tiled(place: np.ndarray, h: np.ndarray, item: np.ndarray, coverage: float) -
     return [(int(back[d]), i, n) for d, i, n in tiles] if sum(n for _, _, n in tiles) >= coverage * len(item) else []
 
 
+def _names(key: str, text: str) -> tuple[F.Column, F.Column]:
+    """Two hashes that name a row by its key and text; rows equal in both are contaminated together."""
+    return F.xxhash64(key, text), F.xxhash64(F.lit(1), text, key)
+
+
 def contaminated(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, coverage: float = COVERAGE) -> DataFrame:
     """(key, item, item_tokens, covered, coverage, tiles): pairs of a document and an item that it covers to that share at least."""
+    return _found(docs, key, text, benchmark, item, item_text, coverage).drop("x", "y")
+
+
+def _found(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, coverage: float) -> DataFrame:
+    """contaminated(), with the names (x, y) of the rows."""
     kind, b = dict(docs.dtypes)[key], Benchmark(benchmark, item, item_text, coverage)
     shared = docs.sparkSession.sparkContext.broadcast((b.widths, b.bits, b.bitmap))
 
@@ -245,25 +255,28 @@ def contaminated(docs: DataFrame, key: str, text: str, benchmark: DataFrame, ite
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             rows = []
-            for k, i, place, h, whole in zip(part["key"].astype(object), part["item"], part["place"], part["hashes"], part["tokens"], strict=True):
+            for k, x, y, i, place, h, whole in zip(part["key"].astype(object), part["x"], part["y"], part["item"], part["place"], part["hashes"], part["tokens"], strict=True):
                 own = np.frombuffer(whole, np.uint64)
                 tiles = tiled(np.frombuffer(place, np.int64), np.frombuffer(h, np.uint64), own, coverage)
                 if tiles:
                     covered = sum(n for _, _, n in tiles)
-                    rows.append((None if k is None or k != k else k, i, len(own), covered, covered / len(own), [{"doc_at": x, "item_at": y, "length": n} for x, y, n in tiles]))
+                    rows.append((None if k is None or k != k else k, x, y, i, len(own), covered, covered / len(own), [{"doc_at": d, "item_at": t, "length": n} for d, t, n in tiles]))
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "item", "item_tokens", "covered", "coverage", "tiles"])
+                yield pd.DataFrame(rows, columns=["key", "x", "y", "item", "item_tokens", "covered", "coverage", "tiles"])
 
-    named = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("x"), F.xxhash64(F.lit(1), text, key).alias("y"), F.col(text).alias("text"))
+    x, y = _names(key, text)
+    named = docs.select(F.col(key).alias("key"), x.alias("x"), y.alias("y"), F.col(text).alias("text"))
     hits = stored(named.mapInPandas(scan, f"key {kind}, x long, y long, seeds array<long>, place binary, hashes binary"), "seeded")
     pairs = hits.select("x", "y", F.explode("seeds").alias("seed")).join(b.index, "seed").select("x", "y", "item").distinct()
-    met = hits.select("key", "x", "y", "place", "hashes").join(pairs, ["x", "y"]).join(b.items, "item").select("key", "item", "place", "hashes", "tokens")
+    met = hits.select("key", "x", "y", "place", "hashes").join(pairs, ["x", "y"]).join(b.items, "item").select("key", "x", "y", "item", "place", "hashes", "tokens")
     tiles = "tiles array<struct<doc_at:int,item_at:int,length:int>>"
-    found = met.mapInPandas(match, f"key {kind}, item long, item_tokens int, covered int, coverage double, {tiles}")
-    return found.join(b.names, "item").select("key", F.col("name").alias("item"), "item_tokens", "covered", "coverage", "tiles")
+    found = met.mapInPandas(match, f"key {kind}, x long, y long, item long, item_tokens int, covered int, coverage double, {tiles}")
+    return found.join(b.names, "item").select("key", "x", "y", F.col("name").alias("item"), "item_tokens", "covered", "coverage", "tiles")
 
 
 def remove(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the documents that hold a benchmark item; null keys are kept."""
-    bad = contaminated(docs, key, text, benchmark, item, item_text, coverage).select(F.col("key").alias(key)).distinct()
-    return docs.join(bad, key, "left_anti")
+    """docs without the rows that hold a benchmark item, whatever their keys; a clean row that shares its key with one stays."""
+    bad = _found(docs, key, text, benchmark, item, item_text, coverage).select("x", "y").distinct()
+    x, y = _names(f"doc.{key}", f"doc.{text}")
+    named = docs.select(F.struct(*docs.columns).alias("doc")).withColumns({"x": x, "y": y})
+    return named.join(bad, ["x", "y"], "left_anti").select("doc.*")

@@ -11,7 +11,7 @@ Learning reads at most `max_labels` labelled rows (a documented bound, chosen by
 Words are runs of characters other than the space and \x09-\x0D.
 
 Defined cases: a null or empty text has no words and zero statistics; null keys stay; repeated labels of one key count
-once, a key labelled both ways counts as of low quality; without labelled rows the list is empty and accepts all that the
+once, a key labelled both ways counts as of low quality, and of several texts of a labelled key one, chosen by a hash, is learned from; without labelled rows the list is empty and accepts all that the
 base rules accept; an empty table gives no rows; columns whose names clash are the caller's: statistics live in one struct.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from darkroom.llm.common import WHITE
+from darkroom.llm.common import WHITE, one_text
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_distinct", "n_lines", "n_echo", "n_ending")
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
@@ -179,9 +179,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, key: str, text: str, label: s
     """A decision list from at most max_labels labelled texts; label: 0 marks low quality. Only that many keys and rows of statistics reach the driver."""
     keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_label"))
     keys = keys.orderBy(F.xxhash64("_k"), "_k").limit(max_labels)
-    got = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(keys), "_k").withColumn("_s", stats("_t"))
-    rows = got.select(F.xxhash64("_k").alias("_h"), "_k", "_label", *(c.alias(n) for n, c in features(F.col("_s")).items())).toPandas()
-    rows = rows.drop_duplicates("_k").sort_values(["_h", "_k"], ignore_index=True)
+    rows = one_text(docs, key, text, F.broadcast(keys)).withColumn("_s", stats("_t"))
+    rows = rows.select(F.xxhash64("_k").alias("_h"), "_k", "_label", *(c.alias(n) for n, c in features(F.col("_s")).items())).toPandas().sort_values(["_h", "_k"], ignore_index=True)
     names = [c for c in rows.columns if c[0] != "_"]
     return learn(rows[names].to_numpy(float), rows["_label"].to_numpy() == 0, names, **how)
 

@@ -13,7 +13,7 @@ near, those of smaller keys vote first.
 
 Defined cases: null and empty texts are the zero vector, without neighbours, and score the share of label 1 among the
 learned rows; without learned rows every score is 0.5; null keys and repeated rows are scored like others; repeated labels
-of one key count once, with the lower label; an empty table gives no rows; other columns are ignored.
+of one key count once, with the lower label, and of several texts of a labelled key one, chosen by a hash, is learned from; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkroom.llm.common import one_text
 from darkroom.llm.shingles import word_hashes
 
 CLASSES = 16
@@ -109,17 +110,17 @@ def fit(counts: np.ndarray, labels: np.ndarray, dims: int = 32, seed: int = 7) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_labels: int = 3000, dims: int = 32) -> Voters:
-    """Voters from at most max_labels labelled texts. The driver gets their counts, max_labels x TERMS half floats (25 MB)."""
+    """Voters from at most max_labels labelled texts. The driver gets their counts, max_labels x TERMS half floats (37 MB)."""
     keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("label"))
     keys = keys.orderBy(F.xxhash64("k"), "k").limit(max_labels)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "label": b["label"], "counts": [term_counts(t).astype(np.float16).tobytes() for t in b["t"]]})
+            yield pd.DataFrame({"k": b["_k"], "label": b["_label"], "counts": [term_counts(t).astype(np.float16).tobytes() for t in b["_t"]]})
 
     kinds = dict(keys.dtypes)
-    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(keys), "k").mapInPandas(count, f"k {kinds['k']}, label {kinds['label']}, counts binary").toPandas()
-    got = got.sort_values(["k", "counts"], ignore_index=True).drop_duplicates("k")
+    one = one_text(docs, key, text, F.broadcast(keys.withColumnsRenamed({"k": "_k", "label": "_label"})))
+    got = one.mapInPandas(count, f"k {kinds['k']}, label {kinds['label']}, counts binary").toPandas().sort_values("k", ignore_index=True)
     x = np.frombuffer(b"".join(got["counts"]), np.float16).reshape(-1, TERMS).astype(np.float32)
     return fit(x, got["label"].to_numpy(), dims)
 

@@ -13,7 +13,8 @@ prefixes are never compared again. The merge yields the order and the common pre
 
 Answer. A string that starts d bytes before an anchor repeats if another anchor has the same d bytes before it and the same
 LENGTH - d after it. Only suffixes that share LENGTH - d bytes with a neighbour can have such a partner; for these, windows are
-compared for each d by a rolling hash of 64 bits. The bytes from the farthest start to the nearest start's end go.
+brought together for each d by a rolling hash of 64 bits and then compared byte by byte, so that strings whose hashes collide are kept. The
+bytes from the farthest start to the nearest start's end go.
 
 Hot strings: equal contexts within a run travel once and are answered where they are, so a passage of very many documents is one
 entry of each run. Splitters are GRAM bytes long, the least that partners share from the anchor on, so none can part two partners. Where very
@@ -52,6 +53,8 @@ BLOCK, PIECE = 6 << 20, 1 << 20
 RANGE_BYTES, SAMPLE_DOCS, MOST_DOCS = 8 << 20, 4, 20_000
 #: Intervals of d of a hot gram, which is one that the sample has so many times.
 SHARES, HOT = 4, 24
+#: Base of the rolling hash, odd.
+BASE = 0x9E3779B97F4A7C15
 INTERVALS = [(i * WINDOW // SHARES, (i + 1) * WINDOW // SHARES - 1) for i in range(SHARES)]
 
 
@@ -286,8 +289,7 @@ def repeats(blobs: list[bytes], low: int = 0, high: int = LEFT) -> tuple[np.ndar
         mine = np.flatnonzero(run == r)
         _spread(o[4], o[2], nth[mine], before, mine)
     right, left = joined(1).astype(np.int64), joined(2).astype(np.int64)
-    base = 0x9E3779B97F4A7C15
-    down, top = np.uint64(pow(base, -1, 1 << 64)), np.uint64(pow(base, LENGTH - 1, 1 << 64))
+    base, top = BASE, np.uint64(pow(BASE, LENGTH - 1, 1 << 64))
     h = np.zeros(n, np.uint64)
     for c in range(LENGTH - 1, -1, -1):
         h = h * np.uint64(base) + after[:, c]
@@ -301,8 +303,7 @@ def repeats(blobs: list[bytes], low: int = 0, high: int = LEFT) -> tuple[np.ndar
         can = np.flatnonzero((near >= LENGTH - d) & (left >= d) & (right >= LENGTH - d))
         if len(can) > 1:
             by = can[np.argsort(h[can], kind="stable")]
-            twin = h[by[1:]] == h[by[:-1]]
-            hit = by[np.append(twin, False) | np.append(False, twin)]
+            hit = _twins(by, h, before, after, d)
             far[hit] = d
             close[hit] = np.minimum(close[hit], d)
     names = np.concatenate([o[5][o[6]] for o in opened])[order_of][pick]
@@ -311,6 +312,25 @@ def repeats(blobs: list[bytes], low: int = 0, high: int = LEFT) -> tuple[np.ndar
     return names[found], np.stack([place - far, place - close + LENGTH], 1)[found]
 
 
+def _twins(by: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray, d: int, step: int = 8192) -> np.ndarray:
+    """Of rows in order of their hashes, those whose windows (d bytes before, LENGTH - d after) equal another's."""
+    twin = np.flatnonzero(h[by[1:]] == h[by[:-1]])
+    equal = np.zeros(len(by), bool)
+    for i in range(0, len(twin), step):
+        at = twin[i : i + step]
+        a, b = by[at], by[at + 1]
+        same = (after[a, : LENGTH - d] == after[b, : LENGTH - d]).all(1) & (before[a, :d] == before[b, :d]).all(1)
+        equal[at[same]] = equal[at[same] + 1] = True
+        for k in at[~same]:  # hashes that collide: rows of this hash are told apart by their bytes
+            first, last = np.searchsorted(h[by], h[by[k]], "left"), np.searchsorted(h[by], h[by[k]], "right")
+            seen: dict[bytes, int] = {}
+            for j in range(first, last):
+                other = seen.setdefault(after[by[j], : LENGTH - d].tobytes() + before[by[j], :d].tobytes(), j)
+                if other != j:
+                    equal[other] = equal[j] = True
+    return by[equal]
+
+
 def _spread(flat: bytes, length: np.ndarray, rows: np.ndarray, out: np.ndarray, to: np.ndarray, step: int = 4096) -> None:
     """Puts the strings of some rows, which lie end to end in flat, into rows of out, a few at a time."""
     text, size = np.frombuffer(flat, np.uint8), length.astype(np.int64)

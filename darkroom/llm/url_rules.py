@@ -2,8 +2,8 @@ r"""URL filters as a sort-merge range join, in DataFrame operations only.
 
 A rule is a host and a path prefix; it fits its host and all subdomains where the url's path starts with its path. The host's
 labels in reverse order, a separator and the path make a canonical key, in which every rule's urls are one interval of
-keys: those that start with the rule's key. A url is looked up once for each suffix of its host, so that rules of a
-domain meet the urls of its subdomains.
+keys: those that start with the rule's key. A url is looked up once for each suffix of its host that has as many labels as some
+rule's host, so that rules of a domain meet the urls of its subdomains; longer suffixes can meet no rule.
 
 Each lookup is a point. Points and interval ends are dealt by ranges of keys and swept in order. Intervals of prefixes
 nest, so the active rules are a stack: at a rule's start the rule is the top, at its end its parent is. The sweep carries the
@@ -14,7 +14,7 @@ Dealing out: equal urls are looked up once, and meet their rows again in a join
 as shuffle partitions, 64 at least, cut at quantiles of a bounded hash sample of the keys (it decides only how evenly work is
 dealt). A key finds its range in two steps, among every so many cuts and then among the cuts between two of these, so that
 it is compared with about twice the square root of their number. Rules that are open over several ranges are repeated in
-each. Only the sample, 16 keys for each range, reaches the driver.
+each. Only the sample, 16 keys for each range, and the distinct numbers of labels of the rules' hosts reach the driver.
 
 Defined cases: a null url or one without :// has empty host and path and no rule; an empty host has no suffix and no
 rule; equal rules count once (block before allow where they differ); repeated rows and null ids keep a row each; an
@@ -52,10 +52,11 @@ def key_of(host: Column, path: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(MARK), path).cast("binary")
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains."""
+def suffixes(host: Column, sizes: list[int]) -> Column:
+    """Of a host and its parent domains those of so many labels."""
     labels = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    some = F.filter(F.array(*(F.lit(n) for n in sizes)).cast("array<int>"), lambda n: (n <= F.size(labels)) & (host != ""))
+    return F.transform(some, lambda n: F.array_join(F.slice(labels, -n, n), "."))
 
 
 def intervals(rules: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def judge(pages: DataFrame, row: str, url: str, rules: DataFrame, default: str =
     ranges = ranges or max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = pages.select(F.col(row).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     targets = rows.select("host", "path").distinct()
-    lookups = targets.select("host", "path", F.explode(suffixes(F.col("host"))).alias("domain"))
+    sizes = sorted(r[0] for r in rules.where(F.col("host").isNotNull()).select(F.size(F.split("host", r"\."))).distinct().collect())
+    lookups = targets.select("host", "path", F.explode(suffixes(F.col("host"), sizes)).alias("domain"))
     lookups = lookups.select("host", "path", key_of(F.col("domain"), F.col("path")).alias("key"))
     sample = sorted(bytes(r[0]) for r in lookups.select("key").orderBy(F.xxhash64("key"), "key").limit(16 * ranges).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
