@@ -6,11 +6,12 @@ height, uploaded_at, hard_reject, faces (a struct of counts).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import times, vectors
+from darkroom.operators import graphs
+from darkroom.sources.lineage import written
 
 NEAR = {"hamming": 6, "aspect": 0.02, "histogram": 0.20}
 BURST = {"hamming": 12, "aspect": 0.05, "histogram": 0.30, "ms": 3000}
@@ -59,39 +60,28 @@ def relations(pairs: DataFrame, photos: DataFrame, near: dict = NEAR, burst: dic
     return rows.withColumn("relation", kind).drop("_a", "_b")
 
 
-def complete_link(photos: DataFrame, related: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
+def complete_link(photos: DataFrame, related: DataFrame, most: int = MOST_MEMBERS, block: int = graphs.BLOCK) -> DataFrame:
     """(album_id, photo_id, group_id): groups of two or more in which all pairs across merged parts are related.
 
-    Photos of equal content start as one. Related pairs are taken by kind, then distance, then ids; two groups merge
-    if every pair across them is related and they stay within `most` members. Only photos with a relation or a copy reach
-    the kernel, so an album's task holds its duplicates alone. group_id is the smallest member."""
-
-    def link(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        group = {i: {i} for i in rows["photo_id"]}
-        for _, ids in rows.dropna(subset=["sha"]).groupby("sha")["photo_id"]:
-            if len(ids) > 1:
-                whole = set(ids)
-                group |= dict.fromkeys(whole, whole)
-        related = set(zip(edges["a"], edges["b"], strict=True))
-        ordered = edges.assign(prio=edges["relation"].map({"exact": 0, "near": 1, "burst": 2})).sort_values(["prio", "hamming", "a", "b"])
-        for a, b in zip(ordered["a"], ordered["b"], strict=True):
-            x, y = group.get(a), group.get(b)
-            if x is None or y is None or x is y or len(x) + len(y) > most:
-                continue
-            if all((min(i, j), max(i, j)) in related for i in x for j in y):
-                x |= y
-                group |= dict.fromkeys(y, x)
-        out = [(key[0], i, min(g)) for i, g in group.items() if len(g) > 1]
-        return pd.DataFrame(out, columns=["album_id", "photo_id", "group_id"])
-
-    edges = related.where(F.col("relation").isNotNull()).select("album_id", "a", "b", "relation", "hamming")
-    ends = edges.select("album_id", F.explode(F.array("a", "b")).alias("photo_id")).distinct()
-    counted = photos.select("album_id", "photo_id", "sha").withColumn("n", F.when(F.col("sha").isNotNull(), F.count("*").over(Window.partitionBy("album_id", "sha"))).otherwise(1))
-    involved = counted.join(ends.withColumn("linked", F.lit(True)), ["album_id", "photo_id"], "left").where("linked OR n > 1").select("album_id", "photo_id", "sha")
-    kinds = dict(photos.dtypes)
-    # names of their own on the right side: both sides derive from the same photos
-    right = edges.select(F.col("album_id").alias("album"), "a", "b", "relation", "hamming")
-    return involved.groupBy("album_id").cogroup(right.groupBy("album")).applyInPandas(link, f"album_id {kinds['album_id']}, photo_id {kinds['photo_id']}, group_id {kinds['photo_id']}")
+    Photos of equal content start as one, and are one node with their number as its weight; related pairs are taken by kind, then distance, then ids, and two
+    groups merge if every pair across them is related and they stay within `most` members (see graphs.complete_groups, which deals
+    albums of more than `block` related pairs over tasks). group_id is the smallest member. Photos without an album are in no group."""
+    by = ["album_id"]
+    same = photos.where(F.col("sha").isNotNull() & F.col("album_id").isNotNull()).groupBy("album_id", "sha").agg(F.min("photo_id").alias("node"), F.count("*").alias("weight")).where("weight > 1")
+    copies = written(photos.select("album_id", "photo_id", "sha").join(same, ["album_id", "sha"]).select("album_id", "photo_id", "node", "weight"), "copies")
+    kind = F.when(F.col("relation") == "exact", 0).when(F.col("relation") == "near", 1).otherwise(2)
+    rank = F.struct(kind.alias("kind"), F.col("hamming").alias("distance"), "a", "b").alias("rank")
+    edges = related.where(F.col("relation").isNotNull() & F.col("album_id").isNotNull()).select("album_id", "a", "b", rank).dropDuplicates(["album_id", "a", "b"])
+    name = lambda x: copies.select("album_id", F.col("photo_id").alias(x), F.col("node").alias(f"n{x}"))
+    named = edges.join(name("a"), ["album_id", "a"], "left").join(name("b"), ["album_id", "b"], "left").select("album_id", F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y"), "rank").where("x <> y")
+    links = written(named.groupBy("album_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.min("rank").alias("rank")), "links")
+    ends = links.select("album_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = ends.join(copies.select("album_id", "node", "weight").distinct(), ["album_id", "node"], "left").select("album_id", "node", F.coalesce("weight", F.lit(1)).alias("weight"))
+    groups = graphs.complete_groups(nodes, links, by, most, block)
+    # copies are in their node's group; nodes of one photo stand for themselves
+    of_copies = copies.join(groups, ["album_id", "node"], "left").select("album_id", "photo_id", F.coalesce("cluster", "node").alias("group_id"))
+    of_nodes = groups.join(copies.select("album_id", F.col("photo_id").alias("node")), ["album_id", "node"], "left_anti").select("album_id", F.col("node").alias("photo_id"), F.col("cluster").alias("group_id"))
+    return of_copies.unionByName(of_nodes)
 
 
 def preferred_order() -> list[F.Column]:
@@ -128,7 +118,14 @@ def decided(ranked_members: DataFrame, exclude_exact: bool = True, exclude_rejec
 
 def group_summary(members: DataFrame) -> DataFrame:
     """(album_id, group_id, group_type, confidence, members): type mixed unless all relations are of one kind; confidence by distance within the kind's threshold."""
+    # in whole parts of 1 / unit, so that neither the order of summation nor the rounding of parts decides
+    unit = NEAR["hamming"] * BURST["hamming"]
     limit = F.when(F.col("relation") == "near", NEAR["hamming"]).otherwise(BURST["hamming"])
-    trust = F.when((F.col("rank") == 1) | (F.col("exact_rank") > 1) | F.col("relation").isNull(), 1.0).when(F.col("relation") == "exact", 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("hamming") / limit))
+    sure = (F.col("rank") == 1) | (F.col("exact_rank") > 1) | F.col("relation").isNull() | (F.col("relation") == "exact")
+    trust = F.when(sure, unit).otherwise(F.greatest(F.lit(0), unit - F.coalesce("hamming", F.lit(0)) * (F.lit(unit) / limit).cast("int"))).cast("long")
     kinds = F.array_distinct(F.flatten(F.collect_set(F.array_compact(F.array(F.when(F.col("exact_rank") > 1, "exact"), F.when(F.col("rank") > 1, F.col("relation")))))))
-    return members.groupBy("album_id", "group_id").agg(kinds.alias("kinds"), F.round(F.avg(trust), 4).alias("confidence"), F.count("*").alias("members")).withColumn("group_type", F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("mixed")).drop("kinds")
+    summed = members.groupBy("album_id", "group_id").agg(kinds.alias("kinds"), (F.sum(trust) * 10000).alias("total"), (F.count("*") * unit).alias("whole"), F.count("*").alias("members"))
+    # a tie at the fourth place goes to the even one
+    up = F.expr("2 * (total % whole) > whole OR 2 * (total % whole) = whole AND total div whole % 2 = 1").cast("int")
+    kind = F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("mixed")
+    return summed.select("album_id", "group_id", ((F.expr("total div whole") + up) / 10000).alias("confidence"), "members", kind.alias("group_type"))

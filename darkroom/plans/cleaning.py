@@ -108,8 +108,9 @@ def duplicate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DECIDED}, s AS (SELECT album_id, group_id, list_distinct(list(CASE WHEN exact_rank > 1 THEN 'exact' END) || list(CASE WHEN rank > 1 THEN relation END)) AS kinds, count(*) AS members,
-  round(avg(CASE WHEN rank = 1 OR exact_rank > 1 OR relation IS NULL THEN 1.0 ELSE greatest(0.0, 1 - hamming / (CASE relation WHEN 'near' THEN 6.0 ELSE 12.0 END)) END), 4) AS confidence FROM c GROUP BY ALL)
-SELECT album_id, group_id, confidence, members, CASE WHEN len(list_filter(kinds, lambda x: x IS NOT NULL)) = 1 THEN list_filter(kinds, lambda x: x IS NOT NULL)[1] ELSE 'mixed' END AS group_type FROM s""")
+  sum(CASE WHEN rank = 1 OR exact_rank > 1 OR relation IS NULL THEN 12 WHEN relation = 'near' THEN greatest(0, 12 - 2 * hamming) ELSE greatest(0, 12 - hamming) END)::BIGINT * 10000 AS trust, count(*) * 12 AS whole FROM c GROUP BY ALL),
+h AS (SELECT *, trust // whole AS low, 2 * (trust % whole) AS twice FROM s)
+SELECT album_id, group_id, (low + CASE WHEN twice > whole OR twice = whole AND low % 2 = 1 THEN 1 ELSE 0 END) / 10000 AS confidence, members, CASE WHEN len(list_filter(kinds, lambda x: x IS NOT NULL)) = 1 THEN list_filter(kinds, lambda x: x IS NOT NULL)[1] ELSE 'mixed' END AS group_type FROM h""")
 def duplicate_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.group_summary(related_members(spark, sf_dir))
 

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from darkroom.operators import control, duplicates, evaluation, timeline
+from darkroom.operators import control, duplicates, evaluation, graphs, timeline
 from darkroom.plans import timelines
 from darkroom.sources import manifests, media, tables
 from darkroom.streaming import rules
@@ -31,6 +31,60 @@ def test_copies_start_together(spark):
     assert groups(spark, [{"sha": "x", "phash": "0"}, {"sha": "x", "phash": "0"}, {"sha": "y", "phash": "1"}, {"sha": None, "phash": None}]) == [["0", "1", "2"]]
 
 
+def plain_groups(ids, sha, edges, most):
+    """Complete-link groups by plain sets, link by link."""
+    groups = {}
+    for i in ids:
+        groups.setdefault(("sha", sha[i]) if sha[i] else i, set()).add(i)
+    of = {i: g for g in groups.values() for i in g}
+    related = {(a, b) for _, _, a, b in edges}
+    for _, _, a, b in sorted(edges):
+        x, y = of[a], of[b]
+        if x is not y and len(x) + len(y) <= most and all((min(i, j), max(i, j)) in related for i in x for j in y):
+            x |= y
+            of |= dict.fromkeys(y, x)
+    return {i: min(g) for i, g in of.items() if len(g) > 1}
+
+
+@pytest.mark.parametrize("block, shape", [(10**6, "random"), (40, "random"), (25, "chain"), (30, "copies"), (60, "clusters")])
+def test_groups_of_albums_larger_than_a_task(spark, block, shape):
+    """Albums whose related pairs outnumber `block` go by components, then by ranges of photos: the groups are those of plain sets."""
+    rng = np.random.default_rng(len(shape) + block % 97)
+    rows, pairs, want = [], [], {}
+    for album, n in (("large", 160), ("small", 12), ("none", 3)):
+        ids = [int(i) for i in rng.permutation(5 * n)[:n]]
+        order = sorted(ids)
+        sha = {i: f"c{k % max(2, n // 4)}" if shape == "copies" and k % 3 else None for k, i in enumerate(ids)}
+        edges = set()
+        for k, i in enumerate(order):
+            for step in range(1, 9 if shape in ("chain", "clusters") else 4):
+                if shape == "chain":
+                    other = order[k + step] if k + step < n and step <= 3 else None
+                elif shape == "clusters":
+                    other = order[k + step] if k + step < n and (k // 9 == (k + step) // 9 or rng.random() < 0.1) else None
+                else:
+                    other = order[int(rng.integers(n))]
+                if other is not None and other != i and not (sha[i] and sha[i] == sha[other]) and album != "none":
+                    edges.add((min(i, other), max(i, other)))
+        edges = [(int(rng.integers(1, 3)), int(rng.integers(0, 4)), a, b) for a, b in sorted(edges)]
+        want |= {(album, i): g for i, g in plain_groups(ids, sha, edges, 8).items()}
+        rows += [(album, i, sha[i]) for i in ids]
+        pairs += [(album, a, b, {1: "near", 2: "burst"}[kind], distance) for kind, distance, a, b in edges]
+    photos = spark.createDataFrame(rows, "album_id string, photo_id long, sha string")
+    related = spark.createDataFrame(pairs, "album_id string, a long, b long, relation string, hamming int")
+    got = duplicates.complete_link(photos, related, 8, block).collect()
+    assert len(got) == len({(r.album_id, r.photo_id) for r in got})
+    assert {(r.album_id, r.photo_id): r.group_id for r in got} == want
+
+
+def test_components_follow_long_chains(spark):
+    links = [("x", i, i + 1) for i in range(300)] + [("x", 1000 - i, 1001 - i) for i in range(200)] + [("y", 5, 7), ("y", 7, 7), ("y", 9, 8)]
+    got = {(r.k, r.node): r.component for r in graphs.components(spark.createDataFrame(links, "k string, a long, b long"), ["k"]).collect()}
+    want = {("x", i): 0 for i in range(301)} | {("x", i): 801 for i in range(801, 1002)} | {("y", 5): 5, ("y", 7): 5, ("y", 8): 8, ("y", 9): 8}
+    assert got == want
+    assert graphs.components(spark.createDataFrame([], "k string, a long, b long"), ["k"]).count() == 0
+
+
 def test_candidates_are_linear(spark):
     n = 2000
     p = photos(spark, [{"phash": f"{i:x}"} for i in range(n)])
