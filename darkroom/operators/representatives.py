@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import geo, scoring, texts, times, vectors
+from darkroom.operators import distances
 
 NEAR_COPY = 8
 
@@ -23,12 +24,9 @@ def _quality(p: Column) -> Column:
 
 
 def typicality(photos: DataFrame, *group: str) -> DataFrame:
-    """group and photo_id with the mean visual similarity to the group's other photos; 0.5 without one."""
-    fields = ("embedding", "tags", "histogram")
-    a = photos.select(*group, F.col("photo_id").alias("a"), F.struct(*fields).alias("x"))
-    b = photos.select(*group, F.col("photo_id").alias("b"), F.struct(*fields).alias("y"))
-    mean = a.join(b, list(group)).where("a <> b").groupBy(*group, F.col("a").alias("photo_id")).agg(F.avg(_visual(F.col("x"), F.col("y"))).alias("t"))
-    return photos.select(*group, "photo_id").join(mean, [*group, "photo_id"], "left").withColumn("typicality", F.coalesce("t", F.lit(0.5))).drop("t")
+    """group and photo_id with the mean visual similarity to the group's other photos, summed by blocks of photos; 0.5 without one."""
+    mean = distances.mean_similarity(photos, *group)
+    return photos.select(*group, "photo_id").join(mean, [*group, "photo_id"], "left").withColumn("typicality", F.coalesce("mean", F.lit(0.5))).drop("mean")
 
 
 def first_picks(photos: DataFrame, *group: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import geo, scoring, texts, times, vectors
+from darkroom.operators import distances
 
 # fixed values: weights of the channels by strategy
 STRATEGIES = {
@@ -90,12 +91,6 @@ def assign_untimed(untimed: DataFrame, events: DataFrame, least: float = 0.60, m
     return untimed.select("album_id", "photo_id").join(top.select("album_id", "photo_id", F.when(sure, F.col("event")).alias("event"), "profile"), ["album_id", "photo_id"], "left")
 
 
-def robust_scale(values: Column) -> Column:
-    """An aggregate: the larger of interquartile range and median of the positive values; 1 without any."""
-    q = F.percentile(F.when(values > 0, values), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return F.coalesce(F.greatest(q[2] - q[0], q[1], F.lit(1e-9)), F.lit(1.0))
-
-
 def pair_distances(photos: DataFrame, weights: dict[str, float], most: int = 2000) -> DataFrame:
     """(album_id, a, b, embedding, time, gps, color, distance) of all pairs within an album, by photo_id.
 
@@ -110,8 +105,7 @@ def pair_distances(photos: DataFrame, weights: dict[str, float], most: int = 200
         "album_id", x["photo_id"].alias("a"), y["photo_id"].alias("b"), vectors.cosine_distance(x["unit"], y["unit"]).alias("embedding"), vectors.hellinger(x["shares"], y["shares"]).alias("color"),
         (F.abs(times.micros(x["taken_at"]) - times.micros(y["taken_at"])) / 1e6).alias("seconds"), geo.haversine_km(x["lat"], x["lon"], y["lat"], y["lon"]).alias("km"),
     )
-    scale = pairs.groupBy("album_id").agg(robust_scale(F.col("seconds")).alias("time_scale"), robust_scale(F.col("km")).alias("gps_scale"))
-    pairs = pairs.join(scale, "album_id").withColumns({"time": scoring.saturating(F.col("seconds"), F.col("time_scale")), "gps": scoring.saturating(F.col("km"), F.col("gps_scale"))})
+    pairs = pairs.join(distances.scales(photos), "album_id").withColumns({"time": scoring.saturating(F.col("seconds"), F.col("time_scale")), "gps": scoring.saturating(F.col("km"), F.col("gps_scale"))})
     return pairs.withColumn("distance", scoring.clamp(scoring.weighted([(F.col(c), w) for c, w in weights.items()], 1.0))).drop("time_scale", "gps_scale")
 
 
@@ -128,22 +122,22 @@ def coverage(photos: DataFrame) -> DataFrame:
     return total.join(by, "album_id", "left").select("album_id", "pairs", *(F.round(F.coalesce(c, F.lit(0.0)) / F.col("pairs"), 4).alias(c) for c in have))
 
 
-def dispersion(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(album_id, dispersion): over clusters, the sum of pair distances divided by the size. labels(album_id, photo_id, label)."""
-    side = lambda n: labels.select("album_id", F.col("photo_id").alias(n), F.col("label").alias(f"l{n}"))
-    size = labels.groupBy("album_id", F.col("label").alias("la")).agg(F.count("*").alias("n"))
-    inside = pairs.join(side("a"), ["album_id", "a"]).join(side("b"), ["album_id", "b"]).where("la = lb").join(size, ["album_id", "la"])
-    per = inside.groupBy("album_id").agg(F.sum(F.col("distance") / F.col("n")).alias("dispersion"))
+def dispersion(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """(album_id, dispersion): over clusters, the sum of pair distances divided by the size. sums: of distances.label_sums(); labels(album_id, photo_id, label)."""
+    size = labels.groupBy("album_id", "label").agg(F.count("*").alias("n"))
+    # each pair is in the sums of both its photos
+    inside = sums.where(F.col("label").eqNullSafe(F.col("other"))).groupBy("album_id", "label").agg(F.sum("total").alias("total"))
+    per = size.join(inside, ["album_id", "label"]).groupBy("album_id").agg(F.sum(F.col("total") / F.col("n") / 2).alias("dispersion"))
     return labels.select("album_id").distinct().join(per, "album_id", "left").select("album_id", F.greatest(F.coalesce("dispersion", F.lit(0.0)), F.lit(1e-12)).alias("dispersion"))
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(album_id, photo_id, silhouette) from pair distances; 0 in clusters of one, and where an album has one cluster."""
-    both = pairs.select("album_id", "a", "b", "distance").unionByName(pairs.select("album_id", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    mine, other = labels.select("album_id", F.col("photo_id").alias("a"), F.col("label").alias("la")), labels.select("album_id", F.col("photo_id").alias("b"), F.col("label").alias("lb"))
-    mean = both.join(mine, ["album_id", "a"]).join(other, ["album_id", "b"]).groupBy("album_id", "a", "la", "lb").agg(F.avg("distance").alias("d"))
-    inner, outer = F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))), F.min(F.when(F.col("la") != F.col("lb"), F.col("d")))
-    s = mean.groupBy("album_id", "a").agg(inner.alias("i"), outer.alias("o")).select("album_id", F.col("a").alias("photo_id"), F.coalesce((F.col("o") - F.col("i")) / F.nullif(F.greatest("o", "i"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
+def silhouette(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """(album_id, photo_id, silhouette) from distances.label_sums(); 0 in clusters of one, and where an album has one cluster."""
+    size = labels.groupBy("album_id", F.col("label").alias("other")).agg(F.count("*").alias("n"))
+    own = F.col("label") == F.col("other")
+    mean = sums.join(size, ["album_id", "other"]).withColumn("d", F.col("total") / F.nullif(F.col("n") - own.cast("int"), F.lit(0)))
+    s = mean.groupBy("album_id", "photo_id").agg(F.max(F.when(own, F.col("d"))).alias("i"), F.min(F.when(~own, F.col("d"))).alias("o"))
+    s = s.select("album_id", "photo_id", F.coalesce((F.col("o") - F.col("i")) / F.nullif(F.greatest("o", "i"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
     return labels.select("album_id", "photo_id").join(s, ["album_id", "photo_id"], "left").withColumn("silhouette", F.coalesce("silhouette", F.lit(0.0)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import geo, scoring, texts, times, vectors
 from darkroom.operators import representatives as reps
-from darkroom.operators import theme, timeline
+from darkroom.operators import distances, theme, timeline
 from darkroom.plans.analogs import EMBEDDED, JACCARD, PHOTOS, embedded, km, photos, piecewise, table, weighted
 
 QUERIES, SQL = {}, {}
@@ -95,11 +95,27 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir).select("album_id", "photo_id", (F.floor(F.col("photo_id") / 40) % 3).alias("label"))
 
 
+def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances.label_sums(embedded(spark, sf_dir), labels(spark, sf_dir), timeline.STRATEGIES["balanced"])
+
+
+@query(f"WITH {PAIRS} SELECT album_id, round(ts, 5) AS time_scale, round(gs, 5) AS gps_scale FROM scales")
+def album_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances.scales(embedded(spark, sf_dir)).select("album_id", F.round("time_scale", 5).alias("time_scale"), F.round("gps_scale", 5).alias("gps_scale"))
+
+
+@query("""WITH w AS (SELECT epoch_us(ts) AS at, event_type AS album_id FROM events), p AS (
+  SELECT x.album_id, abs(x.at - y.at) / 1e6 AS d FROM w x JOIN w y ON x.album_id = y.album_id AND x.at < y.at)
+SELECT w.album_id, greatest(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), quantile_cont(d, 0.5)) AS time_scale FROM (SELECT DISTINCT album_id FROM w) w JOIN p USING (album_id) GROUP BY w.album_id""")
+def large_time_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances.time_scales(table(spark, sf_dir, "events").select(F.col("event_type").alias("album_id"), F.col("ts").alias("taken_at")))
+
+
 @query(f"""WITH {PAIRS}, {LABELS}, n AS (SELECT album_id, label, count(*) AS n FROM labels2 GROUP BY ALL), d AS (
   SELECT p.album_id, sum(distance / n) AS d FROM pairs p JOIN labels2 x ON x.photo_id = p.a JOIN labels2 y ON y.photo_id = p.b JOIN n ON n.album_id = p.album_id AND n.label = x.label WHERE x.label = y.label GROUP BY p.album_id)
 SELECT DISTINCT l.album_id, round(greatest(coalesce(d, 0), 1e-12), 5) AS dispersion FROM labels2 l LEFT JOIN d USING (album_id)""")
 def cluster_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = timeline.dispersion(pairs(spark, sf_dir), labels(spark, sf_dir))
+    out = timeline.dispersion(sums(spark, sf_dir), labels(spark, sf_dir))
     return out.select("album_id", F.round("dispersion", 5).alias("dispersion"))
 
 
@@ -108,7 +124,7 @@ def cluster_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT album_id, a, max(CASE WHEN la = lb THEN d END) AS i, min(CASE WHEN la <> lb THEN d END) AS o FROM m GROUP BY ALL)
 SELECT l.album_id, l.photo_id, round(coalesce(CASE WHEN i IS NULL OR o IS NULL THEN 0 ELSE (o - i) / nullif(greatest(o, i), 0) END, 0), 5) AS silhouette FROM labels2 l LEFT JOIN s ON s.a = l.photo_id""")
 def cluster_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = timeline.silhouette(pairs(spark, sf_dir), labels(spark, sf_dir))
+    out = timeline.silhouette(sums(spark, sf_dir), labels(spark, sf_dir))
     return out.select("album_id", "photo_id", F.round("silhouette", 5).alias("silhouette"))
 
 
