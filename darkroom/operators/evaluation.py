@@ -70,10 +70,11 @@ PARTS = 64
 def _swept(rows: DataFrame, score: str, **marks: F.Column) -> DataFrame:
     """(score, above_*, below_*, all_*): of each distinct score, rows with a mark at or above it, at or below it, and in all, for each mark.
 
-    Rows are pre-aggregated by score; running sums go over PARTS ranges of scores, whose totals are combined first, so no task sees all
-    rows, and what is broadcast has PARTS rows whatever the scores are: those outside 0 to 1 belong to the first and last part."""
+    Rows are pre-aggregated by score; running sums go over PARTS ranges of scores, cut at quantiles of the distinct ones and so of about equal size whatever the
+    scores are. The ranges' totals are combined first, so no task sees all rows, and what is broadcast has PARTS rows."""
     by = rows.groupBy(F.col(score).alias("score")).agg(*(F.count_if(m).alias(k) for k, m in marks.items()))
-    part = by.withColumn("part", F.least(F.greatest(F.floor(F.col("score") * PARTS), F.lit(0)), F.lit(PARTS - 1)))
+    cuts = sorted(set(by.select(F.col("score").cast("double").alias("s")).where("s IS NOT NULL").approxQuantile("s", [i / PARTS for i in range(1, PARTS)], 0.25 / PARTS)))
+    part = by.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score"))))
     run = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = part.withColumns({f"in_{k}": F.sum(k).over(run) for k in marks})
     sums = part.groupBy("part").agg(*(F.sum(k).alias(f"p_{k}") for k in marks))
@@ -122,11 +123,11 @@ def requirements(rows: DataFrame, least_rows: int = 500, least_categories: int =
 
 
 def _pooled(blocks: list[list[float]]) -> list[list[float]]:
-    """Blocks (first signal, last signal, rows, sum of labels) in order, neighbours joined until means never fall."""
+    """Blocks (first signal, last signal, rows, sum of labels) in order, neighbours joined until means rise from each to the next."""
     stack: list[list[float]] = []
     for block in blocks:
         stack.append(list(block))
-        while len(stack) > 1 and stack[-2][3] / stack[-2][2] > stack[-1][3] / stack[-1][2]:
+        while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
             low, high = stack[-2], stack.pop()
             stack[-1] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
     return stack
@@ -135,8 +136,8 @@ def _pooled(blocks: list[list[float]]) -> list[list[float]]:
 def isotonic(rows: DataFrame, signal: str, label: str) -> tuple[list[float], list[float]]:
     """Knots of the isotonic fit of a 0/1 label on a signal, two for each of its levels.
 
-    Signals are pre-aggregated and pooled by ranges, which is exact as blocks that are joined stay joined; the driver gets the ranges' blocks,
-    about as many as the result has."""
+    Signals are pre-aggregated and pooled by ranges, which is exact as blocks that are joined stay joined, and equal levels are one. The driver gets the ranges' blocks:
+    rising shares of n rows have about n ** (2 / 3) different values at most."""
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[list[float]] = []

@@ -40,6 +40,43 @@ def components(edges: DataFrame, by: list[str], a: str = "a", b: str = "b") -> D
             return label.select(*by, F.col("u").alias("node"), F.col("l").alias("component"))
 
 
+def followed(steps: DataFrame, by: list[str], source: str = "source", target: str = "target") -> DataFrame:
+    """(by, node, end): where each source's chain of steps ends; a chain that runs into a circle ends at the circle's smallest node. A source with several targets takes the smallest.
+
+    Pointers jump: every round, each node's pointer becomes its pointer's pointer, so that a chain of n steps takes log n rounds."""
+    once = steps.where(F.col(source).isNotNull() & F.col(target).isNotNull() & (F.col(source) != F.col(target))).groupBy(*by, F.col(source).alias("node")).agg(F.min(target).alias("at"))
+    # least: the smallest node on the way, pointers included
+    now = written(once.withColumn("least", F.least("node", "at")), "steps")
+    left, rounds = now.count(), 0
+    while True:
+        ahead = now.select(*by, F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("more"))
+        jumped = written(now.join(ahead, [*by, "at"], "left").select(*by, "node", F.coalesce("next", "at").alias("at"), F.least("least", "more").alias("least"), F.col("next").isNotNull().alias("moved")), "steps")
+        forgotten(now)
+        now, rounds = jumped.drop("moved"), rounds + 1
+        if jumped.where("moved").isEmpty():
+            return now.select(*by, "node", F.col("at").alias("end"))
+        if 2**rounds > left:
+            # what still moves has gone around a circle at least once, and so has the node where it is
+            circle = now.select(*by, F.col("node").alias("at"), F.col("least").alias("end"))
+            ends = now.join(circle, [*by, "at"], "left").select(*by, "node", F.coalesce("end", "at").alias("end"))
+            return ends
+        now = written(now, "steps")
+
+
+def reached(start: DataFrame, owns: DataFrame, by: list[str], owner: str = "owner", owned: str = "owned") -> DataFrame:
+    """(by, node, depth): what start(by, node) owns, directly or through others, itself with depth 0; depth: the fewest steps. Each round joins what was new in the last."""
+    links = owns.select(*by, F.col(owner).alias("node"), F.col(owned).alias("next")).where("next IS NOT NULL").distinct()
+    frontier = seen = written(start.select(*by, "node").distinct().withColumn("depth", F.lit(0)), "reached")
+    depth = 0
+    while True:
+        depth += 1
+        new = frontier.join(links, [*by, "node"]).select(*by, F.col("next").alias("node")).distinct().join(seen.select(*by, "node"), [*by, "node"], "left_anti")
+        frontier = written(new.withColumn("depth", F.lit(depth)), "reached")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
 def _solved(rows: pd.DataFrame) -> dict:
     """Merges among the rows' nodes: links in order of their rank, of whose clusters only common neighbours stay neighbours. An end that is not known holds up what comes after it at its cluster."""
     near: dict = {}

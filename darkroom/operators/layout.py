@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import decisions, texts
+from darkroom.operators import graphs
 
 
 def pages(photos: DataFrame, per_page: int = 3) -> DataFrame:
@@ -124,8 +125,9 @@ def shown(rows: DataFrame, keys: list[str], order: list[F.Column], page: int = 2
 def merged(current: DataFrame, merges: DataFrame) -> DataFrame:
     """(chapter, photo_id, place) after chapters were merged into others: their photos follow the target's in order of chapter and place, each photo once.
 
-    current(chapter, photo_id, place), merges(source, target); a chapter merged into itself stays."""
-    into = merges.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    current(chapter, photo_id, place), merges(source, target); a chapter merged into itself stays. A target that was merged itself passes all on, along chains of any
+    length; of chapters that were merged in a circle the smallest takes all."""
+    into = graphs.followed(merges, []).select(F.col("node").alias("source"), F.col("end").alias("target")).where("source <> target")
     rows = current.join(into, current["chapter"] == into["source"], "left").select(F.coalesce("target", "chapter").alias("to"), F.col("target").isNotNull().alias("late"), "chapter", "photo_id", "place")
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("to", "photo_id").orderBy("late", "chapter", "place"))).where("nth = 1")
     return first.select(F.col("to").alias("chapter"), "photo_id", (F.row_number().over(Window.partitionBy("to").orderBy("late", F.col("chapter"), "place")) - 1).alias("place"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from darkroom.operators import graphs
+
 
 def nested(parents: DataFrame, key: str, children: DataFrame, name: str, *order: str) -> DataFrame:
     """parents with an array of their children's rows in order; empty without any. A parent's children meet in one row, so this is for serving
@@ -46,6 +48,11 @@ def storage_keys(albums: DataFrame, key: str, *owned: tuple[DataFrame, str]) ->
     return out.distinct()
 
 
+def owned_keys(start: DataFrame, owns: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, path): every file that goes with the nodes of start: those of what they own, through any number of owners. owns(owner, owned), files(node, path)."""
+    return graphs.reached(start, owns, []).select("node").join(files.where(F.col("path").isNotNull()), "node").select("node", "path").distinct()
+
+
 def manifest(sections: DataFrame, key: str, html: str, chapter: str) -> DataFrame:
     """By album: pages, chapters and bytes of UTF-8 of its markup."""
     return sections.groupBy(key).agg(F.count("*").alias("pages"), F.count_distinct(chapter).alias("chapters"), F.sum(F.octet_length(html)).alias("bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.functions import decisions, scoring, texts
+from darkroom.functions import decisions, markup, scoring, texts
 from darkroom.operators import control, evaluation, layout
 from darkroom.plans.analogs import PHOTOS, photos, table
 from darkroom.streaming import rules
@@ -210,6 +210,16 @@ def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", texts.rewrite_attribute(F.col("html"), "a", "href", F.lit("/The"), F.lit("/r1/$The")).alias("html"))
 
 
+@query("""WITH p AS (SELECT page_id, 'p' || page_id || '.png' AS k, '/r/' || page_id || '?a=1&amp;b=&quot;2' AS v FROM pages)
+SELECT page_id, '<IMG SRC="' || v || '"><img alt=">" src="' || v || '"/><img' || chr(10) || 'data-src="' || k || '" src = "' || v || '"><!-- <img src="' || k || '"> --><script>"<img src=' || k || '>"</script><a href="' || k || '">' || k || '</a><img src=' || k || '?x><img src="' || v || '"><p title="' || k AS html FROM p""")
+def rewritten_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of pictures in markup of every kind: quotes of both kinds and none, upper case, > in a value, references, a comment, a script, a tag that never ends."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".png")).alias("k"), F.concat(F.lit("/r/"), F.col("page_id").cast("string"), F.lit('?a=1&b="2')).alias("v"))
+    parts = ["<IMG SRC=", "k", "><img alt=\">\" src='", "k", "'/><img\ndata-src=\"", "k", '" src = "', "k", '"><!-- <img src="', "k", '"> --><script>"<img src=', "k", '>"</script><a href="', "k", '">', "k", "</a><img src=", "k", "?x><img src=\"&#112;", "rest", '"><p title="', "k"]
+    html = F.concat(*(F.expr("substring(k, 2)") if x == "rest" else F.col("k") if x == "k" else F.lit(x) for x in parts))
+    return rows.select("page_id", markup.rewrite_attribute(html, "img", "src", F.create_map("k", "v")).alias("html"))
+
+
 @query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, count(*) AS requests, count(*) - 2 AS refused FROM events GROUP BY ALL HAVING count(*) > 2")
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.rate_limited(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 2, "1 day")

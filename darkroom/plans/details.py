@@ -62,6 +62,37 @@ def matched_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.matched(every.where("face % 2 = 1"), marks, "photo_id").withColumn("share", F.round("share", 6))
 
 
+#: Share of the overlap of two boxes.
+SHARE = """(greatest(0.0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0.0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"""
+SHARE = f"({SHARE} / ({{a}}.w * {{a}}.h + {{b}}.w * {{b}}.h - {SHARE}))"
+
+
+@query(f"""WITH RECURSIVE ph AS (SELECT o_orderkey AS photo_id, 2000 + o_orderkey % 5 * 400 AS pw, 1000 + o_custkey % 4 * 700 AS ph FROM orders),
+l AS (SELECT l_orderkey AS photo_id, l_linenumber AS line, l_linenumber + 10 * (l_partkey * 100000 + l_suppkey) AS face, l_quantity AS score, (l_suppkey % 6)::DOUBLE / 10 AS bx, (l_partkey % 6)::DOUBLE / 10 AS yy, CASE WHEN l_linenumber = 1 THEN (l_partkey % 8 + 1)::DOUBLE / 100 ELSE 0.3::DOUBLE END AS s FROM lineitem),
+f AS (SELECT photo_id, face, score, 0 AS left0, 0 AS top0, pw AS tw, ph AS th, bx, yy, s, pw, ph FROM ph JOIN l USING (photo_id) WHERE line = 1),
+wanted AS (SELECT ph.*, CAST(pw * 3 // 5 AS INT) AS tw, CAST(ph * 3 // 5 AS INT) AS th FROM ph LEFT JOIN (SELECT photo_id, max(least(s * pw, s * ph)) AS side FROM f GROUP BY 1) USING (photo_id) WHERE greatest(pw, ph) > 2400 AND NOT coalesce(side >= 96, false)),
+t AS (SELECT photo_id, face, score, line % 2 * (pw - tw) AS left0, line % 4 // 2 * (ph - th) AS top0, tw, th, bx, yy, s, pw, ph FROM wanted JOIN l USING (photo_id) WHERE line > 1),
+b AS (SELECT photo_id, face, score, (left0 + bx * tw) / pw AS x, (top0 + yy * th) / ph AS y, s * tw / pw AS w, s * th / ph AS h FROM (SELECT * FROM f UNION ALL SELECT * FROM t)),
+o AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY score DESC, face) AS n FROM b),
+r AS (SELECT photo_id, n, [struct_pack(face := face, x := x, y := y, w := w, h := h)] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.photo_id, o.n, CASE WHEN len(list_filter(kept, lambda k: {SHARE.format(a="k", b="o")} >= 0.35)) = 0 THEN list_append(kept, struct_pack(face := o.face, x := o.x, y := o.y, w := o.w, h := o.h)) ELSE kept END FROM r JOIN o ON o.photo_id = r.photo_id AND o.n = r.n + 1),
+k AS (SELECT photo_id, unnest(arg_max(kept, n)) AS face FROM r GROUP BY 1) SELECT photo_id, face.face AS face, round(face.x, 6) AS x, round(face.y, 6) AS y, round(face.w, 6) AS width FROM k""")
+def tiled_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of whole photos and of the parts of large ones without a clear face; lines of orders stand for what a detector finds."""
+    photos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("photo_id"), (2000 + F.col("o_orderkey") % 5 * 400).cast("int").alias("width"), (1000 + F.col("o_custkey") % 4 * 700).cast("int").alias("height"))
+    size = F.when(F.col("l_linenumber") == 1, (F.col("l_partkey") % 8 + 1) / 100).otherwise(0.3)
+    box = F.struct(((F.col("l_suppkey") % 6).cast("double") / 10).alias("x"), ((F.col("l_partkey") % 6).cast("double") / 10).alias("y"), size.alias("width"), size.alias("height"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("photo_id"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + 10 * (F.col("l_partkey") * 100000 + F.col("l_suppkey"))).alias("face"), F.col("l_quantity").alias("score"), box.alias("box"))
+
+    def detect(parts: DataFrame) -> DataFrame:
+        whole = F.col("tile_width") == F.col("width")
+        corner = (F.col("left") > 0).cast("int") + 2 * (F.col("top") > 0).cast("int")
+        return parts.join(lines, "photo_id").where(F.when(whole, F.col("line") == 1).otherwise((F.col("line") > 1) & (F.col("line") % 4 == corner))).drop("line")
+
+    out = faces.detected_by_tiles(photos, detect)
+    return out.select("photo_id", "face", F.round("box.x", 6).alias("x"), F.round("box.y", 6).alias("y"), F.round("box.width", 6).alias("width"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN p_partkey % 3 > 0 THEN 'only.x=' || p_name END,
   CASE WHEN p_partkey % 3 > 0 THEN 'size.a=' || p_size END, CASE WHEN p_partkey % 2 > 0 THEN 'size.b=' || p_type WHEN p_partkey % 3 > 0 THEN 'size.b=' || p_brand END, CASE WHEN p_partkey % 2 > 0 THEN 'size.c=1' END], lambda x: x IS NOT NULL), ';') END AS merged FROM part""")
 def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,23 @@ def deletion_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.storage_keys(customer, "c_custkey", (orders, "file"), (customer.withColumn("cover", F.concat(F.lit("p/"), "c_name")), "cover"))
 
 
+@query("""SELECT 'n' || n_nationkey AS node, 'flag/' || n_name AS path FROM nation WHERE n_regionkey = 1 UNION SELECT 'c' || c_custkey, 'card/' || c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1
+UNION SELECT 'o' || o_orderkey, 'o/' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1
+UNION SELECT 'l' || l_orderkey || '/' || l_linenumber, 'l/' || l_shipdate::DATE FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1""")
+def owned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a region's nations, their customers, their orders and these orders' lines: four owners in a row."""
+    t = lambda name: table(spark, sf_dir, name)
+    node = lambda p, *c: F.concat(F.lit(p), F.concat_ws("/", *(F.col(x).cast("string") for x in c)))
+    owns = t("nation").select(node("r", "n_regionkey").alias("owner"), node("n", "n_nationkey").alias("owned"))
+    owns = owns.unionByName(t("customer").select(node("n", "c_nationkey").alias("owner"), node("c", "c_custkey").alias("owned"))).unionByName(t("orders").select(node("c", "o_custkey").alias("owner"), node("o", "o_orderkey").alias("owned")))
+    owns = owns.unionByName(t("lineitem").select(node("o", "l_orderkey").alias("owner"), node("l", "l_orderkey", "l_linenumber").alias("owned")))
+    files = t("nation").select(node("n", "n_nationkey").alias("node"), F.concat(F.lit("flag/"), "n_name").alias("path")).unionByName(t("customer").select(node("c", "c_custkey").alias("node"), F.concat(F.lit("card/"), "c_name").alias("path")))
+    files = files.unionByName(t("orders").select(node("o", "o_orderkey").alias("node"), node("o/", "o_orderkey").alias("path")))
+    files = files.unionByName(t("lineitem").select(node("l", "l_orderkey", "l_linenumber").alias("node"), F.concat(F.lit("l/"), F.col("l_shipdate").cast("date").cast("string")).alias("path")))
+    start = t("region").where("r_regionkey = 1").select(node("r", "r_regionkey").alias("node"))
+    return lifecycle.owned_keys(start, owns, files)
+
+
 @query("SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, count(DISTINCT page_id % 3) AS chapters, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1")
 def manifest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").withColumns({"host": F.regexp_extract("url", "://([^/]*)", 1), "chapter": F.col("page_id") % 3})

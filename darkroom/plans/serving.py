@@ -429,6 +429,37 @@ def picture_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("p_partkey"), F.round(F.col("m")["a_laplacian"], 3).alias("laplacian"), m("a_entropy").alias("entropy"), *(m(n).alias(n) for n in ("dark", "bright", "p05", "p50", "p95")))
 
 
+REQUESTS = """e AS (
+  SELECT user_id AS k, ts AS tm, event_type IN ('error', 'signup') AS is_end, 't' || CASE WHEN event_type IN ('error', 'signup') THEN coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) ELSE event_id END AS task,
+    'i' || (event_id % 5) AS idem, event_id % 6 > 0 AS holds FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tm, is_end DESC, task) AS n FROM e),
+r AS (
+  SELECT DISTINCT k, 0::BIGINT AS n, []::STRUCT(task VARCHAR, idem VARCHAR, holds BOOLEAN, since TIMESTAMP)[] AS active, NULL::VARCHAR AS task, NULL::VARCHAR AS decision, NULL::VARCHAR AS meant, NULL::TIMESTAMP AS tm FROM o
+  UNION ALL
+  SELECT k, n, CASE WHEN is_end THEN list_filter(live, lambda a: a.task <> task) WHEN same IS NULL AND held IS NULL THEN list_append(live, struct_pack(task := task, idem := idem, holds := holds, since := tm)) ELSE live END,
+    task, CASE WHEN NOT is_end THEN CASE WHEN same IS NOT NULL THEN 'existing' WHEN held IS NOT NULL THEN 'conflict' ELSE 'created' END END, CASE WHEN NOT is_end THEN coalesce(same, held, task) END, tm
+  FROM (SELECT *, list_filter(live, lambda a: a.idem = idem)[1]['task'] AS same, list_filter(live, lambda a: a.holds)[1]['task'] AS held
+    FROM (SELECT p.k, p.n, p.tm, p.is_end, p.task, p.idem, p.holds, list_filter(r.active, lambda a: epoch_us(p.tm) - epoch_us(a.since) < 172800000000) AS live FROM r JOIN o p ON p.k = r.k AND p.n = r.n + 1)))"""
+
+
+@query(f"""WITH RECURSIVE {REQUESTS} SELECT k AS album_id, task AS task_id, tm AS "at", decision, meant AS active FROM r WHERE decision IS NOT NULL""")
+def task_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, ends = F.col("event_id"), F.col("event_type").isin("error", "signup")
+    before = F.coalesce(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(0))
+    name = lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("album_id"), F.col("ts").cast("timestamp").alias("at"), F.when(ends, "end").otherwise("request").alias("kind"), name("t", F.when(ends, before).otherwise(i)).alias("task_id"), name("i", i % 5).alias("idempotency"), (i % 6 > 0).alias("holds"))
+    return rules.task_requests(events, "album_id", 48 * 3600).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("""WITH c AS (SELECT conv_id AS chapter, conv_id * 100 + turn AS photo_id, turn AS place FROM conversations)
+SELECT chapter - chapter % 6 AS chapter, photo_id, row_number() OVER (PARTITION BY chapter - chapter % 6 ORDER BY chapter % 6 > 0, chapter, place) - 1 AS place FROM c""")
+def merged_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters merged into the one before, five in a row."""
+    now = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), (F.col("conv_id") * 100 + F.col("turn")).alias("photo_id"), F.col("turn").alias("place"))
+    merges = now.where("chapter % 6 > 0").select(F.col("chapter").alias("source"), (F.col("chapter") - 1).alias("target")).distinct()
+    return layout.merged(now, merges)
+
+
 # ---- chapters, projects and artifacts ----
 
 

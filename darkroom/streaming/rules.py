@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,6 +56,79 @@ def stale_tasks(heartbeats: DataFrame, seconds: int = 600, delay: str = "10 minu
     return heartbeats.withWatermark("beat", delay).groupBy("task_id").applyInPandasWithState(follow, "task_id string, status string, beat timestamp", "beat long, status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Tasks:
+    """The active tasks of one key: what a request meets, and what ends free. A task without an end is active for `expiry` microseconds."""
+
+    def __init__(self, expiry: int, active: list | None = None) -> None:
+        self.expiry, self.active = expiry, active or []  # [task, idempotency key, holds the key, since]
+
+    def take(self, at: int, kind: str, task: str, idempotency: str | None, holds: bool) -> tuple[str, str] | None:
+        """(decision, task that is meant) of a request: existing, conflict or created; None for an end."""
+        self.active = [a for a in self.active if at - a[3] < self.expiry]
+        if kind == "end":
+            self.active = [a for a in self.active if a[0] != task]
+            return None
+        same = next((a for a in self.active if idempotency is not None and a[1] == idempotency), None)
+        if same:
+            return "existing", same[0]
+        held = next((a for a in self.active if a[2]), None)
+        if held:
+            return "conflict", held[0]
+        self.active.append([task, idempotency, holds, at])
+        return "created", task
+
+
+DECIDED = "task_id string, at timestamp, decision string, active string"
+
+
+def task_requests(events: DataFrame, key: str, expiry_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """(key, task_id, at, decision, active): what each request meets: the active task of its idempotency key (existing), else one that holds the key (conflict), else it becomes
+    active itself (created) until its end or expiry.
+
+    events(key, at, kind, task_id, idempotency, holds): kind is request or end; holds: whether the task keeps others from starting. Events of a key count in order of
+    time, ends first, then task_id. A table is sorted by key and time and read through, one key's active tasks in memory. A stream keeps events until the watermark has passed
+    them and then decides in the same order, so both decide alike; its state is the key's active tasks and what waits."""
+    expiry = expiry_seconds * 1_000_000
+    schema = f"{key} {dict(events.dtypes)[key]}, {DECIDED}"
+    named = [key, "task_id", "at", "decision", "active"]
+    rows = events.select(F.col(key), "at", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), (F.col("kind") != "end").alias("asks"), "task_id", "idempotency", F.coalesce("holds", F.lit(True)).alias("holds"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tasks = None, None
+        for b in batches:
+            out = []
+            for name, k, us, asks, task, idempotency, holds in zip(b["_name"], b[key], b["us"], b["asks"], b["task_id"], b["idempotency"], b["holds"], strict=True):
+                if tasks is None or name != now:
+                    now, tasks = name, Tasks(expiry)
+                if (met := tasks.take(us, "request" if asks else "end", task, idempotency, holds)) is not None:
+                    out.append((k, task, pd.Timestamp(us, unit="us"), *met))
+            yield pd.DataFrame(out, columns=named)
+
+    def follow(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, active = map(json.loads, state.get) if state.exists else ([], [])
+        for f in frames:
+            waiting += [[int(us), bool(asks), task, idempotency, bool(holds)] for us, asks, task, idempotency, holds in zip(f["us"], f["asks"], f["task_id"], f["idempotency"], f["holds"], strict=True)]
+        passed, tasks, out = state.getCurrentWatermarkMs() * 1000, Tasks(expiry, active), []
+        for us, asks, task, idempotency, holds in sorted((w for w in waiting if w[0] <= passed), key=lambda w: w[:3]):
+            if (met := tasks.take(us, "request" if asks else "end", task, idempotency, holds)) is not None:
+                out.append((*own, task, pd.Timestamp(us, unit="us"), *met))
+        waiting = [w for w in waiting if w[0] > passed]
+        tasks.active = [a for a in tasks.active if waiting or passed - a[3] < expiry]
+        if waiting or tasks.active:
+            state.update((json.dumps(waiting), json.dumps(tasks.active)))
+            due = min([w[0] for w in waiting] + [a[3] + expiry for a in tasks.active])
+            state.setTimeoutTimestamp(max(due // 1000 + 1, passed // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=named)
+
+    if not events.isStreaming:
+        each = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+        ordered = each.repartition("_name").sortWithinPartitions("_name", "us", "asks", "task_id")
+        return ordered.mapInPandas(run, schema)
+    return rows.withWatermark("at", delay).groupBy(key).applyInPandasWithState(follow, schema, "waiting string, active string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def dispatched(batch: DataFrame, send, most_attempts: int = 3, backoff_seconds: int = 30) -> DataFrame:
     """For foreachBatch: due rows (id, payload, attempts) with status, attempts and delay after send(payload) -> bool was tried in each partition."""
 
