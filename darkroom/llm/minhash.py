@@ -9,8 +9,8 @@ Candidates never become all pairs of a bucket:
    the packed bits (share of equal 2-bit values, corrected for values equal by chance); pairs estimated 6 standard deviations
    below the threshold are left, the others are confirmed on full sets, a leader's members in chunks of bounded size.
 2. what a bucket still holds in more than one component may be linked past its leader. Such buckets' members are
-   gathered into groups. A component with many members in a group is dealt into blocks of its own, small ones share blocks, all of bounded
-   size. Two blocks are compared on full sets by a matrix product within one task, unless both are of one component, as members of
+   gathered into groups, or stay by bucket where groups would be far larger. A component with many members in a group is dealt into blocks of its own, small ones
+   share blocks, all of bounded size in members and bytes. Two blocks are compared on full sets by a matrix product within one task, unless both are of one component, as members of
    one component need no more links; a task emits what its links join.
 Components of all links follow, and class members get their class's component.
 
@@ -41,6 +41,8 @@ PERCENT = 75
 #: Estimates below this are 6 standard deviations from the threshold.
 LEAST_ESTIMATE = 0.45
 CHUNK, SLOTS = 256, 32
+#: Bytes of the sets of a chunk or block, about; groups this many times as large as their largest bucket are compared by bucket.
+CHUNK_BYTES, WIDE = 8 << 20, 4
 _RANDOM = np.random.default_rng(20)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -171,27 +173,43 @@ def confirmed(tests: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return tests.join(sets, "id").groupBy("test").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
-def blocked(groups: DataFrame, so_far: DataFrame) -> DataFrame:
-    """(test, side, id): members of each group(node, component), and the group's smallest, dealt into blocks of about CHUNK; a test for each two blocks
-    whose members are not all of one component so far. so_far(node, component)."""
-    members = groups.select("component", "node").unionByName(groups.select("component", F.col("component").alias("node")).distinct()).withColumnRenamed("component", "of")
-    named = members.join(so_far, "node", "left").select("of", F.col("node").alias("id"), F.coalesce("component", "node").alias("label"))
-    size = named.groupBy("of", "label").agg(F.count("*").alias("n"))
-    kinds = size.groupBy("of").agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("n") < CHUNK, F.col("n"))), F.lit(0)).alias("rest")).where("labels > 1")
+def loose_members(shared: DataFrame, apart: DataFrame, groups: DataFrame) -> DataFrame:
+    """(of, id): members that are compared with each other, by group of buckets that share members, or by bucket.
+
+    A group is as good as its buckets, and compares two members once however many buckets they share, while it is not much larger than its largest bucket. Buckets of
+    pages with common parts can hang together in groups far larger than any of them; such groups are compared bucket by bucket, so that no two are that share none.
+    shared(bucket, id), apart(bucket, least, n): buckets to compare, groups(node, component) of these."""
+    size = groups.groupBy(F.col("component").alias("g")).agg((F.count("*") + 1).alias("members"))
+    of_bucket = apart.join(groups.withColumnRenamed("node", "least"), "least", "left").select("bucket", "n", F.coalesce("component", "least").alias("g"))
+    wide = of_bucket.groupBy("g").agg(F.max("n").alias("most")).join(size, "g").where(F.col("members") > F.greatest(F.lit(CHUNK), WIDE * F.col("most"))).select("g")
+    whole = groups.select("component", "node").unionByName(groups.select("component", F.col("component").alias("node")).distinct())
+    whole = whole.join(wide.withColumnRenamed("g", "component"), "component", "left_anti").select(F.concat(F.lit("g"), F.col("component").cast("string")).alias("of"), F.col("node").alias("id"))
+    parts = shared.join(of_bucket.join(wide, "g").select("bucket"), "bucket").select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("of"), "id")
+    return whole.unionByName(parts)
+
+
+def blocked(members: DataFrame, so_far: DataFrame, bytes_of: DataFrame) -> DataFrame:
+    """(test, side, id): members(of, id) dealt into blocks of about CHUNK and CHUNK_BYTES within each `of`; a test for each two blocks
+    whose members are not all of one component so far. so_far(node, component), bytes_of(id, bytes): sizes of sets."""
+    named = members.join(so_far, F.col("id") == F.col("node"), "left").select("of", "id", F.coalesce("component", "id").cast("string").alias("label")).join(bytes_of, "id")
+    # in blocks: how many a label fills
+    fill = F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)
+    size = named.groupBy("of", "label").agg(fill.alias("n"))
+    kinds = size.groupBy("of").agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("n") < 1, F.col("n"))), F.lit(0.0)).alias("rest")).where("labels > 1")
     # groups and labels with very many members meet these in slots
     slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")
-    kinds, big = kinds.select("of", "rest", slots), size.where(F.col("n") >= CHUNK).select("of", "label", "n", slots)
+    kinds, big = kinds.select("of", "rest", slots), size.where(F.col("n") >= 1).select("of", "label", "n", slots)
     met = named.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")).join(kinds, ["of", "slot"]).join(big, ["of", "label", "slot"], "left")
     large = F.col("n").isNotNull()
     # a block is a label of its own and a number, or, of small labels together, a number alone
-    number = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest") / CHUNK), F.lit(1))))
+    number = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n")))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest")), F.lit(1))))
     placed = stored(met.select("of", "id", F.when(large, F.col("label")).alias("own"), number.cast("int").alias("number")), "placed")
     blocks = placed.select("of", "own", "number").distinct()
     key = lambda x: F.struct(F.col(f"{x}.own").isNotNull(), F.coalesce(f"{x}.own", "of"), f"{x}.number")
     pairs = blocks.select("of", F.struct("own", "number").alias("x")).join(blocks.select("of", F.struct("own", "number").alias("y")), "of").where((key("x") <= key("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
     alone = key("x") == key("y")
     text = lambda x: F.concat_ws("/", F.coalesce(F.col(f"{x}.own").cast("string"), F.lit("")), f"{x}.number")
-    named_tests = pairs.withColumn("test", F.concat_ws(":", F.col("of").cast("string"), text("x"), text("y"))).withColumn("alone", alone)
+    named_tests = pairs.withColumn("test", F.concat_ws(":", "of", text("x"), text("y"))).withColumn("alone", alone)
     sides = F.when(F.col("alone"), F.array(F.struct(F.col("x").alias("block"), F.lit("S").alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit("A").alias("side")), F.struct(F.col("y").alias("block"), F.lit("B").alias("side"))))
     wanted = named_tests.select("of", "test", F.explode(sides).alias("s")).select("of", "test", "s.side", F.coalesce("s.block.own", "of").alias("own"), F.col("s.block.own").isNotNull().alias("pure"), "s.block.number")
     have = placed.select("of", "id", F.col("own").isNotNull().alias("pure"), F.coalesce("own", "of").alias("own"), "number")
@@ -202,14 +220,14 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     """(id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable by links, and kept marks it."""
     signed = stored(signatures(docs, id, text), "signatures")
     some = signed.where(F.col("class").isNotNull() & F.col("id").isNotNull())
-    reps = stored(some.groupBy("class").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    reps = stored(some.groupBy("class").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), (8 * F.first("n")).alias("bytes")), "classes")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
     shared = stored(banded.join(leaders, "bucket"), "buckets")
     stars = shared.where("id <> leader").select("leader", "id").distinct()
-    bits = reps.select("id", "bits")
+    bits = reps.select("id", "bits", "bytes")
     guess = stars.join(bits, "id").join(bits.select(F.col("id").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
-    pairs = stored(guess.where(estimate("bits", "leader_bits") >= LEAST_ESTIMATE).select("leader", "id"), "pairs")
+    pairs = stored(guess.where(estimate("bits", "leader_bits") >= LEAST_ESTIMATE).select("leader", "id", "bytes"), "pairs")
 
     def member_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -221,7 +239,7 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     sets = stored(texts.mapInPandas(member_sets, f"id {kind}, members binary"), "sets")
 
     # 1. leaders against their members, in chunks
-    size = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    size = pairs.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
     dealt = pairs.join(size, "leader")
     name = lambda chunk: F.concat_ws(":", F.col("leader").cast("string"), chunk)
     tests = dealt.select(name(F.pmod(F.xxhash64("id"), F.col("chunks"))).alias("test"), F.lit("B").alias("side"), "id")
@@ -231,13 +249,16 @@ def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFr
     # 2. buckets that still hold several components, in blocks
     so_far = stored(components(first, "a", "b"), "components")
     labelled = shared.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("least")).where("low <> high")
+    apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("least"), F.count("*").alias("n")).where("low <> high")
+    apart = stored(apart.select("bucket", "least", "n"), "apart")
     # a bucket of two members, leader and member, was tested
     loose = stored(shared.join(apart.select("bucket", "least"), "bucket").where("id <> least").select("least", "id").distinct(), "loose")
-    second = confirmed(blocked(stored(components(loose, "least", "id"), "groups"), so_far), sets, percent)
-    # rows that share an id are one node
-    own = some.select("id", "class").distinct().join(reps.select("class", F.col("id").alias("rep")), "class").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps")).where("a <> b")
-    same = own.select("a", F.explode("reps").alias("b")).where("a <> b")
+    members = loose_members(shared.select("bucket", "id"), apart, stored(components(loose, "least", "id"), "groups"))
+    second = confirmed(blocked(members, so_far, reps.select("id", "bytes")), sets, percent)
+    # rows that share an id are one node: the representatives of its texts are linked with the smallest of them
+    again = some.groupBy("id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("id")
+    own = stored(some.join(again, "id").select("id", "class").distinct().join(reps.select("class", F.col("id").alias("b")), "class").select("id", "b"), "repeated_ids")
+    same = own.join(own.groupBy("id").agg(F.min("b").alias("a")), "id").select("a", "b").where("a <> b")
 
     more = stored(second.unionByName(same), "links")
     # what is joined so far stands for the links that joined it

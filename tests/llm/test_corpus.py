@@ -313,12 +313,18 @@ def test_groups_equal_all_pairs(spark):
     assert minhash.deduplicated(rows, "doc_id", "text").where("doc_id IS NOT NULL").count() == len({find(x) for x in sets})
 
 
+def block_tests(groups, so_far):
+    """minhash.blocked() of groups(node, component) and their smallest members, with sets of a few bytes."""
+    members = groups.unionByName(groups.select("component", F.col("component").alias("node")).distinct()).select(F.col("component").cast("string").alias("of"), F.col("node").alias("id"))
+    return minhash.blocked(members, so_far, members.select("id", F.lit(8).alias("bytes")).distinct())
+
+
 def test_outliers_cost_no_square(spark):
     """Near copies in one component are compared with the few that remain apart, not with each other."""
     n = 5000
     groups = spark.range(1, n + 3).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
     so_far = spark.range(1, n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
-    sides = minhash.blocked(groups, so_far).groupBy("test").pivot("side", ["A", "B", "S"]).count().na.fill(0)
+    sides = block_tests(groups, so_far).groupBy("test").pivot("side", ["A", "B", "S"]).count().na.fill(0)
     compared = sides.select(F.sum(F.col("A") * F.col("B") + F.col("S") * F.col("S"))).first()[0]
     # the three that are apart meet each of the others once, and each other
     assert compared <= 3 * n + 9
@@ -330,7 +336,7 @@ def test_blocks_pair_different_components_only(spark, monkeypatch):
     label = {i: 0 for i in range(8)} | {8: 8, 9: 9, 10: 9, 11: 9, 20: 20, 21: 20, 22: 20}
     rows = spark.createDataFrame([(n, g) for g, n in groups], "node long, component long")
     tests = collections.defaultdict(lambda: collections.defaultdict(set))
-    for r in minhash.blocked(rows, spark.createDataFrame([(n, c) for n, c in label.items() if n != c], "node long, component long")).collect():
+    for r in block_tests(rows, spark.createDataFrame([(n, c) for n, c in label.items() if n != c], "node long, component long")).collect():
         tests[r.test][r.side].add(r.id)
     met = set()
     for sides in tests.values():

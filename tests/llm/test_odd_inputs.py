@@ -110,3 +110,40 @@ def test_strings_whose_hashes_collide_are_kept(monkeypatch):
                 want |= set(range(i, i + 200))
         assert gone[n] == want
     assert len(gone[0]) == 400
+
+
+def test_buckets_that_hang_together_are_compared_by_themselves(spark):
+    """900 buckets of three members, each sharing one with the next, form one group of 1,801: 4.9 million tests of two members become 2,700."""
+    from darkroom.llm import minhash
+    from darkroom.llm.components import components
+
+    buckets = [(b, 2 * b + k) for b in range(900) for k in range(3)] + [(5000 + b, 10_000 + k) for b in range(20) for k in range(40)]
+    shared = spark.createDataFrame(buckets, "bucket long, id long")
+    apart = shared.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    groups = components(shared.join(apart, "bucket").where("id <> least"), "least", "id")
+    members = minhash.loose_members(shared, apart, groups)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.of, set()).add(r.id)
+    assert of == {f"b{b}": {2 * b, 2 * b + 1, 2 * b + 2} for b in range(900)} | {"g10000": set(range(10_000, 10_040))}
+    none = spark.createDataFrame([], "node long, component long")
+    tests = minhash.blocked(members, none, shared.select("id").distinct().withColumn("bytes", F.lit(100))).collect()
+    met = {}
+    for r in tests:
+        met.setdefault(r.test, set()).add(r.id)
+    assert sum(len(x) * (len(x) - 1) // 2 for x in met.values()) == 900 * 3 + 40 * 39 // 2
+
+
+def test_long_sets_meet_a_few_at_a_time(spark):
+    from darkroom.llm import minhash
+
+    members = spark.range(100).select(F.lit("g0").alias("of"), "id")
+    none = spark.createDataFrame([], "node long, component long")
+    tests = minhash.blocked(members, none, members.select("id", F.lit(minhash.CHUNK_BYTES // 10).alias("bytes"))).collect()
+    met, pairs = {}, set()
+    for r in tests:
+        met.setdefault(r.test, set()).add(r.id)
+    for x in met.values():
+        assert len(x) <= 60
+        pairs |= {(a, b) for a in x for b in x if a < b}
+    assert len(met) > 30 and len(pairs) == 100 * 99 // 2
