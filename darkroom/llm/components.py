@@ -17,6 +17,8 @@ from darkroom.llm.common import dropped, stored
 
 #: Nodes with more edges than twice the edges divided by this are hubs; nodes of 200 edges or fewer never are.
 MOST_HUBS = 4000
+#: Edges up to which Spark may broadcast the nodes' smallest neighbours, of some 64 bytes each.
+MOST_BROADCAST = 1 << 18
 
 
 def _with_least(edges: DataFrame, u: str, v: str, count: int) -> DataFrame:
@@ -27,7 +29,10 @@ def _with_least(edges: DataFrame, u: str, v: str, count: int) -> DataFrame:
     told = keyed.join(F.broadcast(least.where(many).select(u, F.col("m").alias("told"))), u, "left")
     # hubs' edges have theirs, and are dealt by their other ends
     told = told.withColumn("k", F.when(F.col("told").isNull(), F.col("k")).otherwise(F.xxhash64(v)))
-    return told.join(least.where(~many).select("k", u, "m"), ["k", u], "left").select(u, v, F.coalesce("told", "m").alias("m"))
+    rest = least.where(~many).select("k", u, "m")
+    # Spark goes by the size of the edges' files, which are far smaller than their rows: beyond a known number of these nothing is broadcast
+    rest = rest.hint("merge") if count > MOST_BROADCAST else rest
+    return told.join(rest, ["k", u], "left").select(u, v, F.coalesce("told", "m").alias("m"))
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:

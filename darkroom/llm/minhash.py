@@ -190,8 +190,10 @@ def loose_members(shared: DataFrame, apart: DataFrame, groups: DataFrame) -> Dat
 
 def blocked(members: DataFrame, so_far: DataFrame, bytes_of: DataFrame) -> DataFrame:
     """(test, side, id): members(of, id) dealt into blocks of about CHUNK and CHUNK_BYTES within each `of`; a test for each two blocks
-    whose members are not all of one component so far. so_far(node, component), bytes_of(id, bytes): sizes of sets."""
-    named = members.join(so_far, F.col("id") == F.col("node"), "left").select("of", "id", F.coalesce("component", "id").cast("string").alias("label")).join(bytes_of, "id")
+    whose members are not all of one component so far. so_far(node, component), bytes_of(id, bytes): sizes of sets.
+
+    Joins are merged: stored tables of few distinct values are small as files, by which Spark would choose to broadcast them, and many times larger in memory."""
+    named = members.join(so_far.hint("merge"), F.col("id") == F.col("node"), "left").select("of", "id", F.coalesce("component", "id").cast("string").alias("label")).join(bytes_of.hint("merge"), "id")
     # in blocks: how many a label fills
     fill = F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)
     size = named.groupBy("of", "label").agg(fill.alias("n"))
@@ -199,21 +201,21 @@ def blocked(members: DataFrame, so_far: DataFrame, bytes_of: DataFrame) -> DataF
     # groups and labels with very many members meet these in slots
     slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")
     kinds, big = kinds.select("of", "rest", slots), size.where(F.col("n") >= 1).select("of", "label", "n", slots)
-    met = named.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")).join(kinds, ["of", "slot"]).join(big, ["of", "label", "slot"], "left")
+    met = named.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")).join(kinds.hint("merge"), ["of", "slot"]).join(big.hint("merge"), ["of", "label", "slot"], "left")
     large = F.col("n").isNotNull()
     # a block is a label of its own and a number, or, of small labels together, a number alone
     number = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n")))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest")), F.lit(1))))
     placed = stored(met.select("of", "id", F.when(large, F.col("label")).alias("own"), number.cast("int").alias("number")), "placed")
     blocks = placed.select("of", "own", "number").distinct()
     key = lambda x: F.struct(F.col(f"{x}.own").isNotNull(), F.coalesce(f"{x}.own", "of"), f"{x}.number")
-    pairs = blocks.select("of", F.struct("own", "number").alias("x")).join(blocks.select("of", F.struct("own", "number").alias("y")), "of").where((key("x") <= key("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    pairs = blocks.select("of", F.struct("own", "number").alias("x")).join(blocks.select("of", F.struct("own", "number").alias("y")).hint("merge"), "of").where((key("x") <= key("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
     alone = key("x") == key("y")
     text = lambda x: F.concat_ws("/", F.coalesce(F.col(f"{x}.own").cast("string"), F.lit("")), f"{x}.number")
     named_tests = pairs.withColumn("test", F.concat_ws(":", "of", text("x"), text("y"))).withColumn("alone", alone)
     sides = F.when(F.col("alone"), F.array(F.struct(F.col("x").alias("block"), F.lit("S").alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit("A").alias("side")), F.struct(F.col("y").alias("block"), F.lit("B").alias("side"))))
     wanted = named_tests.select("of", "test", F.explode(sides).alias("s")).select("of", "test", "s.side", F.coalesce("s.block.own", "of").alias("own"), F.col("s.block.own").isNotNull().alias("pure"), "s.block.number")
     have = placed.select("of", "id", F.col("own").isNotNull().alias("pure"), F.coalesce("own", "of").alias("own"), "number")
-    return wanted.join(have, ["of", "own", "pure", "number"]).select("test", "side", "id")
+    return wanted.join(have.hint("merge"), ["of", "own", "pure", "number"]).select("test", "side", "id")
 
 
 def group(docs: DataFrame, id: str, text: str, percent: int = PERCENT) -> DataFrame:
