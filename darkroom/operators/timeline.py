@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -152,25 +153,31 @@ def chosen_k(gaps: DataFrame) -> DataFrame:
 # ---- an album's sequence as a whole: dynamic programming, which no relational operator expresses ----
 
 
-def partitioned(d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of the best contiguous partitions into 1 to `most` parts, and where their last parts begin, by number of parts and end.
+def partitioned_all(d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of several distance matrices: costs of the best contiguous partitions into 1 to `most` parts, and where their last parts begin, by number of parts and end.
 
     A part costs half the mean distance sum of its rows; the earliest start wins among equals. Costs come from one table of running sums of
-    distances, a row at a time, which is what it needs besides d."""
-    n = len(d)
-    total = np.zeros((n + 1, n + 1))
-    np.cumsum(d, axis=0, dtype=float, out=total[1:, 1:])
-    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
-    own = np.ascontiguousarray(np.diagonal(total))
-    best, start = np.full((most + 1, n + 1), np.inf), np.zeros((most + 1, n + 1), np.int32)
-    best[0, 0] = 0.0
+    distances for each matrix, a row at a time, which is what it needs besides d."""
+    many, n = d.shape[:2]
+    total = np.zeros((many, n + 1, n + 1))
+    np.cumsum(d, axis=1, dtype=float, out=total[:, 1:, 1:])
+    np.cumsum(total[:, 1:, 1:], axis=2, out=total[:, 1:, 1:])
+    own = np.ascontiguousarray(np.diagonal(total, axis1=1, axis2=2))
+    best, start = np.full((many, most + 1, n + 1), np.inf), np.zeros((many, most + 1, n + 1), np.int32)
+    best[:, 0, 0] = 0.0
     for end in range(1, n + 1):
-        cost = (own[end] - 2 * total[end, :end] + own[:end]) / (2.0 * np.arange(end, 0, -1))
-        cost[-1] = 0.0
-        options = best[:most, :end] + cost
-        at = options.argmin(1)
-        best[1:, end], start[1:, end] = options[np.arange(most), at], at
-    return np.maximum(best[1:, n], 1e-12), start
+        cost = (own[:, end, None] - 2 * total[:, end, :end] + own[:, :end]) / (2.0 * np.arange(end, 0, -1))
+        cost[:, -1] = 0.0
+        options = best[:, :most, :end] + cost[:, None, :]
+        at = options.argmin(2)
+        best[:, 1:, end], start[:, 1:, end] = np.take_along_axis(options, at[:, :, None], 2)[:, :, 0], at
+    return np.maximum(best[:, 1:, n], 1e-12), start
+
+
+def partitioned(d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """partitioned_all() of one matrix."""
+    costs, start = partitioned_all(d[None], most)
+    return costs[0], start[0]
 
 
 def labels_of(start: np.ndarray, parts: int) -> np.ndarray:
@@ -182,20 +189,33 @@ def labels_of(start: np.ndarray, parts: int) -> np.ndarray:
     return labels
 
 
-def matrix(channels: dict[str, np.ndarray], weights: dict[str, float]) -> np.ndarray:
-    """Weighted mean of channel matrices, NaN where a pair lacks a channel; 1 without any."""
+#: Numbers of the running sums that a task holds at once, about.
+HELD = 4 << 20
+
+
+def matrices(channels: dict[str, np.ndarray], every: list[dict[str, float]]) -> Iterator[np.ndarray]:
+    """Stacks of weighted means of channel matrices, a matrix for each set of weights; NaN where a pair lacks a channel, 1 without any. So many sets at a time as fit into HELD."""
     some = next(iter(channels.values()))
-    total, weight = np.zeros_like(some), np.zeros_like(some)
-    for name, w in weights.items():
-        c, w = channels[name], some.dtype.type(w)
-        have = ~np.isnan(c)
-        np.add(total, c * w, out=total, where=have)
-        np.add(weight, w, out=weight, where=have)
-    np.divide(total, weight, out=total, where=weight > 0)
-    total[weight == 0] = 1
-    np.clip(total, 0, 1, out=total)
-    np.fill_diagonal(total, 0.0)
-    return total
+    step = max(1, HELD // max(1, (len(some) + 1) ** 2))
+    have = {name: ~np.isnan(c) for name, c in channels.items()}
+    filled = {name: np.where(have[name], c, some.dtype.type(0)) for name, c in channels.items()}
+    for at in range(0, len(every), step):
+        part = every[at : at + step]
+        total, weight = (np.zeros((len(part), *some.shape), some.dtype) for _ in range(2))
+        for name in part[0]:
+            w = np.array([x[name] for x in part], some.dtype)[:, None, None]
+            total += filled[name] * w
+            weight += have[name] * w
+        np.divide(total, weight, out=total, where=weight > 0)
+        total[weight == 0] = 1
+        np.clip(total, 0, 1, out=total)
+        total[:, np.arange(len(some)), np.arange(len(some))] = 0.0
+        yield total
+
+
+def matrix(channels: dict[str, np.ndarray], weights: dict[str, float]) -> np.ndarray:
+    """matrices() of one set of weights."""
+    return next(matrices(channels, [weights]))[0]
 
 
 def _scale(x: np.ndarray) -> float:
@@ -305,7 +325,7 @@ def shaken_weights(weights: dict[str, float], runs: int, seed: int) -> list[dict
 def reference_costs(data: tuple[np.ndarray, ...], every: list[dict[str, float]], seed: int, nth: int) -> np.ndarray:
     """Costs of the nth reference's partitions by weights and number of parts. One reference's distances live at a time."""
     made = reference(*data, np.random.default_rng([seed, nth]))
-    return np.stack([partitioned(matrix(made, w), most_parts(len(data[0])))[0] for w in every])
+    return np.concatenate([partitioned_all(m, most_parts(len(data[0])))[0] for m in matrices(made, every)])
 
 
 SEGMENT_COLUMNS = {"segment": int, "segments": int, "segment_auto_k": int, "segment_peak_k": int, "segment_k_stability": float, "segment_quality": float, "segment_needs_review": bool}
@@ -328,16 +348,17 @@ def cut(data: tuple[np.ndarray, ...], weights: dict[str, float], granularity: in
     if known is None:
         known = np.stack([reference_costs(data, every, seed, r) for r in range(max(2, references))])
     own, cuts, same, d = channels(*data), np.zeros(max(0, n - 1)), 0, None
-    for j, w in enumerate(every):
-        m = matrix(own, w)
-        costs, start = partitioned(m, most_parts(n))
-        choice = choose(costs, known[:, j], granularity)
-        labels = labels_of(start, choice.selected)
-        if j == 0:
-            first, chosen, d = choice, labels, m
-        else:
-            cuts += labels[1:] != labels[:-1]
-            same += choice.auto == first.auto
+    j = 0
+    for stack in matrices(own, every):
+        for m, costs, start in zip(stack, *partitioned_all(stack, most_parts(n)), strict=True):
+            choice = choose(costs, known[:, j], granularity)
+            labels = labels_of(start, choice.selected)
+            if j == 0:
+                first, chosen, d = choice, labels, m.copy()
+            else:
+                cuts += labels[1:] != labels[:-1]
+                same += choice.auto == first.auto
+            j += 1
     cuts, stability = np.round(cuts / max(1, runs), 4), round(same / max(1, runs), 4) if n > 1 else 1.0
     labels = chosen
     pairs = np.triu_indices(n, 1)
