@@ -65,29 +65,58 @@ def event_boundaries(photos: DataFrame, rules: EventRules = EventRules(), hours:
     return rows.withColumn("event", 1 + F.sum(F.col("split").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("before")
 
 
-def assign_untimed(untimed: DataFrame, events: DataFrame, least: float = 0.60, margin: float = 0.15, km: list = scoring.BY_KM) -> DataFrame:
-    """(album_id, photo_id, event, profile): the event of the album that a photo without time resembles; null if none is clear.
+PROFILE = {"gps": 0.45, "scene": 0.35, "overlap": 0.20}
 
-    Resemblance is the best place (.45), scene (.35) and histogram (.20) similarity to a timed member. It needs `least`, and
-    `margin` over the runner-up. Photos are compared with the timed members only, so the result does not depend on an order. The best of
-    each channel is found among its distinct values alone, of photos and of events, so photos that share a place or tags cost once."""
+
+def _profile(**channels: Column) -> Column:
+    return scoring.weighted([(channels[c], w) for c, w in PROFILE.items()])
+
+
+def bounded_profiles(untimed: DataFrame, events: DataFrame, km: list = scoring.BY_KM) -> DataFrame:
+    """(album_id, photo_id, event, gps, scene, histogram, low, high, open): each untimed photo and event of its album that can be among the two that it resembles most.
+
+    The best places and scenes are found among distinct values alone. Histograms are continuous, so their likeness is bounded first: it is no more than that to
+    the event's envelope (the largest value of each bin over its members) and no less than that to one member. An event whose bound from above is below the second largest bound from
+    below is out of the question; open: whether the histograms of the event's members must be looked at, as the bounds differ."""
     tags = texts.scene_tags(F.col("tags"))
-    channels = {
+    exact = {
         "gps": (F.struct("lat", "lon"), lambda a, b: scoring.piecewise(geo.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]), km)),
         "scene": (F.array_sort(tags), texts.jaccard),
-        "overlap": (F.col("histogram"), vectors.histogram_overlap),
     }
-    keyed = untimed.select("album_id", "photo_id", *(value.alias(c) for c, (value, _) in channels.items()))
-    scored = keyed.select("album_id", "photo_id", *channels).join(events.select("album_id", "event").distinct(), "album_id")
-    for c, (value, like) in channels.items():
-        mine = keyed.select("album_id", F.col(c).alias("a")).where(F.col("a").isNotNull()).distinct()
+    keyed = untimed.select("album_id", "photo_id", *(value.alias(f"_{c}") for c, (value, _) in exact.items()), F.col("histogram").cast("array<double>").alias("histogram"))
+    scored = keyed.join(events.select("album_id", "event").distinct(), "album_id")
+    for c, (value, like) in exact.items():
+        mine = keyed.select("album_id", F.col(f"_{c}").alias("a")).where(F.col("a").isNotNull()).distinct()
         theirs = events.select("album_id", "event", value.alias("b")).where(F.col("b").isNotNull()).distinct()
-        best = mine.join(theirs, "album_id").groupBy("album_id", "event", "a").agg(F.max(like(F.col("a"), F.col("b"))).alias(f"best_{c}")).withColumnRenamed("a", c)
-        scored = scored.join(best, ["album_id", "event", c], "left")
-    profile = scoring.weighted([(F.col("best_gps"), 0.45), (F.col("best_scene"), 0.35), (F.col("best_overlap"), 0.20)])
-    scored = scored.withColumn("profile", profile).where(F.col("profile").isNotNull())
+        best = mine.join(theirs, "album_id").groupBy("album_id", "event", "a").agg(F.max(like(F.col("a"), F.col("b"))).alias(c)).withColumnRenamed("a", f"_{c}")
+        scored = scored.join(best, ["album_id", "event", f"_{c}"], "left")
+    members = events.where(F.size("histogram") > 0).select("album_id", "event", "photo_id", F.col("histogram").cast("array<double>").alias("h"), F.size("histogram").alias("bins"))
+    place = members.select("album_id", "event", "bins", F.posexplode("h").alias("bin", "v")).groupBy("album_id", "event", "bins", "bin").agg(F.max("v").alias("v"))
+    envelope = place.groupBy("album_id", "event", "bins").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda x: x["v"]).alias("envelope"))
+    one = members.groupBy("album_id", "event", "bins").agg(F.min_by("h", "photo_id").alias("one"))
+    scored = scored.withColumn("bins", F.size("histogram")).join(envelope.join(one, ["album_id", "event", "bins"]), ["album_id", "event", "bins"], "left")
+    most, least = vectors.histogram_overlap(F.col("histogram"), F.col("envelope")), vectors.histogram_overlap(F.col("histogram"), F.col("one"))
+    # sums of the same numbers in another order may differ in their last digits
+    bounds = scored.withColumns({"low": _profile(gps=F.col("gps"), scene=F.col("scene"), overlap=least), "high": _profile(gps=F.col("gps"), scene=F.col("scene"), overlap=most), "open": F.coalesce(most > least, F.lit(False))})
+    second = F.nth_value("low", 2).over(Window.partitionBy("album_id", "photo_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kept = bounds.where("low IS NOT NULL").withColumn("second", second).where(F.col("second").isNull() | (F.col("high") >= F.col("second") - 1e-9))
+    return kept.select("album_id", "photo_id", "event", "gps", "scene", "histogram", "low", "high", "open")
+
+
+def assign_untimed(untimed: DataFrame, events: DataFrame, least: float = 0.60, margin: float = 0.15, km: list = scoring.BY_KM) -> DataFrame:
+    """(album_id, photo_id, event, profile): the event of the album that a photo without time resembles; null if none is clear.
+
+    Resemblance is the best place (.45), scene (.35) and histogram (.20) similarity to a timed member. It needs `least`, and
+    `margin` over the runner-up. Photos are compared with the timed members only, so the result does not depend on an order; histograms meet only
+    where bounds leave it open which two events are the best (see bounded_profiles)."""
+    near = bounded_profiles(untimed, events, km)
+    asked = near.where("open").select("album_id", "event", F.col("histogram").alias("a")).distinct()
+    theirs = events.where(F.size("histogram") > 0).select("album_id", "event", F.col("histogram").cast("array<double>").alias("b")).distinct()
+    best = asked.join(theirs, ["album_id", "event"]).groupBy("album_id", "event", "a").agg(F.max(vectors.histogram_overlap(F.col("a"), F.col("b"))).alias("overlap")).withColumnRenamed("a", "histogram")
+    found = near.join(best.withColumn("open", F.lit(True)), ["album_id", "event", "histogram", "open"], "left")
+    found = found.withColumn("profile", F.when(F.col("open"), _profile(gps=F.col("gps"), scene=F.col("scene"), overlap=F.col("overlap"))).otherwise(F.col("low")))
     by = Window.partitionBy("album_id", "photo_id").orderBy(F.desc("profile"), "event")
-    top = scored.withColumn("nth", F.row_number().over(by)).withColumn("next", F.coalesce(F.lead("profile").over(by), F.lit(0.0))).where("nth = 1")
+    top = found.withColumn("nth", F.row_number().over(by)).withColumn("next", F.coalesce(F.lead("profile").over(by), F.lit(0.0))).where("nth = 1")
     sure = (F.col("profile") >= least) & (F.col("profile") - F.col("next") >= margin)
     return untimed.select("album_id", "photo_id").join(top.select("album_id", "photo_id", F.when(sure, F.col("event")).alias("event"), "profile"), ["album_id", "photo_id"], "left")
 

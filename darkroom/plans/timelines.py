@@ -55,6 +55,18 @@ def untimed_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("album_id", "photo_id", F.col("event").cast("long").alias("event"), F.round("profile", 6).alias("profile"))
 
 
+@query(f"""WITH {EMBEDDED}, u AS (SELECT * FROM e WHERE photo_id % 7 = 0), m AS (SELECT *, photo_id % 4 + 1 AS event FROM e WHERE photo_id % 7 > 0), s AS (
+  SELECT u.album_id, u.photo_id, m.event, max({piecewise("(" + km("u", "m") + ")", scoring.BY_KM)}) AS gps, max({JACCARD.format(a="u.scene", b="m.scene")}) AS scene, max(list_sum(list_transform(range(1, 49), lambda i: least(u.histogram[i], m.histogram[i]))) / 3) AS overlap
+  FROM u JOIN m ON m.album_id = u.album_id GROUP BY ALL), p AS (SELECT *, {weighted([("gps", 0.45), ("scene", 0.35), ("overlap", 0.20)])} AS profile FROM s), r AS (
+  SELECT *, row_number() OVER w AS n, coalesce(lead(profile) OVER w, 0) AS next FROM p WHERE profile IS NOT NULL WINDOW w AS (PARTITION BY album_id, photo_id ORDER BY profile DESC, event))
+SELECT u.album_id, u.photo_id, CASE WHEN profile >= 0.40 AND profile - next >= 0.02 THEN event END::BIGINT AS event, round(profile, 6) AS profile FROM u LEFT JOIN r ON r.album_id = u.album_id AND r.photo_id = u.photo_id AND n = 1""")
+def untimed_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedded(spark, sf_dir)
+    events = rows.where("photo_id % 7 > 0").withColumn("event", F.col("photo_id") % 4 + 1)
+    out = timeline.assign_untimed(rows.where("photo_id % 7 = 0"), events, 0.40, 0.02)
+    return out.select("album_id", "photo_id", F.col("event").cast("long").alias("event"), F.round("profile", 6).alias("profile"))
+
+
 @query("""WITH p AS (SELECT user_id AS album_id, event_type, min(ts) AS a, max(ts) AS b FROM events WHERE event_id % 11 <> 0 GROUP BY ALL)
 SELECT album_id, event_type, CASE WHEN year(a) = year(b) AND month(a) = month(b) AND day(a) = day(b) THEN year(a) || '年' || month(a) || '月' || day(a) || '日'
   WHEN year(a) = year(b) AND month(a) = month(b) THEN year(a) || '年' || month(a) || '月' || day(a) || '-' || day(b) || '日' WHEN year(a) = year(b) THEN year(a) || '年' || month(a) || '-' || month(b) || '月' ELSE year(a) || '-' || year(b) END AS label FROM p""")

@@ -153,3 +153,41 @@ def test_time_scale_of_a_large_album(spark):
     for rank, x in zip(ranks, found, strict=True):
         assert upto(int(x) - 1) <= rank < upto(int(x))
     assert got == pytest.approx(distances.scale_of(found / 1e6, place))
+
+
+def test_untimed_photos_meet_few_histograms(spark):
+    """40 events of 20 members whose histograms are alike within an event: bounds leave a few events open for each of 60 photos, and the outcome is that of all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.random((40, 12)) ** 4
+
+    def make(e):
+        h = base[e] * rng.uniform(0.97, 1.03, 12)
+        return [float(x) for x in h / h.sum()]
+
+    members = [("a", 1000 + 20 * e + i, e, None, None, [f"t{e % 9}"] if e % 3 else [], make(e)) for e in range(40) for i in range(20)]
+    untimed = [("a", i, None, None, [f"t{i % 9}"] if i % 2 else None, make(int(rng.integers(40)))) for i in range(60)] + [("a", 900, None, None, None, None), ("a", 901, 1.0, 2.0, None, [0.5, 0.5])]
+    events = spark.createDataFrame(members, "album_id string, photo_id long, event int, lat double, lon double, tags array<string>, histogram array<double>")
+    photos = spark.createDataFrame(untimed, "album_id string, photo_id long, lat double, lon double, tags array<string>, histogram array<double>")
+    near = timeline.bounded_profiles(photos, events)
+    met = near.where("open").join(events, ["album_id", "event"]).count()
+    assert met < 60 * len(members) / 8
+    got = {r.photo_id: (r.event, r.profile) for r in timeline.assign_untimed(photos, events).collect()}
+    for _, i, _, _, tags, h in untimed:
+        best = {}
+        for m in members:
+            parts = []
+            if tags and m[5]:
+                parts.append((0.35, len(set(tags) & set(m[5])) / len(set(tags) | set(m[5]))))
+            if h and len(h) == len(m[6]):
+                parts.append((0.20, float(np.minimum(h, m[6]).sum()) / 3))
+            for w, x in parts:
+                best.setdefault(m[2], {}).setdefault(w, []).append(x)
+        profile = {e: sum(w * max(x) for w, x in c.items()) / sum(c) for e, c in best.items()}
+        ranked = sorted(profile.items(), key=lambda p: (-p[1], p[0]))
+        if not ranked:
+            assert got[i] == (None, None)
+            continue
+        after = ranked[1][1] if len(ranked) > 1 else 0
+        assert got[i][1] == pytest.approx(ranked[0][1], abs=1e-9)
+        if abs(ranked[0][1] - after - 0.15) > 1e-6 and abs(ranked[0][1] - 0.6) > 1e-6:
+            assert got[i][0] == (ranked[0][0] if ranked[0][1] >= 0.6 and ranked[0][1] - after >= 0.15 else None)
