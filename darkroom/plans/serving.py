@@ -367,8 +367,7 @@ SELECT l_orderkey AS album_id, id AS photo_id, round((abs(a - ma) + abs(b - mb))
 def expression_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     expression = F.create_map(F.lit("smile"), F.col("l_discount").cast("double") * 10, F.lit("brow"), F.col("l_tax").cast("double") * 10)
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("album_id"), F.lit(1).alias("group_id"), F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey").alias("photo_id"), expression.alias("expression"))
-    out = images.expression_outliers(members, 0.3499999).withColumn("deviation", F.round("deviation", 6))
-    return out.select("album_id", "photo_id", "deviation").where("deviation >= 0.35")
+    return images.expression_outliers(members).select("album_id", "photo_id", "deviation")
 
 
 @query("""WITH r AS (SELECT floor(least(value, 100)) / 100 AS signal, CASE WHEN event_id % 100 < least(value, 90) THEN 1.0 ELSE 0.0 END AS label FROM events), n AS (

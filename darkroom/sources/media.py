@@ -42,33 +42,64 @@ def header_size(content: Column) -> Column:
 
 
 def jpeg_size(content: bytes) -> tuple[int, int] | None:
-    """Width and height from the frame header of a JPEG."""
+    """Width and height from the frame header of a JPEG; bytes that fill up before a marker are skipped."""
     at = 2
     while content[:2] == b"\xff\xd8" and at + 9 < len(content):
         if content[at] != 0xFF:
             return None
-        marker, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+        marker = content[at + 1]
+        if marker == 0xFF:
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD7:  # stand alone
+            at += 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
-        at += 2 + size
+        else:
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
     return None
 
 
+def boxes(content: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(type, start, end) of the boxes of a part of a file, by their sizes; one that runs over the end comes last, with its own end."""
+    at = start
+    while at + 8 <= end:
+        size, kind, head = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(content[at + 8 : at + 16], "big"), 16
+        stop = end if size == 0 else at + size
+        if size and size < head:
+            return
+        yield kind, at + head, stop
+        at = stop
+
+
 def heic_size(content: bytes) -> tuple[int, int] | None:
-    """The largest of the spatial extents that a HEIC file's items have."""
+    """The largest of the spatial extents that a HEIC file's items have: from the properties in its meta box, which must be there to its end. Bytes of pictures are not looked at."""
     if content[4:8] != b"ftyp":
         return None
-    found, at = [], content.find(b"ispe")
-    while 0 <= at and at + 16 <= len(content):
-        found.append(struct.unpack(">II", content[at + 8 : at + 16]))
-        at = content.find(b"ispe", at + 4)
+    found = []
+
+    def extents(start: int, end: int) -> None:
+        for kind, at, stop in boxes(content, start, end):
+            if kind in (b"iprp", b"ipco"):
+                extents(at, min(stop, end))
+            elif kind == b"ispe" and at + 12 <= min(stop, end):
+                found.append(struct.unpack(">II", content[at + 4 : at + 12]))
+
+    for kind, at, stop in boxes(content, 0, len(content)):
+        if kind == b"meta":
+            if stop > len(content):
+                return None
+            # version and flags come first, but for writers that leave them out
+            extents(at if content[at + 4 : at + 8].isalpha() else at + 4, stop)
+            break
     return max(found, key=lambda s: s[0] * s[1], default=None)
 
 
 def with_sizes(rows: DataFrame, head_bytes: int = 65536) -> DataFrame:
     """rows(path, content, ...) with width and height, null if the file does not tell.
 
-    Of a JPEG or HEIC the first bytes go to Python, and the whole file only where these do not reach its header."""
+    Of a JPEG or HEIC the first bytes go to Python, and the whole file only where these do not hold its whole header, so that what is found does not depend on head_bytes."""
 
     @F.pandas_udf("width int, height int")
     def sized(parts: pd.Series) -> pd.DataFrame:

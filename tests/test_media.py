@@ -16,7 +16,27 @@ def heic(*sizes):
     return struct.pack(">I", 16) + b"ftypheic" + bytes(4) + struct.pack(">I", 8 + len(boxes)) + b"meta" + boxes
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def whole_heic(*sizes, before=0, data=b""):
+    """Extents among the properties of items, as cameras write them, with other boxes before and picture data after."""
+    ispe = [box(b"ispe", bytes(4), struct.pack(">II", w, h)) for w, h in sizes]
+    meta = box(b"meta", bytes(4), box(b"hdlr", bytes(24)), box(b"free", bytes(before)), box(b"iprp", box(b"ipco", box(b"colr", b"nclx"), *ispe), box(b"ipma", bytes(8))))
+    return box(b"ftyp", b"heic", bytes(4)) + meta + box(b"mdat", data)
+
+
+#: Picture data that looks like an extent.
+FALSE = b"....ispe" + bytes(4) + struct.pack(">II", 30_000, 30_000)
+
 FILES = {
+    "camera.heic": (whole_heic((512, 512), (4032, 3024), data=FALSE * 5), (4032, 3024), None),
+    "late.heic": (whole_heic((512, 512), (4032, 3024), before=200_000, data=FALSE), (4032, 3024), None),
+    "torn.heic": (whole_heic((512, 512))[:60], (None, None), "unreadable"),
+    "parted.heic": (box(b"ftyp", b"heic", bytes(4)) + box(b"mdat", FALSE * 9000) + whole_heic((640, 480))[16:], (640, 480), None),
+    "filled.jpg": (b"\xff\xd8\xff\xff\xff\xe0\x00\x04ab\xff\xff\xff\xc2\x00\x11\x08" + struct.pack(">HH", 30, 40) + bytes(20), (40, 30), None),
     "a.jpg": (jpeg(40, 30), (40, 30), None),
     "late.jpg": (jpeg(16384, 16384, before=3), (16384, 16384), "too_many_pixels"),
     "a.png": (b"\x89PNG\r\n\x1a\n" + bytes(8) + struct.pack(">II", 7, 5), (7, 5), None),
