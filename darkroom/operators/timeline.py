@@ -218,28 +218,30 @@ def labels_of(start: np.ndarray, parts: int) -> np.ndarray:
     return labels
 
 
-#: Numbers of the running sums that a task holds at once, about.
-HELD = 4 << 20
+#: Distances of a stack of matrices, about; a large album's come one by one.
+HELD = 1 << 20
 
 
 def matrices(channels: dict[str, np.ndarray], every: list[dict[str, float]]) -> Iterator[np.ndarray]:
     """Stacks of weighted means of channel matrices, a matrix for each set of weights; NaN where a pair lacks a channel, 1 without any. So many sets at a time as fit into HELD."""
-    some = next(iter(channels.values()))
-    step = max(1, HELD // max(1, (len(some) + 1) ** 2))
-    have = {name: ~np.isnan(c) for name, c in channels.items()}
-    filled = {name: np.where(have[name], c, some.dtype.type(0)) for name, c in channels.items()}
+    step = max(1, HELD // max(1, len(next(iter(channels.values()))) ** 2))
     for at in range(0, len(every), step):
-        part = every[at : at + step]
-        total, weight = (np.zeros((len(part), *some.shape), some.dtype) for _ in range(2))
-        for name in part[0]:
-            w = np.array([x[name] for x in part], some.dtype)[:, None, None]
-            total += filled[name] * w
-            weight += have[name] * w
-        np.divide(total, weight, out=total, where=weight > 0)
-        total[weight == 0] = 1
-        np.clip(total, 0, 1, out=total)
-        total[:, np.arange(len(some)), np.arange(len(some))] = 0.0
-        yield total
+        yield _stack(channels, every[at : at + step])
+
+
+def _stack(channels: dict[str, np.ndarray], part: list[dict[str, float]]) -> np.ndarray:
+    some = next(iter(channels.values()))
+    total, weight = (np.zeros((len(part), *some.shape), some.dtype) for _ in range(2))
+    for name in part[0]:
+        have = ~np.isnan(channels[name])
+        w = np.array([x[name] for x in part], some.dtype)[:, None, None]
+        np.add(total, channels[name] * w, out=total, where=have)
+        np.add(weight, w, out=weight, where=have)
+    np.divide(total, weight, out=total, where=weight > 0)
+    total[weight == 0] = 1
+    np.clip(total, 0, 1, out=total)
+    total[:, np.arange(len(some)), np.arange(len(some))] = 0.0
+    return total
 
 
 def matrix(channels: dict[str, np.ndarray], weights: dict[str, float]) -> np.ndarray:
