@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import structures
-from darkroom.operators import control, evaluation, faces, layout, theme
+from darkroom.operators import control, evaluation, faces, images, layout, theme
 from darkroom.plans.analogs import table
 
 QUERIES, SQL = {}, {}
@@ -177,3 +177,39 @@ def naming_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.col("l_returnflag") == "R"
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey").alias("nth"), F.when(named, True).alias("named"), F.when(named, F.concat(F.lit("p"), (F.col("l_suppkey") % 3).cast("string"))).otherwise("").alias("provider"))
     return evaluation.naming_outcomes(rows, "l_orderkey", "nth")
+
+
+#: Measures of pictures made from keys: of each the factor and the prime that make a share of it.
+MEASURES = {
+    "flat": (37, 101), "axis_edges": (53, 103), "colours": (11, 499), "a_entropy": (17, 107), "b_entropy": (19, 109), "a_informative": (23, 113), "b_informative": (29, 127), "a_p90": (31, 131), "a_clear": (41, 997), "b_clear": (43, 991),
+    "a_motion": (47, 137), "b_motion": (59, 139), "a_steep": (61, 149), "b_steep": (67, 151), "dark": (71, 157), "bright": (73, 163), "p95": (79, 167), "p05": (83, 173), "clipped_tiles": (89, 179), "exposure": (97, 983),
+}
+_SHARES = ", ".join(f"({{i}} * {p} % {q})::DOUBLE / {q}{' * 4' if n.endswith('entropy') else ' / 2' if n in ('a_p90', 'a_clear', 'b_clear') else ''} AS {n}" for n, (p, q) in MEASURES.items())
+
+
+@query(f"""WITH i AS (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem), m AS (
+  SELECT id, id % 53 = 0 AS failed, id % 3 = 0 AS camera, id % 29 = 0 AS shot, CASE WHEN id % 5 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS type, 2 * (id * 7 % 1021) + 101 AS w, 2 * (id * 13 % 1019) + 101 AS h, {_SHARES.replace("{i}", "id")} FROM i), k AS (
+  SELECT *, CASE WHEN shot OR coalesce(NOT failed AND type = 'image/png' AND NOT camera AND flat >= 0.55 AND axis_edges >= 0.62, false) THEN 'screenshot_or_graphic' WHEN camera THEN 'camera_photo' ELSE 'unknown' END AS capture_kind,
+    greatest(a_entropy, b_entropy) >= 2 AND greatest(a_informative, b_informative) >= 0.08 AS texture FROM m), d AS (
+  SELECT *, CASE WHEN capture_kind = 'camera_photo' THEN 'photographic' WHEN capture_kind = 'screenshot_or_graphic' AND NOT failed AND flat >= 0.68 AND colours <= 0.08 THEN 'illustration' WHEN capture_kind = 'screenshot_or_graphic' THEN 'mixed'
+      WHEN NOT failed AND flat >= 0.72 AND colours <= 0.06 THEN 'illustration' ELSE 'unknown' END AS visual_domain,
+    NOT failed AND texture AND a_p90 < 0.18 AND a_clear < 0.16 AND b_clear < 0.18 AND (greatest(a_motion, b_motion) >= 0.30 OR greatest(a_steep, b_steep) < 0.15) AS hard_reject FROM k), v AS (
+  SELECT *, CASE WHEN hard_reject THEN 'severe' WHEN NOT texture THEN 'undetermined' WHEN least(a_clear, b_clear) < 0.45 THEN 'warning' ELSE 'ok' END AS sharpness,
+    CASE WHEN capture_kind = 'screenshot_or_graphic' OR visual_domain = 'illustration' THEN 'not_applicable' WHEN (dark >= 0.45 AND p95 <= 0.35 OR bright >= 0.45 AND p05 >= 0.65) AND clipped_tiles >= 0.35 THEN 'severe'
+      WHEN (dark >= 0.20 AND p95 <= 0.50 OR bright >= 0.20 AND p05 >= 0.50) AND clipped_tiles >= 0.20 THEN 'warning' ELSE 'ok' END AS exposed,
+    CASE WHEN least(w, h) < 320 THEN 'severe' WHEN least(w, h) < 800 THEN 'warning' ELSE 'ok' END AS resolution, least(1.0, least(w, h) / 1600) AS size FROM d), c AS (
+  SELECT *, CASE WHEN sharpness = 'undetermined' THEN 0.75 ELSE (a_clear + b_clear) / 2 END AS clear FROM v)
+SELECT id, capture_kind, visual_domain, hard_reject, CASE WHEN hard_reject THEN 'remove' WHEN failed THEN 'review' ELSE 'keep' END AS suggestion, CASE WHEN failed THEN 0.2 WHEN hard_reject THEN 0.99 ELSE 0.9 END AS confidence,
+  array_to_string(list_filter([CASE WHEN failed THEN 'analysis_failed' END, CASE WHEN NOT failed AND sharpness <> 'ok' THEN 'sharpness_' || sharpness END, CASE WHEN NOT failed AND exposed IN ('severe', 'warning') THEN 'exposure_' || exposed END,
+    CASE WHEN NOT failed AND resolution <> 'ok' THEN 'resolution_' || resolution END], lambda x: x IS NOT NULL), ',') AS issues,
+  round(CASE WHEN failed THEN 10 * (0.8 + 0.2 * size) WHEN exposed = 'not_applicable' THEN 10 * (0.65 * clear + 0.35 * size) ELSE 10 * (0.5 * clear + 0.3 * exposure + 0.2 * size) END, 2) AS quality FROM c""")
+def picture_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture kinds, domains, severities, issues, quality and suggestions of pictures by their measures."""
+    i = F.col("id")
+    share = lambda n, p, q: (i * p % q).cast("double") / q * (4.0 if n.endswith("entropy") else 1.0) / (2.0 if n in ("a_p90", "a_clear", "b_clear") else 1.0)
+    m = F.create_map(*(x for n, (p, q) in MEASURES.items() for x in (F.lit(n), share(n, p, q))))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    rows = rows.select("id", (2 * (i * 7 % 1021) + 101).cast("int").alias("width"), (2 * (i * 13 % 1019) + 101).cast("int").alias("height"), F.when(i % 53 > 0, m).alias("m"))
+    name = F.when(i % 29 == 0, "Screenshot 1.png").otherwise("a.jpg")
+    out = images.judged(rows, name, F.when(i % 5 == 0, "image/png").otherwise("image/jpeg"), i % 3 == 0)
+    return out.select("id", "capture_kind", "visual_domain", "hard_reject", "suggestion", "confidence", F.array_join("issues", ",").alias("issues"), "quality")
