@@ -96,6 +96,11 @@ def assessed(assessments: DataFrame, photos: DataFrame, key: str) -> DataFrame:
     return by.join(size, key, "left").select(key, "excluded", "review", F.round(F.col("n") / F.greatest(F.coalesce("size", F.lit(0)), F.lit(1)), 4).alias("coverage"))
 
 
+def feature_summary(features: DataFrame, key: str) -> DataFrame:
+    """(key, photos, embedded): photos of each album, and those that have an embedding with numbers in it."""
+    return features.groupBy(key).agg(F.count("*").alias("photos"), F.count_if(F.coalesce(F.size("embedding") > 0, F.lit(False))).alias("embedded"))
+
+
 def with_complete_records(assessed: DataFrame, complete: Column) -> DataFrame:
     """relevance() rows, where those whose theme is the complete record are relevant and kept whatever their vectors and times."""
     over = {"score": F.lit(1.0), "label": F.lit("relevant"), "decision": F.lit("keep"), "reasons": F.array(F.lit("complete_record"))}

@@ -171,6 +171,14 @@ def silhouette(sums: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("album_id", "photo_id").join(s, ["album_id", "photo_id"], "left").withColumn("silhouette", F.coalesce("silhouette", F.lit(0.0)))
 
 
+def chapter_counters(sequence: DataFrame) -> DataFrame:
+    """(album_id, chapters, review_chapters, segments, review_segments): how many chapters and segments an album has, and how many of them ask for a review. sequence: of sequential()."""
+    yes = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    parts = sequence.groupBy("album_id", "chapter", "segment").agg(yes("needs_review").alias("r"), yes("segment_needs_review").alias("s"))
+    chapters = parts.groupBy("album_id", "chapter").agg(F.bool_or("r").alias("r"), F.count("segment").alias("n"), F.count_if(F.col("s") & F.col("segment").isNotNull()).alias("s"))
+    return chapters.groupBy("album_id").agg(F.count("chapter").alias("chapters"), F.count_if(F.col("r") & F.col("chapter").isNotNull()).alias("review_chapters"), F.sum("n").alias("segments"), F.sum("s").alias("review_segments"))
+
+
 def chosen_k(gaps: DataFrame) -> DataFrame:
     """(album_id, selected, peak) from (album_id, k, gap, error): the smallest k whose gap is within one standard error of the first largest."""
     order = Window.partitionBy("album_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import decisions, scoring, structures, texts, times
-from darkroom.operators import control, evaluation, images, layout, lifecycle, review, theme
+from darkroom.operators import control, evaluation, images, layout, lifecycle, review, theme, timeline
 from darkroom.plans.albums import PAGED, paged
 from darkroom.plans.analogs import PHOTOS, photos, table
 from darkroom.sources import manifests, media, tables
@@ -544,7 +544,17 @@ def joined_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id % 20 AS album_id, count(*) AS photos, count_if(label % 2 = 0)::BIGINT AS embedded FROM embeddings GROUP BY 1")
 def feature_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("album_id"), F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("embedding"))
-    return rows.groupBy("album_id").agg(F.count("*").alias("photos"), F.count("embedding").alias("embedded"))
+    return theme.feature_summary(rows, "album_id")
+
+
+@query("""WITH r AS (SELECT l_suppkey AS album_id, l_orderkey % 12 AS chapter, l_linenumber AS segment, l_orderkey % 12 < 5 AND l_quantity < 3 AS r, l_linenumber > 4 AND l_tax > 0.07 AS s FROM lineitem),
+g AS (SELECT album_id, chapter, segment, bool_or(r) AS r, bool_or(s) AS s FROM r GROUP BY ALL)
+SELECT album_id, count(DISTINCT chapter) AS chapters, count(DISTINCT CASE WHEN r THEN chapter END) AS review_chapters, count(*) AS segments, count_if(s)::BIGINT AS review_segments FROM g GROUP BY 1""")
+def chapter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as photos of a supplier's album."""
+    chapter = F.col("l_orderkey") % 12
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("album_id"), chapter.alias("chapter"), F.col("l_linenumber").alias("segment"), ((chapter < 5) & (F.col("l_quantity") < 3)).alias("needs_review"), ((F.col("l_linenumber") > 4) & (F.col("l_tax") > 0.07)).alias("segment_needs_review"))
+    return timeline.chapter_counters(rows)
 
 
 # ---- media ----
