@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkroom.plans import albums, cleaning, details, lifecycles, serving, timelines
+from darkroom.plans import albums, cleaning, details, lifecycles, pictures, serving, timelines
 
 FLAGSHIP = "exact_duplicates"
-MODULES = (cleaning, timelines, albums, lifecycles, details, serving)
+MODULES = (cleaning, timelines, albums, lifecycles, details, pictures, serving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
