@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import decisions, texts
-from darkroom.operators import lifecycle
+from darkroom.operators import lifecycle, settings
 from darkroom.plans import pipelines
 from darkroom.plans.analogs import PHOTOS, embedded, photos, table
 from darkroom.plans.cleaning import WIDE_BURST, WIDE_NEAR
@@ -152,3 +152,66 @@ def chapter_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = photos(spark, sf_dir).withColumn("caption", F.concat("device", F.lit(" "), F.col("photo_id").cast("string")))
     titles = rows.select("album_id").distinct().withColumn("title", texts.safe_name(F.concat(F.lit("Album "), F.col("album_id").cast("string"))))
     return pipelines.books(pipelines.chapters(rows), titles, "caption")
+
+
+# ---- providers of stages: nations as owners of configurations, orders as changes and requests ----
+
+_STAGE = "CASE {i} % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'chapter_embedding' WHEN 2 THEN 'layout' ELSE 'cleaning' END"
+_PROVIDER = "CASE {i} % 3 WHEN 0 THEN 'openai_compatible' WHEN 1 THEN 'dashscope_multimodal_embedding' END"
+_ALLOWED = "(({s} IN ('chapter', 'layout') AND {p} = 'openai_compatible') OR ({s} = 'chapter_embedding' AND {p} = 'dashscope_multimodal_embedding'))"
+PROVIDERS = f"""held AS (SELECT o_custkey % 50 AS owner, {_STAGE.format(i="o_orderkey")} AS stage, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 5 > 0 GROUP BY ALL),
+configs AS (SELECT *, {_PROVIDER.format(i="id")} AS provider_type, 'm' || id AS model FROM held),
+asked AS (SELECT l_suppkey % 55 AS owner, {_STAGE.format(i="l_partkey")} AS stage, l_orderkey * 8 + l_linenumber AS seq, {_PROVIDER.format(i="l_partkey")} AS provider_type, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag || l_partkey END AS model,
+  CASE l_orderkey % 6 WHEN 0 THEN 'sk-' || l_returnflag || l_partkey || '-' || l_orderkey WHEN 1 THEN l_returnflag || l_partkey WHEN 2 THEN '' END AS api_key, CASE WHEN l_orderkey % 9 = 0 THEN l_linestatus = 'O' END AS is_active FROM lineitem),
+fit AS (SELECT owner, stage, min(seq) AS seq FROM asked WHERE {_ALLOWED.format(s="stage", p="provider_type")} GROUP BY ALL),
+judged AS (SELECT a.*, CASE WHEN a.stage = 'cleaning' THEN 'unknown_stage' WHEN c.id IS NULL THEN 'missing' WHEN NOT CASE WHEN a.provider_type IS NOT NULL THEN {_ALLOWED.format(s="a.stage", p="a.provider_type")}
+  ELSE coalesce({_ALLOWED.format(s="a.stage", p="c.provider_type")}, false) OR coalesce(f.seq < a.seq, false) END THEN 'unsupported_provider' END AS reason
+  FROM asked a LEFT JOIN configs c ON c.owner = a.owner AND c.stage = a.stage LEFT JOIN fit f ON f.owner = a.owner AND f.stage = a.stage)"""
+
+
+def _stage(i: F.Column) -> F.Column:
+    return F.when(i % 4 == 0, "chapter").when(i % 4 == 1, "chapter_embedding").when(i % 4 == 2, "layout").otherwise("cleaning")
+
+
+def _provider(i: F.Column) -> F.Column:
+    return F.when(i % 3 == 0, "openai_compatible").when(i % 3 == 1, "dashscope_multimodal_embedding")
+
+
+def configurations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(configurations, changes) of owners' stages."""
+    held = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0").groupBy((F.col("o_custkey") % 50).alias("owner"), _stage(F.col("o_orderkey")).alias("stage")).agg(F.min("o_orderkey").alias("id"))
+    text = F.lit(None).cast("string")
+    configs = held.select("owner", "stage", "id", _provider(F.col("id")).alias("provider_type"), text.alias("base_url"), F.concat(F.lit("m"), "id").alias("model"), F.lit(True).alias("is_active"), F.lit(100).alias("priority"), text.alias("remark"), F.lit("").alias("api_key_masked"))
+    o, named = F.col("l_orderkey") % 6, F.concat("l_returnflag", F.col("l_partkey").cast("string"))
+    key = F.when(o == 0, F.concat(F.lit("sk-"), named, F.lit("-"), F.col("l_orderkey").cast("string"))).when(o == 1, named).when(o == 2, "")
+    changes = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 55).alias("owner"), _stage(F.col("l_partkey")).alias("stage"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), _provider(F.col("l_partkey")).alias("provider_type"), text.alias("base_url"),
+        F.when(F.col("l_linenumber") % 3 == 0, named).alias("model"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_linestatus") == "O").alias("is_active"), F.lit(None).cast("int").alias("priority"), text.alias("remark"), key.alias("api_key"),
+    )
+    return configs, changes
+
+
+@query(f"WITH {PROVIDERS} SELECT owner, stage, seq, reason FROM judged")
+def provider_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings.verdicts(*configurations(spark, sf_dir), ["owner"], "seq").select("owner", "stage", "seq", "reason")
+
+
+@query(f"""WITH {PROVIDERS}, g AS (SELECT owner, stage, (max(struct_pack(s := seq, v := provider_type)) FILTER (provider_type IS NOT NULL)).v AS p, (max(struct_pack(s := seq, v := model)) FILTER (model IS NOT NULL)).v AS m, (max(struct_pack(s := seq, v := is_active)) FILTER (is_active IS NOT NULL)).v AS a,
+  (max(struct_pack(s := seq, v := CASE WHEN length(api_key) <= 8 THEN repeat('*', length(api_key)) ELSE left(api_key, 4) || '****' || right(api_key, 4) END)) FILTER (api_key <> '')).v AS k FROM judged WHERE reason IS NULL GROUP BY ALL)
+SELECT c.owner, c.stage, coalesce(p, provider_type) AS provider_type, coalesce(m, model) AS model, coalesce(a, true) AS is_active, coalesce(k, '') AS api_key_masked FROM configs c LEFT JOIN g ON g.owner = c.owner AND g.stage = c.stage""")
+def provider_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings.updated(*configurations(spark, sf_dir), ["owner"], "seq").select("owner", "stage", "provider_type", "model", "is_active", "api_key_masked")
+
+
+@query(f"""WITH own AS (SELECT o_custkey % 80 AS project_id, CASE WHEN o_orderkey % 7 > 0 THEN {_STAGE.format(i="o_orderkey")} END AS stage, o_orderkey AS id, {_PROVIDER.format(i="o_orderkey")} AS provider, o_orderpriority AS model, o_orderkey % 9 = 0 AS active, o_orderkey % 5 AS priority, o_orderdate AS made FROM orders WHERE o_custkey % 80 > 20),
+d AS (SELECT {_STAGE.format(i="s_suppkey")} AS stage, s_suppkey AS id, {_PROVIDER.format(i="s_suppkey")} AS provider, s_name AS model FROM supplier WHERE s_suppkey % 4 IN (0, 2) AND s_suppkey % 5 = 1),
+w AS (SELECT DISTINCT o_custkey % 80 AS project_id, {_STAGE.format(i="o_orderkey")} AS stage FROM orders),
+c AS (SELECT w.*, CASE WHEN o.stage IS NULL THEN 1 ELSE 0 END AS k, o.id, provider, model, priority, made, 'project_config' AS source FROM w JOIN own o ON o.project_id = w.project_id AND (o.stage = w.stage OR o.stage IS NULL) AND active
+  UNION ALL SELECT w.*, 2, d.id, provider, model, 0, NULL, 'global_default_config' FROM w JOIN d ON d.stage = w.stage UNION ALL SELECT *, 3, NULL, 'openai_compatible', '', 0, NULL, 'env_fallback' FROM w)
+SELECT project_id, stage, source, id AS config_id, provider, model FROM c QUALIFY row_number() OVER (PARTITION BY project_id, stage ORDER BY k, priority, made, id) = 1""")
+def resolved_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, s = F.col("o_orderkey"), F.col("s_suppkey")
+    orders = table(spark, sf_dir, "orders").withColumn("project_id", F.col("o_custkey") % 80)
+    own = orders.where("project_id > 20").select("project_id", F.when(o % 7 > 0, _stage(o)).alias("stage"), o.alias("id"), _provider(o).alias("provider_type"), F.col("o_orderpriority").alias("model"), (o % 9 == 0).alias("is_active"), (o % 5).alias("priority"), F.col("o_orderdate").alias("created_at"))
+    defaults = table(spark, sf_dir, "supplier").where("s_suppkey % 4 IN (0, 2)").select(_stage(s).alias("stage"), s.alias("id"), _provider(s).alias("provider_type"), F.col("s_name").alias("model"), (s % 5 == 1).alias("is_active"))
+    return settings.resolved(orders.select("project_id", _stage(o).alias("stage")).distinct(), own, defaults)
