@@ -1,8 +1,8 @@
 """Pictures of 8 bits a channel, made smaller or larger by windowed filters in whole numbers, and turned upright.
 
 A row of weights belongs to each output place: the filter, stretched by the scale where the picture shrinks, over the places it covers, of sum 1, in
-units of 2^-22. Columns are made first and rounded to 8 bits, then rows. This is the arithmetic of the common imaging library of Python, so
-pictures, and the hashes and measures made from them, agree with those that it makes.
+units of 2^-22. Columns are made first and rounded to 8 bits, then rows. This follows the arithmetic of the common imaging library of
+Python, so that pictures, hashes and measures can be compared with those made from its results.
 """
 
 from __future__ import annotations
