@@ -65,13 +65,8 @@ def moved_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id), n AS (
 SELECT (SELECT count(*) FROM p JOIN t USING (a, b)) AS common, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM t) AS "true") SELECT *, common / predicted AS precision, common / "true" AS recall FROM n""")
 def duplicate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.sha2("text", 256).alias("sha"))
-
-    def pairs(*keys: str) -> DataFrame:
-        x, y = docs.select(F.col("doc_id").alias("a"), *keys), docs.select(F.col("doc_id").alias("b"), *keys)
-        return x.join(y, list(keys)).where("a < b").select("a", "b")
-
-    return evaluation.pair_scores(pairs("n_chars", "lang"), pairs("sha"))
+    docs = table(spark, sf_dir, "documents").select("n_chars", "lang", F.sha2("text", 256).alias("sha"))
+    return evaluation.key_pair_scores(docs, ["n_chars", "lang"], ["sha"])
 
 
 

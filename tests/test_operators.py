@@ -269,3 +269,20 @@ def test_gates_and_preferred(spark):
     predicted = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 3, 3), (2, 4, 3), (3, 5, 5), (3, 6, 5)], "group_id int, photo_id int, preferred int")
     got = evaluation.preferred_accuracy(predicted, truth).first()
     assert (got.groups, got.right) == (2, 1)
+
+
+def test_pairs_of_keys_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, i % 4, "a" if i % 3 else None, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, n int, lang string, sha int")
+    pairs = lambda *c: {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and all(x[i] is not None and x[i] == y[i] for i in c)}
+    p, t = pairs(1, 2), pairs(3)
+    got = evaluation.key_pair_scores(df, ["n", "lang"], ["sha"]).first()
+    assert tuple(got) == (len(p & t), len(p), len(t), len(p & t) / len(p), len(p & t) / len(t))
+    assert tuple(evaluation.key_pair_scores(df.limit(0), ["n", "lang"], ["sha"]).first()) == (0, 0, 0, 1.0, 1.0)
+    # 2e12 pairs of one key
+    n = 2_000_000
+    one = spark.range(n).select(F.lit(1).alias("n"), F.lit("a").alias("lang"), (F.col("id") % 2).alias("sha"))
+    got = evaluation.key_pair_scores(one, ["n", "lang"], ["sha"]).first()
+    assert got.predicted == n * (n - 1) // 2 and got.common == got.true == 2 * (n // 2 * (n // 2 - 1) // 2) and got.recall == 1.0
