@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, each: int = 2000) -> DataFrame:
+    """rows by key in parts of about `each`: for work on a row that is long beside its reading, as a file of few bytes is one task."""
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as photos of their users' albums."""
     i = F.col("event_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from darkroom.functions import decisions, scoring, structures, texts, times
 from darkroom.operators import control, evaluation, images, layout, lifecycle, review, theme, timeline
 from darkroom.plans.albums import PAGED, paged
-from darkroom.plans.analogs import PHOTOS, photos, table
+from darkroom.plans.analogs import PHOTOS, dealt, photos, table
 from darkroom.sources import manifests, media, tables
 from darkroom.streaming import rules
 
@@ -420,9 +420,10 @@ s AS (SELECT p_partkey, var_pop(l + m + u + d - 4 * g) AS laplacian, avg((g <= 2
 SELECT p_partkey, round(laplacian, 3) AS laplacian, round(entropy, 6) AS entropy, round(dark, 6) AS dark, round(bright, 6) AS bright, round(p05, 6) AS p05, round(p50, 6) AS p50, round(p95, 6) AS p95 FROM s JOIN e USING (p_partkey)""")
 def picture_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    level = lambda i: F.expr("0") + ((k % 7 + 1) * (i % EDGE) * 5 + (k % 11) * F.floor(i / EDGE) * 3 + (k % 5) * (i % EDGE) * F.floor(i / EDGE)) % 256
-    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(EDGE * EDGE - 1)), lambda i: F.repeat(F.lpad(F.hex(level(i).cast("long")), 2, "0"), 3)), ""))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(EDGE).alias("width"), F.lit(EDGE).alias("height"), pixels.alias("pixels"))
+    side, gray = F.sequence(F.lit(0), F.lit(EDGE - 1)), F.array(*(F.lit(f"{v:02x}" * 3) for v in range(256)))
+    level = lambda x, y: (x * ((k % 7 + 1) * 5 + (k % 5) * y) + (k % 11) * y * 3) % 256
+    pixels = F.unhex(F.array_join(F.flatten(F.transform(side, lambda y: F.transform(side, lambda x: F.element_at(gray, (level(x, y) + 1).cast("int"))))), ""))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.lit(EDGE).alias("width"), F.lit(EDGE).alias("height"), pixels.alias("pixels"))
     m = lambda name: F.round(F.col("m")[name], 6)
     out = images.measured(rows, "p_partkey")
     return out.select(F.col("key").alias("p_partkey"), F.round(F.col("m")["a_laplacian"], 3).alias("laplacian"), m("a_entropy").alias("entropy"), *(m(n).alias(n) for n in ("dark", "bright", "p05", "p50", "p95")))
