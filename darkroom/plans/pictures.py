@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.operators import images, resampling
-from darkroom.plans.analogs import table
+from darkroom.plans.analogs import dealt, table
 
 QUERIES, SQL = {}, {}
 
@@ -62,7 +62,7 @@ def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perceptual hashes of coloured pictures, resampled in whole numbers."""
     digest = F.transform(F.sequence(F.lit(0), F.lit(DIGESTS - 1)), lambda i: F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), i.cast("string")), 256))
     pixels = F.substring(F.encode(F.array_join(digest, ""), "UTF-8"), 1, 3 * WIDE * HIGH)
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), pixels.alias("pixels"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), pixels.alias("pixels"))
     return rows.select("p_partkey", images.hashes(F.col("width"), F.col("height"), F.col("pixels")).alias("phash"))
 
 
