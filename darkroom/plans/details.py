@@ -206,8 +206,10 @@ SELECT id, capture_kind, visual_domain, hard_reject, CASE WHEN hard_reject THEN
 def picture_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture kinds, domains, severities, issues, quality and suggestions of pictures by their measures."""
     i = F.col("id")
-    share = lambda n, p, q: (i * p % q).cast("double") / q * (4.0 if n.endswith("entropy") else 1.0) / (2.0 if n in ("a_p90", "a_clear", "b_clear") else 1.0)
-    m = F.create_map(*(x for n, (p, q) in MEASURES.items() for x in (F.lit(n), share(n, p, q))))
+    # a function over rows of literals: the expressions of all measures in a row would be a method too long for the JVM to compile
+    parts = [(p, q, 4.0 if n.endswith("entropy") else 1.0, 2.0 if n in ("a_p90", "a_clear", "b_clear") else 1.0) for n, (p, q) in MEASURES.items()]
+    factors = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(t).alias("t"), F.lit(d).alias("d")) for p, q, t, d in parts))
+    m = F.map_from_arrays(F.array(*map(F.lit, MEASURES)), F.transform(factors, lambda f: (i * f["p"] % f["q"]).cast("double") / f["q"] * f["t"] / f["d"]))
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
     rows = rows.select("id", (2 * (i * 7 % 1021) + 101).cast("int").alias("width"), (2 * (i * 13 % 1019) + 101).cast("int").alias("height"), F.when(i % 53 > 0, m).alias("m"))
     name = F.when(i % 29 == 0, "Screenshot 1.png").otherwise("a.jpg")
