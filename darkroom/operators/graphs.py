@@ -64,8 +64,10 @@ def followed(steps: DataFrame, by: list[str], source: str = "source", target: st
 
 
 def reached(start: DataFrame, owns: DataFrame, by: list[str], owner: str = "owner", owned: str = "owned") -> DataFrame:
-    """(by, node, depth): what start(by, node) owns, directly or through others, itself with depth 0; depth: the fewest steps. Each round joins what was new in the last."""
-    links = owns.select(*by, F.col(owner).alias("node"), F.col(owned).alias("next")).where("next IS NOT NULL").distinct()
+    """(by, node, depth): what start(by, node) owns, directly or through others, itself with depth 0; depth: the fewest steps. Each round joins what was new in the last.
+
+    Repeated links are not looked for, as what they reach is made distinct in each round: so links are exchanged only where what was new is too large to send around."""
+    links = owns.select(*by, F.col(owner).alias("node"), F.col(owned).alias("next")).where("next IS NOT NULL")
     frontier = seen = written(start.select(*by, "node").distinct().withColumn("depth", F.lit(0)), "reached")
     depth = 0
     while True:

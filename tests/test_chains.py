@@ -158,3 +158,13 @@ def test_sweeps_of_scores_outside_the_unit_interval(spark):
     got = {r.score: (r.above_m, r.below_m, r.all_m) for r in evaluation._swept(rows, "s", m=F.col("m")).collect()}
     marks = [(i * 3.0 - 700, i % 2) for i in range(500)]
     assert got == {s: (sum(m for t, m in marks if t >= s), sum(m for t, m in marks if t <= s), 250) for s, _ in marks}
+
+
+def test_links_are_not_sorted_out_in_each_round(spark, monkeypatch):
+    """A round makes what it reaches distinct, and nothing else: repeated links do no harm."""
+    plans, kept = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    owns = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", None), (None, "d")] * 3, "owner string, owned string")
+    start = spark.createDataFrame([("a",), ("a",)], "node string")
+    assert sorted(map(tuple, graphs.reached(start, owns, []).collect())) == [("a", 0), ("b", 1), ("c", 1)]
+    assert len(plans) == 3 and all(p.count("Aggregate") == 1 for p in plans)
