@@ -86,8 +86,15 @@ def scale_of(sides: np.ndarray, place: np.ndarray) -> float:
     return float(max(q[2] - q[0], q[1], 1e-9))
 
 
-def time_scales(photos: DataFrame) -> DataFrame:
-    """(album_id, time_scale): the robust scale in seconds of all pairs of an album's times; 1 where no two differ. A task holds an album's distinct times, 16 bytes each."""
+#: Distinct times that one task holds, about, and points at which a pass over them counts pairs for each wanted rank.
+TIMES, POINTS = 500_000, 32
+
+
+def time_scales(photos: DataFrame, size: int = TIMES) -> DataFrame:
+    """(album_id, time_scale): the robust scale in seconds of all pairs of an album's times; 1 where no two differ.
+
+    A task holds an album's distinct times, 16 bytes each, or a block of them where an album has more than `size` (_spread_orders())."""
+    kind = dict(photos.dtypes)["album_id"]
 
     def scale(own: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("at")
@@ -100,7 +107,84 @@ def time_scales(photos: DataFrame) -> DataFrame:
         return pd.DataFrame({"album_id": [own[0]], "time_scale": [found]})
 
     at = photos.where("taken_at IS NOT NULL").groupBy("album_id", times.micros(F.col("taken_at")).alias("at")).agg(F.count("*").alias("n"))
-    return at.groupBy("album_id").applyInPandas(scale, f"album_id {dict(photos.dtypes)['album_id']}, time_scale double")
+    at = written(at, "times")
+    count = at.groupBy("album_id").agg(F.count("*").alias("times"))
+    whole = lambda rows: rows.groupBy("album_id").applyInPandas(scale, f"album_id {kind}, time_scale double")
+    many = count.where((F.col("times") > size) & F.col("album_id").isNotNull())
+    total = many.agg(F.sum("times")).first()[0]
+    if not total:
+        return whole(at)
+    few = whole(at.join(many, "album_id", "left_anti"))
+    ranges = at.join(many.select("album_id"), "album_id").repartitionByRange(total // size + 2, "album_id", "at").withColumn("block", F.spark_partition_id())
+    return few.unionByName(at.sparkSession.createDataFrame(_spread_orders(written(ranges, "ranges"), kind), few.schema))
+
+
+def _spread_orders(ranges: DataFrame, kind: str) -> list[tuple]:
+    """[(album_id, time_scale)] of ranges(album_id, at, n, block), whose blocks follow each other in time.
+
+    Each pass counts the pairs that differ by at most so much, for POINTS of every range that may hold a wanted rank, and keeps the part between two points. Pairs of blocks that
+    lie wholly within or beyond a point are counted by their sizes, so for one point a block meets no more others than about two: passes are linear in the times.
+    The driver holds what a block's size and ends are."""
+
+    def pack(own: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        at, n = part["at"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+        return pd.DataFrame([(*own, at[0], at[-1], n.sum(), (n**2).sum(), at.tobytes(), n.tobytes())], columns=["album_id", "block", "low", "high", "n", "squares", "at", "counts"])
+
+    def count(own: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        read = [(np.frombuffer(r.at, np.int64), np.frombuffer(r.counts, np.int64), r.points) for r in part.sort_values("low").itertuples()]
+        (x, w, points), (y, v, _) = read[0], read[-1]
+        before = np.concatenate([[0], np.cumsum(v)])
+        own_part = before[1:] if len(read) == 1 else 0
+        return pd.DataFrame([(own[0], int(d), int((w * (before[np.searchsorted(y, x + d, "right")] - own_part)).sum())) for d in points], columns=["album_id", "point", "pairs"])
+
+    blocks = ranges.groupBy("album_id", "block").applyInPandas(pack, f"album_id {kind}, block int, low long, high long, n long, squares long, at binary, counts binary")
+    blocks = written(blocks, "blocks")
+    spark = blocks.sparkSession
+    albums: dict = {}
+    for r in blocks.select("album_id", "low", "high", "n", "squares", "block").collect():
+        albums.setdefault(r.album_id, []).append((r.low, r.high, r.n, r.squares, r.block))
+    wanted = {}
+    for own, parts in albums.items():
+        parts.sort()
+        pairs = (sum(p[2] for p in parts) ** 2 - sum(p[3] for p in parts)) // 2
+        ranks, place = interpolated(pairs)
+        wanted[own] = [ranks, place, [[0, parts[-1][1] - parts[0][0]] for _ in ranks]]
+    while True:
+        known, tiles = {}, {}
+        for own, (_, _, found) in wanted.items():
+            for d in {low + (high - low) * k // (POINTS + 1) for low, high in found if low < high for k in range(1, POINTS + 1)}:
+                sure = 0
+                for i, (low, high, n, squares, x) in enumerate(albums[own]):
+                    if high - low <= d:
+                        sure += (n * n - squares) // 2
+                    else:
+                        tiles.setdefault((own, x, x), []).append(d)
+                    for next_low, next_high, m, _, y in albums[own][i + 1 :]:
+                        if next_low - high > d:
+                            break
+                        if next_high - low <= d:
+                            sure += n * m
+                        else:
+                            tiles.setdefault((own, x, y), []).append(d)
+                known[own, d] = sure
+        if not known:
+            break
+        if tiles:
+            met = spark.createDataFrame([(own, x, y, ds, b) for (own, x, y), ds in tiles.items() for b in {x, y}], f"album_id {kind}, x int, y int, points array<long>, block int")
+            counted = blocks.join(F.broadcast(met), ["album_id", "block"]).groupBy("album_id", "x", "y").applyInPandas(count, f"album_id {kind}, point long, pairs long")
+            for r in counted.groupBy("album_id", "point").agg(F.sum("pairs").alias("pairs")).collect():
+                known[r.album_id, r.point] += r.pairs
+        for own, (ranks, _, found) in wanted.items():
+            points = sorted(d for o, d in known if o == own)
+            for rank, ends in zip(ranks, found, strict=True):
+                for d in points:
+                    if ends[0] <= d < ends[1]:
+                        if known[own, d] > rank:
+                            ends[1] = d
+                        else:
+                            ends[0] = d + 1
+    return [(own, scale_of(np.array([low for low, _ in found], np.int64) / 1e6, place)) for own, (_, place, found) in wanted.items()]
 
 
 def kilometres(x: dict, y: dict) -> np.ndarray:

@@ -191,3 +191,15 @@ def test_untimed_photos_meet_few_histograms(spark):
         assert got[i][1] == pytest.approx(ranked[0][1], abs=1e-9)
         if abs(ranked[0][1] - after - 0.15) > 1e-6 and abs(ranked[0][1] - 0.6) > 1e-6:
             assert got[i][0] == (ranked[0][0] if ranked[0][1] >= 0.6 and ranked[0][1] - after >= 0.15 else None)
+
+
+def test_time_scales_of_albums_of_many_blocks(spark, monkeypatch):
+    """Albums larger than a task are counted block by block, and the scales are those of whole albums."""
+    rng = np.random.default_rng(5)
+    rows = [(a, int(t)) for a, n, most in (("a", 900, 10**9), ("b", 400, 700), ("c", 30, 10**6), ("d", 300, 10**12)) for t in np.concatenate([rng.integers(0, most, n), rng.integers(0, most // 90 + 1, n)])]
+    df = spark.createDataFrame(rows, "album_id string, at long").select("album_id", F.timestamp_micros("at").alias("taken_at"))
+    whole = {r.album_id: r.time_scale for r in distances.time_scales(df).collect()}
+    seen, kept = [], distances._spread_orders
+    monkeypatch.setattr(distances, "_spread_orders", lambda ranges, kind: seen.append(max(r["count"] for r in ranges.groupBy("block").count().collect())) or kept(ranges, kind))
+    assert {r.album_id: r.time_scale for r in distances.time_scales(df, 100).collect()} == whole and len(whole) == 4
+    assert seen and seen[0] < 400
