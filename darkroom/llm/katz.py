@@ -12,8 +12,9 @@ so that over the vocabulary and the class of unknown words each history's probab
 of whose counts are discounted gets one count more in its denominator, for unseen words. A text begins with two marks.
 
 Tables of a `Model`. words: (word, a 64-bit fingerprint; count; id, ranked by count; range; hot). bigrams and trigrams, partitioned by
-range of histories: a row holds a range, packed: histories (u, v; u only of trigrams) with alpha, and their words with count and
-discounted probability p. histories() and grams() unpack them; saved() and loaded() keep a model for score(), in other sessions too.
+range of histories: a row holds a range, packed: histories (u, v; u only of trigrams) with alpha and their tokens, their words with
+count, and the discounts, of which discounted probabilities p follow. histories() and grams() unpack them; saved() and loaded() keep
+a model for score(), in other sessions too.
 
 Dataflow. A corpus is tokenised once into stored blocks of bounded size. Blocks ask for the ids of their distinct words, by
 fingerprint. For each order they send their distinct n-grams, pre-aggregated by block and packed, to the ranges of their histories.
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import dropped, stored
-from darkroom.llm.shingles import mix, word_hashes
+from darkroom.llm.shingles import hashes_of_texts, mix
 
 K = 5
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -98,7 +99,7 @@ def unigrams(count: np.ndarray, types: np.ndarray) -> Unigrams:
 
 def scaled(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Counts, discounted."""
-    return np.where(count <= K, d[np.clip(count, 1, K) - 1], 1.0) * count
+    return np.concatenate([[1.0], d, [1.0]])[np.minimum(count, K + 1)] * count
 
 
 class Model(NamedTuple):
@@ -123,33 +124,104 @@ class Model(NamedTuple):
         return np.where(ids == self.unigrams.unknown + 1, self.beginnings, self.unigrams.counts(ids))
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """The same integers in the smallest type that holds them."""
+#: Made once for a worker. Level 1: of a block's trigrams it makes a tenth more than level 3, in nine tenths of its time.
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _held(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """The same numbers in a type that holds them, and how many bytes of each are not 0 throughout."""
     if x.dtype.kind not in "iu" or not len(x):
-        return x
-    return x.astype(np.result_type(np.min_scalar_type(x.min()), np.min_scalar_type(x.max())), copy=False)
+        return x, x.itemsize
+    low, high = int(x.min()), int(x.max())
+    if low < 0:
+        bits = max(high, -1 - low).bit_length() + 1
+        x = x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if bits <= 8 * np.dtype(t).itemsize), copy=False)
+        return x, x.itemsize
+    return x, (high.bit_length() + 7) // 8
 
 
 def _pack(*parts: np.ndarray) -> bytes:
-    """Arrays go as planes of bytes, whose high ones compress to nothing."""
-    planes = []
+    """Arrays go as planes of bytes, each copied by itself: a copy of the transpose takes ten times as long."""
+    head, planes = [], []
     for x in parts:
-        y = np.ascontiguousarray(_narrow(x))
-        planes.append((x.dtype.str, y.dtype.str, y.view(np.uint8).reshape(len(y), y.itemsize).T.tobytes()))
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes, protocol=5))
+        y, n = _held(np.ascontiguousarray(x))
+        raw = y.view(np.uint8)
+        head.append((x.dtype.str, y.dtype.str, len(y), n))
+        planes += [np.ascontiguousarray(raw[k :: y.itemsize]) for k in range(n)]
+    head = pickle.dumps(head, protocol=5)
+    return _SQUEEZE.compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = memoryview(_EXPAND.decompress(blob))
+    at = 4 + int.from_bytes(raw[:4], "little")
     out = []
-    for kind, held, planes in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
-        x = np.frombuffer(np.frombuffer(planes, np.uint8).reshape(np.dtype(held).itemsize, -1).T.tobytes(), held)
+    for kind, held, size, planes in pickle.loads(raw[4:at]):
+        x = np.zeros(size, held)
+        for k in range(planes):
+            x.view(np.uint8)[k :: x.itemsize] = np.frombuffer(raw, np.uint8, size, at)
+            at += size
         out.append(x.astype(kind, copy=False))
     return out
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
     """Differences of neighbours, for numbers that mostly ascend; np.cumsum() undoes it."""
-    return np.diff(x, prepend=0).astype(np.int64)
+    out = x.astype(np.int64)
+    out[1:] -= x[:-1]
+    return out
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are not negative in order, and their places; by one sort of both together where they fit in 64 bits, four times as fast as one of places."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()) >> (64 - bits):
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = key.astype(np.uint64)
+    both <<= np.uint64(bits)
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    both >>= np.uint64(bits)
+    return both.view(key.dtype) if key.itemsize == 8 else both.astype(key.dtype), order
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _placed(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of rows, sorted by order, which distinct one each is; new: whether a sorted one differs from the one before."""
+    of = np.empty(len(order), np.int32)
+    nth = np.cumsum(new, dtype=np.int32)
+    nth -= 1
+    of[order] = nth
+    return of
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique(key, return_index=True, return_inverse=True, return_counts=True) of numbers that are not negative."""
+    key, order = _sorted(key)
+    new = _changes(key)
+    lead = np.flatnonzero(new)
+    return key[lead], order[lead], _placed(order, new), np.diff(np.append(lead, len(key)))
+
+
+def _distinct_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(x, return_inverse=True) of 64-bit numbers: by their high bits, and where these are not enough by all."""
+    high, order = _sorted(x >> np.uint64(len(x).bit_length()))
+    ascending = x[order]
+    if (ascending[1:] < ascending[:-1]).any():
+        order = np.argsort(x, kind="stable")
+        ascending = x[order]
+    new = _changes(ascending)
+    return ascending[new], _placed(order, new)
 
 
 # ---- words ----
@@ -158,30 +230,34 @@ def _steps(x: np.ndarray) -> np.ndarray:
 def _blocks(docs: DataFrame, id: str, text: str, held_out: Column) -> DataFrame:
     """(block, ids, held, tokens, all_tokens, words, body): tokens: of training rows; words: fingerprints and their training counts; body: documents' lengths and tokens as places in words."""
 
-    def out(number: int, ids: list, held: list, parts: list[np.ndarray]) -> pd.DataFrame:
-        lengths = np.array([len(p) for p in parts], np.int64)
-        words, place, total = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    def out(number: int, ids: list, held: list, parts: list[np.ndarray], lengths: list[np.ndarray]) -> pd.DataFrame:
+        lengths = np.concatenate(lengths)
+        words, place = _distinct_hashes(np.concatenate(parts))
+        total = np.bincount(place, minlength=len(words))
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        train = np.bincount(place, np.repeat(~np.array(held), lengths), len(words)).astype(np.uint32)
+        mine = np.repeat(~np.array(held), lengths)
+        train = np.bincount(place[mine], minlength=len(words)).astype(np.uint32)
         name = (TaskContext.get().partitionId() << 32) + number
-        tokens = int(lengths[~np.array(held)].sum())
-        return pd.DataFrame({"block": [name], "ids": [ids], "held": [held], "tokens": [tokens], "all_tokens": [len(place)], "words": [_pack(words[order], train[order])], "body": [_pack(lengths, rank[place])]})
+        return pd.DataFrame({"block": [name], "ids": [ids], "held": [held], "tokens": [int(mine.sum())], "all_tokens": [len(place)], "words": [_pack(words[order], train[order])], "body": [_pack(lengths, rank[place])]})
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, ids, held, parts, size = 0, [], [], [], 0
+        number, ids, held, parts, lengths, size = 0, [], [], [], [], 0
         for b in batches:
-            for i, t, h in zip(b["id"].astype(object), b["text"], b["held"], strict=True):
-                parts.append(np.append(word_hashes(t), END))
-                ids.append(None if i is None or i != i else i)
-                held.append(bool(h))
+            all_ids, all_held, at = [None if i is None or i != i else i for i in b["id"].astype(object)], b["held"].tolist(), 0
+            for hashes, n in hashes_of_texts(b["text"]):
+                parts.append(np.insert(hashes, np.cumsum(n), END))
+                lengths.append(n + 1)
+                ids += all_ids[at : at + len(n)]
+                held += all_held[at : at + len(n)]
+                at += len(n)
                 size += len(parts[-1])
                 if size >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
-                    yield out(number, ids, held, parts)
-                    number, ids, held, parts, size = number + 1, [], [], [], 0
+                    yield out(number, ids, held, parts, lengths)
+                    number, ids, held, parts, lengths, size = number + 1, [], [], [], [], 0
         if ids:
-            yield out(number, ids, held, parts)
+            yield out(number, ids, held, parts, lengths)
 
     kind = dict(docs.dtypes)[id]
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
@@ -195,18 +271,21 @@ def _asked(blocks: DataFrame, ranges: int) -> DataFrame:
         for b in batches:
             for block, blob in zip(b["block"], b["words"], strict=True):
                 words, train = _unpack(blob)
-                rows = [(k, block, _pack(words[mine], train[mine])) for k, mine in _dealt(words, ranges)]
+                rows = [(k, block, _pack(words[mine], train[mine])) for k, mine in _dealt(_range_of(words, ranges), ranges)]
                 yield pd.DataFrame(rows, columns=["range", "block", "blob"])
 
     return blocks.select("block", "words").mapInPandas(ask, "range int, block long, blob binary")
 
 
-def _dealt(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each range with the places of its hashes, in their order."""
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     # of 16 bits a stable sort is by digits
-    r = (hashes % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
-    order = np.argsort(r, kind="stable")
-    cut = np.append(0, np.cumsum(np.bincount(r, minlength=ranges)))
+    return (hashes % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+
+
+def _dealt(range_of: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range with the places of what goes to it, in their order."""
+    order = np.argsort(range_of, kind="stable")
+    cut = np.append(0, np.cumsum(np.bincount(range_of, minlength=ranges)))
     for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
         if z > a:
             yield k, order[a:z]
@@ -217,7 +296,7 @@ def _ranked(asked: DataFrame, ranges: int, most: int) -> tuple[DataFrame, Unigra
 
     def total(_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         words, train = map(np.concatenate, zip(*map(_unpack, part["blob"]), strict=True))
-        word, place = np.unique(words, return_inverse=True)
+        word, place = _distinct_hashes(words)
         count = np.bincount(place, train).astype(np.int64)
         return pd.DataFrame({"word": word.view(np.int64)[count > 0], "count": count[count > 0]})
 
@@ -258,9 +337,9 @@ def _coded(blocks: DataFrame, asked: DataFrame, m: Model) -> DataFrame:
         lengths, tokens = _unpack(block["body"].iloc[0])
         ids, hot = np.full(len(words), unknown, np.int64), np.zeros(len(words), bool)
         blobs = dict(zip(got["range"], got["blob"], strict=True))
-        for k, mine in _dealt(words, ranges):
+        for k, mine in _dealt(_range_of(words, ranges), ranges):
             ids[mine], hot[mine] = _unpack(blobs[k])
-        vocabulary, first, place = np.unique(ids, return_index=True, return_inverse=True)
+        vocabulary, first, place, _ = _distinct(ids)
         # the beginning is the last entry
         vocabulary, hot = np.append(vocabulary, unknown + 1), np.append(hot[first], start_hot)
         blob = _pack(lengths, place.astype(np.uint32)[tokens], _steps(vocabulary), hot)
@@ -278,13 +357,15 @@ class Grams(NamedTuple):
     """A block's distinct n-grams of one order, ascending by history and word, and rows that ask for hot histories' alpha alone."""
 
     of: np.ndarray  # of each token its n-gram, -1 where the model does not know the history
+    token: np.ndarray  # of each n-gram one of its tokens, -1 of what asks alone
     times: np.ndarray  # training count; 0 of what asks alone
     history: np.ndarray  # places of histories, ascending
-    v: np.ndarray  # ids
-    u: np.ndarray  # ids, empty for bigrams
-    w: np.ndarray  # ids, -1 of what asks alone
-    hot: np.ndarray
-    hashes: np.ndarray  # deal n-grams to ranges
+    word: np.ndarray  # places in the vocabulary, after the last of what asks alone
+    v: np.ndarray  # ids by places of histories
+    u: np.ndarray  # ids by places of histories, empty for bigrams
+    ids: np.ndarray  # of words by their places, -1 of what asks alone
+    hot: np.ndarray  # by places of histories
+    range: np.ndarray  # to which n-grams are dealt
 
 
 def _history_hash(v: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -292,38 +373,44 @@ def _history_hash(v: np.ndarray, u: np.ndarray) -> np.ndarray:
     return mix(h + mix(u.astype(np.uint64) + np.uint64(7))) if len(u) else h
 
 
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique(key, return_inverse=True) of numbers that are not negative, by one sort of keys and places together where both fit in 64 bits."""
-    bits = len(key).bit_length()
-    if not len(key) or int(key.max()) >> (64 - bits):
-        return np.unique(key, return_inverse=True)
-    both = (key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)
-    both.sort()
-    place = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
-    both >>= np.uint64(bits)
-    new = np.append(True, both[1:] != both[:-1])
-    of = np.empty(len(key), np.int64)
-    of[place] = np.cumsum(new) - 1
-    return both[new].astype(np.int64), of
-
-
-def _grams(history: np.ndarray, known: np.ndarray, v: np.ndarray, u: np.ndarray, hot: np.ndarray, b: Block) -> Grams:
+def _grams(history: np.ndarray, known: np.ndarray, v: np.ndarray, u: np.ndarray, hot: np.ndarray, b: Block, ranges: int) -> Grams:
     """history: of each token a place in v, u and hot; known: whether the model has it."""
-    n = len(b.vocabulary) + 1
-    key, of = _distinct((history * n + b.tokens)[known])
-    times = np.bincount(of, b.train[known], len(key)).astype(np.int64)
-    # what asks for a hot history's alpha has the last word, n - 1
-    asks = np.unique(key // n)
-    asks = asks[hot[asks]] * n + n - 1
-    place = np.full(len(history), -1, np.int64)
-    place[known] = (np.arange(len(key)) + np.searchsorted(asks, key))[of]
-    at = np.searchsorted(key, asks)
-    key, times = np.insert(key, at, asks), np.insert(times, at, 0)
-    h, w = key // n, np.append(b.vocabulary, -1)[key % n]
-    hv, hu = v[h], u[h] if len(u) else u
-    hashes = _history_hash(hv, hu)
-    spread = hot[h] & (w >= 0)
-    return Grams(place, times, h, hv, hu, w, hot[h], np.where(spread, mix(hashes + w.astype(np.uint64)), hashes))
+    some = None if known.all() else np.flatnonzero(known)
+    tokens, held = b.tokens, ~b.train
+    if some is not None:
+        history, tokens, held = history[some], tokens[some], held[some]
+    # what asks for a hot history's alpha has the last word
+    last, n = len(b.vocabulary), len(history)
+    bits = np.int64(last.bit_length())
+    met = np.zeros(len(v), bool)
+    met[history] = True
+    asks = np.flatnonzero(met & hot)
+    key = np.empty(n + len(asks), np.int64)
+    key[:n] = history
+    key[n:] = asks
+    key <<= bits
+    key[:n] |= tokens
+    key[n:] |= last
+    key, token, of, times = _distinct(key)
+    times = (times - np.bincount(of[:n][held], minlength=len(key))).astype(np.int32)
+    times[of[n:]], token[of[n:]] = 0, -1
+    of = of[:n]
+    h, word = (key >> bits).astype(np.int32), (key & ((np.int64(1) << bits) - 1)).astype(np.int32)
+    ids = np.append(b.vocabulary, b.vocabulary.dtype.type(-1))
+    new = _changes(h)
+    each = h[new]
+    hashes = _history_hash(v[each], u[each] if len(u) else u)
+    nth = np.cumsum(new) - 1
+    range_of = _range_of(hashes, ranges)[nth]
+    if len(asks):
+        spread = np.flatnonzero(hot[h] & (word < last))
+        range_of[spread] = _range_of(mix(hashes[nth[spread]] + ids[word[spread]].astype(np.uint64)), ranges)
+    if some is not None:
+        token[token >= 0] = some[token[token >= 0]]
+        place = np.full(len(known), -1, np.int32)
+        place[some] = of
+        of = place
+    return Grams(of, token, times, h, word, v, u, ids, hot, range_of)
 
 
 class Block(NamedTuple):
@@ -340,7 +427,10 @@ class Block(NamedTuple):
 
 def _opened(blob: bytes, held: list[bool]) -> Block:
     lengths, tokens, vocabulary, hot = _unpack(blob)
-    return Block(lengths, tokens.astype(np.int64), np.cumsum(vocabulary), hot, np.repeat(~np.array(held, bool), lengths))
+    vocabulary = np.cumsum(vocabulary)
+    # half the memory to move, as long as ids fit
+    vocabulary = vocabulary.astype(np.int32) if vocabulary[-1] < (1 << 31) - 2 else vocabulary
+    return Block(lengths, tokens.astype(np.int32), vocabulary, hot, np.repeat(~np.array(held, bool), lengths))
 
 
 def _bigrams(b: Block, m: Model) -> Grams:
@@ -348,7 +438,7 @@ def _bigrams(b: Block, m: Model) -> Grams:
     before[1:] = b.tokens[:-1]
     before[b.starts] = len(b.vocabulary) - 1
     known = (b.vocabulary != m.unigrams.unknown) & ((b.vocabulary < m.unigrams.unknown) | (m.beginnings > 0))
-    return _grams(before, known[before], b.vocabulary, np.zeros(0, np.int64), b.hot, b)
+    return _grams(before, known[before], b.vocabulary, np.zeros(0, np.int64), b.hot, b, m.ranges)
 
 
 def _trigrams(b: Block, two: Two, m: Model) -> Grams:
@@ -357,17 +447,19 @@ def _trigrams(b: Block, two: Two, m: Model) -> Grams:
     history[1:] = two.grams.of[:-1]
     history[b.starts] = len(two.count)
     start = b.vocabulary[-1]
-    known = (history >= 0) & np.append(two.count > 0, m.beginnings > 0)[history]
-    hot = np.append(two.count > m.most, b.hot[-1])
-    return _grams(np.where(known, history, 0), known, np.append(two.grams.w, start), np.append(two.grams.v, start), hot, b)
+    # the place -1, of a history that the model does not know, is the last here
+    known = np.append(two.count > 0, [m.beginnings > 0, False])[history]
+    hot, g = np.append(two.count > m.most, b.hot[-1]), two.grams
+    return _grams(history, known, np.append(g.ids[g.word], start), np.append(g.v[g.history], start), hot, b, m.ranges)
 
 
 def _slices(g: Grams, ranges: int, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(range, blob) of n-grams: histories with their sizes, words, and more columns."""
-    for k, mine in _dealt(g.hashes, ranges):
-        head = np.flatnonzero(np.append(True, np.diff(g.history[mine]) != 0))
-        size, lead = np.diff(np.append(head, len(mine))), mine[head]
-        yield k, _pack(size, _steps(g.v[lead]), _steps(g.u[lead]) if len(g.u) else g.u, g.hot[lead], g.w[mine] + 1, *(x[mine] for x in more))
+    for k, mine in _dealt(g.range, ranges):
+        history = g.history[mine]
+        head = np.flatnonzero(_changes(history))
+        size, lead = np.diff(np.append(head, len(mine))), history[head]
+        yield k, _pack(size, _steps(g.v[lead]), _steps(g.u[lead]) if len(g.u) else g.u, g.hot[lead], g.ids[g.word[mine]] + 1, *(x[mine] for x in more))
 
 
 # ---- tables ----
@@ -396,26 +488,28 @@ class Part(NamedTuple):
         """Of histories in this range: counts, r * n_r for r to K, and lower probabilities of the words seen after them."""
         n, h = len(self.size), np.repeat(np.arange(len(self.size)), self.size)
         p = scaled(self.lower, m.bigram_discounts) / np.maximum(m.totals(self.v)[h] + self.fixed, 1) if len(self.u) else m.unigrams.probabilities(self.w)
-        low = np.stack([r * np.bincount(h[self.count == r], minlength=n) for r in range(1, K + 1)], 1)
+        few = np.flatnonzero((self.count > 0) & (self.count <= K))
+        low = np.bincount(h[few] * K + self.count[few] - 1, minlength=n * K).reshape(n, K) * np.arange(1, K + 1)
         return np.bincount(h, self.count, n).astype(np.int64), low, np.bincount(h, np.where(self.count > 0, p, 0.0), n)
 
+    def only(self, these: np.ndarray) -> Part:
+        """Of the histories at these places, which ascend, alone."""
+        is_one = np.zeros(len(self.size), bool)
+        is_one[these] = True
+        mine = np.repeat(is_one, self.size)
+        return Part(self.size[these], self.v[these], self.u[these] if len(self.u) else self.u, *(x[mine] if len(x) else x for x in self[3:]))
 
-def _order(*columns: np.ndarray) -> np.ndarray:
-    """Ascending by columns of ids, the first first."""
-    if len(columns) == 1 or not len(columns[0]):
-        return np.argsort(columns[0], kind="stable")
-    if len(columns) == 2 and max(map(np.max, columns)) < 1 << 31 and min(map(np.min, columns)) >= 0:
-        return np.argsort((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1].astype(np.uint64))
-    return np.lexsort(columns[::-1])
 
-
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    """Whether a row of sorted columns differs from the one before."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return new
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ascending by columns of numbers that are not negative, the first first."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    bits = int(second.max()).bit_length()
+    if int(first.max()).bit_length() + bits + len(first).bit_length() > 64:
+        first = _distinct(first)[2]
+    if int(first.max()).bit_length() + bits > 63:
+        return np.lexsort((second, first))
+    return _sorted((first.astype(np.int64) << np.int64(bits)) | second)[1]
 
 
 MET = "range int, blob binary, blocks array<long>, places array<binary>, hv array<long>, hu array<long>, total array<long>, low array<long>, seen array<double>, stat array<long>"
@@ -426,29 +520,27 @@ def _met(slices: DataFrame, m: Model, buckets: int) -> DataFrame:
     m = m.alone()
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        size, v, u, hot, w, times, *lower = (np.concatenate(x) for x in zip(*((s, np.cumsum(a), np.cumsum(b), *rest) for s, a, b, *rest in map(_unpack, rows["blob"])), strict=True))
+        slices = [(s, np.cumsum(a), np.cumsum(b), *rest) for s, a, b, *rest in map(_unpack, rows["blob"])]
+        ends = np.cumsum([len(x[4]) for x in slices])
+        size, v, u, hot, w, times, *lower = map(np.concatenate, zip(*slices, strict=True))
+        del slices
         histories = (u, v) if len(u) else (v,)
-        order = _order(*histories)
+        order = _order(u, v) if len(u) else _sorted(v)[1]
         new = _changes(*(x[order] for x in histories))
-        of = np.empty(len(v), np.int64)
-        of[order] = np.cumsum(new) - 1
-        lead = order[new]
+        of, lead = _placed(order, new), order[new]
         h = np.repeat(of, size)
         order = _order(h, w)
         new = _changes(h[order], w[order])
-        place = np.empty(len(w), np.int64)
-        place[order] = np.cumsum(new) - 1
-        first = order[new]
+        place, first = _placed(order, new), order[new]
         del order, new
         n, count = len(lead), np.bincount(place, times, len(first)).astype(np.int64)
         part = Part(np.bincount(h[first], minlength=n), v[lead], u[lead] if len(u) else u, w[first] - 1, count, *([x[first] for x in lower] or [np.zeros(0, np.int64)] * 2))
-        ends = np.cumsum([np.sum(_unpack(b)[0]) for b in rows["blob"]]).astype(int)
         places = [_pack(_steps(x)) for x in np.split(place, ends[:-1])]
         some = np.flatnonzero(hot[lead])
-        total, low, seen = part.sums(m) if len(some) else (np.zeros((0, K)),) * 3
+        total, low, seen = part.only(some).sums(m) if len(some) else (np.zeros((0, K)),) * 3
         stat = [int((count == r).sum()) for r in range(1, K + 2)]
         hu = part.u[some] if len(u) else np.full(len(some), -1)
-        return pd.DataFrame([(key[0], part.packed(), rows["block"].to_numpy(), places, part.v[some], hu, total[some], low[some].ravel(), seen[some], stat)], columns=[c.split()[0] for c in MET.split(", ")])
+        return pd.DataFrame([(key[0], part.packed(), rows["block"].to_numpy(), places, part.v[some], hu, total, low.ravel(), seen, stat)], columns=[c.split()[0] for c in MET.split(", ")])
 
     return stored(slices.groupBy("range").applyInPandas(meet, MET), "met", buckets=(buckets, "range"))
 
@@ -482,8 +574,7 @@ def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, Data
             count = t.count[at]
             out.append(("answer", key[0], block, _pack(count, fixed[h[at]], alpha[h[at[count == 0]]])))
         known, seen = total > 0, t.count > 0
-        p = (scaled(t.count, d) / (total + fixed)[h])[seen]
-        out.append(("table", key[0], None, _pack(np.bincount(h[seen], minlength=len(known))[known], _steps(t.v[known]), _steps(t.u[known]) if len(t.u) else t.u, alpha[known], fixed[known], t.w[seen], t.count[seen], p)))
+        out.append(("table", key[0], None, _pack(np.bincount(h[seen], minlength=len(known))[known], _steps(t.v[known]), _steps(t.u[known]) if len(t.u) else t.u, alpha[known], fixed[known], total[known], t.w[seen], t.count[seen], d)))
         return pd.DataFrame(out, columns=["kind", "range", "block", "blob"])
 
     made = stored(met.groupBy("range").cogroup(back.groupBy("at")).applyInPandas(weigh, "kind string, range int, block long, blob binary"), "weighed", "kind")
@@ -493,7 +584,11 @@ def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, Data
 
 def _opened_table(blobs: list[bytes]) -> list[np.ndarray]:
     """size, v, u, alpha and fixed of histories, and w, count, p of n-grams, of rows of a table."""
-    parts = [(size, np.cumsum(v), np.cumsum(u), *rest) for size, v, u, *rest in map(_unpack, blobs)]
+
+    def opened(size, v, u, alpha, fixed, total, w, count, d) -> tuple[np.ndarray, ...]:
+        return size, np.cumsum(v), np.cumsum(u), alpha, fixed, w, count, scaled(count, d) / np.repeat(total + fixed, size)
+
+    parts = [opened(*_unpack(x)) for x in blobs]
     kinds = (np.int64, np.int64, np.int64, float, bool, np.int64, np.int64, float)
     return [np.concatenate([*x, np.zeros(0, k)]) for x, k in zip(zip(*parts, strict=True) if parts else [()] * 8, kinds, strict=True)]
 
@@ -558,16 +653,19 @@ def _looked_up(slices: DataFrame, table: DataFrame) -> DataFrame:
 
 def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, totals: np.ndarray, d: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each n-gram its probability, count, and whether its history has no discounted counts. totals: of histories, by place; lower: probabilities of the next lower order."""
-    count, fixed, alpha = np.zeros(len(g.w), np.int64), np.zeros(len(g.w), bool), np.full(len(g.w), np.nan)
+    n = len(g.word)
+    count, fixed, alpha = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, np.nan)
     blobs = dict(zip(got["range"], got["blob"], strict=True))
-    for k, mine in _dealt(g.hashes, ranges):
+    for k, mine in _dealt(g.range, ranges):
         count[mine], fixed[mine], weights = _unpack(blobs[k])
         alpha[mine[count[mine] == 0]] = weights
     if not len(alpha):
         return alpha, count, fixed
     # a hot history's alpha is with what asked for it, the last of the history
-    last = np.searchsorted(g.history, g.history, "right") - 1
-    alpha, fixed = np.where(g.hot, alpha[last], alpha), np.where(g.hot, fixed[last], fixed)
+    hot = np.flatnonzero(g.hot[g.history])
+    asked = np.flatnonzero(g.token[hot] < 0)
+    last = hot[np.repeat(asked, np.diff(np.append(-1, asked)))]
+    alpha[hot], fixed[hot] = alpha[last], fixed[last]
     return np.where(count > 0, scaled(count, d) / np.maximum(totals[g.history] + fixed, 1), alpha * lower), count, fixed
 
 
@@ -598,7 +696,8 @@ def _with_bigrams(coded: DataFrame, answers: DataFrame, m: Model, buckets: int)
     def put(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = _opened(block["blob"].iloc[0], block["held"].iloc[0])
         g = _bigrams(b, m)
-        p, count, fixed = _probabilities(g, got, m.ranges, m.totals(b.vocabulary), m.bigram_discounts, m.unigrams.probabilities(g.w))
+        one = np.append(m.unigrams.probabilities(b.vocabulary), 0.0)[g.word]
+        p, count, fixed = _probabilities(g, got, m.ranges, m.totals(b.vocabulary), m.bigram_discounts, one)
         return block.assign(two=[_pack(count, fixed, p[count == 0])])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields)
@@ -606,27 +705,26 @@ def _with_bigrams(coded: DataFrame, answers: DataFrame, m: Model, buckets: int)
 
 
 class Two(NamedTuple):
-    """A block's bigrams, with what is known of them, and P(w | v) of its tokens."""
+    """A block's bigrams, with what is known of them."""
 
     grams: Grams
     count: np.ndarray
     fixed: np.ndarray
-    lower: np.ndarray
+    rest: np.ndarray  # of the unseen ones the probability
 
-
-def _two(b: Block, blob: bytes, m: Model) -> Two:
-    g = _bigrams(b, m)
-    count, fixed, rest = _unpack(blob)
-    p = scaled(count, m.bigram_discounts) / np.maximum(m.totals(b.vocabulary)[g.history] + fixed, 1)
-    p[count == 0] = rest
-    return Two(g, count, fixed, np.where(g.of >= 0, np.append(p, 0.0)[g.of], m.unigrams.probabilities(b.vocabulary)[b.tokens]))
+    def lower(self, b: Block, m: Model) -> np.ndarray:
+        """P(w | v) of the block's tokens."""
+        g = self.grams
+        p = scaled(self.count, m.bigram_discounts) / np.maximum(m.totals(b.vocabulary)[g.history] + self.fixed, 1)
+        p[self.count == 0] = self.rest
+        out = np.append(p, 0.0)[g.of]
+        none = np.flatnonzero(g.of < 0)
+        out[none] = m.unigrams.probabilities(b.vocabulary)[b.tokens[none]]
+        return out
 
 
-def _of_grams(g: Grams, of_tokens: np.ndarray) -> np.ndarray:
-    """What tokens have, by their n-grams; 0 of what asks alone."""
-    out = np.zeros(len(g.w), of_tokens.dtype)
-    out[g.of[g.of >= 0]] = of_tokens[g.of >= 0]
-    return out
+def _two(b: Block, blob: bytes, m: Model) -> Two:
+    return Two(_bigrams(b, m), *_unpack(blob))
 
 
 def _trigram_slices(coded: DataFrame, m: Model) -> DataFrame:
@@ -634,7 +732,8 @@ def _trigram_slices(coded: DataFrame, m: Model) -> DataFrame:
         b = _opened(row.blob, row.held)
         two = _two(b, row.two, m)
         g = _trigrams(b, two, m)
-        return _slices(g, m.ranges, g.times, _of_grams(g, np.append(two.count, 0)[two.grams.of]), _of_grams(g, np.append(two.fixed, False)[two.grams.of]))
+        lower = np.where(g.token >= 0, two.grams.of[g.token], -1)
+        return _slices(g, m.ranges, g.times, np.append(two.count, 0)[lower], np.append(two.fixed, False)[lower])
 
     m = m.alone()
     return _rows(coded.select("block", "held", "blob", "two"), make)
@@ -646,10 +745,10 @@ def _finished(coded: DataFrame, answers: DataFrame, m: Model, kind: str) -> Data
     def finish(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b, u = _opened(block["blob"].iloc[0], block["held"].iloc[0]), m.unigrams
         two = _two(b, block["two"].iloc[0], m)
-        g = _trigrams(b, two, m)
-        top, _, _ = _probabilities(g, got, m.ranges, np.append(two.count, m.beginnings), m.trigram_discounts, _of_grams(g, two.lower))
+        g, lower = _trigrams(b, two, m), two.lower(b, m)
+        top, _, _ = _probabilities(g, got, m.ranges, np.append(two.count, m.beginnings), m.trigram_discounts, lower[g.token] if len(lower) else lower)
         doc, n = np.repeat(np.arange(len(b.lengths)), b.lengths), len(b.lengths)
-        score = np.bincount(doc, np.log10(np.where(g.of >= 0, np.append(top, 0.0)[g.of], two.lower)), n)
+        score = np.bincount(doc, np.log10(np.where(g.of >= 0, np.append(top, 0.0)[g.of], lower)), n)
         counts = u.counts(b.vocabulary)
         base = np.bincount(doc, np.log10((counts + 1) / (u.tokens + u.unknown + 1))[b.tokens], n)
         known = np.bincount(doc, (counts > 0)[b.tokens], n).astype(np.int64)
