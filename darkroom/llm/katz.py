@@ -31,8 +31,7 @@ other columns are ignored; very long texts make a block of their own.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -128,50 +127,77 @@ class Model(NamedTuple):
 _SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _held(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """The same numbers in a type that holds them, and how many bytes of each are not 0 throughout."""
-    if x.dtype.kind not in "iu" or not len(x):
-        return x, x.itemsize
-    low, high = int(x.min()), int(x.max())
-    if low < 0:
-        bits = max(high, -1 - low).bit_length() + 1
-        x = x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if bits <= 8 * np.dtype(t).itemsize), copy=False)
-        return x, x.itemsize
-    return x, (high.bit_length() + 7) // 8
+#: Types of packed arrays; with 128 added, numbers below 0 are folded in between the others.
+_KINDS = ["|b1", "|i1", "|u1", "<i2", "<u2", "<i4", "<u4", "<i8", "<u8", "<f8"]
+
+
+def _packed(*parts: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Blobs of slices of arrays, each given with the places where its slices begin and the end. A blob: the number of arrays, of each its type and how
+    many bytes of its numbers are not 0 throughout, the sizes, and planes of bytes. Planes are made of whole arrays, each copied by itself: a copy of the transpose
+    takes ten times as long, and so do planes of many small slices."""
+    head, sizes, planes = bytes([len(parts)]), [], []
+    for x, cut in parts:
+        x = np.ascontiguousarray(x)
+        code, n = _KINDS.index(x.dtype.str), x.itemsize
+        if x.dtype.kind in "iu" and len(x):
+            if x.min() < 0:
+                code, x = code + 128, (x << 1) ^ (x >> (8 * x.itemsize - 1))
+            n = (int(x.view(f"<u{x.itemsize}").max()).bit_length() + 7) // 8
+        head += bytes([code, n])
+        sizes.append(np.diff(cut))
+        cut = cut.tolist()
+        planes += [(np.ascontiguousarray(x.view(np.uint8)[k :: x.itemsize]).data, cut) for k in range(n)]
+    sizes = np.stack(sizes, 1).astype("<u4")
+    return [_SQUEEZE.compress(b"".join([head, size.tobytes(), *(p[cut[i] : cut[i + 1]] for p, cut in planes)])) for i, size in enumerate(sizes)]
 
 
 def _pack(*parts: np.ndarray) -> bytes:
-    """Arrays go as planes of bytes, each copied by itself: a copy of the transpose takes ten times as long."""
-    head, planes = [], []
-    for x in parts:
-        y, n = _held(np.ascontiguousarray(x))
-        raw = y.view(np.uint8)
-        head.append((x.dtype.str, y.dtype.str, len(y), n))
-        planes += [np.ascontiguousarray(raw[k :: y.itemsize]) for k in range(n)]
-    head = pickle.dumps(head, protocol=5)
-    return _SQUEEZE.compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
+    return _packed(*((x, np.array([0, len(x)])) for x in parts))[0]
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = memoryview(_EXPAND.decompress(blob))
-    at = 4 + int.from_bytes(raw[:4], "little")
+def _unpacked(blobs: Iterable[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Arrays, all slices one after another, and of each array the sizes of its slices; of one slice at least."""
+    raws = [memoryview(_EXPAND.decompress(b)) for b in blobs]
+    n = raws[0][0]
+    head = np.frombuffer(b"".join([r[1 : 1 + 6 * n] for r in raws]), np.uint8).reshape(len(raws), 6 * n)
+    codes, planes = head[:, 0 : 2 * n : 2], head[:, 1 : 2 * n : 2].astype(np.int64)
+    sizes = np.ascontiguousarray(head[:, 2 * n :]).view("<u4").astype(np.int64)
+    begin = 1 + 6 * n + np.cumsum(planes * sizes, 1) - planes * sizes
     out = []
-    for kind, held, size, planes in pickle.loads(raw[4:at]):
-        x = np.zeros(size, held)
-        for k in range(planes):
-            x.view(np.uint8)[k :: x.itemsize] = np.frombuffer(raw, np.uint8, size, at)
-            at += size
-        out.append(x.astype(kind, copy=False))
-    return out
+    for code, plane, size, at in zip(codes.T, planes.T, sizes.T, begin.T, strict=True):
+        x = np.zeros(size.sum(), np.result_type(*(_KINDS[c & 127] for c in set(code.tolist()))))
+        each = list(zip(raws, plane.tolist(), size.tolist(), at.tolist(), strict=True))
+        for k in range(plane.max()):
+            x.view(np.uint8)[k :: x.itemsize] = np.frombuffer(b"".join([r[a + k * z : a + k * z + z] if k < p else bytes(z) for r, p, z, a in each]), np.uint8)
+        folded = np.repeat(code >= 128, size)
+        if folded.any():
+            y = x.view(f"<u{x.itemsize}")
+            y[folded] = (y[folded] >> 1) ^ -(y[folded] & 1)
+        out.append(x)
+    return out, list(sizes.T)
 
 
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Differences of neighbours, for numbers that mostly ascend; np.cumsum() undoes it."""
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    return _unpacked([blob])[0]
+
+
+def _steps(x: np.ndarray, cut: np.ndarray | None = None) -> np.ndarray:
+    """Differences of neighbours, for numbers that mostly ascend; np.cumsum() undoes it. cut: of slices, each with its first number whole; _summed() undoes it."""
     out = x.astype(np.int64)
     out[1:] -= x[:-1]
+    if cut is not None:
+        out[cut[:-1]] = x[cut[:-1]]
     return out
 
 
+def _summed(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    total = np.cumsum(x)
+    if len(x):
+        first = np.cumsum(size) - size
+        total -= np.repeat((total - x)[np.minimum(first, len(x) - 1)], size)
+    return total
+
+
 def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers that are not negative in order, and their places; by one sort of both together where they fit in 64 bits, four times as fast as one of places."""
     bits = len(key).bit_length()
@@ -271,8 +297,8 @@ def _asked(blocks: DataFrame, ranges: int) -> DataFrame:
         for b in batches:
             for block, blob in zip(b["block"], b["words"], strict=True):
                 words, train = _unpack(blob)
-                rows = [(k, block, _pack(words[mine], train[mine])) for k, mine in _dealt(_range_of(words, ranges), ranges)]
-                yield pd.DataFrame(rows, columns=["range", "block", "blob"])
+                at, order, cut = _dealt(_range_of(words, ranges), ranges)
+                yield pd.DataFrame({"range": at, "block": block, "blob": _packed((words[order], cut), (train[order], cut))})
 
     return blocks.select("block", "words").mapInPandas(ask, "range int, block long, blob binary")
 
@@ -282,20 +308,19 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return (hashes % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
 
 
-def _dealt(range_of: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each range with the places of what goes to it, in their order."""
+def _dealt(range_of: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that get anything, the places of what they get, range by range and in its order, and where each range's begin, and the end."""
     order = np.argsort(range_of, kind="stable")
-    cut = np.append(0, np.cumsum(np.bincount(range_of, minlength=ranges)))
-    for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
-        if z > a:
-            yield k, order[a:z]
+    size = np.bincount(range_of, minlength=ranges)
+    at = np.flatnonzero(size)
+    return at, order, np.append(0, np.cumsum(size[at]))
 
 
 def _ranked(asked: DataFrame, ranges: int, most: int) -> tuple[DataFrame, Unigrams]:
     """The table words, and what is broadcast of it."""
 
     def total(_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        words, train = map(np.concatenate, zip(*map(_unpack, part["blob"]), strict=True))
+        words, train = _unpacked(part["blob"])[0]
         word, place = _distinct_hashes(words)
         count = np.bincount(place, train).astype(np.int64)
         return pd.DataFrame({"word": word.view(np.int64)[count > 0], "count": count[count > 0]})
@@ -324,21 +349,21 @@ def _coded(blocks: DataFrame, asked: DataFrame, m: Model) -> DataFrame:
     def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(known["word"].to_numpy().view(np.uint64))
         word, ids, hot = known["word"].to_numpy().view(np.uint64)[order], known["id"].to_numpy()[order], known["hot"].to_numpy(bool)[order]
-        rows = []
-        for block, r, blob in zip(asks["block"], asks["range"], asks["blob"], strict=True):
-            want = _unpack(blob)[0]
-            at = np.minimum(np.searchsorted(word, want), max(0, len(word) - 1))
-            there = word[at] == want if len(word) else np.zeros(len(want), bool)
-            rows.append((block, r, _pack(np.where(there, ids[at], unknown), hot[at] & there) if len(word) else _pack(np.full(len(want), unknown), there)))
-        return pd.DataFrame(rows, columns=["block", "range", "blob"])
+        if not len(asks):
+            return pd.DataFrame(columns=["block", "range", "blob"])
+        (want, _), (size, _) = _unpacked(asks["blob"])
+        at = np.minimum(np.searchsorted(word, want), max(0, len(word) - 1))
+        there = word[at] == want if len(word) else np.zeros(len(want), bool)
+        found = (np.where(there, ids[at], unknown), hot[at] & there) if len(word) else (np.full(len(want), unknown), there)
+        cut = np.append(0, np.cumsum(size))
+        return pd.DataFrame({"block": asks["block"], "range": asks["range"], "blob": _packed(*((x, cut) for x in found))})
 
     def code(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         words, _ = _unpack(block["words"].iloc[0])
         lengths, tokens = _unpack(block["body"].iloc[0])
         ids, hot = np.full(len(words), unknown, np.int64), np.zeros(len(words), bool)
-        blobs = dict(zip(got["range"], got["blob"], strict=True))
-        for k, mine in _dealt(_range_of(words, ranges), ranges):
-            ids[mine], hot[mine] = _unpack(blobs[k])
+        _, order, _ = _dealt(_range_of(words, ranges), ranges)
+        ids[order], hot[order] = _unpacked(got.sort_values("range")["blob"])[0]
         vocabulary, first, place, _ = _distinct(ids)
         # the beginning is the last entry
         vocabulary, hot = np.append(vocabulary, unknown + 1), np.append(hot[first], start_hot)
@@ -453,13 +478,19 @@ def _trigrams(b: Block, two: Two, m: Model) -> Grams:
     return _grams(history, known, np.append(g.ids[g.word], start), np.append(g.v[g.history], start), hot, b, m.ranges)
 
 
-def _slices(g: Grams, ranges: int, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _slices(g: Grams, ranges: int, *more: np.ndarray) -> pd.DataFrame:
     """(range, blob) of n-grams: histories with their sizes, words, and more columns."""
-    for k, mine in _dealt(g.range, ranges):
-        history = g.history[mine]
-        head = np.flatnonzero(_changes(history))
-        size, lead = np.diff(np.append(head, len(mine))), history[head]
-        yield k, _pack(size, _steps(g.v[lead]), _steps(g.u[lead]) if len(g.u) else g.u, g.hot[lead], g.ids[g.word[mine]] + 1, *(x[mine] for x in more))
+    at, order, cut = _dealt(g.range, ranges)
+    if not len(at):
+        return pd.DataFrame({"range": [], "blob": []})
+    history = g.history[order]
+    new = _changes(history)
+    new[cut[:-1]] = True
+    head = np.flatnonzero(new)
+    size, lead, of = np.diff(np.append(head, len(order))), history[head], np.searchsorted(head, cut)
+    u = (_steps(g.u[lead], of), of) if len(g.u) else (g.u, np.zeros_like(of))
+    blobs = _packed((size, of), (_steps(g.v[lead], of), of), u, (g.hot[lead], of), (g.ids[g.word[order]] + 1, cut), *((x[order], cut) for x in more))
+    return pd.DataFrame({"range": at, "blob": blobs})
 
 
 # ---- tables ----
@@ -520,10 +551,8 @@ def _met(slices: DataFrame, m: Model, buckets: int) -> DataFrame:
     m = m.alone()
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        slices = [(s, np.cumsum(a), np.cumsum(b), *rest) for s, a, b, *rest in map(_unpack, rows["blob"])]
-        ends = np.cumsum([len(x[4]) for x in slices])
-        size, v, u, hot, w, times, *lower = map(np.concatenate, zip(*slices, strict=True))
-        del slices
+        (size, v, u, hot, w, times, *lower), sizes = _unpacked(rows["blob"])
+        v, u, cut = _summed(v, sizes[1]), _summed(u, sizes[2]), np.append(0, np.cumsum(sizes[4]))
         histories = (u, v) if len(u) else (v,)
         order = _order(u, v) if len(u) else _sorted(v)[1]
         new = _changes(*(x[order] for x in histories))
@@ -535,7 +564,7 @@ def _met(slices: DataFrame, m: Model, buckets: int) -> DataFrame:
         del order, new
         n, count = len(lead), np.bincount(place, times, len(first)).astype(np.int64)
         part = Part(np.bincount(h[first], minlength=n), v[lead], u[lead] if len(u) else u, w[first] - 1, count, *([x[first] for x in lower] or [np.zeros(0, np.int64)] * 2))
-        places = [_pack(_steps(x)) for x in np.split(place, ends[:-1])]
+        places = _packed((_steps(place, cut), cut))
         some = np.flatnonzero(hot[lead])
         total, low, seen = part.only(some).sums(m) if len(some) else (np.zeros((0, K)),) * 3
         stat = [int((count == r).sum()) for r in range(1, K + 2)]
@@ -568,11 +597,12 @@ def _weighed(slices: DataFrame, m: Model, buckets: int) -> tuple[DataFrame, Data
         fixed = low.sum(1) == 0
         alpha = np.where(fixed, 1.0, low @ (1 - d)) / (total + fixed) / (1 - seen)
         h = np.repeat(np.arange(len(alpha)), t.size)
-        out = []
-        for block, blob in zip(row["blocks"], row["places"], strict=True):
-            at = np.cumsum(_unpack(blob)[0])
-            count = t.count[at]
-            out.append(("answer", key[0], block, _pack(count, fixed[h[at]], alpha[h[at[count == 0]]])))
+        (at,), (size,) = _unpacked(row["places"])
+        at, cut = _summed(at, size), np.append(0, np.cumsum(size))
+        count = t.count[at]
+        unseen = np.append(0, np.cumsum(count == 0))[cut]
+        answers = _packed((count, cut), (fixed[h[at]], cut), (alpha[h[at[count == 0]]], unseen))
+        out = [("answer", key[0], block, blob) for block, blob in zip(row["blocks"], answers, strict=True)]
         known, seen = total > 0, t.count > 0
         out.append(("table", key[0], None, _pack(np.bincount(h[seen], minlength=len(known))[known], _steps(t.v[known]), _steps(t.u[known]) if len(t.u) else t.u, alpha[known], fixed[known], total[known], t.w[seen], t.count[seen], d)))
         return pd.DataFrame(out, columns=["kind", "range", "block", "blob"])
@@ -638,15 +668,17 @@ def _looked_up(slices: DataFrame, table: DataFrame) -> DataFrame:
 
     def answer(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         size, v, u, alpha, fixed, words, counts, _ = _opened_table(rows["blob"].tolist())
-        out = []
-        for block, r, blob in zip(asks["block"], asks["range"], asks["blob"], strict=True):
-            n, qv, qu, _, qw, *_ = _unpack(blob)
-            ask = [np.cumsum(qv), np.cumsum(qu)] if len(qu) else [np.cumsum(qv)]
-            h = np.repeat(_located(ask, [v, u] if len(qu) else [v]), n)
-            place = _located([h, qw], [np.repeat(np.arange(len(v)), size), words + 1])
-            count = np.where(place >= 0, np.append(counts, 0)[place], 0)
-            out.append((block, r, _pack(count, np.append(fixed, False)[h], np.append(alpha, np.nan)[h[count == 0]])))
-        return pd.DataFrame(out, columns=["block", "range", "blob"])
+        if not len(asks):
+            return pd.DataFrame(columns=["block", "range", "blob"])
+        (n, qv, qu, _, qw, *_), sizes = _unpacked(asks["blob"])
+        ask = [_summed(qv, sizes[1]), _summed(qu, sizes[2])] if len(qu) else [_summed(qv, sizes[1])]
+        h = np.repeat(_located(ask, [v, u] if len(qu) else [v]), n)
+        place = _located([h, qw], [np.repeat(np.arange(len(v)), size), words + 1])
+        count = np.where(place >= 0, np.append(counts, 0)[place], 0)
+        cut = np.append(0, np.cumsum(sizes[4]))
+        unseen = np.append(0, np.cumsum(count == 0))[cut]
+        blobs = _packed((count, cut), (np.append(fixed, False)[h], cut), (np.append(alpha, np.nan)[h[count == 0]], unseen))
+        return pd.DataFrame({"block": asks["block"], "range": asks["range"], "blob": blobs})
 
     return table.groupBy("range").cogroup(slices.groupBy("range")).applyInPandas(answer, "block long, range int, blob binary")
 
@@ -655,12 +687,12 @@ def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, totals: np.ndarray,
     """Of each n-gram its probability, count, and whether its history has no discounted counts. totals: of histories, by place; lower: probabilities of the next lower order."""
     n = len(g.word)
     count, fixed, alpha = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, np.nan)
-    blobs = dict(zip(got["range"], got["blob"], strict=True))
-    for k, mine in _dealt(g.range, ranges):
-        count[mine], fixed[mine], weights = _unpack(blobs[k])
-        alpha[mine[count[mine] == 0]] = weights
-    if not len(alpha):
+    if not n:
         return alpha, count, fixed
+    _, order, _ = _dealt(g.range, ranges)
+    seen, fixed[order], weights = _unpacked(got.sort_values("range")["blob"])[0]
+    count[order] = seen
+    alpha[order[seen == 0]] = weights
     # a hot history's alpha is with what asked for it, the last of the history
     hot = np.flatnonzero(g.hot[g.history])
     asked = np.flatnonzero(g.token[hot] < 0)
@@ -670,18 +702,18 @@ def _probabilities(g: Grams, got: pd.DataFrame, ranges: int, totals: np.ndarray,
 
 
 def _rows(blocks: DataFrame, make) -> DataFrame:
-    """(range, block, blob) of what make(row) yields for each block."""
+    """(range, block, blob) of what make(row) returns for each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                yield pd.DataFrame([(k, row.block, blob) for k, blob in make(row)], columns=["range", "block", "blob"])
+                yield make(row).assign(block=row.block)[["range", "block", "blob"]]
 
     return blocks.mapInPandas(run, "range int, block long, blob binary")
 
 
 def _bigram_slices(coded: DataFrame, m: Model) -> DataFrame:
-    def make(row) -> Iterator[tuple[int, bytes]]:
+    def make(row) -> pd.DataFrame:
         g = _bigrams(_opened(row.blob, row.held), m)
         return _slices(g, m.ranges, g.times)
 
@@ -728,7 +760,7 @@ def _two(b: Block, blob: bytes, m: Model) -> Two:
 
 
 def _trigram_slices(coded: DataFrame, m: Model) -> DataFrame:
-    def make(row) -> Iterator[tuple[int, bytes]]:
+    def make(row) -> pd.DataFrame:
         b = _opened(row.blob, row.held)
         two = _two(b, row.two, m)
         g = _trigrams(b, two, m)

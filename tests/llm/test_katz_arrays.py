@@ -72,3 +72,34 @@ def test_texts_hashed_together_are_hashed_as_alone():
     assert np.concatenate(counts).tolist() == [len(x) for x in want]
     assert (np.concatenate(hashes) == np.concatenate(want)).all()
     assert list(hashes_of_texts([])) == []
+
+
+def test_many_slices_packed_at_once_come_back_and_cost_little():
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.integers(0, 1 << 40, 40_000))
+    cut = np.append(0, np.sort(rng.integers(0, len(x), 3999)))
+    cut = np.append(cut, len(x))
+    others = [(rng.integers(-300, 300, len(x)).astype(np.int32), cut), (x > 5, cut), (np.zeros(0), np.zeros_like(cut))]
+    parts = [(katz._steps(x, cut[:-1][np.diff(cut) > 0].tolist() + [len(x)]), cut), *others]
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    blobs = katz._packed(*parts)
+    arrays, sizes = katz._unpacked(blobs)
+    assert len(blobs) == 4000 and all((s == np.diff(c)).all() for s, (_, c) in zip(sizes, parts, strict=True))
+    assert (katz._summed(arrays[0], sizes[0]) == x).all()
+    assert all(a.dtype == b.dtype and (a == b).all() for a, (b, _) in zip(arrays, parts, strict=True))
+    one = lambda: [katz._unpack(katz._pack(*(p[c[i] : c[i + 1]] for p, c in parts))) for i in range(4000)]
+    assert seconds(lambda: katz._unpacked(katz._packed(*parts))) < 0.3 * seconds(one)
+
+
+def test_slices_of_blocks_with_other_types_are_unpacked_together():
+    several = [np.array([1, 2, 1 << 20]), np.array([-7, 3]), np.array([5], np.int32), np.zeros(0, np.int64)]
+    (got,), (sizes,) = katz._unpacked([katz._pack(x) for x in several])
+    assert got.dtype == np.int64 and got.tolist() == [1, 2, 1 << 20, -7, 3, 5] and sizes.tolist() == [3, 2, 1, 0]
