@@ -26,7 +26,7 @@ def test_packed_arrays_come_back(kind):
     assert all(x.tobytes() == y.tobytes() for x, y in zip(back, parts, strict=True))
 
 
-def test_packing_takes_less_than_one_transpose_of_the_bytes():
+def test_packing_takes_less_than_half_a_transpose_of_the_bytes():
     x = np.repeat(np.arange(40_000), 25)
 
     def seconds(f):
@@ -37,7 +37,7 @@ def test_packing_takes_less_than_one_transpose_of_the_bytes():
             took.append(time.process_time() - began)
         return min(took)
 
-    assert seconds(lambda: katz._unpack(katz._pack(x))) < 0.7 * seconds(lambda: x.view(np.uint8).reshape(-1, 8).T.tobytes())
+    assert seconds(lambda: katz._unpack(katz._pack(x))) < 0.4 * seconds(lambda: x.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 @pytest.mark.parametrize("top", [1, 50, 1 << 30, (1 << 62) + 5])
